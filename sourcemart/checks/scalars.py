@@ -88,15 +88,15 @@ def _(t):
     return items.select("id", text.own_text(set(items.columns)).alias("own_text"))
 
 
-@check("char_grams", r"""SELECT doc_id, cast(len(g) AS BIGINT) AS grams, sha256(array_to_string(list_sort(g), '|')) AS gram_hash FROM (
-    SELECT doc_id, list_distinct(list_concat(
-        list_transform(range(1, length(n) + 1), lambda i: n[i:i]),
-        list_transform(range(1, length(n)), lambda i: n[i:i + 1]))) AS g
-    FROM (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')) AS n FROM documents))""")
+@check("char_grams", r"""SELECT doc_id, count(*) AS grams, sha256(string_agg(g, '|' ORDER BY g)) AS gram_hash FROM (
+    SELECT DISTINCT doc_id, unnest([c, c || lead(c) OVER (PARTITION BY doc_id ORDER BY i)]) AS g
+    FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS c FROM (SELECT doc_id, string_split(
+        trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')), '') AS l FROM documents)))
+    WHERE g IS NOT NULL GROUP BY doc_id""")
 def _(t):
     g = t.documents.select("doc_id", text.normalize("text").alias("norm")).select("doc_id", index_grams("norm").alias("g"))
     return g.select("doc_id", F.size("g").cast("long").alias("grams"),
-                    F.sha2(F.array_join(F.array_sort("g"), "|"), 256).alias("gram_hash"))
+                    F.sha2(F.array_join(F.sort_array("g"), "|"), 256).alias("gram_hash"))
 
 
 @check("canonical_hash", """SELECT doc_id, sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS hash FROM documents""")

@@ -1,20 +1,30 @@
 """Character grams: the index form that also serves one and two character queries."""
 
-from pyspark.sql import Column, functions as F
+import operator
 
-from sourcemart.functions.text import as_column
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 
-def _sized(text: Column, size: int) -> Column:
-    return F.when(F.length(text) >= size,
-                  F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substr(text, i, F.lit(size)))
-                  ).otherwise(F.array().cast("array<string>"))
+def _grams(text):
+    return {*text, *map(operator.add, text, text[1:])} if text else set()
 
 
-def index_grams(text_norm) -> Column:
-    """Distinct 1- and 2-grams of an already normalized text."""
-    text = as_column(text_norm)
-    return F.array_distinct(F.concat(_sized(text, 1), _sized(text, 2)))
+@F.pandas_udf(ArrayType(StringType()))
+def index_grams(text_norm: pd.Series) -> pd.Series:
+    """Distinct 1- and 2-grams of an already normalized text, sorted.
+
+    Measured against split/zip_with/array_distinct in the JVM: several times faster on long texts, and where the
+    text is normalized in the same step both run in one Python pass.
+    """
+    return text_norm.map(lambda v: sorted(_grams(v)))
+
+
+@F.pandas_udf(LongType())
+def gram_number(text_norm: pd.Series) -> pd.Series:
+    """How many distinct grams: the length that BM25 uses."""
+    return text_norm.map(lambda v: len(_grams(v)))
 
 
 def query_grams(term: str) -> list[str]:

@@ -70,7 +70,7 @@ def reconcile_parts(staged: DataFrame, published: DataFrame, key="id") -> DataFr
     Parts are joined in order; white space is not compared. Every mismatch is reported, with its kind.
     """
     parts = published.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("joined"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("joined"),
         F.min("title").alias("low"), F.max("title").alias("high"))
     both = staged.withColumn("_staged", F.lit(True)).join(parts, key, "full")
     problem = F.coalesce(

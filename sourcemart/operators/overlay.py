@@ -32,7 +32,7 @@ def profiles(log: DataFrame) -> DataFrame:
     """Revision and map of current facts per product, the number shown instead of the text where there is one."""
     shown = F.coalesce(F.col("number").cast("string"), F.col("value"))
     facts = current_facts(log).groupBy("id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct(shown.alias("value"), "unit", "origin"))))).alias("facts"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.struct(shown.alias("value"), "unit", "origin"))))).alias("facts"))
     return revisions(log).join(facts, "id", "left")
 
 
@@ -193,7 +193,7 @@ def vocabulary(records: DataFrame, existing: DataFrame) -> tuple[DataFrame, Data
     terms = (keyed.select("_row", "kind", "reason", F.explode("terms").alias("display"))
              .withColumn("display", F.trim("display")).withColumn("term", normalize("display")))
     group = terms.groupBy("_row", "kind", "reason").agg(
-        F.array_sort(F.collect_set("term")).alias("terms"), F.count("*").alias("n"))
+        F.sort_array(F.collect_set("term")).alias("terms"), F.count("*").alias("n"))
     group_key = F.substring(F.sha2(F.concat(F.lit('["'), F.array_join("terms", '","'), F.lit('"]')), 256), 1, 24)
     held = (terms.join(existing.select("kind", "term", "group_key"), ["kind", "term"]).select("_row", "kind", "group_key").distinct()
             .join(existing.select("kind", "group_key", F.col("term").alias("member")), ["kind", "group_key"]))
@@ -309,7 +309,7 @@ def classify_terms(current: DataFrame, requests: DataFrame, products: DataFrame)
     before = F.coalesce("_terms", empty)
     # Later keys win: drop the old entries that are given again.
     merged = F.map_concat(F.map_filter(before, lambda k, _: ~F.map_contains_key("terms", k)), F.col("terms"))
-    entries = lambda m: F.array_sort(F.map_entries(m))
+    entries = lambda m: F.sort_array(F.map_entries(m))
     return joined.select(
         "id", "field", merged.alias("terms"), (F.coalesce("_revision", F.lit(0)) + 1).alias("next_revision"),
         F.when(~F.coalesce("_ok", F.lit(False)), "invalid").when(entries(merged) == entries(before), "unchanged")

@@ -84,7 +84,7 @@ def group_representatives(df: DataFrame, plan: list[str], group: str, rank: str,
     counts = keyed.groupBy(*plan, "_key").agg(F.count("*").alias("matching_offers"))
     first = top_per_group(keyed, plan + ["_key"], [rank], sample + 1, "_member")
     others = (first.filter("_member > 1").groupBy(*plan, "_key")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_member", row_id))),
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("_member", row_id))),
                                lambda s: s[row_id]).alias("alternative_ids")))
     heads = first.filter("_member = 1").drop("_member")
     kind = dict(df.dtypes)[row_id]

@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcemart.functions.grams import index_grams, query_grams
+from sourcemart.functions.grams import gram_number, index_grams, query_grams
 from sourcemart.functions.text import all_terms
 
 # BM25 constants, column weights and the floor of the inverse document frequency.
@@ -19,7 +19,7 @@ WEIGHT = {"name_norm": 8.0, "all_norm": 1.0}
 
 def with_gram_count(docs: DataFrame) -> DataFrame:
     """Adds the number of index grams in both columns. Meant for ingest: the column is stored with the row."""
-    return docs.withColumn("gram_count", (F.size(index_grams("name_norm")) + F.size(index_grams("all_norm"))).cast("long"))
+    return docs.withColumn("gram_count", gram_number("name_norm") + gram_number("all_norm"))
 
 
 def postings(docs: DataFrame, column: str, key="id") -> DataFrame:

@@ -135,7 +135,7 @@ def rank_lanes(hits: DataFrame, per_lane: int, sort: str) -> DataFrame:
 def fuse(ranked: DataFrame, key="id") -> DataFrame:
     """Sum of 1/(60+rank) over lanes, added in lane order so that the result does not depend on the plan's tasks."""
     carried = [c for c in ranked.columns if c not in (key, "lane", "rank", "score")]
-    places = F.array_sort(F.collect_list(F.struct("lane", "rank")))
+    places = F.sort_array(F.collect_list(F.struct("lane", "rank")))
     return (ranked.groupBy(key).agg(places.alias("_places"), *[F.max(c).alias(c) for c in carried])
             .withColumn("fused", F.aggregate("_places", F.lit(0.0), lambda s, p: s + F.lit(1.0) / (F.lit(FUSION) + p["rank"])))
             .withColumn("matched_lanes", F.transform("_places", lambda p: p["lane"])).drop("_places"))

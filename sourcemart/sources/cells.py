@@ -212,10 +212,10 @@ def features(records: DataFrame, columns: DataFrame) -> DataFrame:
     cells = (records.filter(~blank("value")).join(details, [*SHEET, "col"])
              .groupBy(*SHEET, "record", "col", "label", "value").agg(F.min("row").alias("row")))
     column = cells.groupBy(*SHEET, "record", "col", "label").agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda c: c["value"]), "\n").alias("text"))
+        F.transform(F.sort_array(F.collect_list(F.struct("row", "value"))), lambda c: c["value"]), "\n").alias("text"))
     text = F.when(F.col("_details") == 1, F.col("text")).otherwise(F.concat("label", F.lit("：\n"), "text"))
     return (column.join(alone, SHEET).withColumn("text", text).groupBy(*SHEET, "record")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), "\n").alias("features")))
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), "\n").alias("features")))
 
 
 def raw_fields(records: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,10 +228,10 @@ def raw_fields(records: DataFrame, labels: DataFrame) -> DataFrame:
     cells = records.filter(F.col("value").isNotNull()).join(named, [*SHEET, "col"])
     per_column = cells.groupBy(*SHEET, "record", "col", "label", "_again").agg(
         F.min("row").alias("_row"), F.array_join(F.array_distinct(F.transform(
-            F.array_sort(F.collect_list(F.struct("row", "value"))), lambda c: c["value"])), "\n").alias("value"))
+            F.sort_array(F.collect_list(F.struct("row", "value"))), lambda c: c["value"])), "\n").alias("value"))
     key = F.when(F.col("_again"), F.concat("label", F.lit(" ["), cell_name(F.col("_row"), F.col("col")), F.lit("]"))).otherwise(F.col("label"))
     return per_column.groupBy(*SHEET, "record").agg(F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v"))))).alias("raw_fields"))
+        F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v"))))).alias("raw_fields"))
 
 
 def unmapped_columns(records: DataFrame, columns: DataFrame) -> DataFrame:

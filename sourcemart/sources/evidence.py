@@ -111,8 +111,8 @@ def import_records(records: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
     items = checked.groupBy("doc", "key").agg(
         F.bool_and("ok").alias("ok"),
         F.max(F.when((F.col("field") == "name") & F.col("part").isNull(), F.col("value"))).alias("name"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(field.alias("k"), F.col("value").alias("v"))))).alias("raw_fields"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(field.alias("k"), F.col("locator").alias("v"))))).alias("source_cells"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(field.alias("k"), F.col("value").alias("v"))))).alias("raw_fields"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(field.alias("k"), F.col("locator").alias("v"))))).alias("source_cells"),
         F.when(F.bool_or(F.coalesce(F.col("verification") == "visual", F.lit(False))),
                F.array(F.lit("视觉转录:未经原生文本校验"))).otherwise(F.array().cast("array<string>")).alias("issues"))
     repeated = records.groupBy("doc", "key").count().filter("count > 1").select("doc", "key")
