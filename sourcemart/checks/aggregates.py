@@ -80,12 +80,7 @@ def _(t):
     count(*) FILTER (WHERE field = 'agent_price' AND label = 'O') AS basis_conflicts FROM obs""", "obs"))
 def _(t):
     written = t.prices().withColumn("label", F.when(F.col("label") == "F", "代理价").otherwise("零售价"))
-    # All products and those of the field in one pass over the price table.
-    of = F.col("field") == "agent_price"
-    return written.agg(
-        F.count(F.when(of, F.col("amount"))).alias("numeric"),
-        (F.count("*") - F.count(F.when(of, F.col("amount")))).alias("unusable"),
-        F.count_if(of & F.coalesce(facets.basis_conflict("field", "label"), F.lit(False))).alias("basis_conflicts"))
+    return facets.price_coverage(written, written, "agent_price")
 
 
 @check("a_issue_counts", """SELECT kind, count(*) AS n FROM (SELECT '非数值价格' AS kind FROM lineitem WHERE l_discount = cast(0.10 AS DOUBLE)

@@ -1 +1,222 @@
+"""Registration, refresh, evidence and once-only writes."""
 
+from pyspark.sql import functions as F
+
+from sourcemart.checks.base import check, sql
+from sourcemart.operators.ranking import numbered
+from sourcemart.session import scratch_path
+from sourcemart.sources import evidence, intake
+from sourcemart.streaming.tasks import run_available
+
+
+def files(t):
+    """Every document as a file named by its number; texts of two languages are of a recognized layout."""
+    return t.documents.select(
+        F.format_string("/in/doc-%06d.txt", "doc_id").alias("path"), F.format_string("doc-%06d.txt", "doc_id").alias("name"),
+        F.sha2("text", 256).alias("content_hash"), F.col("lang").isin("en", "fr").alias("recognized"))
+
+
+def registered(t):
+    """Documents with a label are registered already: clean ones are ready, toxic ones still wait for a mapping."""
+    lab = t.documents.join(t.labels, "doc_id")
+    return (lab.groupBy(F.concat(F.lit("d_"), F.sha2("text", 256)).alias("doc_id"))
+            .agg(F.when(F.max("toxic") == 1, "pending").otherwise("ready").alias("status")))
+
+
+FILES = """files AS (SELECT printf('/in/doc-%06d.txt', doc_id) AS path, 'd_' || sha256(text) AS doc_id, lang IN ('en', 'fr') AS recognized FROM documents),
+    registered AS (SELECT 'd_' || sha256(text) AS doc_id, CASE WHEN max(toxic) = 1 THEN 'pending' ELSE 'ready' END AS status FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    firsts AS (SELECT doc_id, min(path) AS path, arg_min(recognized, path) AS recognized FROM files GROUP BY 1)"""
+
+
+@check("intake_dedup", f"""WITH {FILES} SELECT f.doc_id, f.path AS first_path, CASE WHEN f.recognized THEN 'ready' ELSE 'pending' END AS status,
+    (SELECT count(*) FROM files x WHERE x.doc_id = f.doc_id) AS aliases FROM firsts f WHERE f.doc_id NOT IN (SELECT doc_id FROM registered)""")
+def _(t):
+    documents, aliases, _ = intake.intake(files(t), registered(t))
+    counts = aliases.groupBy("doc_id").agg(F.count("*").alias("aliases"))
+    return documents.join(counts, "doc_id").select("doc_id", F.concat(F.lit("/in/"), "name").alias("first_path"), "status", "aliases")
+
+
+@check("intake_status", f"""WITH {FILES} SELECT f.path, f.doc_id, CASE WHEN r.status = 'pending' THEN 'needs_mapping' WHEN r.status IS NOT NULL THEN 'duplicate'
+    WHEN NOT x.recognized THEN 'needs_mapping' WHEN f.path = x.path THEN 'ready' ELSE 'duplicate' END AS outcome
+    FROM files f JOIN firsts x USING (doc_id) LEFT JOIN registered r USING (doc_id)""")
+def _(t):
+    return intake.intake(files(t), registered(t))[2]
+
+
+def manifests(t):
+    """A registry of all labelled documents, and today's folder: toxic ones changed, poor ones were touched, German ones are gone."""
+    d = t.documents.join(t.labels, "doc_id", "left")
+    path = F.format_string("doc-%06d", "doc_id").alias("path")
+    old = d.filter("quality IS NOT NULL").select(path, F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime"), F.sha2("text", 256).alias("hash"),
+                                                 F.when(F.col("lang") == "es", "c1").otherwise("c2").alias("config_hash"))
+    poor = F.coalesce(F.col("quality") == 0, F.lit(False))
+    new = d.filter("lang <> 'de'").select(path, F.col("n_chars").alias("size"), F.when(poor, 2).otherwise(1).cast("long").alias("mtime"),
+                                          F.lit("c2").alias("config_hash"), F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    return old, new
+
+
+@check("manifest_diff", """SELECT printf('doc-%06d', d.doc_id) AS path, CASE WHEN l.quality IS NULL THEN 'new' WHEN lang = 'de' THEN 'missing'
+    WHEN lang = 'es' THEN 'reindex' WHEN l.quality = 1 THEN 'skip' WHEN l.toxic = 1 THEN 'reindex' ELSE 'touch' END AS action
+    FROM documents d LEFT JOIN labels l USING (doc_id) WHERE lang <> 'de' OR l.quality IS NOT NULL""")
+def _(t):
+    return intake.manifest_diff(*manifests(t)).select("path", "action")
+
+
+@check("stale_sources", """SELECT printf('doc-%06d', doc_id) AS path FROM documents JOIN labels USING (doc_id) WHERE lang IN ('de', 'es') OR quality = 0""")
+def _(t):
+    return intake.stale_sources(*manifests(t))
+
+
+@check("hash_verify", """SELECT printf('doc-%06d', doc_id) AS path, CASE WHEN lang = 'de' THEN 'missing' ELSE 'changed' END AS problem FROM documents JOIN labels USING (doc_id) WHERE lang = 'de' OR toxic = 1""")
+def _(t):
+    old, new = manifests(t)
+    return intake.verify_sources(old, new.select("path", F.sha2("content", 256).alias("content_hash"))).select("path", "problem")
+
+
+@check("manifest_stream")
+def _(t):
+    stream = intake.read_new_files(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    counted = stream.select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return run_available(counted, scratch_path(t.spark, "manifest")).select("doc_id", "content_hash")
+
+
+@check("discover_files", "SELECT 'documents.parquet' AS name UNION ALL SELECT 'benchmark.parquet'")
+def _(t):
+    found = intake.discover(t.spark, t.folder, ".parquet", with_content=False)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name")).filter("name IN ('documents.parquet', 'benchmark.parquet')")
+
+
+@check("intake_validate", """SELECT doc_id, CASE WHEN lang = 'de' THEN 'not_a_pdf' WHEN lang = 'fr' THEN 'unsupported_suffix' WHEN lang = 'es' THEN 'not_a_zip' END AS reason FROM documents""")
+def _(t):
+    suffix = F.when(F.col("lang") == "de", ".pdf").when(F.col("lang") == "fr", ".exe").when(F.col("lang") == "es", ".xlsx").otherwise(".txt")
+    made = t.documents.select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return intake.validate_files(made.withColumn("length", F.length("content").cast("long"))).select("doc_id", "reason")
+
+
+@check("lines_evidence", sql(r"""SELECT doc, 'line:' || n AS ref, text, 'line ' || n AS locator FROM doclines
+    WHERE regexp_matches(text, '[^\s\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]')""", "doclines"))
+def _(t):
+    return t.evidence().select("doc", "ref", "text", "locator")
+
+
+@check("csv_cells_evidence", """SELECT p_partkey AS doc, 'r' || r || 'c' || c AS ref, text FROM (
+    SELECT p_partkey, 1 AS r, 1 AS c, p_name AS text FROM part UNION ALL SELECT p_partkey, 1, 3, p_brand || ',' || chr(10) || p_type FROM part
+    UNION ALL SELECT p_partkey, 2, 2, cast(p_size AS VARCHAR) FROM part)""")
+def _(t):
+    made = F.concat(F.col("p_name"), F.lit(', ,"'), F.col("p_brand"), F.lit(",\n"), F.col("p_type"), F.lit('"\r\n,'), F.col("p_size"), F.lit("\n"))
+    return evidence.csv_evidence(t.part.select(F.col("p_partkey").alias("doc"), made.alias("text"))).select("doc", "ref", "text")
+
+
+@check("evidence_union", sql(r"""SELECT doc, ref, verification, page FROM (
+    SELECT doc, 'line:' || n AS ref, cast(NULL AS VARCHAR) AS verification, 1 AS page FROM doclines WHERE regexp_matches(text, '[^\s\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]')
+    UNION ALL SELECT page_id, 'image:1', NULL, 7 FROM pages
+    UNION ALL SELECT page_id, 'visual-' || substr(sha256('["image:1","' || url || '"]'), 1, 20), 'visual', 7 FROM pages)""", "doclines"))
+def _(t):
+    images = t.pages.select(F.col("page_id").alias("doc"), F.lit("image:1").alias("ref"), F.lit("image").alias("kind"),
+                            F.lit(None).cast("string").alias("text"), F.lit("original image").alias("locator"), F.lit(7).alias("page"))
+    native = t.evidence().unionByName(images)
+    asked = t.pages.select(F.col("page_id").alias("doc"), F.lit("image:1").alias("image_ref"), F.col("url").alias("text"), F.lit("reviewer").alias("reviewer"))
+    kept, _ = evidence.transcribe(images, asked)
+    return evidence.evidence_union(native, kept).select("doc", "ref", "verification", "page")
+
+
+@check("evidence_page", sql(r"""SELECT doc, ref, substr(text, 1, 240) AS text, CASE WHEN length(text) > 240 THEN length(text) END AS text_length, length(text) > 240 AS truncated FROM (
+    SELECT doc, 'line:' || n AS ref, text FROM doclines WHERE regexp_matches(text, '[^\s\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]') ORDER BY doc, doclines.n LIMIT 50 OFFSET 100)""", "doclines"))
+def _(t):
+    number = F.substring_index("ref", ":", -1).cast("int")
+    rows = evidence.evidence_page(t.evidence(), ["doc", number], offset=100, limit=50)
+    return rows.select("doc", "ref", "text", "text_length", "truncated")
+
+
+@check("import_records", sql(r"""SELECT doc, key, name, words FROM (SELECT d.doc_id AS doc, 'rec-' || d.doc_id AS key, l.text AS name, substr(l.text, 2, 6) AS words, l.text AS entry
+    FROM documents d JOIN doclines l ON l.doc = d.doc_id AND l.n = 1) WHERE regexp_matches(entry, '[^\s\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]') AND regexp_matches(words, '[^\s\x{a0}]')""", "doclines"))
+def _(t):
+    first = F.substring_index(F.regexp_replace("text", "\r\n?", "\n"), "\n", 1)
+    none = F.lit(None).cast("string")
+    facts = F.array(F.struct(F.lit("name").alias("field"), none.alias("part"), F.lit("line:1").alias("ref"), none.alias("quote")),
+                    F.struct(F.lit("model").alias("field"), none.alias("part"), F.lit("line:1").alias("ref"), F.substring(first, 2, 6).alias("quote")))
+    records = t.documents.select(F.col("doc_id").alias("doc"), F.concat(F.lit("rec-"), "doc_id").alias("key"), facts.alias("facts"))
+    entries = t.evidence().withColumn("verification", none)
+    items, _ = evidence.import_records(records, entries)
+    return items.select("doc", "key", "name", F.element_at("raw_fields", F.lit("model")).alias("words"))
+
+
+def members(t):
+    """Offers as records: key (order, line); the payload is part and price."""
+    li = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("record_key"),
+                           F.concat_ws("-", "l_partkey", "l_suppkey", "l_returnflag").alias("payload_hash"), "l_linestatus",
+                           F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"))
+    return li
+
+
+COMMIT = """li AS (SELECT l_orderkey AS doc_id, cast(l_linenumber AS BIGINT) AS record_key, concat_ws('-', l_partkey, l_suppkey, l_returnflag) AS payload_hash, l_linestatus,
+      strftime(l_shipdate, '%Y-%m-%d') AS "at" FROM lineitem),
+    stored AS (SELECT doc_id, record_key, arg_min(payload_hash, ("at", payload_hash)) AS held FROM li WHERE l_linestatus = 'F' GROUP BY 1, 2),
+    fresh AS (SELECT * FROM li WHERE l_linestatus = 'O'),
+    firsts AS (SELECT doc_id, record_key, min(("at", payload_hash)) AS f FROM fresh GROUP BY 1, 2)"""
+
+
+@check("commit_idempotent", f"""WITH {COMMIT} SELECT doc_id, record_key, "at", payload_hash, CASE WHEN payload_hash <> coalesce(held, f[2]) THEN 'conflict'
+    WHEN held IS NULL AND ("at", payload_hash) = f THEN 'added' ELSE 'skipped' END AS outcome
+    FROM fresh JOIN firsts USING (doc_id, record_key) LEFT JOIN stored USING (doc_id, record_key)""")
+def _(t):
+    rows = members(t)
+    stored = (rows.filter("l_linestatus = 'F'").groupBy("doc_id", "record_key")
+              .agg(F.min_by("payload_hash", F.struct("at", "payload_hash")).alias("payload_hash")))
+    return intake.commit(stored, rows.filter("l_linestatus = 'O'"), ["at", "payload_hash"]).select("doc_id", "record_key", "at", "payload_hash", "outcome")
+
+
+@check("receipt_once", """WITH ops AS (SELECT user_id || '-' || event_type AS operation_id, json_extract_string(props, '$.k') AS payload_hash, event_id FROM events),
+    firsts AS (SELECT operation_id, min(event_id) AS first, arg_min(payload_hash, event_id) AS held FROM ops GROUP BY 1)
+    SELECT operation_id, event_id, CASE WHEN payload_hash <> held THEN 'conflict' WHEN event_id = first THEN 'completed' ELSE 'replayed' END AS outcome FROM ops JOIN firsts USING (operation_id)""")
+def _(t):
+    ops = t.events.select(F.concat_ws("-", "user_id", "event_type").alias("operation_id"), F.get_json_object("props", "$.k").alias("payload_hash"), "event_id")
+    none = ops.filter("false").select("operation_id", "payload_hash")
+    return intake.receipt_once(none, ops, ["event_id"]).select("operation_id", "event_id", "outcome")
+
+
+@check("source_listing", sql("SELECT s.doc_id, count(o.id) AS products, s.state <> 'active' AS stale FROM sources s LEFT JOIN obs o ON o.doc_id = s.doc_id AND o.has_image GROUP BY s.doc_id, s.state ORDER BY 1 LIMIT 50 OFFSET 100", "sources", "obs"))
+def _(t):
+    s = t.sources()
+    listed = intake.source_listing(s.select("doc_id"), t.observations().filter("has_image"), s.filter("state <> 'active'"))
+    return listed.orderBy("doc_id").offset(100).limit(50)
+
+
+@check("remove_source", sql("SELECT 'obs' AS tab, count(*) AS n FROM obs WHERE doc_id NOT IN (SELECT doc_id FROM sources WHERE state = 'withdrawn') UNION ALL SELECT 'sources', count(*) FROM sources WHERE state <> 'withdrawn'", "obs", "sources"))
+def _(t):
+    s = t.sources()
+    left = intake.remove_source({"obs": t.observations().select("id", "doc_id"), "sources": s}, s.filter("state = 'withdrawn'"))
+    counts = [frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n") for name, frame in left.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@check("relocate", """SELECT '/old/' || source || '/' || doc_id AS path, '/new/' || source || '/' || doc_id AS target,
+    CASE WHEN lang = 'de' OR toxic = 1 THEN 'missing_or_changed' WHEN lang = 'es' THEN 'config_changed' END AS problem
+    FROM documents LEFT JOIN labels USING (doc_id) WHERE source <> 'src0'""")
+def _(t):
+    d = t.documents.join(t.labels, "doc_id", "left")
+    place = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    registry = d.select(F.concat(F.when(F.col("source") == "src0", "/elsewhere/").otherwise("/old/"), place).alias("path"), F.sha2("text", 256).alias("hash"), F.lit("c1").alias("config_hash"))
+    found = d.filter("lang <> 'de'").select(
+        F.concat(F.lit("/new/"), place).alias("path"), F.sha2(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"),
+        F.when(F.col("lang") == "es", "c2").otherwise("c1").alias("config_hash"))
+    moves, rejects = intake.relocate(registry, found, "/old", "/new")
+    return moves.withColumn("problem", F.lit(None).cast("string")).unionByName(rejects).select("path", "target", "problem")
+
+
+@check("stage_export", sql("""SELECT position, o.id, printf('%.2f', list_price) AS first_price, CASE WHEN amount IS NULL THEN '更新中' ELSE printf('%.2f', amount) END AS second_price
+    FROM (SELECT id, row_number() OVER (ORDER BY id) AS position FROM obs WHERE brand = 'Brand#5') c JOIN obs o USING (id) WHERE o.field = 'retail_price'""", "obs"))
+def _(t):
+    priced = t.priced()
+    chosen = numbered(priced.filter("brand = 'Brand#5'").select("id"), [], ["id"], "position")
+    rows, _ = intake.stage(priced, chosen, ["供货价", "retail_price"])
+    return rows.select("position", "id", F.get("display_prices", F.lit(0))["value"].alias("first_price"), F.get("display_prices", F.lit(1))["value"].alias("second_price"))
+
+
+@check("import_summary", sql("SELECT count(*) AS products, count(*) FILTER (WHERE amount IS NULL) AS missing_prices, count(*) FILTER (WHERE starts_with(category, 'PROMO')) AS missing_details, count(*) FILTER (WHERE NOT has_image) AS missing_images FROM obs", "obs"))
+def _(t):
+    written = F.when(F.col("amount").isNotNull(), F.format_string("%.2f", "amount"))
+    obs = t.observations().withColumns({
+        "prices": F.create_map(F.col("field"), F.struct(F.col("label").alias("label"), written.alias("value"))),
+        "features": F.when(F.col("category").startswith("PROMO"), " \n").otherwise(F.col("features"))})
+    return intake.import_summary(obs)

@@ -48,11 +48,16 @@ def stats(obs: DataFrame, source_key="doc_id") -> DataFrame:
                    F.count_distinct("category").alias("categories"), F.count_distinct("brand").alias("brands"))
 
 
-def price_coverage(prices: DataFrame, products_total, field: str) -> DataFrame:
-    """numeric, unusable (all products minus numeric) and rows whose label names another role."""
-    of = prices.filter(F.col("field") == field)
-    return of.agg(F.count("amount").alias("numeric"), (products_total - F.count("amount")).alias("unusable"),
-                  F.count_if(F.coalesce(basis_conflict("field", "label"), F.lit(False))).alias("basis_conflicts"))
+def price_coverage(prices: DataFrame, products: DataFrame, field: str) -> DataFrame:
+    """One row: numeric amounts of a field, unusable (products without one), rows whose label names another role."""
+    zero = F.lit(0).cast("long")
+    conflict = F.count_if(F.coalesce(basis_conflict("field", "label"), F.lit(False)))
+    offered = prices.filter(F.col("field") == field).agg(
+        F.count("amount").alias("numeric"), zero.alias("total"), conflict.alias("basis_conflicts"))
+    total = products.agg(zero.alias("numeric"), F.count("*").alias("total"), zero.alias("basis_conflicts"))
+    return offered.unionByName(total).agg(
+        F.sum("numeric").alias("numeric"), (F.sum("total") - F.sum("numeric")).alias("unusable"),
+        F.sum("basis_conflicts").alias("basis_conflicts"))
 
 
 def quality(obs: DataFrame, facts: DataFrame, tags: DataFrame, sources: DataFrame, links: DataFrame) -> DataFrame:
