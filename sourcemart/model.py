@@ -77,7 +77,7 @@ class Tables:
         """Observations with the price map: the offered price and the list price of the part."""
         def price(label, amount):
             return F.struct(label.alias("label"),
-                            F.coalesce(F.format_string("%.2f", amount), F.lit("更新中")).alias("value"),
+                            F.when(amount.isNull(), "更新中").otherwise(F.format_string("%.2f", amount)).alias("value"),
                             amount.alias("amount"), F.lit(None).cast("string").alias("error"))
 
         return self.observations().withColumn("prices", F.create_map(
