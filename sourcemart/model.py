@@ -7,6 +7,7 @@ only for the columns it uses.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sourcemart.functions.text import joined_text, normalize
+from sourcemart.operators.textindex import with_gram_count
 
 STATE = {"O": "active", "F": "superseded", "P": "withdrawn"}
 PRICE_FIELD = {"A": "agent_price", "N": "retail_price", "R": "reference_price_b"}
@@ -51,9 +52,10 @@ class Tables:
             F.concat("p_type", F.lit("/"), second).alias("category"), F.col("p_size").alias("size"),
             F.concat(F.lit("容量："), F.col("p_size"), F.lit("ml\n材质："), F.col("p_type")).alias("features"),
             cents(F.col("p_retailprice")).alias("list_price"))
-        return base.select("*", normalize("category").alias("category_norm"), normalize("brand").alias("brand_norm"),
-                           normalize(joined_text("name", "model")).alias("name_norm"),
-                           normalize(joined_text("name", "model", "features", "category", "brand")).alias("all_norm"))
+        return with_gram_count(base.select(
+            "*", normalize("category").alias("category_norm"), normalize("brand").alias("brand_norm"),
+            normalize(joined_text("name", "model")).alias("name_norm"),
+            normalize(joined_text("name", "model", "features", "category", "brand")).alias("all_norm")))
 
     def observations(self) -> DataFrame:
         """One row per line item and part: what one source says about one product.

@@ -92,9 +92,11 @@ def validate_facts(records: DataFrame, products: DataFrame) -> DataFrame:
         F.when(~measured & ~clears & ~F.length(F.trim("value")).between(1, 160), "bad_value"),
         F.when(~measured & ~clears & literal & ~F.contains("_quote", "_value"), "value_not_in_quote"))
     number = F.when(measured, canonical["number"])
-    return joined.select(
+    # Settled before the columns it reads are renamed: inside a lambda a name may mean the new column of the same select.
+    settled = joined.withColumn("problem", problem)
+    return settled.select(
         "id", "revision", "field", F.when(measured, number.cast("string")).otherwise(F.trim("value")).alias("value"),
-        number.alias("number"), F.when(measured, canonical["unit"]).alias("unit"), "origin", "quote", "reason", problem.alias("problem"))
+        number.alias("number"), F.when(measured, canonical["unit"]).alias("unit"), "origin", "quote", "reason", "problem")
 
 
 def classify_enrich(current: DataFrame, revs: DataFrame, records: DataFrame) -> DataFrame:
@@ -309,11 +311,16 @@ def classify_terms(current: DataFrame, requests: DataFrame, products: DataFrame)
     before = F.coalesce("_terms", empty)
     # Later keys win: drop the old entries that are given again.
     merged = F.map_concat(F.map_filter(before, lambda k, _: ~F.map_contains_key("terms", k)), F.col("terms"))
-    entries = lambda m: F.sort_array(F.map_entries(m))
+    joined = joined.withColumn("_merged", merged)
+
+    def entries(terms):
+        return F.sort_array(F.map_entries(terms))
+
+    now = F.coalesce("_revision", F.lit(0))
     return joined.select(
-        "id", "field", merged.alias("terms"), (F.coalesce("_revision", F.lit(0)) + 1).alias("next_revision"),
-        F.when(~F.coalesce("_ok", F.lit(False)), "invalid").when(entries(merged) == entries(before), "unchanged")
-        .when(F.coalesce("_revision", F.lit(0)) != F.col("revision"), "conflict").otherwise("applied").alias("outcome"))
+        "id", "field", F.col("_merged").alias("terms"), (now + 1).alias("next_revision"),
+        F.when(~F.coalesce("_ok", F.lit(False)), "invalid").when(entries(F.col("_merged")) == entries(before), "unchanged")
+        .when(now != F.col("revision"), "conflict").otherwise("applied").alias("outcome"))
 
 
 # -- audit ---------------------------------------------------------------------------------------------------------

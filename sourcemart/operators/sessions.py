@@ -14,30 +14,32 @@ def payload_hash(*columns: str) -> Column:
 
 
 def context_hash(obs: DataFrame, sources: DataFrame, profiles: DataFrame | None = None, tags: DataFrame | None = None,
-                 links: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
-    """obs(id, doc_id) -> context_hash over source state, facts, tags, terms and group; only active sources qualify.
+                 links: DataFrame | None = None, terms: DataFrame | None = None, key="id") -> DataFrame:
+    """obs(id, doc_id[, key]) -> context_hash over source state, facts, tags, terms and group; only active sources qualify.
 
-    Tags and facts of one product are folded into one sum of row hashes, so a product with any number of tags is
-    reduced map-side and never collected.
+    Tags and facts of a product are folded into sums of row hashes (120 bits), so a product with any number of tags
+    is reduced map-side, in any order, and never collected.
     """
-    rows = obs.select("id", "doc_id").join(
-        sources.filter("state = 'active'").select("doc_id", F.xxhash64("series", "issued_on", "state").alias("_source")), "doc_id")
+    state = sources.filter("state = 'active'").select("doc_id", _json_hash("series", "issued_on", "state").alias("source"))
+    rows = obs.select(*dict.fromkeys(["id", "doc_id", key])).join(state, "doc_id")
 
     def fold(frame, name):
-        rest = [c for c in frame.columns if c != "id"]
-        row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10)
-        return frame.groupBy("id").agg(F.sum(row.cast("decimal(20,0)")).alias(name))
+        row = frame.select(F.col("id").alias(key), _json_hash(*[c for c in frame.columns if c != "id"]).alias("h"))
 
-    parts = ["_source"]
-    for name, frame in (("_facts", profiles), ("_tags", tags), ("_links", links), ("_terms", terms)):
+        def part(start):
+            return F.sum(F.conv(F.substring("h", start, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+        return row.groupBy(key).agg(F.concat_ws("-", part(1), part(16)).alias(name))
+
+    parts = ["source"]
+    for name, frame in (("facts", profiles), ("tags", tags), ("links", links), ("terms", terms)):
         if frame is not None:
-            rows = rows.join(fold(frame, name), "id", "left")
+            rows = rows.join(fold(frame, name), key, "left")
             parts.append(name)
-    return rows.select("id", "doc_id", canonical_hash_of(rows, parts).alias("context_hash"))
+    return rows.select("id", "doc_id", _json_hash(*parts).alias("context_hash"))
 
 
-def canonical_hash_of(rows: DataFrame, parts: list[str]) -> Column:
-    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+def _json_hash(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
 def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
