@@ -1 +1,138 @@
+"""Search pages and multi-lane retrieval over the priced observations."""
 
+from pyspark.sql import functions as F
+
+from sourcemart.checks.base import check, sql
+from sourcemart.operators import facets
+from sourcemart.operators.ranking import page, top_per_group
+from sourcemart.plans import retrieval, search
+from sourcemart.plans.search import Pool
+
+SYNONYMS = {("query", "red"): ["red", "blue"]}
+PLAN = {"version": 1, "hard": {"price_field": "retail_price", "minimum": 500, "maximum": 3000, "exclude_categories": ["promo"]},
+        "lanes": [{"query": "red"}, {"query": "bolt", "scope": "name"}, {"query": "", "category": "large"}, {"query": "", "tags": ["view:7", "click:9"]}],
+        "limit": 20, "per_lane": 30}
+
+
+def pool(t, **frames):
+    """Observations with prices, their sources, and the item tags and facts, which refer to the observation's part."""
+    return Pool(t.priced(), sources=t.sources(), item_key="group_id", synonyms=SYNONYMS, **frames)
+
+
+def run(t, **changes):
+    return retrieval.retrieve(pool(t, tags=t.tags()), {**PLAN, **changes}, link="group_id")
+
+
+# Ranks follow the gram count: every hit of a lane holds all grams of its query, so its score depends on length alone.
+LANES = """gchars AS (SELECT id, col, generate_subscripts(l, 1) AS i, unnest(l) AS c FROM (
+      SELECT id, 0 AS col, string_split(name_norm, '') AS l FROM items UNION ALL SELECT id, 1, string_split(all_norm, '') FROM items)),
+    glen AS (SELECT id, count(DISTINCT (col, g)) AS grams FROM (SELECT id, col, unnest([c, c || lead(c) OVER (PARTITION BY id, col ORDER BY i)]) AS g FROM gchars) WHERE g IS NOT NULL GROUP BY 1),
+    base AS (SELECT obs.*, glen.grams FROM obs JOIN sources USING (doc_id) JOIN glen ON glen.id = obs.group_id WHERE field = 'retail_price' AND amount BETWEEN 500 AND 3000
+      AND sources.state = 'active' AND NOT starts_with(category_norm, 'promo/')),
+    hit AS (SELECT 0 AS lane, *, true AS textual FROM base WHERE strpos(all_norm, 'red') > 0 UNION ALL SELECT 1, *, true FROM base WHERE strpos(all_norm, 'blue') > 0
+      UNION ALL SELECT 2, *, true FROM base WHERE strpos(name_norm, 'bolt') > 0 UNION ALL SELECT 3, *, false FROM base WHERE starts_with(category_norm, 'large/')
+      UNION ALL SELECT 4, *, false FROM base WHERE group_id IN (SELECT id FROM tags WHERE kind = 'view' AND value = '7') AND group_id IN (SELECT id FROM tags WHERE kind = 'click' AND value = '9')),
+    keyed AS (SELECT *, CASE WHEN textual THEN grams ELSE row_number() OVER (PARTITION BY lane, category ORDER BY doc_id, record_key, id) END AS k FROM hit),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY k, CASE WHEN NOT textual THEN doc_id END, CASE WHEN NOT textual THEN record_key END, id) AS rank FROM keyed),
+    ranked AS (SELECT * FROM placed WHERE rank <= 30),
+    fused AS (SELECT id, any_value(category) AS category, any_value(group_id) AS group_id, list_sum(list_transform(list_sort(list({'l': lane, 'r': rank})), lambda p: cast(1 AS DOUBLE) / (60 + p.r))) AS score,
+      string_agg(cast(lane AS VARCHAR), ',' ORDER BY lane) AS lanes FROM ranked GROUP BY id),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM fused),
+    members AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY place) AS m, count(*) OVER (PARTITION BY group_id) AS offers FROM ordered),
+    heads AS (SELECT *, split_part(category, '/', 1) AS top FROM members WHERE m = 1),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY place) AS turn, min(place) OVER (PARTITION BY top) AS first_place FROM heads),
+    shown AS (SELECT *, row_number() OVER (ORDER BY turn, first_place) AS shown FROM turns)"""
+
+
+def lanes_sql(body):
+    return sql("", "obs", "sources", "tags").rstrip() + ",\n" + LANES + "\n" + body
+
+
+@check("search", sql("""SELECT id, name, amount FROM obs JOIN sources USING (doc_id) WHERE field = 'retail_price' AND amount BETWEEN 500 AND 5000 AND starts_with(category_norm, 'small/')
+    AND strpos(name_norm, 'red') > 0 AND strpos(all_norm, 'red') > 0 AND state = 'active' ORDER BY amount NULLS LAST, id LIMIT 50""", "obs", "sources"))
+def flagship(t):
+    """Cheapest current retail offers of one category whose name holds a word."""
+    return search.search(pool(t), "RED", price_field="retail_price", minimum=500, maximum=5000, category="Small", sort="price-asc", limit=50).select("id", "name", "amount")
+
+
+@check("result_shape", sql("""SELECT id, name, category, brand, doc_id || '/' || record_key AS source, label AS price_label, CASE WHEN amount IS NULL THEN '更新中' ELSE printf('%.2f', amount) END AS price_value
+    FROM obs WHERE field = 'agent_price' AND doc_id IN (SELECT doc_id FROM latest) AND strpos(name_norm, 'ring') > 0""", "obs", "latest"))
+def _(t):
+    hits = search.hits(pool(t), "ring", price_field="agent_price", latest=True).filter("price IS NOT NULL")
+    return hits.select("id", "name", "category", "brand", F.concat_ws("/", "doc_id", "record_key").alias("source"), F.col("price.label").alias("price_label"), F.col("price.value").alias("price_value"))
+
+
+@check("result_enrich", sql("""SELECT o.id, coalesce(f.value, o.category) AS category, CASE WHEN f.value IS NULL THEN 'source' ELSE 'inferred' END AS category_origin,
+    coalesce(g.tags, '') AS tags, coalesce(g.n, 0) AS tag_count, a.number AS capacity FROM (SELECT * FROM obs ORDER BY amount NULLS LAST, id LIMIT 40) o
+    LEFT JOIN facts f ON f.id = o.group_id AND f.field = 'category' LEFT JOIN facts a ON a.id = o.group_id AND a.field = 'attr.capacity'
+    LEFT JOIN (SELECT id, count(*) AS n, string_agg(kind || ':' || value, ',' ORDER BY kind, value) FILTER (WHERE r <= 5) AS tags FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, value) AS r FROM tags) GROUP BY 1) g ON g.id = o.group_id""", "obs", "facts", "tags"))
+def _(t):
+    shown = page(t.observations().select("id", "group_id", "category", "amount"), [F.col("amount").asc_nulls_last(), "id"], 40)
+    return search.enrich_hits(shown, t.tags(), t.facts(), "group_id").select(
+        "id", "category", "category_origin", F.array_join(F.transform("tags", lambda g: F.concat(g["kind"], F.lit(":"), g["value"])), ",").alias("tags"),
+        "tag_count", F.try_element_at("attributes", F.lit("attr.capacity"))["number"].alias("capacity"))
+
+
+@check("details", sql("""SELECT position, o.id, o.name, o.amount, s.state, (SELECT count(*) FROM tags g WHERE g.id = o.group_id) AS tag_count FROM (
+    SELECT id, row_number() OVER (ORDER BY amount DESC NULLS LAST, id) AS position FROM obs) c JOIN obs o USING (id) JOIN sources s USING (doc_id) WHERE position <= 100""", "obs", "sources", "tags"))
+def _(t):
+    wanted = top_per_group(t.observations().select("id", "amount").withColumn("_all", F.lit(1)), ["_all"], [F.col("amount").desc_nulls_last(), "id"], 100, "position")
+    found, _ = search.details(wanted.select("position", "id"), t.observations(), t.sources(), t.tags(), "group_id")
+    return found.select("position", "id", "name", "amount", "state", "tag_count")
+
+
+@check("retrieve", lanes_sql("SELECT shown, id, floor(score * 1000000000 + cast(0.5 AS DOUBLE)) / 1000000000 AS score FROM shown WHERE shown <= 20"))
+def _(t):
+    return run(t)[0].select("shown", "id", (F.floor(F.col("fused") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).alias("score"))
+
+
+@check("lane_report", lanes_sql("SELECT cast(l AS BIGINT) AS lane, (SELECT count(*) FROM hit WHERE lane = l) AS total, (SELECT count(*) FROM ranked WHERE lane = l) AS returned FROM range(5) AS r(l)"))
+def _(t):
+    return run(t)[1].select(F.col("lane").cast("long").alias("lane"), "total", "returned")
+
+
+@check("matched_lanes", lanes_sql("SELECT id, lanes FROM shown WHERE shown <= 20"))
+def _(t):
+    return run(t)[0].select("id", F.array_join(F.transform("matched_lanes", lambda l: l.cast("string")), ",").alias("lanes"))
+
+
+@check("offer_alternatives", lanes_sql("""SELECT s.id, s.offers AS matching_offers, coalesce(string_agg(m.id, ',' ORDER BY m.m), '') AS alternatives, s.offers > 4 AS more
+    FROM shown s LEFT JOIN members m ON m.group_id = s.group_id AND m.m BETWEEN 2 AND 4 WHERE s.shown <= 20 GROUP BY s.id, s.offers"""))
+def _(t):
+    return run(t)[0].select("id", "matching_offers", F.array_join("alternative_ids", ",").alias("alternatives"), F.col("alternatives_more").alias("more"))
+
+
+@check("lane_expand", """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+    pairs AS (SELECT x.a || ' ' || x.b AS asked, y.a || ' ' || x.b AS query, row_number() OVER (PARTITION BY x.a, x.b ORDER BY y.a) AS n
+      FROM w x JOIN (SELECT DISTINCT a FROM w) y ON length(x.a) = length(y.a))
+    SELECT asked, query FROM pairs WHERE n <= 4""")
+def _(t):
+    # The query log: every item name is a query; first words of equal length are synonyms of each other.
+    words = t.part.select(F.element_at(F.split("p_name", " "), 1).alias("word")).distinct()
+    groups = words.select(F.lit("query").alias("kind"), F.col("word").alias("term"), F.length("word").cast("string").alias("group_key"), F.col("word").alias("display"))
+    log = t.part.select(F.col("p_name").alias("query")).distinct()
+    return retrieval.expand_log(log, groups).select(F.col("query").alias("asked"), F.col("expanded").alias("query"))
+
+
+@check("coverage_warnings", sql("""SELECT concat_ws(',', 'incomplete_metadata', CASE WHEN (SELECT count(*) FROM sources WHERE import_status <> 'ready') > 0 THEN 'partial_source_imports' END,
+    CASE WHEN (SELECT count(*) FROM obs) > (SELECT count(amount) FROM obs WHERE field = 'retail_price') THEN 'unknown_or_complex_prices_excluded_from_budget' END,
+    CASE WHEN (SELECT count(*) FROM heads WHERE undated > 0 OR at_newest > 1) > 0 THEN 'ambiguous_quote_series_excluded' END,
+    CASE WHEN (SELECT count(*) FROM sources s JOIN heads h ON h.series = s.series AND h.newest = s.issued_on WHERE s.state = 'active' AND s.import_status <> 'ready') > 0 THEN 'newest_source_incomplete' END,
+    'unknown_categories_excluded_from_negative_filter') AS warnings""", "obs", "heads"))
+def _(t):
+    items = t.items().withColumn("supplier", F.lit("")).withColumn("category_origin", F.lit("source"))
+    counts = facets.quality(items, t.facts(), t.tags(), t.sources(), t.items().filter("size < 10").select("id"))
+    price = facets.price_coverage(t.prices(), t.prices(), "retail_price").unpivot([], ["numeric", "unusable", "basis_conflicts"], "metric", "n")
+    long = counts.unionByName(price)
+    names = ["missing_brand", "missing_supplier", "missing_category", "incomplete_files", "sources_without_version", "ambiguous_quote_series", "partial_newest_quotes", "unusable", "basis_conflicts"]
+    wide = long.agg(*[F.max(F.when(F.col("metric") == n, F.col("n"))).alias(n) for n in names])
+    hard = {"price_field": "retail_price", "maximum": 100, "latest": True, "exclude_categories": ["x"]}
+    return facets.coverage_warnings(wide, hard, price=True).select(F.array_join("warnings", ",").alias("warnings"))
+
+
+@check("truncated", lanes_sql("SELECT (SELECT max(c) FROM (SELECT count(*) AS c FROM hit GROUP BY lane)) > 30 OR (SELECT count(*) FROM heads) > 20 AS truncated"))
+def _(t):
+    hits, reports = run(t)
+    every, _ = run(t, limit=30)
+    return retrieval.truncated(reports, every, 20)

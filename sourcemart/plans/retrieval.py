@@ -53,6 +53,29 @@ def expand_lanes(lanes: list[dict], words) -> tuple[list[dict], bool]:
     return expanded[:MAX_EXPANDED], clipped or len(expanded) > MAX_EXPANDED
 
 
+def expand_log(log: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """log(query) -> (query, expanded): the same expansion for a whole table of queries.
+
+    Synonyms meet the log's words by an equi join; a word has at most eight forms and a query at most ten words, and
+    combinations are built word by word, kept in order and cut to the first four after each word, which gives the
+    same first four as the full product.
+    """
+    words = log.select("query", F.posexplode(F.filter(F.split(F.lower("query"), "(?U)\\s+"), lambda w: w != "")).alias("at", "word"))
+    terms = synonyms.filter("kind = 'query'")
+    forms = (terms.select(F.col("term").alias("word"), "group_key")
+             .join(terms.select("group_key", F.col("term").alias("member"), "display"), "group_key")
+             .groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("member", "display"))), lambda m: m["display"]).alias("forms")))
+    widened = words.join(forms, "word", "left").withColumn("forms", F.coalesce("forms", F.array("word")))
+    lists = widened.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "forms"))), lambda w: w["forms"]).alias("choices"))
+
+    def longer(built, choices):
+        combined = F.flatten(F.transform(built, lambda b: F.transform(choices, lambda c: F.ltrim(F.concat(b, F.lit(" "), c)))))
+        return F.slice(combined, 1, MAX_VARIANTS)
+
+    expanded = F.aggregate("choices", F.array(F.lit("")), longer)
+    return lists.select("query", F.explode(expanded).alias("expanded"))
+
+
 def lane_hits(pool: Pool, plan: dict, lanes: list[dict], link: str | None) -> DataFrame:
     """(lane, id, sort keys, carried columns): one row per lane and matching observation."""
     hard = dict(plan["hard"])

@@ -169,3 +169,36 @@ def browse_rank(obs: DataFrame, k: int | None = None) -> DataFrame:
     if k is not None:
         return top_per_group(obs, ["category"], order, k, "browse_rank")
     return numbered(obs, ["category"], order, "browse_rank")
+
+
+def enrich_hits(hits: DataFrame, tags: DataFrame, facts: DataFrame, key="id", shown: int = 5) -> DataFrame:
+    """A page of hits with tags (first five and their number), overlay values with their origin, and attributes.
+
+    Tags and facts are cut to the page's few products before anything is gathered; the gathered tags are limited
+    per product in the window, the rest is only counted.
+    """
+    wanted = hits.select(F.col(key).alias("id")).distinct()
+    own_tags, own_facts = tags.join(wanted, "id", "left_semi"), facts.join(wanted, "id", "left_semi")
+    counts = own_tags.groupBy(F.col("id").alias(key)).agg(F.count("*").alias("tag_count"))
+    first = (top_per_group(own_tags, ["id"], ["kind", "value", "origin"], shown, "_n").groupBy(F.col("id").alias(key))
+             .agg(F.sort_array(F.collect_list(F.struct("kind", "value", "origin"))).alias("tags")))
+    fields = [f for f in ("category", "brand", "supplier") if f in hits.columns]
+    wide = own_facts.groupBy(F.col("id").alias(key)).agg(
+        *[F.max(F.when(F.col("field") == f, F.struct("value", "origin"))).alias(f"_{f}") for f in fields],
+        F.map_from_entries(F.collect_list(F.when(F.col("field").startswith("attr."), F.struct(
+            "field", F.struct("value", "number", "unit", "origin"))))).alias("attributes"))
+    merged = hits.join(counts, key, "left").join(first, key, "left").join(wide, key, "left")
+    for f in fields:
+        merged = (merged.withColumn(f"{f}_origin", F.coalesce(F.col(f"_{f}.origin"), F.lit("source")))
+                  .withColumn(f, F.coalesce(F.col(f"_{f}.value"), F.col(f).cast("string"))).drop(f"_{f}"))
+    return (merged.withColumn("tag_count", F.coalesce("tag_count", F.lit(0)))
+            .withColumn("tags", F.coalesce("tags", F.array().cast("array<struct<kind:string,value:string,origin:string>>"))))
+
+
+def details(wanted: DataFrame, obs: DataFrame, sources: DataFrame, tags: DataFrame, key="id") -> tuple[DataFrame, DataFrame]:
+    """wanted(position, id) -> (full rows with source state and tag count, unknown or repeated ids)."""
+    repeated = wanted.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("repeated").alias("problem"))
+    unknown = wanted.join(obs.select("id"), "id", "left_anti").select("id", F.lit("unknown").alias("problem"))
+    rows = wanted.join(obs, "id").join(sources, "doc_id", "left")
+    counts = tags.groupBy(F.col("id").alias(key)).agg(F.count("*").alias("tag_count"))
+    return (rows.join(counts, key, "left").withColumn("tag_count", F.coalesce("tag_count", F.lit(0))), unknown.unionByName(repeated))
