@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from sourcemart.model import Tables
+from sourcemart.session import prepare
 
 
 @dataclass
@@ -22,7 +23,7 @@ def check(key: str, sql: str | None = None):
     def add(fn: Callable[[Tables], DataFrame]):
         if key in REGISTRY:
             raise ValueError(f"{key} registered twice")
-        REGISTRY[key] = Check(lambda spark, folder: fn(Tables(spark, folder)), sql)
+        REGISTRY[key] = Check(lambda spark, folder: fn(Tables(prepare(spark), folder)), sql)
         return fn
     return add
 

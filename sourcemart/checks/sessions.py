@@ -1 +1,103 @@
+"""Frozen selections: one session per customer, its offers as candidates."""
 
+from pyspark.sql import functions as F
+
+from sourcemart.checks.aggregates import choices
+from sourcemart.checks.base import check, sql
+from sourcemart.operators import sessions
+from sourcemart.operators.ranking import page
+
+STATE = {"BUILDING": "closed", "FURNITURE": "sealed"}
+
+
+def session_table(t):
+    c = t.customer
+    state = F.coalesce(*[F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in STATE.items()], F.lit("open"))
+    return c.select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("title"), state.alias("state"),
+                    F.col("c_nationkey").cast("long").alias("revision"), F.lit(1).cast("long").alias("version"))
+
+
+def frozen(t):
+    """Choices with the hashes they were frozen with, and today's: unknown prices changed the payload, withdrawn sources the context."""
+    rows = choices(t).join(t.sources().select("doc_id", "state"), "doc_id")
+    was = rows.select("session_id", "id", "selected", F.sha2(F.concat_ws("|", "id", F.coalesce("amount", F.lit(1.0))), 256).alias("payload_hash"),
+                      F.when(F.col("record_key") != 7, F.concat(F.lit("c"), "doc_id")).alias("context_hash"))
+    now = rows.select("id", F.sha2(F.concat_ws("|", "id", F.coalesce("amount", F.lit(2.0))), 256).alias("payload_hash"),
+                      F.concat(F.when(F.col("state") == "withdrawn", F.lit("x")).otherwise("c"), "doc_id").alias("context_hash"))
+    return was, now
+
+
+SESSIONS = """s AS (SELECT c_custkey AS session_id, c_name AS title, CASE c_mktsegment WHEN 'BUILDING' THEN 'closed' WHEN 'FURNITURE' THEN 'sealed' ELSE 'open' END AS state, cast(c_nationkey AS BIGINT) AS revision FROM customer),
+    c AS (SELECT series AS session_id, id, has_image AS selected, amount, CASE WHEN amount IS NULL THEN 'payload' WHEN record_key <> 7 AND state = 'withdrawn' THEN 'context' END AS drift FROM obs JOIN sources USING (doc_id))"""
+
+
+def session_sql(body):
+    return sql("", "obs", "sources").rstrip() + ",\n" + SESSIONS + "\n" + body
+
+
+@check("freeze", session_sql("""SELECT c.session_id, c.id, printf('%.2f', o.list_price) AS price, CASE WHEN x.state <> 'active' THEN 'source_not_active' END AS problem
+    FROM c JOIN obs o USING (id) JOIN sources x USING (doc_id)"""))
+def _(t):
+    chosen = choices(t).select("session_id", "id", F.col("record_key").alias("position"))
+    obs = t.priced().withColumn("payload_hash", sessions.payload_hash("id", "name", "prices"))
+    rows, rejects = sessions.freeze(obs, chosen, ["供货价"], sessions.context_hash(t.observations(), t.sources()))
+    good = rows.select("session_id", "id", F.get("snapshot.prices", F.lit(0))["value"].alias("price"), F.lit(None).cast("string").alias("problem"))
+    listed = rejects.join(t.observations().select("id", "list_price"), "id")
+    return good.unionByName(listed.select("session_id", "id", F.format_string("%.2f", "list_price").alias("price"), "problem"))
+
+
+@check("select_revision", session_sql("""SELECT s.session_id, CASE WHEN s.session_id % 11 = 0 THEN 'outside' WHEN s.state <> 'open' OR s.session_id % 7 = 0 THEN 'conflict' ELSE 'applied' END AS outcome,
+    s.revision + CASE WHEN s.session_id % 11 <> 0 AND s.state = 'open' AND s.session_id % 7 <> 0 THEN 1 ELSE 0 END AS next_revision
+    FROM s WHERE session_id IN (SELECT session_id FROM c)"""))
+def _(t):
+    rows, table = choices(t), session_table(t)
+    ends = rows.groupBy("session_id").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    ids = F.when(F.col("session_id") % 11 == 0, F.array("low", F.lit("p_elsewhere"))).otherwise(F.array_distinct(F.array("low", "high")))
+    asked = ends.join(table.select("session_id", "revision"), "session_id").select(
+        "session_id", F.when(F.col("session_id") % 7 == 0, F.col("revision") - 1).otherwise(F.col("revision")).alias("revision"), ids.alias("ids"))
+    return sessions.apply_selection(table, rows, asked).select("session_id", "outcome", "next_revision")
+
+
+@check("verify_drift", session_sql("SELECT session_id, id, drift FROM c WHERE drift IS NOT NULL"))
+def _(t):
+    return sessions.drift(*frozen(t)).select("session_id", "id", "drift")
+
+
+@check("seal", session_sql("""SELECT s.session_id, s.state AS "before", CASE WHEN s.state = 'closed' THEN 'closed' WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN moved THEN 'drifted' ELSE 'sealed' END AS outcome
+    FROM s LEFT JOIN (SELECT session_id, count(*) FILTER (WHERE selected) AS n, max(CASE WHEN selected AND drift IS NOT NULL THEN 1 ELSE 0 END) = 1 AS moved FROM c GROUP BY 1) x USING (session_id)"""))
+def _(t):
+    was, now = frozen(t)
+    return sessions.seal(session_table(t), was, sessions.drift(was, now))
+
+
+@check("session_update", session_sql("""SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'Set ' || session_id ELSE title END AS title, CASE WHEN session_id % 4 = 0 THEN 'closed' ELSE state END AS state,
+    revision + CASE WHEN session_id % 4 = 0 THEN 1 ELSE 0 END AS revision FROM s"""))
+def _(t):
+    log = session_table(t)
+    asked = log.filter("session_id % 3 = 0 OR session_id % 4 = 0").select(
+        "session_id", F.when(F.col("session_id") % 3 == 0, F.concat(F.lit("Set "), "session_id")).alias("title"), (F.col("session_id") % 4 == 0).alias("close"))
+    return sessions.current_sessions(log.unionByName(sessions.new_versions(log, asked))).select("session_id", "title", "state", "revision")
+
+
+@check("session_list", session_sql("""SELECT s.session_id, s.title, count(c.id) AS candidates, count(*) FILTER (WHERE c.selected) AS selected FROM s LEFT JOIN c USING (session_id)
+    WHERE s.state = 'open' AND strpos(lower(s.title), '00001') > 0 GROUP BY 1, 2 ORDER BY s.session_id DESC LIMIT 40"""))
+def _(t):
+    listed = sessions.session_list(session_table(t), choices(t), "00001", "open")
+    return page(listed, [F.col("session_id").desc()], 40).select("session_id", "title", "candidates", "selected")
+
+
+@check("reopen", session_sql("""SELECT 's_' || substr(sha256('reopen|' || s.session_id), 1, 24) AS session_id, s.session_id AS reopened_from, cast(CASE WHEN max(CASE WHEN c.selected THEN 1 ELSE 0 END) = 1 THEN 1 ELSE 0 END AS BIGINT) AS revision,
+    count(c.id) AS candidates FROM s LEFT JOIN c USING (session_id) WHERE s.state = 'closed' GROUP BY s.session_id"""))
+def _(t):
+    opened, copied = sessions.reopen(session_table(t).filter("state = 'closed'"), choices(t))
+    counts = sessions.session_counts(copied).select("session_id", "candidates")
+    return opened.join(counts, "session_id", "left").select("session_id", "reopened_from", "revision", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+@check("compare_items", session_sql("""SELECT field, max(value) FILTER (WHERE n = 1) AS first, max(value) FILTER (WHERE n = 2) AS second, max(value) FILTER (WHERE n = 3) AS third FROM (
+    SELECT n, unnest(['name', 'model', 'category']) AS field, unnest([name, model, category]) AS value FROM (
+      SELECT o.*, row_number() OVER (ORDER BY o.id) AS n FROM obs o JOIN sources USING (doc_id) WHERE series = 11) WHERE n <= 3) GROUP BY 1"""))
+def _(t):
+    rows = choices(t)
+    ids = [r["id"] for r in page(rows.filter("session_id = 11").select("id"), ["id"], 3).collect()]
+    return sessions.compare(rows, 11, ids, ["name", "model", "category"]).toDF("field", "first", "second", "third")

@@ -30,6 +30,13 @@ def build_session(cores="*", shuffle_partitions=8, driver_memory="8g", app="sour
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings a given session needs: all are runtime settings, and sizes stay as the cluster set them."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a private one only on a local master without that setting."""
     named = spark.conf.get("spark.checkpoint.dir", None)
