@@ -84,23 +84,23 @@ def _(t):
 
 @check("retrieve", lanes_sql("SELECT shown, id, floor(score * 1000000000 + cast(0.5 AS DOUBLE)) / 1000000000 AS score FROM shown WHERE shown <= 20"))
 def _(t):
-    return run(t)[0].select("shown", "id", (F.floor(F.col("fused") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).alias("score"))
+    return run(t).items.select("shown", "id", (F.floor(F.col("fused") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).alias("score"))
 
 
 @check("lane_report", lanes_sql("SELECT cast(l AS BIGINT) AS lane, (SELECT count(*) FROM hit WHERE lane = l) AS total, (SELECT count(*) FROM ranked WHERE lane = l) AS returned FROM range(5) AS r(l)"))
 def _(t):
-    return run(t)[1].select(F.col("lane").cast("long").alias("lane"), "total", "returned")
+    return run(t).lanes.select(F.col("lane").cast("long").alias("lane"), "total", "returned")
 
 
 @check("matched_lanes", lanes_sql("SELECT id, lanes FROM shown WHERE shown <= 20"))
 def _(t):
-    return run(t)[0].select("id", F.array_join(F.transform("matched_lanes", lambda l: l.cast("string")), ",").alias("lanes"))
+    return run(t).items.select("id", F.array_join(F.transform("matched_lanes", lambda l: l.cast("string")), ",").alias("lanes"))
 
 
 @check("offer_alternatives", lanes_sql("""SELECT s.id, s.offers AS matching_offers, coalesce(string_agg(m.id, ',' ORDER BY m.m), '') AS alternatives, s.offers > 4 AS more
     FROM shown s LEFT JOIN members m ON m.group_id = s.group_id AND m.m BETWEEN 2 AND 4 WHERE s.shown <= 20 GROUP BY s.id, s.offers"""))
 def _(t):
-    return run(t)[0].select("id", "matching_offers", F.array_join("alternative_ids", ",").alias("alternatives"), F.col("alternatives_more").alias("more"))
+    return run(t).items.select("id", "matching_offers", F.array_join("alternative_ids", ",").alias("alternatives"), F.col("alternatives_more").alias("more"))
 
 
 @check("lane_expand", """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
@@ -133,6 +133,4 @@ def _(t):
 
 @check("truncated", lanes_sql("SELECT (SELECT max(c) FROM (SELECT count(*) AS c FROM hit GROUP BY lane)) > 30 OR (SELECT count(*) FROM heads) > 20 AS truncated"))
 def _(t):
-    hits, reports = run(t)
-    every, _ = run(t, limit=30)
-    return retrieval.truncated(reports, every, 20)
+    return retrieval.truncated(run(t))

@@ -1,6 +1,8 @@
 """Wrapping of long texts into pages by visual width."""
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -15,29 +17,37 @@ PAGE_LINES = 15
 NO_TEXT = "表格未提供功能特点"
 
 
-def _width(char):
-    if WIDE.match(char):
-        return WIDE_WIDTH
-    return CAPITAL_WIDTH if char.isascii() and (char.isupper() or char.isdigit()) else OTHER_WIDTH
+class _Widths(dict):
+    """Width per character, worked out at its first use."""
 
+    def __missing__(self, char):
+        capital = char.isascii() and (char.isupper() or char.isdigit())
+        self[char] = WIDE_WIDTH if WIDE.match(char) else CAPITAL_WIDTH if capital else OTHER_WIDTH
+        return self[char]
 
-def _wrap(line, capacity):
-    start, used = 0, 0.0
-    for at, char in enumerate(line):
-        width = _width(char)
-        if at > start and used + width > capacity:
-            yield line[start:at]
-            start, used = at, 0.0
-        used += width
-    yield line[start:]
+
+def _wrap(line, capacity, widths):
+    """Pieces of a line, each as long as fits; widths are added from the start of each piece."""
+    sizes = list(map(widths.__getitem__, line))
+    most = int(capacity / OTHER_WIDTH) + 2
+    start = 0
+    while True:
+        fits = bisect_right(list(accumulate(sizes[start:start + most])), capacity)
+        end = start + max(fits, 1)
+        yield line[start:end]
+        if end >= len(line):
+            return
+        start = end
 
 
 def paginate(text, capacity: float = 31.5) -> Column:
     """array<string> of pages; every character of the text is kept, in order."""
     @F.pandas_udf("array<string>")
     def pages(texts: pd.Series) -> pd.Series:
+        widths = _Widths()
+
         def split(value):
-            rows = [part for line in value.split("\n") for part in _wrap(line, capacity)]
+            rows = [part for line in value.split("\n") for part in _wrap(line, capacity, widths)]
             return ["\n".join(rows[i:i + PAGE_LINES]) for i in range(0, len(rows), PAGE_LINES)]
         return texts.map(split)
 

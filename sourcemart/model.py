@@ -14,11 +14,30 @@ PRICE_FIELD = {"A": "agent_price", "N": "retail_price", "R": "reference_price_b"
 LIST_FIELD, LIST_LABEL = "supply_price", "供货价"
 
 
+# Tables whose rows are costly to work on (long texts, hashes and price maps per row).
+SPREAD = ["lineitem", "documents", "pages", "conversations"]
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores, each one block, would keep most cores idle: deal its rows out once.
+
+    A table of many files, as on a cluster, is read as it is; nothing is shuffled there. Filters and column choice
+    still reach the scan, below the exchange.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def cents(amount):
     """Amount rounded half up to cents, the same in every engine (``round`` on doubles is not)."""
     return F.floor(amount * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)
 
 
+def two_decimals(amount):
+    """Amount as text with two decimals; through decimal, which is much cheaper than a formatter."""
+    return amount.cast("decimal(18,2)").cast("string")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -26,7 +45,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in SPREAD else table
 
     # -- sources -------------------------------------------------------------------------------------------------
 
@@ -79,7 +99,7 @@ class Tables:
         """Observations with the price map: the offered price and the list price of the part."""
         def price(label, amount):
             return F.struct(label.alias("label"),
-                            F.when(amount.isNull(), "更新中").otherwise(F.format_string("%.2f", amount)).alias("value"),
+                            F.coalesce(two_decimals(amount), F.lit("更新中")).alias("value"),
                             amount.alias("amount"), F.lit(None).cast("string").alias("error"))
 
         return self.observations().withColumn("prices", F.create_map(

@@ -7,6 +7,8 @@ fused, grouped and diversified is bounded by 24 lanes times 50 rows per plan, wh
 
 import itertools
 import json
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,6 +17,7 @@ from sourcemart.operators import filters
 from sourcemart.operators.ranking import diversify, group_representatives, page, price_order, top_per_group
 from sourcemart.operators.textindex import WEIGHT, bm25, corpus_statistics
 from sourcemart.plans.search import Pool, hard_filter
+from sourcemart.session import settle
 
 # Bounds of a plan and the constant of the rank fusion.
 MAX_LANES, MAX_VARIANTS, MAX_EXPANDED, MAX_LIMIT = 8, 4, 24, 50
@@ -143,16 +146,18 @@ def _with_tag_lanes(base: DataFrame, pool: Pool, lanes: list[dict]) -> DataFrame
 
 
 def rank_lanes(hits: DataFrame, per_lane: int, sort: str) -> DataFrame:
-    """Best rows of each lane with their rank: by price, by text relevance, or browsing over categories."""
+    """Best rows of each lane with their rank: by price, by text relevance, or browsing over categories.
+
+    A browsing lane shows the first of every category, then every second; a text lane goes by score, then id. Both
+    pass the same two limited windows, so the hits are computed once.
+    """
     if sort != "relevance":
         return top_per_group(hits, ["lane"], [price_order("amount", sort == "price-desc"), "id"], per_lane)
-    text = hits.filter("score IS NOT NULL").withColumn("_k", F.col("score"))
-    browse = top_per_group(hits.filter("score IS NULL"), ["lane", "category"], STABLE, per_lane, "_n")
-    browse = browse.withColumn("_k", F.col("_n").cast("double")).drop("_n")
-    both = text.unionByName(browse)
-    # Text lanes break ties by id alone, browsing lanes by source order.
-    keys = [F.when(F.col("score").isNull(), F.col(c)) for c in STABLE[:2]]
-    return top_per_group(both, ["lane"], ["_k", *keys, "id"], per_lane).drop("_k")
+    browsing = F.col("score").isNull()
+    stable = [F.when(browsing, F.col(c)) for c in STABLE[:2]] + ["id"]
+    turn = top_per_group(hits.withColumn("_turns", F.when(browsing, F.col("category"))), ["lane", "_turns"], ["score", *stable], per_lane, "_n")
+    keyed = turn.withColumn("_k", F.when(browsing, F.col("_n").cast("double")).otherwise(F.col("score")))
+    return top_per_group(keyed, ["lane"], ["_k", *stable], per_lane).drop("_k", "_n", "_turns")
 
 
 def fuse(ranked: DataFrame, key="id") -> DataFrame:
@@ -164,13 +169,23 @@ def fuse(ranked: DataFrame, key="id") -> DataFrame:
             .withColumn("matched_lanes", F.transform("_places", lambda p: p["lane"])).drop("_places"))
 
 
-def retrieve(pool: Pool, plan: dict, link: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hits, lane reports). ``link`` names the observation column that holds the reviewed product group."""
+@dataclass
+class Retrieval:
+    """Shown items, one report row per lane, and all representatives before the limit."""
+    items: DataFrame
+    lanes: DataFrame
+    groups: DataFrame
+    limit: int
+
+
+def retrieve(pool: Pool, plan: dict, link: str | None = None) -> Retrieval:
+    """``link`` names the observation column that holds the reviewed product group."""
     plan = check_plan(plan)
     lanes, clipped = expand_lanes(plan["lanes"], pool.words)
     sort = plan["hard"].get("sort", "relevance")
     matches = lane_hits(pool, plan, lanes, link)
-    ranked = rank_lanes(matches, plan["per_lane"], sort)
+    # At most 24 x 50 rows from here on: written once, so that the steps below do not run the lanes again.
+    ranked = settle(rank_lanes(matches, plan["per_lane"], sort), "ranked")
     fused = fuse(ranked)
     order = [F.col("fused").desc(), "id"]
     if sort != "relevance":
@@ -182,8 +197,7 @@ def retrieve(pool: Pool, plan: dict, link: str | None = None) -> tuple[DataFrame
         heads = diversify(heads.withColumn("_top", F.element_at(F.split("category", "/"), 1)), [], "_top", "place").drop("_top")
     else:
         heads = heads.withColumn("shown", F.col("place"))
-    report = lane_reports(matches, ranked, lanes, clipped)
-    return page(heads, ["shown"], plan["limit"]), report
+    return Retrieval(page(heads, ["shown"], plan["limit"]), lane_reports(matches, ranked, lanes, clipped), heads, plan["limit"])
 
 
 def lane_reports(matches: DataFrame, ranked: DataFrame, lanes: list[dict], clipped: bool) -> DataFrame:
@@ -197,8 +211,18 @@ def lane_reports(matches: DataFrame, ranked: DataFrame, lanes: list[dict], clipp
                     F.coalesce("returned", F.lit(0)).alias("returned"), F.lit(clipped).alias("expansion_clipped")))
 
 
-def truncated(reports: DataFrame, groups: DataFrame, limit: int) -> DataFrame:
+def truncated(found: Retrieval) -> DataFrame:
     """One row: whether anything was left out, by expansion, by a lane's bound or by the plan's limit."""
-    lanes = reports.agg(F.bool_or(F.col("expansion_clipped") | (F.col("total") > F.col("returned"))).alias("cut"))
-    shown = groups.agg((F.count("*") > limit).alias("cut"))
+    lanes = found.lanes.agg(F.bool_or(F.col("expansion_clipped") | (F.col("total") > F.col("returned"))).alias("cut"))
+    shown = found.groups.agg((F.count("*") > found.limit).alias("cut"))
     return lanes.unionByName(shown).agg(F.coalesce(F.bool_or("cut"), F.lit(False)).alias("truncated"))
+
+
+def retrieve_all(pool: Pool, plans: dict[str, dict], link: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Several plans by name: (items, lane reports), each row with its plan's name."""
+    found = {name: retrieve(pool, plan, link) for name, plan in plans.items()}
+
+    def together(part):
+        frames = [getattr(r, part).select(F.lit(name).alias("plan_id"), "*") for name, r in found.items()]
+        return reduce(DataFrame.unionByName, frames)
+    return together("items"), together("lanes")

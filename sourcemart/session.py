@@ -58,7 +58,11 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Fix rows in reliable storage, so that later branches and retried tasks see the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, purpose: str = "settled") -> DataFrame:
+    """Fix rows in a table in shared storage, so that later branches and retried tasks see the same rows.
+
+    One pass (``checkpoint()`` would run the last stage twice), and readers load only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

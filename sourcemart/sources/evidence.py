@@ -22,12 +22,11 @@ def csv_evidence(docs: DataFrame) -> DataFrame:
     """docs(doc, text) -> one entry per non-blank CSV cell; quoted line breaks stay inside their cell."""
     def cells(batches):
         for batch in batches:
-            for doc, text in zip(batch["doc"], batch["text"]):
-                rows = csv.reader(io.StringIO((text or "").removeprefix("﻿"), newline=""))
-                for r, row in enumerate(rows, 1):
-                    found = [(c, v) for c, v in enumerate(row, 1) if v.strip()]
-                    if found:
-                        yield pd.DataFrame({"doc": doc, "r": r, "c": [c for c, _ in found], "text": [v for _, v in found]})
+            found = [(doc, r, c, value)
+                     for doc, text in zip(batch["doc"], batch["text"])
+                     for r, row in enumerate(csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline="")), 1)
+                     for c, value in enumerate(row, 1) if value.strip()]
+            yield pd.DataFrame(found, columns=["doc", "r", "c", "text"])
 
     kind = docs.schema["doc"].dataType.simpleString()
     split = docs.select("doc", "text").mapInPandas(cells, f"doc {kind}, r int, c int, text string")
