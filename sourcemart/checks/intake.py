@@ -204,13 +204,16 @@ def _(t):
     return moves.withColumn("problem", F.lit(None).cast("string")).unionByName(rejects).select("path", "target", "problem")
 
 
-@check("stage_export", sql("""SELECT position, o.id, printf('%.2f', list_price) AS first_price, CASE WHEN amount IS NULL THEN '更新中' ELSE printf('%.2f', amount) END AS second_price
-    FROM (SELECT id, row_number() OVER (ORDER BY id) AS position FROM obs WHERE brand = 'Brand#5') c JOIN obs o USING (id) WHERE o.field = 'retail_price'""", "obs"))
+@check("stage_export", sql("""SELECT position, o.id, CASE WHEN o.field = 'retail_price' THEN printf('%.2f', list_price) END AS first_price,
+    CASE WHEN o.field = 'retail_price' THEN CASE WHEN amount IS NULL THEN '更新中' ELSE printf('%.2f', amount) END END AS second_price,
+    CASE WHEN o.field <> 'retail_price' THEN 'price_absent_or_ambiguous' END AS problem
+    FROM (SELECT id, row_number() OVER (ORDER BY id) AS position FROM obs WHERE brand = 'Brand#5') c JOIN obs o USING (id)""", "obs"))
 def _(t):
-    priced = t.priced()
+    priced = t.priced().select("id", "brand", "prices")
     chosen = numbered(priced.filter("brand = 'Brand#5'").select("id"), [], ["id"], "position")
-    rows, _ = intake.stage(priced, chosen, ["供货价", "retail_price"])
-    return rows.select("position", "id", F.get("display_prices", F.lit(0))["value"].alias("first_price"), F.get("display_prices", F.lit(1))["value"].alias("second_price"))
+    rows = intake.stage(priced, chosen, ["供货价", "retail_price"])
+    good = F.col("problem").isNull()
+    return rows.select("position", "id", *[F.when(good, F.get("display_prices", F.lit(i))["value"]).alias(name) for i, name in enumerate(["first_price", "second_price"])], "problem")
 
 
 @check("import_summary", sql("SELECT count(*) AS products, count(*) FILTER (WHERE amount IS NULL) AS missing_prices, count(*) FILTER (WHERE starts_with(category, 'PROMO')) AS missing_details, count(*) FILTER (WHERE NOT has_image) AS missing_images FROM obs", "obs"))

@@ -40,10 +40,8 @@ def session_sql(body):
 def _(t):
     chosen = choices(t).select("session_id", "id", F.col("record_key").alias("position"))
     obs = t.priced().withColumn("payload_hash", sessions.payload_hash("id", "name", "prices"))
-    rows, rejects = sessions.freeze(obs, chosen, ["供货价"], sessions.context_hash(t.observations(), t.sources()))
-    good = rows.select("session_id", "id", F.get("snapshot.prices", F.lit(0))["value"].alias("price"), F.lit(None).cast("string").alias("problem"))
-    listed = rejects.join(t.observations().select("id", "list_price"), "id")
-    return good.unionByName(listed.select("session_id", "id", F.format_string("%.2f", "list_price").alias("price"), "problem"))
+    rows = sessions.freeze(obs, chosen, ["供货价"], sessions.context_hash(t.observations(), t.sources()))
+    return rows.select("session_id", "id", F.get("snapshot.prices", F.lit(0))["value"].alias("price"), "problem")
 
 
 @check("select_revision", session_sql("""SELECT s.session_id, CASE WHEN s.session_id % 11 = 0 THEN 'outside' WHEN s.state <> 'open' OR s.session_id % 7 = 0 THEN 'conflict' ELSE 'applied' END AS outcome,

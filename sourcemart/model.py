@@ -86,8 +86,9 @@ class Tables:
         items = self.items().withColumnRenamed("id", "group_id")
         amount = F.when(F.col("l_discount") != 0.10, cents(F.col("l_extendedprice") / F.col("l_quantity")))
         keyed = li.select(
-            F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                               F.date_format("l_shipdate", "yyyy-MM-dd")), 256).alias("id"),
+            # coalesce marks the id as never null; else joins on it add a null test that hashes every row once more.
+            F.coalesce(F.sha2(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                          F.date_format("l_shipdate", "yyyy-MM-dd")), 256), F.lit("")).alias("id"),
             F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("record_key"),
             F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("group_id"),
             F.coalesce(*[F.when(F.col("l_returnflag") == k, F.lit(v)) for k, v in PRICE_FIELD.items()]).alias("field"),

@@ -42,23 +42,26 @@ def _json_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """obs(id, ..., prices, payload_hash), chosen(session_id, id, position) -> (choices, rejects)."""
+def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts: DataFrame) -> DataFrame:
+    """obs(id, ..., prices, payload_hash), chosen(session_id, id, position), contexts(id, context_hash), one row per id.
+
+    One row per candidate with its snapshot, hashes and ``problem``. A session is written only if none of its rows
+    has a problem; both come from one pass.
+    """
     if not 1 <= len(price_fields) <= 2 or len(set(price_fields)) != len(price_fields):
         raise ValueError("Choose one or two price fields")
-    shown = F.array(*[resolve_price(F.col("prices"), f) for f in price_fields])
-    rows = (chosen.join(obs.withColumn("_found", F.lit(True)), "id", "left")
-            .join(contexts.select("id", "context_hash").distinct(), "id", "left").withColumn("shown", shown))
+    # Prices are resolved before the join: what travels is the shown prices, not the whole map.
+    kept = [c for c in SNAPSHOT if c in obs.columns]
+    priced = obs.select(*kept, "payload_hash", F.array(*[resolve_price(F.col("prices"), f) for f in price_fields]).alias("shown"))
+    rows = chosen.join(priced, "id", "left").join(contexts.select("id", "context_hash"), "id", "left")
     problem = F.coalesce(
-        F.when(F.col("_found").isNull(), "unknown_id"),
+        F.when(F.col("payload_hash").isNull(), "unknown_id"),
         F.when(F.exists("shown", lambda p: p.isNull()), "price_absent_or_ambiguous"),
         F.when(F.exists("shown", lambda p: p["error"].isNotNull()), "price_error"),
         F.when(F.col("context_hash").isNull(), "source_not_active"))
-    rows = rows.withColumn("problem", problem)
-    snapshot = F.struct(*[c for c in SNAPSHOT if c in obs.columns], F.col("shown").alias("prices")).alias("snapshot")
-    return (rows.filter("problem IS NULL").select("session_id", "id", "position", "payload_hash", "context_hash", snapshot,
-                                                  F.lit(False).alias("selected")),
-            rows.filter("problem IS NOT NULL").select("session_id", "id", "problem"))
+    return rows.select("session_id", "id", "position", "payload_hash", "context_hash",
+                       F.struct(*kept, F.col("shown").alias("prices")).alias("snapshot"),
+                       F.lit(False).alias("selected"), problem.alias("problem"))
 
 
 def apply_selection(sessions: DataFrame, choices: DataFrame, requests: DataFrame) -> DataFrame:

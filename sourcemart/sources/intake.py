@@ -6,7 +6,9 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcemart.functions.text import as_column, blank
+from sourcemart.functions.prices import resolve_price
+from sourcemart.functions.text import blank
+from sourcemart.operators.ranking import numbered
 
 # Fixed values of the intake rules.
 IGNORED_FOLDERS = [".git", "node_modules", "outputs"]
@@ -194,18 +196,24 @@ def receipt_once(receipts: DataFrame, operations: DataFrame, order: list[str]) -
 
 # -- export --------------------------------------------------------------------------------------------------------
 
-def stage(items: DataFrame, chosen: DataFrame, price_fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """items(id, prices map), chosen(position, id) -> (rows, rejects) with one or two display prices per row."""
-    from sourcemart.functions.prices import resolve_price
+def stage(items: DataFrame, chosen: DataFrame, price_fields: list[str]) -> DataFrame:
+    """items(id, prices map, ...), chosen(position, id) -> chosen rows with one or two display prices and ``problem``.
+
+    Written out only if no row has a problem; to keep the given order, write sorted by position.
+    """
     if not 1 <= len(price_fields) <= 2 or len(set(price_fields)) != len(price_fields):
         raise ValueError("Choose one or two distinct display prices")
-    shown = F.array(*[resolve_price(F.col("prices"), f) for f in price_fields])
-    rows = chosen.join(items.withColumn("found", F.lit(True)), "id", "left").withColumn("display_prices", shown)
-    problem = (F.when(F.col("found").isNull(), "unknown_id")
+    shown = F.array(*[resolve_price(F.col("prices"), f) for f in price_fields]).alias("display_prices")
+    rows = chosen.join(items.select(*[c for c in items.columns if c != "prices"], shown), "id", "left")
+    problem = (F.when(F.col("display_prices").isNull(), "unknown_id")
                .when(F.exists("display_prices", lambda p: p.isNull()), "price_absent_or_ambiguous")
                .when(F.exists("display_prices", lambda p: p["error"].isNotNull()), "price_error"))
-    rows = rows.withColumn("problem", problem)
-    return rows.filter("problem IS NULL").drop("found", "problem"), rows.filter("problem IS NOT NULL").select("position", "id", "problem")
+    return rows.withColumn("problem", problem)
+
+
+def source_rows(items: DataFrame, source) -> DataFrame:
+    """Every product of one source, numbered in sheet and row order, ready to be staged."""
+    return numbered(items.filter(F.col("doc_id") == source).select("id", "sheet", "row"), [], ["sheet", "row", "id"], "position")
 
 
 def import_summary(observations: DataFrame) -> DataFrame:
