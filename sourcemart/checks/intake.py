@@ -73,7 +73,7 @@ def _(t):
     return intake.verify_sources(old, new.select("path", F.sha2("content", 256).alias("content_hash"))).select("path", "problem")
 
 
-@check("manifest_stream")
+@check("manifest_stream", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def _(t):
     stream = intake.read_new_files(t.spark, t.folder, t.documents.schema, "documents.parquet")
     counted = stream.select("doc_id", F.sha2("text", 256).alias("content_hash"))

@@ -14,18 +14,18 @@ PRICE_FIELD = {"A": "agent_price", "N": "retail_price", "R": "reference_price_b"
 LIST_FIELD, LIST_LABEL = "supply_price", "供货价"
 
 
-# Tables whose rows are costly to work on (long texts, hashes and price maps per row).
-SPREAD = ["lineitem", "documents", "pages", "conversations"]
+# Tables whose rows are costly to work on (long texts, normalization in Python), with the key that deals them out.
+SPREAD = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "part": ["p_partkey"]}
 
 
-def spread(table: DataFrame) -> DataFrame:
+def spread(table: DataFrame, key: list[str]) -> DataFrame:
     """A table in fewer files than there are cores, each one block, would keep most cores idle: deal its rows out once.
 
     A table of many files, as on a cluster, is read as it is; nothing is shuffled there. Filters and column choice
-    still reach the scan, below the exchange.
+    still reach the scan, below the exchange. The key is unique, so no share can be hot.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    return table.repartition(cores, *key) if len(table.inputFiles()) < cores else table
 
 
 def cents(amount):
@@ -46,7 +46,7 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in SPREAD else table
+        return spread(table, SPREAD[name]) if name in SPREAD else table
 
     # -- sources -------------------------------------------------------------------------------------------------
 
@@ -77,12 +77,13 @@ class Tables:
             normalize(joined_text("name", "model")).alias("name_norm"),
             normalize(joined_text("name", "model", "features", "category", "brand")).alias("all_norm")))
 
-    def observations(self) -> DataFrame:
+    def observations(self, dealt: bool = False) -> DataFrame:
         """One row per line item and part: what one source says about one product.
 
-        Part columns stay below the join as plain columns, so filters on them reach the part scan.
+        Part columns stay below the join as plain columns, so filters on them reach the part scan. ``dealt`` spreads a
+        single-block table first; worth it where much is computed per row.
         """
-        li = self.lineitem
+        li = spread(self.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]) if dealt else self.lineitem
         items = self.items().withColumnRenamed("id", "group_id")
         amount = F.when(F.col("l_discount") != 0.10, cents(F.col("l_extendedprice") / F.col("l_quantity")))
         keyed = li.select(
@@ -103,7 +104,7 @@ class Tables:
                             F.coalesce(two_decimals(amount), F.lit("更新中")).alias("value"),
                             amount.alias("amount"), F.lit(None).cast("string").alias("error"))
 
-        return self.observations().withColumn("prices", F.create_map(
+        return self.observations(dealt=True).withColumn("prices", F.create_map(
             F.col("field"), price(F.col("label"), F.col("amount")),
             F.lit(LIST_FIELD), price(F.lit(LIST_LABEL), F.col("list_price"))))
 

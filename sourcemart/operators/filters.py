@@ -120,8 +120,7 @@ def on_price_basis(obs: DataFrame, price_field: str, label="label") -> DataFrame
     """Drop rows whose label names another role than the canonical one asked for; unnamed labels stay."""
     if price_field not in PRICE_ROLES:
         return obs
-    basis = price_basis(label)
-    return obs.filter(as_column(label).isNotNull() & (basis.isNull() | (basis == price_field)))
+    return obs.filter(as_column(label).isNotNull() & F.coalesce(price_basis(label) == price_field, F.lit(True)))
 
 
 def by_terms_of_offer(obs: DataFrame, terms: DataFrame, price_field: str, wanted: dict, key="id") -> DataFrame:

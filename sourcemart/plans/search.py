@@ -86,7 +86,9 @@ def hard_filter(pool: Pool, *, exclude=(), scope="name", price_field=None, minim
     key = pool.item_key
     obs = with_overlay(pool)
     if price_field:
-        obs = obs.withColumn("price", resolve_price("prices", price_field)).withColumn("amount", F.col("price")["amount"])
+        # explode of a one-element array keeps every row and makes the price a column of its own; as a plain
+        # expression it would be worked out again in every condition that reads it.
+        obs = obs.withColumn("price", F.explode(F.array(resolve_price("prices", price_field)))).withColumn("amount", F.col("price")["amount"])
         obs = filters.by_price(obs, "amount", minimum, maximum)
         if price_labels:
             obs = filters.by_price_label(obs, list(price_labels), F.col("price")["label"])

@@ -34,9 +34,13 @@ def ignore_paths(files: DataFrame) -> DataFrame:
     return files.filter(~hidden & ~name.startswith("~$"))
 
 
-def read_new_files(spark: SparkSession, folder: str, schema, pattern="*.parquet") -> DataFrame:
-    """Stream over a folder: the checkpoint of the stream is the list of files already processed."""
-    return (spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", pattern).load(folder))
+def read_new_files(spark: SparkSession, folder: str, schema, pattern="*.parquet", files_per_batch=256) -> DataFrame:
+    """Stream over a folder: the checkpoint of the stream is the list of files already processed.
+
+    The number of files per micro-batch bounds what a stateful step holds of one key at a time.
+    """
+    return (spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", pattern)
+            .option("maxFilesPerTrigger", files_per_batch).load(folder))
 
 
 def validate_files(files: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 @pytest.fixture(scope="session")
 def spark():
     from sourcemart.session import build_session
-    session = build_session(cores=8, shuffle_partitions=4)
+    session = build_session(cores=4, shuffle_partitions=2)
     session.sparkContext.setLogLevel("OFF")
+    # Fixtures have a few rows: compiling a stage costs far more than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
