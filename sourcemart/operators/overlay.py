@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcemart.functions.text import as_column, near_equal, normalize
-from sourcemart.functions.units import SPELLINGS, quantities, to_canonical, whole_quantity
+from sourcemart.functions.units import quantities, to_canonical, whole_quantity
 from sourcemart.operators.ranking import latest
 
 FACT = ["value", "number", "unit", "origin", "quote", "reason"]
