@@ -134,7 +134,7 @@ def _(t):
     p = products(t)
     gid = F.concat_ws("|", "brand", "name", F.when(F.col("size") % 2 == 0, F.col("model")))
     members = p.select(gid.alias("group_id"), "id", "brand", "model", F.lit(None).cast("string").alias("variant"), "own_text", F.col("name").alias("quote"))
-    links = t.items().filter("id % 50 = 0").select("id", F.lit("elsewhere").alias("group_id"))
+    links = t.items().filter("id % 50 = 0").select("id", F.concat(F.lit("elsewhere-"), "size").alias("group_id"))
     return overlay.group_verdicts(members, links).select("group_id", "members", "problem")
 
 
