@@ -76,7 +76,9 @@ def validate_facts(records: DataFrame, products: DataFrame) -> DataFrame:
     joined = (joined.withColumn("_quote", normalize("quote")).withColumn("_value", normalize("value"))
               .withColumn("_unit", normalize("unit")))
     measured = F.col("unit").isNotNull()
-    canonical = to_canonical(F.col("number"), F.col("_unit"))
+    # A column of its own: it is read many times below.
+    joined = joined.withColumn("_canonical", to_canonical(F.col("number"), F.col("_unit")))
+    canonical = F.col("_canonical")
     stated = F.exists(quantities("_quote"), lambda q: (q["unit"] == canonical["unit"]) & near_equal(q["number"], canonical["number"]))
     clears = F.col("value").isNull() & F.col("number").isNull()
     literal = (F.col("origin") == "source") | (F.col("field") != "category")
