@@ -25,6 +25,11 @@ def op3_language(spark, folder):
     return identify(table(spark, folder, "documents"), learn=fold("doc_id", 4) != 2, carry={"held_out": fold("doc_id", 4) == 2})
 
 
+def op4_jaccard_join(spark, folder):
+    from sourcemart.llm.jaccard_join import similar_components
+    return similar_components(table(spark, folder, "documents"), width=3, percent=90)
+
+
 def op5_html_text(spark, folder):
     from sourcemart.llm.html_text import extract_pages
     return extract_pages(table(spark, folder, "pages"))
@@ -55,7 +60,7 @@ def op10_exact_dedup(spark, folder):
     return exact_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_lm_score, op3_language, op5_html_text, op6_personal_data, op7_mixing, op8_packing, op9_line_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_lm_score, op3_language, op4_jaccard_join, op5_html_text, op6_personal_data, op7_mixing, op8_packing, op9_line_rules, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -64,8 +69,8 @@ ORACLE_SQL = {
             row_number() OVER best = 1 AS kept, sha AS text_sha256
         FROM t WINDOW best AS (PARTITION BY sha ORDER BY chars DESC, doc_id)""",
     "op9_line_rules": r"""WITH w AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
-            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-            list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
         starts AS (SELECT row, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) >= 8),
         windows AS (SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(words[i:i + 7], ' ')) AS n FROM starts),
         places AS (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS next FROM windows WHERE n > 1),
