@@ -2,13 +2,15 @@
 
 1. Each text becomes the set of its word shingles; equal sets are one class, of which one row goes on.
 2. Shingles have one global order: rare before frequent ones, which are found in a first pass. Two sets as similar as asked
-   share a shingle among the first n - ceil(t n) + 1 of each (prefix filter), and their sizes are close (size filter).
-3. Classes of the same prefix and size form a group. Groups that share a rare shingle are paired, filtered by size and by the
-   shingle's places, and only then expanded into pairs of members.
+   share a shingle among the first n - ceil(t n) + 1 of each (prefix filter), and their sizes are close (size filter). Long
+   sets even share many of these, by a bound that follows from their sizes (count filter).
+3. Classes of the same prefix and size form a group. Groups that share rare shingles are paired, filtered by size, place and
+   count, and only then expanded into pairs of members.
 4. Frequent prefix shingles may be shared by any number of classes, so there all pairs are never made: first everybody is
    paired with one pivot per shingle and size band. When these links are known, only pairs of classes that are still in
    different components are made, each class outside its band's main component against the others.
-5. Pairs pass a parity sketch (which loses no similar pair) and are then verified on the whole sets.
+5. Pairs pass a parity sketch (which loses no similar pair) and are then verified on the whole sets: first one pair of each
+   class, then those of the others that still cross components.
 Links inside a component add nothing to it, so the components are those of all links.
 """
 
@@ -149,6 +151,17 @@ def ordered_pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def least_shared_prefix(a: str, b: str, percent: int) -> Column:
+    """Shingles that the prefixes of two similar sets share at least.
+
+    The prefix that ends first lies, as far as the other set has it, in the other's prefix; at most n - overlap of its
+    shingles are missing there.
+    """
+    overlap = F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent) - 1e-9)
+    length = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100 - 1e-9) + 1
+    return F.least(length(a) - F.col(a) + overlap, length(b) - F.col(b) + overlap)
+
+
 def light_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes whose groups share a rare prefix shingle; rare bounds how many classes can share one."""
     grouped = classes.filter(F.size("light") > 0).withColumn("prefix", F.xxhash64("light", "heavy"))
@@ -158,14 +171,16 @@ def light_pairs(classes: DataFrame, percent: int) -> DataFrame:
     member = grouped.select("rep", "n", "prefix").join(few, ["n", "prefix"]).select("gid", "rep")
     later = member.filter("rep <> gid").select(F.col("rep").alias("_rep"))
     heads = grouped.join(broadcast_if(settle(later, "later"), BROADCAST_ROWS), F.col("rep") == F.col("_rep"), "left_anti")
-    entries = heads.select("rep", "n", F.posexplode("light").alias("at", "key"))
+    entries = heads.select("rep", "n", F.size("heavy").alias("heavy"), F.posexplode("light").alias("at", "key"))
     # One shuffle by shingle serves the count and the join. A rare shingle's entries are few by definition.
     shared = entries.repartition("key")
     x, y = shared.alias("x"), shared.alias("y")
     overlap = F.least("x.at", "y.at") + 1 + F.least(F.col("x.n") - 1 - F.col("x.at"), F.col("y.n") - 1 - F.col("y.at"))
     enough = overlap * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & close_sizes("x.n", "y.n", percent) & enough)
-             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+             .groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+             .agg(F.count("*").alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.first("x.heavy").alias("ha"), F.first("y.heavy").alias("hb"))
+             .filter(F.col("shared") + F.least("ha", "hb") >= least_shared_prefix("na", "nb", percent)).select("a", "b"))
     if many.isEmpty():
         return pairs
     same = settle(member, "members").select("gid", "rep")
@@ -216,7 +231,6 @@ def crossing_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataF
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Pairs that are as similar as asked, on the whole sets of both. Only texts in question are read into sets again."""
-    pairs = settle(pairs, "pairs")
     asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
                    .join(classes.select("rep", "id", "n", "d1", "d2"), "rep"), "asked")
     ids = asked.select(F.col("id").alias("_id")).distinct()
@@ -279,12 +293,18 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col="doc_id
     light = (light.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
              .filter(close_sketches("x", "y", percent)).select("a", "b"))
     entries = heavy_entries(classes, percent)
-    check = lambda pairs: verified(pairs, classes, docs, id_col, text_col, width, percent)
-    links = settle(check(light.union(star_pairs(entries, percent)).distinct()), "verified")
+    pairs = settle(light.union(star_pairs(entries, percent)).distinct(), "pairs")
+    check = lambda asked, purpose: settle(verified(asked, classes, docs, id_col, text_col, width, percent), purpose)
+    # A group of k similar classes has k^2 / 2 pairs; one pair of each class nearly always tells its component.
+    first = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = check(first, "links")
     labels = components(links)
-    crossing = settle(crossing_pairs(entries, labels, percent), "crossing")
-    if not crossing.isEmpty():
-        more = settle(check(crossing), "more")
+    label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    crosses = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    open_pairs = pairs.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").filter(crosses).select("a", "b")
+    rest = settle(open_pairs.union(crossing_pairs(entries, labels, percent)).distinct(), "crossing")
+    if not rest.isEmpty():
+        more = check(rest, "more")
         if not more.isEmpty():
             labels = components(links.union(more))
     named = classes.select("n", "d1", "d2", "id", "rep").join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
