@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes, and the components its links form.
 
 1. Each text becomes the set of its word shingles; equal sets are one class, of which one row goes on.
-2. Shingles have one global order: rare before frequent ones, which are found in a first pass. Two sets as similar as asked
+2. Shingles have one global order: rare before frequent ones, which a first pass over all sets finds. Two sets as similar as asked
    share a shingle among the first n - ceil(t n) + 1 of each (prefix filter), and their sizes are close (size filter). Long
    sets even share many of these, by a bound that follows from their sizes (count filter).
 3. Classes of the same prefix and size form a group. Groups that share rare shingles are paired, filtered by size, place and
@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcemart.llm.common import Tally, broadcast_if, bytes_of, runs, settle, shingle_sets
 
-FREQUENT_SHARE = 2.0 ** -19  # a shingle with this share of the counted prefix entries is frequent: at most 1/share of them
-FREQUENT_LEAST = 16
+FREQUENT_SHARE = 2.0 ** -20  # a shingle with this share of the counted entries is frequent: at most 1/share of them
+FREQUENT_LEAST = 5
 SKETCH_WORDS = 8             # 64-bit words of a sketch
 BROADCAST_ROWS = 1_000_000
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -50,8 +50,8 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles sorted by hash, their ranks from less to more frequent) among prefixes by hash order.
+def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles sorted by hash, their ranks from less to more frequent), by the sets that hold them.
 
     A task leaves out what it saw once. That may leave a shingle out, which changes the order and hence the work, not the
     result: any global order gives the same links.
@@ -67,9 +67,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int, percent: int)
         for batch in batches:
             texts = bytes_of(batch.column(0))
             for a, b in runs(texts):
-                parts = [s[:prefix_length(len(s), percent)] for s in shingle_sets(texts[a:b], width)]
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                tally.add(keys, counts)
+                tally.add(*np.unique(np.concatenate(shingle_sets(texts[a:b], width)), return_counts=True))
             yield from more_than_once(tally.batches(False, ["key", "n"]))
         yield from more_than_once(tally.batches(True, ["key", "n"]))
 
@@ -86,7 +84,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int, percent: int)
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """One row per row of docs: id, row, n, d1, d2 (digest), sketch words, light and heavy prefix shingles in order."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, width, percent))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, width))
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, row long, n int, d1 long, d2 long, {', '.join(s + ' long' for s in SKETCH)}, light array<long>, heavy array<long>"
     names = ["id", "row", "n", "d1", "d2", *SKETCH, "light", "heavy"]
@@ -247,13 +245,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                  pa.array([d[1] for d in digests], pa.int64()), _lists([s.view(np.int64) for s in sets])], names=["n", "d1", "d2", "members"])
 
     sets = texts.select("text").mapInArrow(make, "n int, d1 long, d2 long, members array<long>")
-    # An id that occurs more than once brings other sets along, or one set again.
-    held = asked.join(sets, ["n", "d1", "d2"]).groupBy("rep").agg(F.any_value("members").alias("members"))
-    held = settle(held, "sets")
-    x, y = (held.select(F.col("rep").alias(side), F.col("members").alias(f"m{side}")) for side in "ab")
+    # Sets get their class, and what they are asked for, where they are made; then the sets of b travel to those of a.
+    held = sets.join(broadcast_if(asked.select("n", "d1", "d2", "rep"), BROADCAST_ROWS), ["n", "d1", "d2"]).select("rep", "members")
+    sources = settle(pairs.select(F.col("a").alias("rep")).distinct(), "sources")
+    x = held.join(broadcast_if(sources, BROADCAST_ROWS), "rep").select(F.col("rep").alias("a"), F.col("members").alias("ma"))
+    y = held.withColumnRenamed("rep", "b").join(broadcast_if(pairs, BROADCAST_ROWS), "b").select("a", "b", F.col("members").alias("mb"))
     shared = F.size(F.array_intersect("ma", "mb"))
     union = F.size("ma") + F.size("mb") - F.col("shared")
-    return (pairs.join(x, "a").join(y, "b").withColumn("shared", shared).filter(100 * F.col("shared") >= percent * union).select("a", "b"))
+    # An id that occurs more than once may bring a set twice.
+    return y.join(x, "a").withColumn("shared", shared).filter(100 * F.col("shared") >= percent * union).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -284,9 +284,11 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col="doc_id
     smallest unless all are null. Repeated rows are in one component. Other columns are not read.
     """
     rows = settle(sets_of(docs, id_col, text_col, width, percent), "rows")
-    best = F.min_by(F.struct("id", "row", *SKETCH, "light", "heavy"), F.struct(F.col("id").isNull(), "id", "row"))
-    classes = settle(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(best.alias("best"))
-                     .select("n", "d1", "d2", "best.*").withColumnRenamed("row", "rep"), "classes")
+    key = ["n", "d1", "d2"]
+    best = rows.filter("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")).select(*key, F.col("best.row").alias("best"))
+    copies = rows.filter("n > 0").select(*key, "row").join(best, key).filter("row <> best").select("row")
+    # Copies are few beside the rows, whose prefixes stay where they are.
+    classes = rows.filter("n > 0").join(broadcast_if(settle(copies, "copies"), BROADCAST_ROWS), "row", "left_anti").withColumnRenamed("row", "rep")
     sketches = classes.select("rep", "n", *SKETCH)
     light = settle(light_pairs(classes, percent), "light")
     x, y = sketches.alias("x"), sketches.alias("y")
