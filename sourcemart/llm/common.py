@@ -140,7 +140,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
 class Tally:
     """Counts of 64-bit keys within a task, given out whenever they pass ``most`` distinct keys."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 20):
         self.most, self.parts, self.held = most, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
@@ -159,7 +159,7 @@ class Tally:
 
     def batches(self, last: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
         """Rows to give out now; all of them at the end."""
-        if self.held < 2 * self.most and not last:
+        if 2 * self.held < 3 * self.most and not last:
             return
         keys, counts = self.merged()
         if len(keys) >= self.most or last:
