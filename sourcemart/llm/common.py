@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 1 << 20  # texts are worked on in runs of about this size; a longer text is a run of its own
+CHUNK_BYTES = 1 << 18  # texts are worked on in runs of about this size; a longer text is a run of its own
 
 
 # ---- scratch tables -------------------------------------------------------------------------------------------------
@@ -68,6 +68,13 @@ def hash_share(*columns) -> Column:
 
 # ---- Arrow batches --------------------------------------------------------------------------------------------------
 
+def smaller(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds the objects of few rows at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcemart.llm.common import Tally, broadcast_if, bytes_of, runs, settle, shingle_sets
+from sourcemart.llm.common import Tally, broadcast_if, bytes_of, runs, settle, shingle_sets, smaller
 
 FREQUENT_SHARE = 2.0 ** -20  # a shingle with this share of the counted entries is frequent: at most 1/share of them
 FREQUENT_LEAST = 5
@@ -58,13 +58,13 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.nd
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(1 << 19)
 
         def more_than_once(found):
             for batch in found:
                 yield batch.filter(pc.greater(batch.column(1), 1))
 
-        for batch in batches:
+        for batch in smaller(batches):
             texts = bytes_of(batch.column(0))
             for a, b in runs(texts):
                 tally.add(*np.unique(np.concatenate(shingle_sets(texts[a:b], width)), return_counts=True))
@@ -94,7 +94,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         seen = np.zeros(1 << 20, dtype=bool)
         seen[known >> np.uint64(44)] = True
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in smaller(batches):
             texts = bytes_of(batch.column(1))
             sizes, first, second, sketches, light, heavy = [], [], [], [], [], []
             for a, b in runs(texts):
@@ -236,7 +236,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
         broadcast_if(ids, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             found = bytes_of(batch.column(0))
             sets = [s for a, b in runs(found) for s in shingle_sets(found[a:b], width)]
             digests = [_digest(s) for s in sets]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcemart.llm.common import LOWER, bytes_of, fold, hash_share, runs
+from sourcemart.llm.common import LOWER, bytes_of, fold, hash_share, runs, smaller
 from sourcemart.llm.svm import OneVersusOne
 
 BUCKETS_LOG2 = 11
@@ -104,7 +104,7 @@ def labelled_vectors(docs: DataFrame, text_col: str, lang_col: str, per_language
     sample = known.withColumn("_share", hash_share(text_col)).filter(F.col("_share") < rate[F.col(lang_col)])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             texts, out = bytes_of(batch.column(1)), []
             for a, b, x in _vectors(texts):
                 out += [row.astype(np.float16).tobytes() for row in x]
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, learn: Column | None = None, id_col="doc_id", text
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hierarchy = Hierarchy.of(shared.value) if shared.value else None
-        for batch in batches:
+        for batch in smaller(batches):
             column = batch.column(1)
             texts, languages, scores = bytes_of(column), [], []
             for a, b, x in _vectors(texts) if hierarchy else ():

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcemart.llm.common import bytes_of, hash_share, runs, word_hashes
+from sourcemart.llm.common import bytes_of, hash_share, runs, smaller, word_hashes
 
 LABELLED = 4096     # rows the classifier is fitted on, at most
 DIRECTIONS = 48
@@ -121,7 +121,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, learn: Column | None, id
     found = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), F.col("_key") == F.col("_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             texts, out = bytes_of(batch.column(1)), []
             for a, b in runs(texts):
                 out += [row.tobytes() for row in terms(texts[a:b])]
@@ -153,7 +153,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = Non
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(*shared.value) if shared.value else None
-        for batch in batches:
+        for batch in smaller(batches):
             texts = bytes_of(batch.column(1))
             scores = np.full(len(texts), 0.5)
             for a, b in runs(texts) if voters else ():
