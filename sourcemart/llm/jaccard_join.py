@@ -193,16 +193,27 @@ def light_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def heavy_entries(classes: DataFrame, percent: int) -> DataFrame:
     """Frequent prefix shingles with the class's size band; similar sets are in the same or in neighbouring bands."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
-    return classes.filter(F.size("heavy") > 0).select(F.explode("heavy").alias("key"), band.alias("band"), "rep", "n", *SKETCH)
+    return (classes.filter(F.size("heavy") > 0).select(F.size("light").alias("rare"), F.posexplode("heavy").alias("at", "key"), band.alias("band"), "rep", "n", *SKETCH)
+            .withColumn("at", F.col("at") + F.col("rare")).drop("rare"))
+
+
+def first_shared(a: str, b: str, percent: int) -> Column:
+    """Whether a shingle stands early enough in both prefixes to be the first that two similar sets share.
+
+    As many shared ones as the count filter asks for must fit behind it. A pair whose first one is rare is a light pair.
+    """
+    least = least_shared_prefix(f"{a}.n", f"{b}.n", percent)
+    length = lambda x: F.col(f"{x}.n") - F.ceil(F.col(f"{x}.n") * percent / 100 - 1e-9) + 1
+    return (F.col(f"{a}.at") <= length(a) - least) & (F.col(f"{b}.at") <= length(b) - least)
 
 
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Each class with the pivot of its shingle and band."""
-    pivots = (entries.groupBy("key", "band").agg(F.min(F.struct("rep", "n", *SKETCH)).alias("p"), F.count("*").alias("held"))
+    pivots = (entries.groupBy("key", "band").agg(F.min(F.struct("rep", "n", "at", *SKETCH)).alias("p"), F.count("*").alias("held"))
               .filter("held > 1").select("key", "band", "p.*"))
     x, y = pivots.alias("x"), entries.alias("y")
     return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep"))
-                   & close_sizes("x.n", "y.n", percent) & close_sketches("x", "y", percent))
+                   & close_sizes("x.n", "y.n", percent) & first_shared("x", "y", percent) & close_sketches("x", "y", percent))
             .select(*ordered_pair(F.col("x.rep"), F.col("y.rep"))).distinct())
 
 
@@ -219,7 +230,7 @@ def crossing_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataF
     for left, right in ((visitors.filter("label <> main"), hosts), (visitors.filter("label = main"), hosts.filter("label <> main"))):
         x, y = left.alias("x"), right.alias("y")
         found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label"))
-                       & close_sizes("x.n", "y.n", percent) & close_sketches("x", "y", percent))
+                       & close_sizes("x.n", "y.n", percent) & first_shared("x", "y", percent) & close_sketches("x", "y", percent))
         found = found.select(*ordered_pair(F.col("x.rep"), F.col("y.rep")))
         out = found if out is None else out.union(found)
     return out.distinct()
