@@ -54,6 +54,14 @@ def process_cache() -> dict:
     return vars(sys.modules.setdefault("llm_process_cache", types.ModuleType("llm_process_cache")))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 # ---- columns --------------------------------------------------------------------------------------------------------
 
 def fold(key: str, folds: int) -> Column:

@@ -8,7 +8,7 @@ A group of any size shrinks to one row per run before the first exchange, so a h
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcemart.llm.common import broadcast_if, settle
+from sourcemart.llm.common import broadcast_if, free_name, settle
 
 RUNS = 512  # scan partitions are folded onto this many runs: a power of FAN_IN
 FAN_IN = 8
@@ -73,13 +73,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") ->
     per_id = found.groupBy("_id").agg(F.count("*").alias("_n"), F.max("_kept").alias("_any"))
     unclear = settle(per_id.filter("_n > 1 or _id is null").select("_id"), "unclear")
     gone = settle(per_id.filter("_n = 1 and _id is not null and not _any").select("_id"), "gone")
-    out = docs.join(broadcast_if(gone, BROADCAST_ROWS), F.col(id_col) == F.col("_id"), "left_anti")
+    mine, sha_name = free_name(docs, "_id"), free_name(docs, "_text_sha")
+    same = F.col(id_col).eqNullSafe(F.col(mine))
+    ids = lambda found: broadcast_if(found.withColumnRenamed("_id", mine), BROADCAST_ROWS)
+    out = docs.join(ids(gone), F.col(id_col) == F.col(mine), "left_anti")
     if unclear.isEmpty():
         return out
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
     sha = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
-    kept = found.filter("_kept").select("_id", "_sha").distinct()
-    again = docs.join(broadcast_if(unclear, BROADCAST_ROWS), same, "left_semi").withColumn("_text_sha", sha)
-    again = again.join(kept, same & (F.col("_text_sha") == F.col("_sha")), "left_semi")
-    best = again.groupBy("_text_sha").agg(F.max_by(F.struct(*docs.columns), F.length(F.coalesce(text_col, F.lit("")))).alias("_row"))
-    return out.join(broadcast_if(unclear, BROADCAST_ROWS), same, "left_anti").unionByName(best.select("_row.*"))
+    kept = found.filter("_kept").select(F.col("_id").alias(mine), F.col("_sha").alias(sha_name + "_kept")).distinct()
+    again = docs.join(ids(unclear), same, "left_semi").withColumn(sha_name, sha)
+    again = again.join(kept, same & (F.col(sha_name) == F.col(sha_name + "_kept")), "left_semi")
+    chars = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    best = again.groupBy(sha_name).agg(F.max_by(F.struct(*docs.columns), chars).alias("_row"))
+    return out.join(ids(unclear), same, "left_anti").unionByName(best.select("_row.*"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcemart.llm.common import Tally, broadcast_if, bytes_of, runs, settle, shingle_sets, smaller
+from sourcemart.llm.common import Tally, broadcast_if, bytes_of, free_name, runs, settle, shingle_sets, smaller
 
 FREQUENT_SHARE = 2.0 ** -20  # a shingle with this share of the counted entries is frequent: at most 1/share of them
 FREQUENT_LEAST = 5
@@ -339,5 +339,6 @@ def drop_near_duplicates(docs: DataFrame, width: int, percent: int, id_col="doc_
     found = settle(similar_components(docs, width, percent, id_col, text_col), "components")
     stays = F.max(F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     gone = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(stays.alias("stays")).filter(~F.col("stays"))
-    gone = settle(gone.select("_id"), "gone")
-    return docs.join(broadcast_if(gone, BROADCAST_ROWS), F.col(id_col) == F.col("_id"), "left_anti")
+    mine = free_name(docs, "_id")
+    gone = settle(gone.select(F.col("_id").alias(mine)), "gone")
+    return docs.join(broadcast_if(gone, BROADCAST_ROWS), F.col(id_col) == F.col(mine), "left_anti")

@@ -94,14 +94,14 @@ def _vectors(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
 
 def labelled_vectors(docs: DataFrame, text_col: str, lang_col: str, per_language: int, most: int) -> list[tuple[str, bytes]]:
     """(language, vector) of a bounded sample: per language rows below a share of hash values, the same in every run."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n"))
               .orderBy(F.desc("n"), "lang").limit(most // 2).collect()}
     if not counts:
         return []
     each = max(2, min(per_language, most // len(counts)))
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
-    sample = known.withColumn("_share", hash_share(text_col)).filter(F.col("_share") < rate[F.col(lang_col)])
+    sample = known.withColumn("_share", hash_share("text")).filter(F.col("_share") < rate[F.col("lang")])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in smaller(batches):
@@ -111,7 +111,7 @@ def labelled_vectors(docs: DataFrame, text_col: str, lang_col: str, per_language
             good = pa.array([has_letter(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["lang", "vector"]).filter(good)
 
-    found = sample.select(lang_col, text_col).mapInArrow(vectors, "lang string, vector binary")
+    found = sample.select("lang", "text").mapInArrow(vectors, "lang string, vector binary")
     return sorted((r["lang"], bytes(r["vector"])) for r in found.collect())
 
 

@@ -12,7 +12,7 @@ from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sourcemart.llm.common import settle
+from sourcemart.llm.common import free_name, settle
 
 PERIOD = 1000        # weights are rounded to multiples of 1/PERIOD, at least one each
 BLOCK_ROWS = 16
@@ -151,6 +151,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col="doc_
 
     Rows are found again by id; an id that occurs more than once takes the place of its first occurrence each time.
     """
-    places = (mix_positions(docs, weights, id_col, source_col, **options).groupBy(F.col(id_col).alias("_id"))
-              .agg(F.min("position").alias("_position")))
-    return docs.join(places, F.col(id_col).eqNullSafe(F.col("_id"))).orderBy("_position").drop("_id", "_position")
+    mine, place = free_name(docs, "_id"), free_name(docs, "_position")
+    places = (mix_positions(docs, weights, id_col, source_col, **options).groupBy(F.col(id_col).alias(mine))
+              .agg(F.min("position").alias(place)))
+    return docs.join(places, F.col(id_col).eqNullSafe(F.col(mine))).orderBy(place).drop(mine, place)
