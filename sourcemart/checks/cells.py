@@ -46,8 +46,9 @@ def recognized(t):
 def records(t):
     """Cells of the recognized tables below their header, with the record they belong to."""
     made, headers, columns = recognized(t)
-    plans = headers.filter("verdict = 'ok'").select("doc", "sheet", "header_row", (F.col("header_row") + 1).alias("first_row"),
-                                                    F.lit(1000).alias("last_row"), F.lit(1).alias("first_col"), F.lit(7).alias("last_col"))
+    extent = cells.sheet_extent(made).select("doc", "sheet", "last_row")
+    plans = headers.filter("verdict = 'ok'").join(extent, ["doc", "sheet"]).select(
+        "doc", "sheet", "header_row", (F.col("header_row") + 1).alias("first_row"), "last_row", F.lit(1).alias("first_col"), F.lit(7).alias("last_col"))
     return cells.table_records(made, plans), columns
 
 

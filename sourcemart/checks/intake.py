@@ -75,7 +75,7 @@ def _(t):
 
 @check("manifest_stream", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def _(t):
-    stream = intake.read_new_files(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    stream = intake.read_new_files(t.spark, t.folder, t.documents.schema, "{documents.parquet}")
     counted = stream.select("doc_id", F.sha2("text", 256).alias("content_hash"))
     return run_available(counted, scratch_path(t.spark, "manifest")).select("doc_id", "content_hash")
 

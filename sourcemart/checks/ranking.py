@@ -49,7 +49,7 @@ def _(t):
     return numbered(rows, ["doc_id", "name"], ["record_key", "id"], "n").select("id", (F.col("n") - 1).alias("occurrence"))
 
 
-@check("occurrence_id", sql("""SELECT obs_id, 'p_' || substr(sha256(concat_ws('-', doc_id, field, identity, n)), 1, 16) AS id FROM (
+@check("occurrence_id", sql("""SELECT obs_id, 'p_' || substr(sha256('["' || concat_ws('","', doc_id, field, identity, n) || '"]'), 1, 16) AS id FROM (
     SELECT id AS obs_id, doc_id, field, model AS identity, row_number() OVER (PARTITION BY doc_id, field, model ORDER BY record_key, id) - 1 AS n FROM obs)""", "obs"))
 def _(t):
     rows = t.observations().select(F.col("id").alias("obs_id"), "doc_id", F.col("field").alias("sheet"), "name", "model",

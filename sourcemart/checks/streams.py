@@ -12,7 +12,7 @@ from sourcemart.streaming import tasks
 
 
 def event_stream(t):
-    return read_new_files(t.spark, t.folder, t.events.schema, "events.parquet")
+    return read_new_files(t.spark, t.folder, t.events.schema, "{events.parquet}")
 
 
 def with_data(events):
@@ -95,11 +95,12 @@ def _(t):
     return tasks.pending_requests(t.task_events())
 
 
-@check("st_usage_max", "SELECT user_id AS thread, cast(max(floor(value * 100)) AS BIGINT) AS total FROM events WHERE event_type <> 'error' GROUP BY 1")
+@check("st_usage_max", """SELECT thread, cast(total AS BIGINT) AS total, min(seq) AS seq FROM (SELECT user_id AS thread, floor(value * 100) AS total,
+    max(floor(value * 100)) OVER (PARTITION BY user_id) AS best, event_id AS seq FROM events WHERE event_type <> 'error') WHERE total = best GROUP BY 1, 2""")
 def _(t):
-    usage = event_stream(t).select(F.col("user_id").alias("thread"), F.when(F.col("event_type") != "error", F.floor(F.col("value") * 100)).alias("total"))
+    usage = event_stream(t).select(F.col("user_id").alias("thread"), F.when(F.col("event_type") != "error", F.floor(F.col("value") * 100)).alias("total"), F.col("event_id").alias("seq"))
     rows = tasks.run_available(tasks.usage_stream(usage), scratch_path(t.spark, "usage"), "update")
-    return rows.groupBy("thread").agg(F.max("total").alias("total"))
+    return latest(rows.withColumn("first", -F.col("seq")), ["thread"], ["total", "first"]).select("thread", "total", "seq")
 
 
 @check("st_recover", folded_sql("""SELECT task, CASE WHEN state IN ('running', 'awaiting_user') THEN 'interrupted' ELSE state END AS state, CASE WHEN state IN ('running', 'awaiting_user') THEN 0 ELSE pending END AS pending,

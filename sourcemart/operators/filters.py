@@ -80,9 +80,12 @@ def without_categories(obs: DataFrame, values: list[str], column="category_norm"
 
 
 def by_tags(obs: DataFrame, tags: DataFrame, wanted: list[str], mode="all", origin=None, synonyms=None, key="id") -> DataFrame:
-    """Tags written ``kind:value``; all or any of them, optionally of one origin, each widened by its synonyms."""
+    """Tags written ``kind:value``; all or any of them, optionally of one origin, each widened by its synonyms, however it
+    is written."""
+    groups = {(k, normalize_literal(term)): words for (k, term), words in (synonyms or {}).items()}
+    widened = lambda kind, value: groups.get((f"tag:{kind}", normalize_literal(value)), [value])
     pairs = [(i, kind, normalize_literal(word)) for i, tag in enumerate(wanted)
-             for kind, value in [tag.split(":", 1)] for word in (synonyms or {}).get((f"tag:{kind}", value), [value])]
+             for kind, value in [tag.split(":", 1)] for word in widened(kind, value)]
     value = normalize("value")
     hit = F.array_compact(F.array(*[F.when((F.col("kind") == kind) & (F.col("norm") == word), F.lit(i))
                                     for i, kind, word in pairs]))

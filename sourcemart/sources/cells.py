@@ -5,7 +5,7 @@ marks an error cell, ``f`` a formula without a cached value. Work is keyed by (d
 long sheet spreads over all tasks; whole sheets meet only in reductions.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sourcemart.functions.prices import HEADER_ALIASES, PRICE_ROLES
 from sourcemart.functions.text import as_column, blank, glob_match, norm_header, normalize_literal
@@ -167,23 +167,27 @@ def check_overlaps(regions: DataFrame) -> DataFrame:
     """regions(doc, sheet, region, top, left, bottom, right): regions that share a cell with another one.
 
     No pairs are formed. Row edges cut each sheet into strips; a region covers consecutive strips. Within a strip
-    the regions sorted by left edge overlap where one starts at or before the largest right edge so far, and the sum
-    over strips needs only neighbours, found by rank.
+    the regions are sorted by left edge, and one that starts at or before the largest right edge so far clashes with
+    the region of that edge. So every region that clashes is named, though not every pair.
     """
     bands = _bands(regions).withColumn("strip", F.explode(F.sequence(
         F.greatest(F.col("top"), F.col("band") * BAND), F.least(F.col("bottom"), F.col("band") * BAND + BAND - 1))))
-    ranked = numbered(bands.select(*SHEET, "strip", "region", "left", "right"), [*SHEET, "strip"], ["left", "right", "region"], "n")
-    # Sorted by left edge, some pair of a strip overlaps exactly if some neighbours do.
-    following = ranked.select(*SHEET, "strip", (F.col("n") - 1).alias("n"), F.col("left").alias("_left"), F.col("region").alias("other"))
-    clash = ranked.join(following, [*SHEET, "strip", "n"]).filter(F.col("_left") <= F.col("right"))
-    return clash.select(*SHEET, "region", "other").distinct()
+    before = Window.partitionBy(*SHEET, "strip").orderBy("left", "right", "region").rowsBetween(Window.unboundedPreceding, -1)
+    reach = bands.withColumn("_reach", F.max(F.struct("right", "region")).over(before))
+    clash = reach.filter(F.col("left") <= F.col("_reach.right"))
+    return clash.select(*SHEET, F.col("_reach.region").alias("region"), F.col("region").alias("other")).distinct()
 
 
 def unpivot_prices(records: DataFrame, columns: DataFrame) -> DataFrame:
-    """Long prices of record cells: role, source label, value as written. columns as from ``map_columns``."""
+    """Long prices of record cells: role, source label, value as written. columns as from ``map_columns``.
+
+    Several cells of a record under one label must agree: where they don't, there is no value but a ``conflict``.
+    """
     prices = columns.filter("is_price").select(*SHEET, "col", "label", F.col("role").alias("field"))
     return (records.join(prices, [*SHEET, "col"])
-            .groupBy(*SHEET, "record", "field", "label").agg(F.min("value").alias("value"), F.bool_or(F.col("dtype") == "e").alias("is_error")))
+            .groupBy(*SHEET, "record", "field", "label").agg(
+                F.when(F.min("value") == F.max("value"), F.min("value")).alias("value"),
+                F.coalesce(F.min("value") < F.max("value"), F.lit(False)).alias("conflict"), F.bool_or(F.col("dtype") == "e").alias("is_error")))
 
 
 def scalar_conflicts(values: DataFrame, key: list[str], value="value") -> DataFrame:
@@ -201,7 +205,8 @@ def cell_issues(records: DataFrame) -> DataFrame:
 
 
 def flag_price_errors(prices: DataFrame) -> DataFrame:
-    return prices.withColumn("error", F.when(F.col("is_error"), F.lit("spreadsheet_error"))).drop("is_error")
+    return prices.withColumn("error", F.when(F.col("is_error"), F.lit("spreadsheet_error"))
+                             .when(F.col("conflict"), F.lit("conflicting_values"))).drop("is_error", "conflict")
 
 
 def features(records: DataFrame, columns: DataFrame) -> DataFrame:
@@ -247,7 +252,8 @@ def assign_ids(records: DataFrame, source: str, order: list[str]) -> DataFrame:
     identity = F.when(~blank("variant"), F.to_json(F.array(base, F.col("variant")))).otherwise(base)
     counted = numbered(records.withColumn("identity", identity), [source, "sheet", "identity"], order, "_n")
     occurrence = F.col("_n") - 1
-    key = F.concat_ws("-", F.lower(F.col(source).cast("string")), F.col("sheet").cast("string"), F.col("identity"), occurrence.cast("string"))
+    # As a JSON array: joined by a plain sign, the parts of different products could spell the same key.
+    key = F.to_json(F.array(F.lower(F.col(source).cast("string")), F.col("sheet").cast("string"), F.col("identity"), occurrence.cast("string")))
     return counted.withColumn("occurrence", occurrence).withColumn("id", F.concat(F.lit("p_"), F.substring(F.sha2(key, 256), 1, 16))).drop("_n")
 
 

@@ -69,7 +69,8 @@ def transcribe(evidence: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
             & F.col("reviewer").rlike(VISIBLE))
     ref = F.concat(F.lit("visual-"), F.substring(F.sha2(F.to_json(F.array("image_ref", "text")), 256), 1, 20))
     kept = checked.filter(good).select("doc", ref.alias("ref"), "image_ref", "text", "reviewer")
-    return kept.dropDuplicates(["doc", "ref"]), checked.filter(~good).drop("known")
+    once = kept.groupBy("doc", "ref").agg(F.min(F.struct("reviewer", "image_ref", "text")).alias("one"))  # the first reviewer by name
+    return once.select("doc", "ref", "one.image_ref", "one.text", "one.reviewer"), checked.filter(~good).drop("known")
 
 
 def evidence_union(native: DataFrame, transcriptions: DataFrame) -> DataFrame:
@@ -99,7 +100,11 @@ def import_records(records: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
     document. Callers write nothing of a batch that has rejects. One document may be cited by very many facts:
     the join is on (doc, ref), so its entries spread over the shuffle instead of meeting in one task.
     """
-    facts = records.select("doc", "key", F.posexplode("facts").alias("at", "fact")).select("doc", "key", "at", "fact.*")
+    repeated = records.groupBy("doc", "key").count().filter("count > 1").select("doc", "key")
+    single = records.join(repeated, ["doc", "key"], "left_anti")
+    facts = single.select("doc", "key", F.posexplode("facts").alias("at", "fact")).select("doc", "key", "at", "fact.*")
+    twice = facts.groupBy("doc", "key", F.concat_ws(".", "field", "part").alias("field")).count().filter("count > 1").drop("count")
+    facts = facts.join(twice.select("doc", "key").distinct(), ["doc", "key"], "left_anti")
     entries = evidence.select("doc", "ref", F.col("kind").alias("entry_kind"), F.col("text").alias("entry_text"),
                               "locator", "verification")
     value = F.coalesce("quote", "entry_text")
@@ -114,10 +119,10 @@ def import_records(records: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(field.alias("k"), F.col("locator").alias("v"))))).alias("source_cells"),
         F.when(F.bool_or(F.coalesce(F.col("verification") == "visual", F.lit(False))),
                F.array(F.lit("视觉转录:未经原生文本校验"))).otherwise(F.array().cast("array<string>")).alias("issues"))
-    repeated = records.groupBy("doc", "key").count().filter("count > 1").select("doc", "key")
     rejects = (checked.filter("NOT ok").select("doc", "key", "field", "ref", F.lit("quote not in cited evidence").alias("reason"))
                .unionByName(items.filter("ok AND name IS NULL").select("doc", "key", F.lit("name").alias("field"),
                             F.lit(None).cast("string").alias("ref"), F.lit("record needs a sourced name").alias("reason")))
                .unionByName(repeated.select("doc", "key", F.lit(None).cast("string").alias("field"),
-                            F.lit(None).cast("string").alias("ref"), F.lit("record key repeated in batch").alias("reason"))))
+                            F.lit(None).cast("string").alias("ref"), F.lit("record key repeated in batch").alias("reason")))
+               .unionByName(twice.select("doc", "key", "field", F.lit(None).cast("string").alias("ref"), F.lit("field given twice").alias("reason"))))
     return items.filter("ok AND name IS NOT NULL").drop("ok"), rejects

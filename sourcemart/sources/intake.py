@@ -35,12 +35,13 @@ def ignore_paths(files: DataFrame) -> DataFrame:
 
 
 def read_new_files(spark: SparkSession, folder: str, schema, pattern="*.parquet", files_per_batch=256) -> DataFrame:
-    """Stream over a folder: the checkpoint of the stream is the list of files already processed.
+    """Stream over the files, or the folders of part files, that ``pattern`` names below ``folder``: the checkpoint of the
+    stream is the list of files already processed.
 
     The number of files per micro-batch bounds what a stateful step holds of one key at a time.
     """
-    return (spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_batch).load(folder))
+    return (spark.readStream.format("parquet").schema(schema)
+            .option("maxFilesPerTrigger", files_per_batch).load(f"{folder}/{pattern}"))
 
 
 def validate_files(files: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def validate_files(files: DataFrame) -> DataFrame:
     """
     def zip_reason(content: pd.Series, suffix: pd.Series) -> pd.Series:
         def check(data, kind):
-            if kind not in REQUIRED_PART:
+            if kind not in REQUIRED_PART or data is None:
                 return None
             try:
                 entries = zipfile.ZipFile(io.BytesIO(data)).infolist()
@@ -75,7 +76,7 @@ def validate_files(files: DataFrame) -> DataFrame:
         F.when(F.col("length") > MAX_BYTES, "too_large"),
         F.when((F.col("suffix") == ".pdf") & ~head.startswith("255044462D"), "not_a_pdf"),
         F.when((F.col("suffix") == ".xls") & ~head.startswith("D0CF11E0A1B11AE1"), "not_ole"),
-        archive(F.when(F.col("length") <= MAX_BYTES, F.col("content")).otherwise(F.lit(b"")), F.col("suffix")))
+        archive(F.when((F.col("length") <= MAX_BYTES) & F.col("suffix").isin(*REQUIRED_PART), F.col("content")), F.col("suffix")))
     return named.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 

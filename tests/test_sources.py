@@ -102,6 +102,11 @@ def test_import_needs_verbatim_quotes(spark, rows):
     bad = [("d", "cup", good), ("d", "x", [("name", None, "line:1", "保温")]), ("d", "y", [("name", None, "line:9", None)]), ("d", "z", [("model", None, "line:1", None)])]
     _, rejects = evidence.import_records(spark.createDataFrame(bad, RECORD), entries)
     assert {r["key"] for r in rejects.collect()} == {"x", "y", "z"}
+    # A key or a field given twice goes to the rejects; the rest of the batch is still read.
+    again = [("d", "cup", good), ("d", "p", [("name", None, "line:1", None)]), ("d", "p", [("name", None, "line:1", None)]),
+             ("d", "q", [("name", None, "line:1", None), ("name", None, "line:1", "便携")])]
+    items, rejects = evidence.import_records(spark.createDataFrame(again, RECORD), entries)
+    assert [r["key"] for r in items.collect()] == ["cup"] and rows(rejects, "key", "reason") == [("p", "record key repeated in batch"), ("q", "field given twice")]
 
 
 def test_transcriptions_need_an_image(spark, rows):
@@ -198,6 +203,8 @@ def test_overlaps(spark, rows):
     apart = [("d", "s", 1, 1, 1, 5, 3), ("d", "s", 2, 1, 4, 5, 6), ("d", "s", 3, 6, 1, 200, 6), ("d", "t", 4, 1, 1, 9, 9)]
     assert cells.check_overlaps(spark.createDataFrame(apart, schema)).isEmpty()
     assert rows(cells.check_overlaps(spark.createDataFrame(apart + [("d", "s", 5, 5, 3, 5, 3)], schema)), "region", "other") == [(1, 5)]
+    wide = [("d", "s", 1, 1, 1, 3, 10), ("d", "s", 2, 1, 2, 3, 3), ("d", "s", 3, 1, 5, 3, 6)]
+    assert rows(cells.check_overlaps(spark.createDataFrame(wide, schema)), "region", "other") == [(1, 2), (1, 3)]
 
 
 def test_price_error_and_issues(spark, rows):
