@@ -35,12 +35,11 @@ def _(t):
 
 @check("w_diversity", sql("""SELECT id, row_number() OVER (ORDER BY turn, first_place) AS shown FROM (
     SELECT id, row_number() OVER (PARTITION BY top ORDER BY place) AS turn, min(place) OVER (PARTITION BY top) AS first_place
-    FROM (SELECT id, split_part(category, '/', 1) AS top, row_number() OVER (ORDER BY amount DESC NULLS LAST, id) AS place FROM obs) WHERE place <= 200)""", "obs"))
+    FROM (SELECT id, split_part(category, '/', 1) AS top, row_number() OVER (ORDER BY amount DESC NULLS LAST, id) AS place FROM obs))""", "obs"))
 def _(t):
-    best = (t.observations().withColumn("_all", F.lit(1)))
-    best = top_per_group(best, ["_all"], [price_order("amount", True), "id"], 200, "place")
-    shown = ranking.diversify(best.withColumn("top", F.element_at(F.split("category", "/"), 1)), [], "top", "place")
-    return shown.select("id", "shown")
+    rows = t.observations().select("id", F.element_at(F.split("category", "/"), 1).alias("top"), "amount")
+    ranked = ranking.numbered(rows, [], [price_order("amount", True), "id"], "place")
+    return ranking.diversify_all(ranked.select("id", "top", "place"), "top", "place").select("id", "shown")
 
 
 @check("w_occurrence", sql("SELECT id, row_number() OVER (PARTITION BY doc_id, name ORDER BY record_key, id) - 1 AS occurrence FROM obs", "obs"))

@@ -26,7 +26,7 @@ def numbered(df: DataFrame, group: list[str], order: list, name: str = "rank") -
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_s"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_shift"))
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-    match = reduce(lambda a, b: a & b, same, F.col("_slice") == F.col("_s"))
+    match = reduce(lambda a, b: a & b, same, F.col("_slice") == F.col("_s"))  # without a group, slices alone
     return ordered.join(shifts, match).withColumn(name, F.col("_place") + F.col("_shift")).select(*df.columns, name)
 
 
@@ -73,6 +73,16 @@ def diversify(df: DataFrame, group: list[str], bucket: str, rank: str, name="sho
     return turns.withColumn(name, F.row_number().over(order).cast("long")).drop("_turn", "_first")
 
 
+def diversify_all(df: DataFrame, bucket: str, rank: str, name="shown") -> DataFrame:
+    """``diversify`` over any number of rows: places within the buckets, and then all places, by ``numbered``.
+
+    Rows without a bucket are a bucket of their own.
+    """
+    first = df.groupBy(F.col(bucket).alias("_bucket")).agg(F.min(rank).alias("_first"))
+    turns = numbered(df, [bucket], [rank], "_turn").join(first, F.col(bucket).eqNullSafe(F.col("_bucket")))
+    return numbered(turns.drop("_bucket"), [], ["_turn", "_first"], name).drop("_turn", "_first")
+
+
 def group_representatives(df: DataFrame, plan: list[str], group: str, rank: str, row_id: str, sample: int = 3) -> DataFrame:
     """First hit of each product group with the number of members, the first others and whether more exist.
 

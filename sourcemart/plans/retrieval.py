@@ -2,10 +2,9 @@
 
 All lanes of a plan are evaluated in one pass over the filtered observations: a lane is an expression, and a row
 carries the lanes it satisfies. Only the best ``per_lane`` rows of a lane leave a task (limited window), so what is
-fused, grouped and diversified is bounded by 24 lanes times 50 rows per plan, whatever the data.
+fused, grouped and diversified is bounded by the plan's own lanes and ``per_lane``, whatever the data.
 """
 
-import itertools
 import json
 from dataclasses import dataclass
 from functools import reduce
@@ -19,49 +18,52 @@ from sourcemart.operators.textindex import WEIGHT, bm25, corpus_statistics
 from sourcemart.plans.search import Pool, hard_filter
 from sourcemart.session import settle
 
-# Bounds of a plan and the constant of the rank fusion.
-MAX_LANES, MAX_VARIANTS, MAX_EXPANDED, MAX_LIMIT = 8, 4, 24, 50
+VARIANTS = 4  # default of a plan's ``variants``: forms of a lane's query that its synonyms may give; null for all
+# Fixed value: the constant of the rank fusion.
 FUSION = 60
 CARRIED = ["name", "category", "brand", "doc_id", "record_key", "amount", "product_group"]
 STABLE = ["doc_id", "record_key", "id"]
 
 
 def check_plan(plan: dict) -> dict:
-    unknown = set(plan) - {"version", "hard", "lanes", "limit", "per_lane", "diversity", "group_products"}
+    """The plan with its defaults. ``limit``, ``per_lane`` and ``variants`` are the caller's to choose, as is the number of
+    lanes; what is fused is bounded by lanes times ``per_lane``."""
+    unknown = set(plan) - {"version", "hard", "lanes", "limit", "per_lane", "variants", "diversity", "group_products"}
     if unknown or plan.get("version") != 1:
         raise ValueError("Unknown retrieval plan; version 1 required")
-    lanes, limit, per_lane = plan.get("lanes"), plan.get("limit", 10), plan.get("per_lane", 30)
-    if not isinstance(lanes, list) or not 1 <= len(lanes) <= MAX_LANES:
-        raise ValueError("A plan has 1 to 8 lanes")
-    if any(set(lane) - {"query", "scope", "category", "tags"} for lane in lanes):
+    full = {"hard": {}, "limit": 10, "variants": VARIANTS, "diversity": True, "group_products": True, **plan}
+    full.setdefault("per_lane", max(30, full["limit"]))
+    if not isinstance(full.get("lanes"), list) or not full["lanes"]:
+        raise ValueError("A plan has lanes")
+    if any(set(lane) - {"query", "scope", "category", "tags"} for lane in full["lanes"]):
         raise ValueError("A lane has query, scope, category and tags only; hard filters hold for all lanes")
-    if not 1 <= limit <= MAX_LIMIT or not limit <= per_lane <= MAX_LIMIT:
-        raise ValueError("limit is 1 to 50, per_lane from limit to 50")
-    return {"hard": {}, "diversity": True, "group_products": True, **plan, "limit": limit, "per_lane": per_lane}
-
-
-def expand_lanes(lanes: list[dict], words) -> tuple[list[dict], bool]:
-    """Every word widened to its synonyms: the first four combinations per lane, 24 lanes in all; whether any was cut."""
-    expanded, seen, clipped = [], set(), False
-    for lane in lanes:
-        choices = [words("query", term) for term in lane.get("query", "").split()]
-        variants = list(itertools.islice(itertools.product(*choices), MAX_VARIANTS + 1))
-        clipped = clipped or len(variants) > MAX_VARIANTS
-        for variant in variants[:MAX_VARIANTS]:
-            candidate = {**lane, "query": " ".join(variant)}
-            mark = json.dumps(candidate, sort_keys=True, ensure_ascii=False)
-            if mark not in seen:
-                seen.add(mark)
-                expanded.append(candidate)
-    return expanded[:MAX_EXPANDED], clipped or len(expanded) > MAX_EXPANDED
-
-
-def expand_log(log: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """log(query) -> (query, expanded): the same expansion for a whole table of queries.
-
-    Synonyms meet the log's words by an equi join; a word has at most eight forms and a query at most ten words, and
-    combinations are built word by word, kept in order and cut to the first four after each word, which gives the
-    same first four as the full product.
+    if full["limit"] < 1 or full["per_lane"] < full["limit"] or full["variants"] is not None and full["variants"] < 1:
+        raise ValueError("limit and variants are at least 1, per_lane at least limit")
+    return full
+
+
+def query_forms(query: str, words) -> list[str]:
+    """All forms of a query, each word in each of its synonyms, in the order of the words' own lists."""
+    forms = [""]
+    for term in query.split():
+        forms = [f"{form} {word}".lstrip() for form in forms for word in words("query", term)]
+    return forms
+
+
+def expand_lanes(lanes: list[dict], words, variants: int | None = VARIANTS) -> tuple[list[dict], bool]:
+    """Every lane once per form of its query, equal lanes once; and whether ``variants`` left any form out."""
+    widened = [(lane, query_forms(lane.get("query", ""), words)) for lane in lanes]
+    made = {json.dumps(one, sort_keys=True): one for lane, forms in widened
+            for one in ({**lane, "query": form} for form in forms[:variants])}
+    return list(made.values()), any(len(forms) > len(forms[:variants]) for _, forms in widened)
+
+
+def expand_log(log: DataFrame, synonyms: DataFrame, variants: int = VARIANTS) -> DataFrame:
+    """log(query) -> (query, expanded, left_out): the same expansion for a whole table of queries.
+
+    Synonyms meet the log's words by an equi join. Forms are built word by word, kept in order and cut to the first
+    ``variants`` after each word, which gives the same first ones as the full product; ``left_out`` is the number of
+    forms beyond them.
     """
     words = log.select("query", F.posexplode(F.filter(F.split(F.lower("query"), "(?U)\\s+"), lambda w: w != "")).alias("at", "word"))
     terms = synonyms.filter("kind = 'query'")
@@ -73,10 +75,12 @@ def expand_log(log: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     def longer(built, choices):
         combined = F.flatten(F.transform(built, lambda b: F.transform(choices, lambda c: F.ltrim(F.concat(b, F.lit(" "), c)))))
-        return F.slice(combined, 1, MAX_VARIANTS)
+        return F.slice(combined, 1, variants)
 
     expanded = F.aggregate("choices", F.array(F.lit("")), longer)
-    return lists.select("query", F.explode(expanded).alias("expanded"))
+    all_forms = F.aggregate("choices", F.lit(1).cast("long"), lambda n, forms: n * F.size(forms))
+    kept = lists.withColumn("kept", expanded).withColumn("left_out", all_forms - F.size("kept"))
+    return kept.select("query", F.explode("kept").alias("expanded"), "left_out")
 
 
 def lane_hits(pool: Pool, plan: dict, lanes: list[dict], link: str | None) -> DataFrame:
@@ -181,16 +185,16 @@ class Retrieval:
 def retrieve(pool: Pool, plan: dict, link: str | None = None) -> Retrieval:
     """``link`` names the observation column that holds the reviewed product group."""
     plan = check_plan(plan)
-    lanes, clipped = expand_lanes(plan["lanes"], pool.words)
+    lanes, clipped = expand_lanes(plan["lanes"], pool.words, plan["variants"])
     sort = plan["hard"].get("sort", "relevance")
     matches = lane_hits(pool, plan, lanes, link)
-    # At most 24 x 50 rows from here on: written once, so that the steps below do not run the lanes again.
+    # At most lanes x per_lane rows from here on: written once, so that the steps below do not run the lanes again.
     ranked = settle(rank_lanes(matches, plan["per_lane"], sort), "ranked")
     fused = fuse(ranked)
     order = [F.col("fused").desc(), "id"]
     if sort != "relevance":
         order = [price_order("amount", sort == "price-desc"), *order]
-    ordered = top_per_group(fused.withColumn("_all", F.lit(1)), ["_all"], order, MAX_EXPANDED * MAX_LIMIT, "place").drop("_all")
+    ordered = top_per_group(fused.withColumn("_all", F.lit(1)), ["_all"], order, len(lanes) * plan["per_lane"], "place").drop("_all")
     group = "product_group" if plan["group_products"] else "_none"
     heads = group_representatives(ordered.withColumn("_none", F.lit(None).cast("string")), [], group, "place", "id").drop("_none")
     if plan["diversity"] and sort == "relevance":

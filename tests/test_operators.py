@@ -254,7 +254,7 @@ def test_several_plans_at_once(shop):
     assert lanes.count() == 3
 
 
-@pytest.mark.parametrize("bad", [{"version": 2}, {"lanes": []}, {"lanes": [{"query": "x", "price_field": "y"}]}, {"limit": 51}, {"limit": 5, "per_lane": 4}, {"extra": 1}])
+@pytest.mark.parametrize("bad", [{"version": 2}, {"lanes": []}, {"lanes": [{"query": "x", "price_field": "y"}]}, {"limit": 0}, {"variants": 0}, {"limit": 5, "per_lane": 4}, {"extra": 1}])
 def test_bad_plans(bad):
     with pytest.raises(ValueError):
         retrieval.check_plan(plan(**bad))
@@ -266,7 +266,7 @@ def test_expansion_is_cut_and_says_so(spark, rows):
     assert [l["query"] for l in lanes] == ["a x", "a y", "b x", "b y"] and clipped
     log = spark.createDataFrame([("a x",), ("q",)], "query string")
     table = spark.createDataFrame([("query", t, g, t) for g, t in (("1", "a"), ("1", "b"), ("1", "c"), ("2", "x"), ("2", "y"))], "kind string, term string, group_key string, display string")
-    assert rows(retrieval.expand_log(log, table)) == [("a x", "a x"), ("a x", "a y"), ("a x", "b x"), ("a x", "b y"), ("q", "q")]
+    assert rows(retrieval.expand_log(log, table), "query", "expanded") == [("a x", "a x"), ("a x", "a y"), ("a x", "b x"), ("a x", "b y"), ("q", "q")]
 
 
 def test_search_modes(spark, shop):
