@@ -114,7 +114,7 @@ def _(t):
     arg_max(kind, seq) FILTER (WHERE kind IN ('turn_started', 'turn_ended', 'error')) AS turn FROM tasks GROUP BY 1)
     WHERE turn = 'turn_started' OR k IN ('turn_started', 'question', 'answered')""", "tasks"))
 def _(t):
-    return tasks.active_tasks(tasks.fold_events(t.task_events())).agg(F.count("*").alias("active"))
+    return tasks.active_tasks(tasks.fold_events(t.task_events().withColumnRenamed("request", "request_id"))).agg(F.count("*").alias("active"))
 
 
 RANKS = """ranks AS (SELECT doc_id AS id, 0 AS lane, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents

@@ -15,20 +15,37 @@ def event_stream(t):
     return read_new_files(t.spark, t.folder, t.events.schema, "{events.parquet}")
 
 
-def with_data(events):
-    """Task events with the JSON payload that the fold reads."""
-    kind = F.col("kind")
-    data = F.to_json(F.struct(F.col("request").alias("request_id"), F.when(kind == "turn_started", F.col("seq")).alias("turn_id"),
-                              F.when(kind == "turn_ended", "completed").alias("status"), F.when(kind == "error", "failed here").alias("message")))
-    return events.select("task", "seq", "kind", data.alias("data"))
+TURN_STATUS = ["completed", "interrupted", "failed", "stopped"]
+
+
+def with_payload(events):
+    """Task events with what the fold reads: turns end in every way, every third error stands for an artifact, half of them unverified."""
+    kind, seq = F.col("kind"), F.col("seq")
+    made = F.when((kind == "error") & (seq % 3 == 0), "artifact").otherwise(kind)
+    status = F.element_at(F.array(*[F.lit(s) for s in TURN_STATUS]), (seq % 4 + 1).cast("int"))
+    return events.select(
+        "task", "seq", made.alias("kind"), F.col("request").alias("request_id"), F.when(kind == "turn_started", seq.cast("string")).alias("turn_id"),
+        F.when(kind == "turn_ended", status).alias("status"), F.when(kind == "error", "failed here").alias("message"),
+        F.when(made == "artifact", F.concat(F.lit("a"), seq % 7)).alias("artifact_id"), F.when(seq % 2 == 1, "receipt").alias("verification_ref"))
 
 
-FOLDED = """e AS (SELECT task, max(seq) FILTER (WHERE kind = 'turn_ended') AS ended, max(seq) AS last_seq, count(*) AS revision, arg_max(kind, seq) AS last_kind,
-      arg_max(kind, seq) FILTER (WHERE kind IN ('turn_started', 'turn_ended', 'error')) AS turn, max(seq) FILTER (WHERE kind = 'turn_started') AS started FROM tasks GROUP BY 1),
-    q AS (SELECT task, request, max(seq) AS at, arg_max(kind, seq) AS kind FROM tasks WHERE kind IN ('question', 'answered') GROUP BY 1, 2),
+def with_data(events):
+    """The same with the payload as JSON, as a stream delivers it."""
+    rows = with_payload(events)
+    return rows.select("task", "seq", "kind", F.to_json(F.struct(*rows.columns[3:])).alias("data"))
+
+
+FOLDED = """evt AS (SELECT task, seq, CASE WHEN kind = 'error' AND seq % 3 = 0 THEN 'artifact' ELSE kind END AS kind, request, ['completed', 'interrupted', 'failed', 'stopped'][seq % 4 + 1] AS status
+      FROM tasks WHERE NOT (kind = 'error' AND seq % 3 = 0 AND seq % 2 = 0)),
+    e AS (SELECT task, max(seq) FILTER (WHERE kind = 'turn_ended') AS ended, max(seq) AS last_seq, count(*) AS revision, arg_max(kind, seq) FILTER (WHERE kind <> 'artifact') AS last_kind,
+      max(seq) FILTER (WHERE kind <> 'artifact') AS decided, max(seq) FILTER (WHERE kind = 'artifact') AS made, min(seq) FILTER (WHERE kind = 'artifact') AS first_made,
+      arg_max(status, seq) FILTER (WHERE kind = 'turn_ended') AS status,
+      arg_max(kind, seq) FILTER (WHERE kind IN ('turn_started', 'turn_ended', 'error')) AS turn, max(seq) FILTER (WHERE kind = 'turn_started') AS started FROM evt GROUP BY 1),
+    q AS (SELECT task, request, max(seq) AS at, arg_max(kind, seq) AS kind FROM evt WHERE kind IN ('question', 'answered') GROUP BY 1, 2),
     p AS (SELECT q.task, q.request FROM q JOIN e USING (task) WHERE q.kind = 'question' AND q.at > coalesce(e.ended, -1)),
-    folded AS (SELECT e.task, CASE last_kind WHEN 'turn_started' THEN 'running' WHEN 'question' THEN 'awaiting_user' WHEN 'error' THEN 'failed' WHEN 'turn_ended' THEN 'ready'
-        ELSE CASE WHEN n > 0 THEN 'awaiting_user' ELSE 'running' END END AS state, CASE WHEN turn = 'turn_started' THEN started END AS active_turn, coalesce(n, 0) AS pending, revision, last_seq
+    folded AS (SELECT e.task, CASE WHEN made > coalesce(decided, -1) AND coalesce(turn, '') <> 'turn_started' THEN 'completed' WHEN last_kind = 'turn_started' THEN 'running' WHEN last_kind = 'question' THEN 'awaiting_user'
+        WHEN last_kind = 'error' THEN 'failed' WHEN last_kind = 'turn_ended' THEN CASE WHEN status = 'interrupted' THEN 'interrupted' WHEN status <> 'completed' THEN 'failed' WHEN first_made < ended THEN 'completed' ELSE 'ready' END
+        WHEN n > 0 THEN 'awaiting_user' ELSE 'running' END AS state, CASE WHEN turn = 'turn_started' THEN cast(started AS VARCHAR) END AS active_turn, coalesce(n, 0) AS pending, revision, last_seq
       FROM e LEFT JOIN (SELECT task, count(*) AS n FROM p GROUP BY 1) USING (task))"""
 
 
@@ -36,29 +53,30 @@ def folded_sql(body):
     return sql("", "tasks").rstrip() + ",\n" + FOLDED + "\n" + body
 
 
-STREAMED = folded_sql("SELECT cast(task AS VARCHAR) AS task, state, cast(active_turn AS VARCHAR) AS active_turn, pending, revision, last_seq FROM folded")
+WHOLE = folded_sql("SELECT * FROM folded")
 SHOWN = ["task", "state", "active_turn", "pending", "revision", "last_seq"]
 
 
-@check("st_fold", STREAMED)
+def streamed(t, events, purpose):
+    facts = tasks.task_facts(tasks.read_payload(with_data(events)))
+    return tasks.task_state(tasks.merge_facts(tasks.run_available(facts, scratch_path(t.spark, purpose), "update"))).select(*SHOWN)
+
+
+@check("st_fold", WHOLE)
 def _(t):
-    folded = tasks.fold_stream(with_data(task_events(event_stream(t))))
-    rows = tasks.run_available(folded, scratch_path(t.spark, "fold"), "update").select(*SHOWN)
-    return latest(rows, ["task"], ["last_seq", "revision"])
+    return streamed(t, task_events(event_stream(t)), "fold")
 
 
-@check("st_replay_guard", STREAMED)
+@check("st_replay_guard", WHOLE)
 def _(t):
     # Every event is delivered twice; the second delivery changes nothing.
-    once = with_data(task_events(event_stream(t)))
-    twice = once.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
-    rows = tasks.run_available(tasks.fold_stream(twice), scratch_path(t.spark, "replay"), "update").select(*SHOWN)
-    return latest(rows, ["task"], ["last_seq", "revision"])
+    once = task_events(event_stream(t))
+    return streamed(t, once.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery"), "replay")
 
 
-@check("st_fold_batch", folded_sql("SELECT * FROM folded"))
+@check("st_fold_batch", WHOLE)
 def _(t):
-    return tasks.fold_events(t.task_events())
+    return tasks.fold_events(with_payload(t.task_events())).select(*SHOWN)
 
 
 @check("st_dedup", sql("SELECT DISTINCT task, kind, request FROM tasks", "tasks"))
@@ -108,7 +126,7 @@ def _(t):
 def _(t):
     events = t.task_events()
     receipts = events.filter("kind IN ('answered', 'error')").select("task", "request", F.when(F.col("kind") == "answered", "accepted").otherwise("completed").alias("state")).distinct()
-    after, settled = tasks.recover(tasks.fold_events(events), receipts)
+    after, settled = tasks.recover(tasks.fold_events(with_payload(events)), receipts)
     failed = settled.filter("state = 'failed'").groupBy("task").agg(F.count("*").alias("failed_receipts"))
     return after.join(failed, "task", "left").select("task", "state", "pending", "revision", F.coalesce("failed_receipts", F.lit(0)).alias("failed_receipts"))
 
@@ -140,7 +158,7 @@ def _(t):
       WHERE t.kind = 'question') a JOIN folded f USING (task) WINDOW good AS (PARTITION BY a.task ORDER BY candidate DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""))
 def _(t):
     events = t.task_events()
-    snapshots = tasks.fold_events(events)
+    snapshots = tasks.fold_events(with_payload(events))
     receipts = events.filter("kind = 'answered'").groupBy("task", F.col("request").alias("request_id")).agg(F.concat(F.lit("h"), F.min(F.col("seq") % 2)).alias("payload_hash"))
     actions = events.filter("kind = 'question'").join(snapshots.select("task", "revision"), "task").select(
         "task", F.col("request").alias("request_id"), "seq", F.concat(F.lit("h"), F.col("seq") % 2).alias("payload_hash"),
