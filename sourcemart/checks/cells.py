@@ -174,11 +174,11 @@ def _(t):
     return cells.unmapped_columns(*records(t))
 
 
-@check("asset_membership", f"""WITH {GRID} SELECT doc, cast("row" // 4 AS BIGINT) AS record, arg_min(sha256(p_type), "row") AS main, count(DISTINCT p_type) AS images,
-    CASE WHEN count(DISTINCT p_type) > 1 THEN '同记录多图:product_image:' || count(DISTINCT p_type) || ';首张用于主图,其余保留' END AS issue FROM grid WHERE sheet = 's0' GROUP BY 1, 2""")
+@check("asset_membership", f"""WITH {GRID} SELECT doc, sheet, cast("row" // 4 AS BIGINT) AS record, arg_min(sha256(p_type), "row") AS main, count(DISTINCT p_type) AS images,
+    CASE WHEN count(DISTINCT p_type) > 1 THEN '同记录多图:product_image:' || count(DISTINCT p_type) || ';首张用于主图,其余保留' END AS issue FROM grid GROUP BY 1, 2, 3""")
 def _(t):
-    refs = grid(t).filter("sheet = 's0'").select("doc", F.floor(F.col("row") / 4).alias("record"), F.lit("product_image").alias("role"), "row", F.lit(1).alias("col"), F.sha2("p_type", 256).alias("sha256"))
-    return cells.assets(refs).select("doc", "record", "main", "images", "issue")
+    refs = grid(t).select("doc", "sheet", F.floor(F.col("row") / 4).alias("record"), F.lit("product_image").alias("role"), "row", F.lit(1).alias("col"), F.sha2("p_type", 256).alias("sha256"))
+    return cells.assets(refs).select("doc", "sheet", "record", "main", "images", "issue")
 
 
 @check("decorate", """SELECT p_partkey AS id, CASE WHEN p_size > 10 THEN p_brand WHEN p_partkey % 3 = 0 THEN 'House' WHEN p_partkey % 3 = 1 THEN 'Guest' ELSE '' END AS brand,

@@ -22,11 +22,12 @@ def texts(t):
     """All texts of the tables that hold any, with where they come from."""
     return (t.documents.select(F.concat(F.lit("documents/"), "doc_id").alias("location"), "text")
             .unionByName(t.pages.select(F.concat(F.lit("pages/"), "page_id").alias("location"), F.concat_ws("\n", "url", "html").alias("text")))
+            .unionByName(t.benchmark.select(F.concat(F.lit("benchmark/"), "item_id").alias("location"), "text"))
             .unionByName(t.conversations.select(F.concat_ws("/", F.lit("conversations"), "conv_id", "turn").alias("location"), "text")))
 
 
 @check("audit_secrets", """WITH texts AS (SELECT 'documents/' || doc_id AS location, text FROM documents UNION ALL SELECT 'pages/' || page_id, url || chr(10) || html FROM pages
-    UNION ALL SELECT 'conversations/' || conv_id || '/' || turn, text FROM conversations)
+    UNION ALL SELECT 'benchmark/' || item_id, text FROM benchmark UNION ALL SELECT 'conversations/' || conv_id || '/' || turn, text FROM conversations)
     """ + FINDINGS)
 def _(t):
     return governance.audit_secrets(texts(t))
@@ -46,10 +47,10 @@ def _(t):
     return governance.audit_paths(t.documents.select(path.alias("path")))
 
 
-@check("reconcile_parts", """SELECT doc_id AS id, CASE WHEN lang = 'de' THEN 'title' ELSE 'text' END AS problem FROM documents JOIN labels USING (doc_id)
+@check("reconcile_parts", """SELECT doc_id AS id, CASE WHEN lang = 'de' THEN 'title' ELSE 'text' END AS problem FROM documents LEFT JOIN labels USING (doc_id)
     WHERE toxic = 1 OR lang = 'de'""")
 def _(t):
-    docs = t.documents.join(t.labels, "doc_id").filter(F.trim(F.regexp_replace("text", "(?U)\\s+", "")) != "")
+    docs = t.documents.join(t.labels, "doc_id", "left").filter(F.trim(F.regexp_replace("text", "(?U)\\s+", "")) != "")
     staged = docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("title"), "text")
     parts = docs.select(F.col("doc_id").alias("id"), "lang", "toxic", F.concat_ws(" ", "lang", "source").alias("title"), F.posexplode(paginate("text")).alias("part", "text"))
     first = F.col("part") == 0

@@ -44,10 +44,11 @@ def audit_secrets(docs: DataFrame, location="location", text="text") -> DataFram
 
 
 def audit_versions(versions: DataFrame, location="location", text="text") -> DataFrame:
-    """Scan each distinct content once and report it for its first location."""
-    once = versions.groupBy(F.sha2(text, 256).alias("content_hash")).agg(
-        F.min(location).alias(location), F.min(text).alias(text), F.count("*").alias("versions"))
-    return once.select(location, "versions", F.explode(findings(text)).alias("rule"))
+    """Broken rules of each distinct content, for its first location. Contents without any are dropped before the shuffle, which
+    carries hashes and rule names, never texts."""
+    broken = versions.select(location, F.sha2(text, 256).alias("_content"), findings(text).alias("_rules")).filter(F.size("_rules") > 0)
+    once = broken.groupBy("_content", "_rules").agg(F.min(location).alias(location), F.count("*").alias("versions"))
+    return once.select(location, "versions", F.explode("_rules").alias("rule"))
 
 
 def private_path(path) -> Column:

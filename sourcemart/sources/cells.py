@@ -253,10 +253,10 @@ def assign_ids(records: DataFrame, source: str, order: list[str]) -> DataFrame:
 
 
 def assets(refs: DataFrame) -> DataFrame:
-    """refs(doc, record, role, row, col, sha256): per role the main image, the number of distinct ones and an issue
-    when there is more than one."""
-    once = refs.groupBy("doc", "record", "role", "sha256").agg(F.min(F.struct("row", "col")).alias("at"))
-    found = once.groupBy("doc", "record", "role").agg(F.min_by("sha256", "at").alias("main"), F.count("*").alias("images"))
+    """refs(doc, sheet, record, role, row, col, sha256): per record and role the main image, the number of distinct ones and
+    an issue when there is more than one."""
+    once = refs.groupBy("doc", "sheet", "record", "role", "sha256").agg(F.min(F.struct("row", "col")).alias("at"))
+    found = once.groupBy("doc", "sheet", "record", "role").agg(F.min_by("sha256", "at").alias("main"), F.count("*").alias("images"))
     note = F.concat(F.lit("同记录多图:"), F.col("role"), F.lit(":"), F.col("images"), F.lit(";首张用于主图,其余保留"))
     return found.withColumn("issue", F.when(F.col("images") > 1, note))
 
