@@ -29,6 +29,7 @@ FREQUENT_LEAST = 5
 SKETCH_WORDS = 8             # 64-bit words of a sketch
 BROADCAST_ROWS = 1_000_000
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+BEFORE = 4                   # frequent shingles before its own that an entry carries
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -191,10 +192,12 @@ def light_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def heavy_entries(classes: DataFrame, percent: int) -> DataFrame:
-    """Frequent prefix shingles with the class's size band; similar sets are in the same or in neighbouring bands."""
+    """Frequent prefix shingles with the class's size band and the shingles before them; similar sets are in the same or in neighbouring bands."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
-    return (classes.filter(F.size("heavy") > 0).select(F.size("light").alias("rare"), F.posexplode("heavy").alias("at", "key"), band.alias("band"), "rep", "n", *SKETCH)
-            .withColumn("at", F.col("at") + F.col("rare")).drop("rare"))
+    return (classes.filter(F.size("heavy") > 0)
+            .select(F.size("light").alias("rare"), "heavy", F.posexplode("heavy").alias("at", "key"), band.alias("band"), "rep", "n", *SKETCH)
+            .withColumn("before", F.slice("heavy", F.greatest(F.lit(1), F.col("at") + 1 - BEFORE), F.least(F.lit(BEFORE), F.col("at"))))
+            .withColumn("at", F.col("at") + F.col("rare")).drop("rare", "heavy"))
 
 
 def first_shared(a: str, b: str, percent: int) -> Column:
@@ -218,7 +221,11 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def crossing_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a frequent shingle across components: whoever is outside a band's main component against all there."""
+    """Pairs that share a frequent shingle across components: whoever is outside a band's main component against all there.
+
+    Both roles of a pair would find it, and so would every shingle they share. It is made in one role, and not at a shingle
+    with a shared one shortly before it: that one stands earlier in both prefixes and passes wherever this one does.
+    """
     named = labels.select(F.col("node").alias("rep"), "label")
     marked = settle(entries.join(broadcast_if(named, BROADCAST_ROWS), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "marked")
     per_label = marked.groupBy("key", "band", "label").agg(F.count("*").alias("held"))
@@ -229,8 +236,9 @@ def crossing_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataF
     out = None
     for left, right in ((visitors.filter("label <> main"), hosts), (visitors.filter("label = main"), hosts.filter("label <> main"))):
         x, y = left.alias("x"), right.alias("y")
-        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label"))
-                       & close_sizes("x.n", "y.n", percent) & first_shared("x", "y", percent) & close_sketches("x", "y", percent))
+        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))
+                       & (F.col("x.label") != F.col("y.label")) & close_sizes("x.n", "y.n", percent) & first_shared("x", "y", percent)
+                       & close_sketches("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
         found = found.select(*ordered_pair(F.col("x.rep"), F.col("y.rep")))
         out = found if out is None else out.union(found)
     return out.distinct()
