@@ -304,8 +304,10 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col="doc_id
     """
     rows = settle(sets_of(docs, id_col, text_col, width, percent), "rows")
     key = ["n", "d1", "d2"]
-    best = rows.filter("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")).select(*key, F.col("best.row").alias("best"))
-    copies = rows.filter("n > 0").select(*key, "row").join(best, key).filter("row <> best").select("row")
+    best = (rows.filter("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.count("*").alias("held"))
+            .filter("held > 1").select(*key, F.col("best.row").alias("best")))
+    # Only sets held more than once meet the rows again, so a set with very many copies is reduced where its rows are.
+    copies = rows.filter("n > 0").select(*key, "row").join(broadcast_if(settle(best, "best"), BROADCAST_ROWS), key).filter("row <> best").select("row")
     # Copies are few beside the rows, whose prefixes stay where they are.
     classes = rows.filter("n > 0").join(broadcast_if(settle(copies, "copies"), BROADCAST_ROWS), "row", "left_anti").withColumnRenamed("row", "rep")
     sketches = classes.select("rep", "n", *SKETCH)
