@@ -1,8 +1,10 @@
 """Main text of web pages from parser events: text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-A line is the text between two block borders. Each line has a ratio of characters to tags; the ratios are smoothed along the
-page and split into two clusters by a threshold. Lines of the upper cluster mark the content region: the article (or else
-the smallest container) that holds them, of which every line is kept that no boilerplate container holds.
+A line is the text between two block borders. Each line has a ratio of characters outside links to tags; the ratios are smoothed along the
+page and split into two clusters by a threshold. Lines of the upper cluster are content, on every page. Short lines are joined
+to them again: those beside a chosen line in the same container, and those between chosen lines that stand in a section, quote,
+list or table; not those that are links for the most part.
+Tags and classes are a filter besides: boilerplate containers, and what stands outside an article that holds most of the content.
 """
 
 import re
@@ -15,7 +17,8 @@ from pyspark.sql import DataFrame
 
 SIGMA = 1.0
 RADIUS = 2
-HOLDS = 0.9  # share of the selected characters that the region's container holds at least
+HOLDS = 0.5  # share of the chosen characters that articles must hold to count as the region; else all of the page does
+LINKED = 0.5  # a line that isn't chosen and has more than this share of its characters in links is never joined again
 
 # Elements of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,6 +29,7 @@ CONTAINERS = frozenset("""article aside blockquote body center details dialog di
 html main menu nav ol section table ul""".split())
 DROPPED = frozenset("""aside button canvas datalist dialog fieldset footer form head iframe menu nav noscript object script
 select style svg template textarea title""".split())
+JOINED = frozenset("blockquote dl figure ol section table ul".split())
 # Words in class, id or role that name what isn't the article.
 NOT_ARTICLE = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
 consent contentinfo cookie cookies disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation
@@ -35,23 +39,25 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, dropped, container). Containers form a tree in ``parents``."""
+    """Collects lines: (text, tags, dropped, container, characters in links). Containers form a tree in ``parents``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.parents, self.names = [-1], [""]
         self.stack: list[tuple[str, bool, int]] = [("", False, 0)]
         self.parts: list[str] = []
         self.tags = 0
         self.articles = 0
+        self.in_link, self.linked = False, 0
 
     def cut(self):
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
             _, dropped, container = self.stack[-1]
-            self.lines.append((text, self.tags, dropped, container))
+            self.lines.append((text, self.tags, dropped, container, self.linked))
             self.tags = 0
+        self.linked = 0
         self.parts.clear()
 
     def marked(self, tag, attrs) -> bool:
@@ -76,6 +82,8 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
+        if tag == "a" or tag in CONTAINERS:  # a link left open ends with the container
+            self.in_link = tag == "a"
         name, dropped, container = self.stack[-1]
         drop = dropped or self.marked(tag, attrs)
         if tag in CONTAINERS:
@@ -100,6 +108,8 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
+        if tag == "a" or tag in CONTAINERS:
+            self.in_link = False
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 self.cut()
@@ -112,6 +122,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.parts.append(data)
+        if self.in_link:
+            self.linked += len("".join(data.split()))
 
 
 def smoothed(ratios: np.ndarray, sigma=SIGMA, radius=RADIUS) -> np.ndarray:
@@ -134,43 +146,55 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
-def main_text(html: str) -> str:
-    """Blocks of the content region, joined by an empty line; empty if the page has none."""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.cut()
-    lines = parser.lines
+def content_lines(parser: Lines) -> list[int]:
+    """Numbers of the lines that are content, by their smoothed ratios."""
+    lines, parents, names = parser.lines, parser.parents, parser.names
     usable = [i for i, line in enumerate(lines) if not line[2]]
     if not usable:
-        return ""
-    ratios = np.array([0.0 if dropped else len(text) / max(1, tags) for text, tags, dropped, _ in lines])
+        return []
+    ratios = np.array([0.0 if dropped else max(0, len(text) - linked) / max(1, tags) for text, tags, dropped, _, linked in lines])
     smooth = smoothed(ratios)
     border = threshold(smooth)
-    chosen = [i for i in usable if smooth[i] >= border] or usable
+    plain = lambda i: lines[i][4] <= LINKED * len("".join(lines[i][0].split()))
+    # Smoothing must not lift a line of links, or a container of its own, into the content beside it.
+    strong = {lines[i][3] for i in usable if smooth[i] >= border and ratios[i] >= border}
+    chosen = [i for i in usable if smooth[i] >= border and (ratios[i] >= border or plain(i) and lines[i][3] in strong)]
+    chosen = chosen or [i for i in usable if smooth[i] >= border] or usable
     weight: dict[int, int] = {}
     for i in chosen:
         at = lines[i][3]
         while at >= 0:
             weight[at] = weight.get(at, 0) + len(lines[i][0])
-            at = parser.parents[at]
-    total = weight[0]
-    named = [c for c in weight if parser.names[c] in ("article", "main")]
+            at = parents[at]
+
+    def inside(at, region):
+        while at >= 0 and at not in region:
+            at = parents[at]
+        return at >= 0
+
+    named = [c for c in weight if names[c] in ("article", "main")]
     if named:
         # Nested articles count with the outer one; a teaser list beside the article holds little text.
         best = max(weight[c] for c in named)
         region = {c for c in named if weight[c] >= 0.5 * best}
-    else:
-        region = {max((c for c in weight if weight[c] >= HOLDS * total), key=lambda c: (c, weight[c]))}
-    whole = not named and parser.names[next(iter(region))] in ("", "html", "body")
-    out = []
+        held = [i for i in chosen if inside(lines[i][3], region)]
+        if sum(len(lines[i][0]) for i in held) >= HOLDS * weight[0]:
+            chosen, usable = held, [i for i in usable if inside(lines[i][3], region)]
+    kept, beside = set(chosen), {lines[i][3] for i in chosen}
     for i in usable:
-        at = lines[i][3]
-        while at >= 0 and at not in region:
-            at = parser.parents[at]
-        if at >= 0 and (not whole or chosen[0] <= i <= chosen[-1]):
-            out.append(lines[i][0])
-    return "\n\n".join(out)
+        at, between = lines[i][3], chosen[0] < i < chosen[-1]
+        if i not in kept and plain(i) and (at in beside and (between or names[at] not in ("", "html", "body")) or between and names[at] in JOINED):
+            kept.add(i)
+    return sorted(kept)
+
+
+def main_text(html: str) -> str:
+    """Content lines, joined by an empty line; empty if the page has none."""
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser.cut()
+    return "\n\n".join(parser.lines[i][0] for i in content_lines(parser))
 
 
 def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:

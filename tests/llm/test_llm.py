@@ -287,6 +287,20 @@ def test_pages(spark):
     assert html_text.extract_pages(frame.limit(0)).count() == 0
 
 
+def test_pages_by_ratio():
+    """The ratios choose with an article and without: boilerplate that no tag or class names goes, short lines of the text stay."""
+    text = [f"Paragraph {k} " + "goes on with words " * (3 + 7 * k) + "to its end." for k in range(5)]
+    text[3:3] = ["It is."]
+    unnamed = "<div><a href=/x>Share this</a> <a href=/y>Send it on</a> <a href=/z>Print</a></div>"
+    body = unnamed.join(f"<p>{t}</p>" for t in text)
+    menu = "<div><ul>" + "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in range(9)) + "</ul></div>"
+    for tag in ("article", "div", "section"):
+        page = f"<html><body>{menu}<{tag}><h1>A head line</h1>{body}</{tag}>{menu}</body></html>"
+        assert html_text.main_text(page).split("\n\n") == ["A head line", *text], tag
+    two = f"<body>{menu}<div><p>{text[4]}</p></div>{menu}<div><p>{text[5]}</p></div>{menu}</body>"
+    assert html_text.main_text(two).split("\n\n") == [text[4], text[5]]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
