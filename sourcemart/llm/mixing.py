@@ -1,25 +1,32 @@
 """Mixing sources to target weights by a Pfair schedule (DataFrame functions only).
 
-Documents of a source are put in a fixed random order and cut into blocks. Block k of a source with weight w may run in the
-slots from its release floor((k-1)/w) up to its deadline ceil(k/w); one block runs per slot, earliest deadline first. Then
-no source is ever a whole block away from its share. Weights are fractions of a common period, so the schedule of one
-period repeats, and the schedule itself is a small table: sources x phases, a phase ending when a source runs out (the
-others then share its weight). Documents find their slot by their number within their source. Every document stays.
+Documents of a source are put in a fixed random order and cut into blocks. Let fluid time run in which every source that is
+not yet out gets its share of each slot by its weight; block k of a source may run from the slot in which the fluid share
+reaches k - 1 blocks (release) to the slot in which it reaches k (deadline). One block runs per slot, earliest deadline first.
+Then no source is ever a whole block away from its share. When a source runs out, the others share its weight. Releases and
+deadlines are exact: weights are ratios of whole numbers. The schedule is a table of one row per block, made in slot order
+and written in parts, so the driver holds the sources and one part. Documents find their block by their number within their
+source. Every document stays.
 """
 
 import heapq
+import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sourcemart.llm.common import free_name, settle
+from sourcemart.llm.common import broadcast_if, free_name, settle, shared_folder
 
-PERIOD = 1000        # weights are rounded to multiples of 1/PERIOD, at least one each
+PERIOD = 1000        # of whole parts, for weights that repeat
 BLOCK_ROWS = 16
 POWER = 0.7          # default target weight of a source: its number of documents to this power
 BUCKET_ROWS = 512    # rows that are numbered together, until MOST_BUCKETS is reached
 MOST_BUCKETS = 20_000
-MOST_SOURCES = 5_000
+PART_BLOCKS = 200_000  # blocks of the schedule that are written together
+BROADCAST_ROWS = 50_000
 LEVEL_SEED = 20_241
 
 
@@ -39,44 +46,73 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return parts
 
 
-def period_slots(parts: dict[str, int]) -> dict[str, list[int]]:
-    """Earliest deadline first over one period: the slots of each source, in order."""
-    period = sum(parts.values())
-    release = lambda s, k: (k - 1) * period // parts[s]
-    deadline = lambda s, k: -(-k * period // parts[s])
-    waiting = [(0, s, 1) for s in parts]
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The same weights, exactly, as whole numbers."""
+    ratios = {s: w.as_integer_ratio() for s, w in weights.items()}
+    common = max((below for _, below in ratios.values()), default=1)  # powers of two, or one
+    return {s: above * (common // below) for s, (above, below) in ratios.items()}
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, number of its block), slot by slot.
+
+    At fluid time v a source has had min(weight * v, its blocks), so block k ends at v = k / weight, in the slot
+    finished blocks + open weight * v, where sources that were out by v are finished and the others open.
+    """
+    weight = whole({s: float(weights[s]) for s, n in blocks.items() if n})
+    # In order of running out, as fractions n / weight: two are compared by a key that is exact.
+    scale = 1 << 2 * max((w.bit_length() for w in weight.values()), default=0)
+    ends = sorted((blocks[s] * scale // w, s) for s, w in weight.items())
+    keys, finished, open_weight = [k for k, _ in ends], [0], [sum(weight.values())]
+    for _, s in ends:
+        finished.append(finished[-1] + blocks[s])
+        open_weight.append(open_weight[-1] - weight[s])
+
+    def window(s, k):
+        """Release of block k + 1 and deadline of block k."""
+        at = bisect_left(keys, k * scale // weight[s])
+        quotient, over = divmod(open_weight[at] * k, weight[s])
+        return finished[at] + quotient, finished[at] + quotient + (over > 0)
+
+    waiting = [(0, s, 1) for s in weight]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(period):
+    for slot in range(sum(blocks[s] for s in weight)):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, k), s, k))
+            heapq.heappush(ready, (window(s, k)[1], s, k))
         _, s, k = heapq.heappop(ready)
+        yield s, k - 1
+        if k < blocks[s]:
+            heapq.heappush(waiting, (window(s, k)[0], s, k + 1))
+
+
+def period_slots(parts: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source, in order, over one period of the parts."""
+    slots: dict[str, list[int]] = {s: [] for s in parts}
+    for slot, (s, _) in enumerate(schedule(parts, parts)):
         slots[s].append(slot)
-        if k < parts[s]:
-            heapq.heappush(waiting, (release(s, k + 1), s, k + 1))
     return slots
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, first slot, period, slots): one row per source and phase."""
-    left, done, start, table = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        slots = period_slots(shares({s: weights[s] for s in left}, period))
-        length = sum(map(len, slots.values()))
-        finish = {s: (n - 1) // len(slots[s]) * length + slots[s][(n - 1) % len(slots[s])] for s, n in left.items()}
-        end = min(finish.values()) + 1
-        for s in list(left):
-            n = end // length * len(slots[s]) + bisect_left(slots[s], end % length)
-            if n:
-                table.append((s, done[s], done[s] + n, start, length, slots[s]))
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start += end
-    return table
+def schedule_table(spark: SparkSession, counts: dict[str, int], target: dict[str, float], block_rows: int) -> DataFrame:
+    """(_source, _block, slot, _first): one row per block; ``_first`` is the position of its first row."""
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    path, slot, start = f"{shared_folder(spark)}/schedule-{uuid.uuid4().hex}", 0, 0
+    run = schedule(blocks, target)
+    schema = pa.schema([("_source", pa.string()), ("_block", pa.int64()), ("slot", pa.int64()), ("_first", pa.int64())])
+    while slot % PART_BLOCKS == 0:  # ends with a part that isn't full, be it empty
+        part = list(islice(run, PART_BLOCKS))
+        starts = []
+        for s, k in part:
+            starts.append(start)
+            start += min(block_rows, counts[s] - k * block_rows)
+        columns = [[s for s, _ in part], [k for _, k in part], range(slot, slot + len(part)), starts]
+        spark.createDataFrame(pa.table(list(map(pa.array, columns, schema.types)), schema=schema)).write.mode("append").parquet(path)
+        slot += len(part)
+        if not part:
+            break
+    return spark.read.schema("_source string, _block long, slot long, _first long").parquet(path)
 
 
 def numbered_in_source(docs: DataFrame, id_col: str, source_col: str, seed: int):
@@ -87,14 +123,13 @@ def numbered_in_source(docs: DataFrame, id_col: str, source_col: str, seed: int)
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
                         F.monotonically_increasing_id().alias("_row"))
     keyed = settle(keyed.withColumn("_order", F.xxhash64(F.lit(seed), "_id", F.when(F.col("_id").isNull(), F.col("_row")))), "mix")
-    counts = {r["_source"]: r["n"] for r in keyed.groupBy("_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"More than {MOST_SOURCES} sources: group them first")
+    counts = {r["_source"]: r["n"] for r in keyed.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return keyed.withColumn("_number", F.lit(0).cast("long")), counts
     rows = max(BUCKET_ROWS, -(-sum(counts.values()) // MOST_BUCKETS))
     spark = docs.sparkSession
-    many = F.broadcast(spark.createDataFrame([(s, -(-n // rows)) for s, n in counts.items()], "_source string, _buckets int"))
+    small = F.broadcast if len(counts) + MOST_BUCKETS <= BROADCAST_ROWS else lambda frame: frame
+    many = small(spark.createDataFrame([(s, -(-n // rows)) for s, n in counts.items()], "_source string, _buckets int"))
     # The upper bits of the order choose the bucket, so buckets follow one another in the order.
     share = F.shiftrightunsigned("_order", 11) / F.lit(float(1 << 53))
     dealt = keyed.join(many, "_source").withColumn("_bucket", F.least(F.floor(share * F.col("_buckets")), F.col("_buckets") - 1).cast("int"))
@@ -104,11 +139,11 @@ def numbered_in_source(docs: DataFrame, id_col: str, source_col: str, seed: int)
     place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy(F.shiftrightunsigned("_order", 11), "_order", "_id", "_row")) - 1
     inside = dealt.withColumn("_place", place)
     # Bounded: at most MOST_BUCKETS plus one per source.
-    return inside.join(F.broadcast(starts), ["_source", "_bucket"]).withColumn("_number", (F.col("_place") + F.col("_start")).cast("long")), counts
+    return inside.join(small(starts), ["_source", "_bucket"]).withColumn("_number", (F.col("_place") + F.col("_start")).cast("long")), counts
 
 
 def mix_positions(docs: DataFrame, weights: dict[str, float] | None = None, id_col="doc_id", source_col="source",
-                  block_rows=BLOCK_ROWS, power=POWER, period=PERIOD, seed=LEVEL_SEED) -> DataFrame:
+                  block_rows=BLOCK_ROWS, power=POWER, seed=LEVEL_SEED) -> DataFrame:
     """One row per row of ``docs``: id, source, block, slot, position, weight.
 
     ``position`` numbers the mixed rows from 0 without gaps. ``weights`` names target weights per source, for sources not
@@ -119,31 +154,15 @@ def mix_positions(docs: DataFrame, weights: dict[str, float] | None = None, id_c
         raise ValueError("weights must be positive")
     numbered, counts = numbered_in_source(docs, id_col, source_col, seed)
     target = {s: float((weights or {}).get(s, n ** power)) for s, n in counts.items()}
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    table = schedule(blocks, target, period)
-    # Only a source's last block may be short, and every phase ends with the last block of one source.
-    lacking = {}
-    for source, _, end, first, _, _ in table:
-        if end == blocks[source]:
-            lacking[first] = blocks[source] * block_rows - counts[source]
-    shift, short = {}, 0
-    for first in sorted({row[3] for row in table}):
-        shift[first] = short
-        short += lacking.get(first, 0)
     total = sum(target.values()) or 1.0
     spark = docs.sparkSession
-    frame = F.broadcast(spark.createDataFrame(
-        [(s, a, b, first, length, slots, shift[first], target[s] / total) for s, a, b, first, length, slots in table],
-        "_source string, _from long, _to long, _first long, _period long, _slots array<long>, _short long, weight double"))
-    block = F.floor(F.col("_number") / block_rows)
-    step = F.col("_block") - F.col("_from")
-    per = F.size("_slots")
-    placed = (numbered.withColumn("_block", block).join(frame, "_source")
-              .filter((F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to")))
-              .withColumn("slot", F.col("_first") + F.floor(step / per) * F.col("_period") + F.get("_slots", (step % per).cast("int"))))
-    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_block").cast("long").alias("block"),
-                         F.col("slot").cast("long"), (F.col("slot") * block_rows - F.col("_short") + F.col("_number") % block_rows)
-                         .cast("long").alias("position"), "weight")
+    blocks = schedule_table(spark, counts, target, block_rows)
+    weight = spark.createDataFrame([(s, w / total) for s, w in target.items()], "_source string, weight double")
+    weight = F.broadcast(weight) if len(target) <= BROADCAST_ROWS else weight
+    placed = (numbered.withColumn("_block", F.floor(F.col("_number") / block_rows))
+              .join(broadcast_if(blocks, BROADCAST_ROWS), ["_source", "_block"]).join(weight, "_source"))
+    return placed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_block").cast("long").alias("block"), "slot",
+                         (F.col("_first") + F.col("_number") % block_rows).cast("long").alias("position"), "weight")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col="doc_id", source_col="source", **options) -> DataFrame:

@@ -204,6 +204,29 @@ def test_schedule_deviates_less_than_one_block():
         assert all(abs(seen[x] - t * parts[x] / 1000) < 1 for x in parts)
 
 
+def test_mixing_deviates_less_than_one_block_from_the_target(spark):
+    """Many skewed sources, against the targets themselves; whoever runs out leaves its weight to the others."""
+    counts = {"big": 2500, "mid": 400, **{f"s{i}": 1 + i % 7 for i in range(60)}}
+    weights = {s: n ** 0.7 if s != "big" else 2000.7 for s, n in counts.items()}
+    rows = [(f"{s}-{i}", s) for s, n in counts.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id string, source string")
+    found = mixing.mix_positions(frame, block_rows=1, weights=weights).orderBy("position").collect()
+    assert [r.position for r in found] == [r.slot for r in found] == list(range(len(rows)))
+    fluid, seen = dict.fromkeys(counts, 0.0), collections.Counter()
+    for r in found:
+        seen[r.source] += 1
+        left = 1.0
+        while left > 1e-12 and (open_ := [s for s in counts if fluid[s] < counts[s] - 1e-9]):
+            total = sum(weights[s] for s in open_)
+            step = min(left, min((counts[s] - fluid[s]) * total / weights[s] for s in open_))
+            for s in open_:
+                fluid[s] += step * weights[s] / total
+            left -= step
+        assert all(abs(seen[s] - fluid[s]) < 1 + 1e-6 for s in counts)
+    many = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 5500) AS source")
+    assert sorted(r.position for r in mixing.mix_positions(many).collect()) == list(range(6000))
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, "x", "big" if i % 3 else f"s{i % 5}") for i in range(1500)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
