@@ -1,13 +1,13 @@
 """Quality rules by cross-document line frequency (DataFrame functions only).
 
 Counts per text come first (words, symbols, repeated lines and windows). Then every normalised line is hashed, the distinct
-documents that hold it are counted per host, lines above the host's limit are removed, and documents that keep too little
-are rejected. Exact copies of a text count as one document, so a copied article doesn't turn its own lines into boilerplate.
+documents that hold it are counted per host, lines above the host's limit are removed from the texts, and documents that keep
+too little are rejected. Exact copies of a text count as one document, so a copied article doesn't turn its own lines into boilerplate.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sourcemart.llm.common import broadcast_if, settle
+from sourcemart.llm.common import free_name, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -59,13 +59,20 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
     return let(words, of_words)
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(normalised(line))
+
+
+def normalised(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACE_CHARS)), SPACE, " "))
+
+
 def text_counts(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
     """One pass over the texts: the counts, a digest of the text, and the distinct normalised lines with their words."""
     raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
                       F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     split = raw.withColumn("words", words_of(F.col("text"))).withColumn(
         "lines", F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(SPACE_CHARS)) != ""))
-    line = lambda s: F.lower(F.regexp_replace(F.btrim(s, F.lit(SPACE_CHARS)), SPACE, " "))
     size = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1
     symbols = F.when(F.col("text").rlike(r"[#*$%&|<>]"), F.length("text") - F.length(F.translate("text", SYMBOLS, "")))
     return split.select(
@@ -75,7 +82,7 @@ def text_counts(docs: DataFrame, id_col="doc_id", text_col="text", host_col="sou
         F.coalesce(symbols, F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("words")).alias("n_repeat_words"),
-        F.array_distinct(F.transform(F.transform("lines", line), lambda s: F.struct(
+        F.array_distinct(F.transform(F.transform("lines", normalised), lambda s: F.struct(
             F.xxhash64(s).alias("h"), size(s).alias("w")))).alias("lines"))
 
 
@@ -87,6 +94,36 @@ def frequent_lines(counted: DataFrame, limit_share=LIMIT_SHARE, limit_least=LIMI
     return held.join(hosts, "host").filter(F.col("held") > F.col("docs") * limit_share).select("host", "h")
 
 
+def with_host_lines(rows: DataFrame, counted: DataFrame, limit_share=LIMIT_SHARE, limit_least=LIMIT_LEAST) -> DataFrame:
+    """``rows`` with ``gone``: the boilerplate lines of their ``host``, null if it has none.
+
+    A line held by more than a share of a host's documents: so there are at most 1 / share times as many as a document has
+    distinct lines on average, and a host's lines fit in one array.
+    """
+    lines = settle(frequent_lines(counted, limit_share, limit_least), "boilerplate")
+    by_host = lines.groupBy("host").agg(F.collect_list("h").alias("gone"))
+    return rows.join(F.broadcast(by_host) if lines.count() <= BROADCAST_ROWS else by_host, "host", "left")
+
+
+def without_boilerplate(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", limit_share=LIMIT_SHARE,
+                        limit_least=LIMIT_LEAST) -> DataFrame:
+    """All rows of ``docs`` with their columns, each text without the lines that are boilerplate of its host.
+
+    The lines left stay as they are and in their order; a text without such lines, a null one too, is not touched.
+    """
+    host, gone = free_name(docs, "host"), free_name(docs, "gone")
+    counted = settle(text_counts(docs, id_col, text_col, host_col).select("host", "digest", "lines"), "counts")
+    lines = with_host_lines(counted.select("host").distinct(), counted, limit_share, limit_least).filter("gone is not null")
+    lines = settle(lines.select(F.col("host").alias(host), F.col("gone").alias(gone)), "hosts")
+    held = F.split(text_col, "\n")
+    own = F.array_intersect(F.transform(held, line_hash), F.col(gone))
+    left = let(own, lambda mine: F.when(F.size(mine) == 0, F.col(text_col)).otherwise(
+        F.array_join(F.filter(held, lambda s: ~F.array_contains(mine, line_hash(s))), "\n")))
+    few = lines.agg(F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    rows = docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(F.broadcast(lines) if few else lines, host, "left")
+    return rows.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+
+
 def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", limit_share=LIMIT_SHARE,
                   limit_least=LIMIT_LEAST, left_share=LEFT_SHARE, min_words=MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: id, counts, base_failed, removed_words, kept.
@@ -96,16 +133,15 @@ def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="s
     Rows repeated whole are each judged, and count as one document. Columns besides the three named are not read.
     """
     counted = settle(text_counts(docs, id_col, text_col, host_col), "counts")
-    boilerplate = settle(frequent_lines(counted, limit_share, limit_least), "boilerplate")
-    lines = counted.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
-    removed = (lines.join(broadcast_if(boilerplate, BROADCAST_ROWS), ["host", "h"]).groupBy("row")
-               .agg(F.sum("w").cast("long").alias("removed_words")))
-    all_words = F.aggregate("lines", F.lit(0).cast("long"), lambda a, s: a + s["w"])
+    words = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, s: a + s["w"])
+    own = F.array_intersect("lines.h", F.coalesce("gone", F.array().cast("array<bigint>")))
+    removed = let(own, lambda mine: F.when(F.size(mine) == 0, F.lit(0).cast("long")).otherwise(
+        words(F.filter("lines", lambda s: F.array_contains(mine, s["h"])))))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("all_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < min_words) | (left < left_share * F.col("all_words")))
-    return (counted.withColumn("all_words", all_words).drop("lines").join(removed, "row", "left")
-            .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    return (with_host_lines(counted, counted, limit_share, limit_least)
+            .withColumn("all_words", words("lines")).withColumn("removed_words", removed).drop("lines", "gone")
             .withColumn("base_failed", failed)
             .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept")))

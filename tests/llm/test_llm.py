@@ -125,6 +125,22 @@ def test_boilerplate_lines(spark):
     assert not any(found[100 + k].kept for k in range(40)) and not found[100].base_failed
 
 
+def test_boilerplate_lines_leave_the_texts(spark, odd, none):
+    own = lambda k: "\n".join(f"own{k} line {j} " + "and words " * 3 + "of it" for j in range(6))
+    rows = [(k, f"  SHARED\tline of the host\n\n{own(k)}\nshared line  of the host\nLast line {k}", "h") for k in range(40)]
+    rows += [(100 + k, f"shared line of the host\n{own(100 + k)}", "other") for k in range(5)] + [(200, None, "h"), (201, "", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit("clash")).withColumn("gone", F.lit(1))
+    left = line_frequency.without_boilerplate(frame)
+    assert left.columns == frame.columns
+    texts, judged = {r.doc_id: r.text for r in left.collect()}, by_id(line_frequency.quality_rules(frame))
+    assert texts == {i: t if s != "h" or t is None else f"\n{own(i)}\nLast line {i}" for i, t, s in rows}
+    for i, t, _ in rows:  # the line stands twice in a text, and counts once
+        assert len((texts[i] or "").split()) == len((t or "").split()) - 2 * judged[i].removed_words
+        assert judged[i].removed_words == (5 if i < 40 else 0)
+    assert sorted(map(str, line_frequency.without_boilerplate(odd).collect())) == sorted(map(str, odd.collect()))
+    assert line_frequency.without_boilerplate(none).count() == 0
+
+
 def test_personal_data(spark, odd, none):
     tricky = "a@b.c_d@e.f.g x1.2.3.4.5 999.1.1.1 4111 1111 1111 1111, +1 (619) 555-0053! q@w 10.0.0.255.1 " + "7 " * 300 + "a@" + "b." * 3000 + "c"
     filler = [(10 + k, f"please write to user{k}@mail.example now") for k in range(12)] + [(50, "please write to boss (at) mail (dot) example now")]
