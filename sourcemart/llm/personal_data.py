@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
 Fixed patterns find the base spans, which are the seeds. The words beside the seeds are lexical patterns. Other strings of a
-fitting shape (candidates) stand beside words too, so mentions form a graph of patterns and instances. Its scores are worked
-out in rounds: a pattern is as good as the share of its instances that are believed to be of its kind; an instance is
-believed as far as its patterns are. Candidates believed at the end become spans of the patterns' kind.
+fitting shape (candidates) stand beside words too, so mentions form a graph of patterns and instances. It is worked
+through in rounds: a pattern is as good as the share of its known instances that are of its kind; a candidate is believed as
+far as its patterns are. Believed candidates are known instances in the next round and may bring in patterns that met no seed,
+until a round believes no more. They become spans of the patterns' kind.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,8 +13,7 @@ from sourcemart.llm.common import broadcast_if, settle
 from sourcemart.llm.line_frequency import let
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-MIN_SEEDS = 5          # distinct seeds that a pattern must have met
+MIN_SEEDS = 5          # distinct seeds, or candidates believed before, that a pattern must have met
 PATTERN_SCORE = 0.8    # of a pattern that may discover
 BELIEF = 0.9           # of a candidate that becomes a span
 PRIOR = 1.0            # instances counted against every pattern
@@ -123,33 +123,36 @@ def graph(rows: DataFrame) -> DataFrame:
         .withColumn("instance", F.xxhash64("instance")).groupBy("pattern", "instance", "seed", "shape").agg(F.lit(1).alias("one")).drop("one"))
 
 
-def believed_candidates(rows: DataFrame, rounds=ROUNDS) -> DataFrame:
-    """(instance, kind): candidates whose belief passes BELIEF after the rounds.
+def believed_candidates(rows: DataFrame) -> DataFrame:
+    """(instance, kind): candidates whose belief passed BELIEF in some round; a candidate keeps the kind it was first given.
 
-    In every round: score(pattern, kind) = sum of beliefs of its instances in that kind / (its instances + PRIOR);
-    belief(candidate, kind) = 1 - product over its patterns of that kind of (1 - score).
+    In every round: score(pattern, kind) = its known instances of that kind / (its known instances + PRIOR);
+    belief(candidate, kind) = 1 - product over its patterns of that kind of (1 - score). Candidates that aren't believed yet
+    speak neither for a pattern nor against it. Every round but the last believes one candidate more at least.
     """
     edges = settle(graph(rows), "edges")
-    seeds = (edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind"))
-             .agg(F.count("*").alias("seeds")))
-    total = edges.groupBy("pattern").agg(F.count("*").alias("all"))
-    # Only patterns that met enough seeds can ever discover anything.
-    viable = settle(seeds.filter(F.col("seeds") >= MIN_SEEDS).join(total, "pattern"), "patterns")
-    open_edges = (edges.filter("seed is null").join(broadcast_if(viable.select("pattern", "kind"), BROADCAST_ROWS), "pattern")
-                  .filter(F.array_contains(F.split("shape", ","), F.col("kind"))).select("pattern", "instance", "kind"))
-    open_edges = settle(open_edges, "open")
-    scores = viable.select("pattern", "kind", (F.col("seeds") / (F.col("all") + PRIOR)).alias("score"))
-    belief = None
-    for _ in range(rounds):
+    known = settle(edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("n")), "known")
+    open_edges = settle(edges.filter("seed is null").select("pattern", "instance", F.split("shape", ",").alias("shape")), "open")
+    believed = None
+    while True:
+        total = known.groupBy("pattern").agg(F.sum("n").alias("all"))
+        scores = settle(known.filter(F.col("n") >= MIN_SEEDS).join(total, "pattern")
+                        .select("pattern", "kind", (F.col("n") / (F.col("all") + PRIOR)).alias("score"))
+                        .filter(F.col("score") >= PATTERN_SCORE / 2), "scores")
         doubt = F.sum(F.log1p(-F.least("score", F.lit(0.999))))
-        belief = settle(open_edges.join(broadcast_if(scores, BROADCAST_ROWS), ["pattern", "kind"])
-                        .filter(F.col("score") >= PATTERN_SCORE / 2).groupBy("instance", "kind")
-                        .agg((1 - F.exp(doubt)).alias("belief"), F.max("score").alias("best")), "belief")
-        gained = open_edges.join(belief, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("gained"))
-        scores = settle(viable.join(gained, ["pattern", "kind"], "left").select(
-            "pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("all") + PRIOR)).alias("score")), "scores")
-    sure = belief.filter((F.col("belief") >= BELIEF) & (F.col("best") >= PATTERN_SCORE))
-    return sure.groupBy("instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"))
+        belief = (open_edges.join(broadcast_if(scores, BROADCAST_ROWS), "pattern").filter(F.array_contains("shape", F.col("kind")))
+                  .groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("belief"), F.max("score").alias("best"))
+                  .filter((F.col("belief") >= BELIEF) & (F.col("best") >= PATTERN_SCORE)))
+        sure = settle(belief.groupBy("instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind")), "sure")
+        if believed is None:
+            believed = new = sure
+        else:
+            new = settle(sure.join(believed, "instance", "left_anti"), "new")
+            believed = settle(believed.unionByName(new), "believed")
+        if new.isEmpty():
+            return believed
+        met = open_edges.join(broadcast_if(new, BROADCAST_ROWS), "instance").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+        known = settle(known.unionByName(met).groupBy("pattern", "kind").agg(F.sum("n").alias("n")), "known")
 
 
 def find_personal_data(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -163,7 +166,7 @@ def find_personal_data(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     found = whole.select("id", "row", *[c.alias(k) for k, c in base_mentions(F.col("text")).items()], candidate_mentions(F.col("text")).alias("candidates"))
     free = lambda m: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     found = settle(found.withColumn("candidates", F.filter("candidates", free)), "mentions")
-    sure = settle(believed_candidates(found), "sure")
+    sure = believed_candidates(found)
     order = {k: i for i, k in enumerate(KINDS)}
     number = lambda kind: F.when(kind == "email", 0).when(kind == "ip", 1).when(kind == "card", 2).otherwise(3)
     open_mentions = found.filter(F.size("candidates") > 0).select("row", F.explode("candidates").alias("m")).select(

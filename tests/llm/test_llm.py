@@ -168,6 +168,18 @@ def test_personal_data(spark, odd, none):
     assert personal_data.find_personal_data(none).count() == 0
 
 
+def test_personal_data_grows_by_rounds(spark):
+    """More candidates than seeds, a pattern that met no seed, and one that met two kinds."""
+    rows = [(k, f"contact user{k}@mail.example a{k}") for k in range(10)]
+    rows += [(100 + k, f"contact hidden{k} (at) mail (dot) example " + (f"b{k}" if k < 18 else "forwarded")) for k in range(30)]
+    rows += [(200 + k, f"c{k} second{k} (at) mail (dot) example forwarded") for k in range(40)]
+    rows += [(300 + k, f"mixed other{k}@mail.example d{k}") for k in range(10)] + [(400 + k, f"mixed +1 619 555 00{k} e{k}") for k in range(10, 20)]
+    rows += [(500 + k, f"mixed unsure{k} (at) mail (dot) example f{k}") for k in range(5)]
+    found = by_id(personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(found[i].n_found == (1 if 100 <= i < 300 else 0) for i, _ in rows)
+    assert found[100].spans == "email:8:39" and found[239].spans.startswith("email:4:")
+
+
 def test_packing(odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
