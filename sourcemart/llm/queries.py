@@ -60,9 +60,46 @@ def op10_exact_dedup(spark, folder):
     return exact_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_lm_score, op3_language, op4_jaccard_join, op5_html_text, op6_personal_data, op7_mixing, op8_packing, op9_line_rules, op10_exact_dedup)}
+def op11_best_fit_packing(spark, folder):
+    from sourcemart.llm.complement_packing import pack_best_fit
+    return pack_best_fit(table(spark, folder, "documents"))
+
+
+def op12_alignment(spark, folder):
+    from sourcemart.llm.alignment import align
+    return align(table(spark, folder, "documents"))
+
+
+def op13_collocations(spark, folder):
+    from sourcemart.llm.phrases import collocations
+    return collocations(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_lm_score, op3_language, op4_jaccard_join, op5_html_text, op6_personal_data, op7_mixing, op8_packing,
+                                   op9_line_rules, op10_exact_dedup, op11_best_fit_packing, op12_alignment, op13_collocations)}
 
 ORACLE_SQL = {
+    "op13_collocations": r"""WITH pieces AS (SELECT row_number() OVER () AS piece, lang, p FROM (SELECT coalesce(lang, 'und') AS lang,
+            unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+        words AS (SELECT piece, lang, unnest(w) AS w1, unnest(range(len(w))) AS i FROM
+            (SELECT piece, lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces)),
+        follow AS (SELECT lang, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)),
+        f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM follow GROUP BY ALL),
+        f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM follow WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM follow WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        longer AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        cuts AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k
+            FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+            LEFT JOIN longer o ON o.lang = f2.lang AND o.w1 = f2.w1 AND o.w2 = f2.w2 WHERE o.f IS NULL OR 100 * o.f < 50 * f2.f
+            UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 1
+            FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+            UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 2
+            FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+        best AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM cuts
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY 1000000 * a * a // (l * r), k) = 1),
+        totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+            a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM best JOIN totals USING (lang) QUALIFY rank <= 2000""",
     "op10_exact_dedup": r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
             sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha FROM documents)
         SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
