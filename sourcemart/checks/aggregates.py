@@ -3,10 +3,8 @@
 from pyspark.sql import functions as F
 
 from sourcemart.checks.base import check, sql
-from sourcemart.functions.text import normalize
-from sourcemart.operators import facets, lineage, sessions, textindex
+from sourcemart.operators import facets, lineage, sessions
 from sourcemart.operators.ranking import top_per_group
-from sourcemart.operators.textindex import with_gram_count
 from sourcemart.plans.retrieval import fuse
 from sourcemart.sources import intake
 from sourcemart.streaming import tasks
@@ -135,12 +133,6 @@ def _(t):
                                F.array_join(F.transform("matched_lanes", lambda l: l.cast("string")), ",").alias("lanes"))
 
 
-def library(t):
-    """Documents as a two-column text corpus: the first line is the name, the whole text is the body."""
-    d = t.documents.select(F.col("doc_id").alias("id"), normalize(F.substring_index("text", "\n", 1)).alias("name_norm"), normalize("text").alias("all_norm"))
-    return with_gram_count(d)
-
-
 LIBRARY = r"""lib AS (SELECT doc_id AS id, trim(regexp_replace(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss'), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')) AS name_norm,
       trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')) AS all_norm FROM documents),
     toks AS (SELECT id, col, unnest([c, c || lead(c) OVER (PARTITION BY id, col ORDER BY i)]) AS g FROM (
@@ -159,7 +151,7 @@ LIBRARY = r"""lib AS (SELECT doc_id AS id, trim(regexp_replace(replace(lower(spl
     SELECT lib.id, floor(-(SELECT sum(w) FROM idf) * cast(2.2 AS DOUBLE) / (1 + cast(1.2 AS DOUBLE) * (cast(0.25 AS DOUBLE) + cast(0.75 AS DOUBLE) * lens.l / avgl.a)) * 1000000 + cast(0.5 AS DOUBLE)) / 1000000 AS score
     FROM lib JOIN lens USING (id), avgl WHERE strpos(all_norm, 'the') > 0 AND strpos(all_norm, 'tion') > 0""")
 def _(t):
-    found = textindex.relevance(library(t), ["the", "tion"], "all_norm")
+    found = t.library().find(["the", "tion"], "all_norm")
     return found.select("id", (F.floor(F.col("score") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).alias("score"))
 
 

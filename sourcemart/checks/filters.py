@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from sourcemart.checks.base import check, sql
-from sourcemart.functions.text import normalize
 from sourcemart.operators import filters, lineage, sessions
 from sourcemart.operators.overlay import effective
 
@@ -11,8 +10,7 @@ from sourcemart.operators.overlay import effective
 @check("f_terms_and", r"""SELECT doc_id FROM documents
     WHERE strpos(replace(lower(text), 'ß', 'ss'), 'the') > 0 AND strpos(replace(lower(text), 'ß', 'ss'), 'tion') > 0""")
 def _(t):
-    docs = t.documents.select("doc_id", normalize("text").alias("all_norm"))
-    return filters.by_terms(docs, "The  TION", "all").select("doc_id")
+    return t.library().find(filters.search_terms("The  TION"), filters.SCOPE_COLUMN["all"]).select(F.col("id").alias("doc_id"))
 
 
 @check("f_scope", sql("""SELECT id, strpos(name_norm, 'm-1') > 0 AND strpos(name_norm, 'red') > 0 AS in_name FROM obs

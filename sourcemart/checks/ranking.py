@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from sourcemart.checks.aggregates import LIBRARY, RANKS, library
+from sourcemart.checks.aggregates import LIBRARY, RANKS
 from sourcemart.checks.base import check, sql
-from sourcemart.operators import ranking, sets, textindex
+from sourcemart.operators import ranking, sets
 from sourcemart.operators.ranking import latest, numbered, page, price_order, top_per_group
 from sourcemart.plans.search import browse_rank
 from sourcemart.sources.cells import assign_ids
@@ -80,7 +80,7 @@ def _(t):
     WHERE strpos(all_norm, 'tion') > 0 ORDER BY lens.l, lib.id LIMIT 50""")
 def _(t):
     # All hits hold all query grams, so a shorter text scores better and equal lengths go by id.
-    best = textindex.relevance(library(t), ["tion"], "all_norm").withColumn("_all", F.lit(1))
+    best = t.library().find(["tion"], "all_norm").withColumn("_all", F.lit(1))
     return top_per_group(best, ["_all"], ["score", "id"], 50, "place").select("id", "place")
 
 

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from sourcemart.checks.aggregates import LIBRARY
 from sourcemart.checks.base import check, sql
 from sourcemart.operators import facets
 from sourcemart.operators.ranking import page, top_per_group
-from sourcemart.plans import retrieval, search
+from sourcemart.plans import batch, retrieval, search
 from sourcemart.plans.search import Pool
 
 SYNONYMS = {("query", "red"): ["red", "blue"]}
@@ -134,3 +135,49 @@ def _(t):
 @check("truncated", lanes_sql("SELECT (SELECT max(c) FROM (SELECT count(*) AS c FROM hit GROUP BY lane)) > 30 OR (SELECT count(*) FROM heads) > 20 AS truncated"))
 def _(t):
     return retrieval.truncated(run(t))
+
+
+# A query log: every benchmark item asks for its longest word, for its first two words, and for its last word in the name.
+LOG = f"""WITH {LIBRARY}, words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+    asked AS (SELECT item_id, [list_sort(list_transform(w, lambda x: {{'n': -length(x), 'w': x}}))[1].w] AS terms, 'all' AS scope, 0 AS place FROM words
+      UNION ALL SELECT item_id, w[1:2], 'all', 1 FROM words UNION ALL SELECT item_id, [w[-1]], 'name', 2 FROM words),
+    lanes AS (SELECT item_id, terms, scope, min(place) AS lane FROM asked GROUP BY ALL),
+    hit AS (SELECT q.item_id, lane, lib.id, l, d.lang FROM lanes q JOIN lib ON len(list_filter(terms, lambda t: strpos(CASE scope WHEN 'name' THEN name_norm ELSE all_norm END, t) = 0)) = 0
+      JOIN lens USING (id) JOIN documents d ON d.doc_id = lib.id
+      WHERE d.n_chars >= 100 * (q.item_id % 3) AND (q.item_id % 2 = 0 OR d.n_chars <= 20000) AND (q.item_id % 5 <> 0 OR d.lang <> 'en')),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY item_id, lane ORDER BY l, id) AS rank FROM hit),
+    ranked AS (SELECT * FROM placed WHERE rank <= 20),
+    fused AS (SELECT item_id, id, any_value(lang) AS lang, list_sum(list_transform(list_sort(list({{'l': lane, 'r': rank}})), lambda p: cast(1 AS DOUBLE) / (60 + p.r))) AS score,
+      string_agg(cast(lane AS VARCHAR), ',' ORDER BY lane) AS lanes FROM ranked GROUP BY ALL),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS place, CASE WHEN item_id % 4 <> 0 THEN lang END AS top FROM fused),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY item_id, top ORDER BY place) AS turn, min(place) OVER (PARTITION BY item_id, top) AS first_place FROM ordered),
+    shown AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY turn, first_place) AS shown FROM turns)
+    """
+
+
+def log_answers(t):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
+    longest = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    lane = lambda query, scope: F.struct(query.alias("query"), F.lit(scope).alias("scope"))
+    n = F.col("item_id")
+    plans = t.benchmark.select(
+        n.cast("string").alias("plan_id"),
+        F.array(lane(longest, "all"), lane(F.concat_ws(" ", F.slice(words, 1, 2)), "all"), lane(F.element_at(words, -1), "name")).alias("lanes"),
+        (n % 3 * 100).cast("double").alias("minimum"), F.when(n % 2 != 0, F.lit(20000.0)).alias("maximum"), F.lit(None).cast("array<string>").alias("categories"),
+        F.when(n % 5 == 0, F.array(F.lit("en"))).alias("exclude_categories"), F.lit(10).alias("limit"), F.lit(20).alias("per_lane"), (n % 4 != 0).alias("diversity"))
+    return batch.retrieve_plans(t.library(), plans, "n_chars", "lang")
+
+
+@check("retrieve_batch", LOG + """SELECT cast(item_id AS VARCHAR) AS plan_id, shown, id, lanes, floor(score * 1000000000 + cast(0.5 AS DOUBLE)) / 1000000000 AS score FROM shown WHERE shown <= 10""")
+def _(t):
+    return log_answers(t).items.select("plan_id", "shown", "id", F.array_join(F.transform("matched_lanes", lambda l: l.cast("string")), ",").alias("lanes"),
+                                       (F.floor(F.col("fused") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)).alias("score"))
+
+
+@check("retrieve_batch_lanes", LOG + """SELECT cast(item_id AS VARCHAR) AS plan_id, cast(lane AS BIGINT) AS lane, array_to_string(terms, ' ') AS query,
+    (SELECT count(*) FROM hit h WHERE h.item_id = q.item_id AND h.lane = q.lane) AS total, (SELECT count(*) FROM ranked r WHERE r.item_id = q.item_id AND r.lane = q.lane) AS returned,
+    (SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM hit h WHERE h.item_id = q.item_id GROUP BY h.lane)) > 20 OR (SELECT count(*) FROM fused f WHERE f.item_id = q.item_id) > 10 AS truncated
+    FROM lanes q""")
+def _(t):
+    found = log_answers(t)
+    return found.lanes.join(found.truncated, "plan_id").select("plan_id", F.col("lane").cast("long").alias("lane"), "query", "total", "returned", "truncated")

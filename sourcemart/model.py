@@ -7,7 +7,8 @@ only for the columns it uses.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sourcemart.functions.text import joined_text, normalize
-from sourcemart.operators.textindex import with_gram_count
+from sourcemart.operators.textindex import StoredIndex, with_gram_count
+from sourcemart.session import scratch_path
 
 STATE = {"O": "active", "F": "superseded", "P": "withdrawn"}
 PRICE_FIELD = {"A": "agent_price", "N": "retail_price", "R": "reference_price_b"}
@@ -24,6 +25,9 @@ def two_decimals(amount):
     return amount.cast("decimal(18,2)").cast("string")
 
 
+LIBRARIES: dict[tuple, str] = {}  # text indexes of this process's sessions: where each state of a table was indexed
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -122,6 +126,23 @@ class Tables:
 
     # -- texts and streams ---------------------------------------------------------------------------------------
 
+    def library(self) -> StoredIndex:
+        """Documents as a text index: the first line is the name, the whole text the body.
+
+        Built when a session first asks for it, and again only when the table's files have changed since.
+        """
+        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        held = files.getContentSummary(path)
+        state = (context.applicationId, self.folder, files.getFileStatus(path).getModificationTime(), held.getLength(), held.getFileCount())
+        if state not in LIBRARIES:
+            docs = self.documents.select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", F.substring_index("text", "\n", 1).alias("name"), "text")
+            where = scratch_path(self.spark, "library")
+            StoredIndex.build(docs, where)
+            LIBRARIES[state] = where
+        return StoredIndex.open(self.spark, LIBRARIES[state])
+
     def evidence(self) -> DataFrame:
         from sourcemart.sources.evidence import text_evidence
         return text_evidence(self.documents.select(F.col("doc_id").alias("doc"), "text"))

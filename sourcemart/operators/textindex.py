@@ -1,4 +1,4 @@
-"""Gram postings and BM25 over two weighted columns.
+"""Gram postings and BM25 over two weighted columns, computed from the rows or kept as an index.
 
 An index row holds *distinct* grams, so a term frequency is 0 or 1, and a row that holds a search term holds all its
 grams. The score of a hit therefore needs only the row's gram count and the corpus statistics of the query's grams:
@@ -6,11 +6,15 @@ one reduction over the corpus, no postings join.
 """
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sourcemart.functions.grams import gram_number, index_grams, query_grams
-from sourcemart.functions.text import all_terms
+from sourcemart.functions.grams import gram_number, gram_set, index_grams, query_grams
+from sourcemart.functions.text import all_terms, normalize_literal
+from sourcemart.session import settle
 
 # BM25 constants, column weights and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -43,11 +47,21 @@ def corpus_statistics(docs: DataFrame, columns: list[str], grams: list[str]) ->
 
 def bm25(gram_count, weight: float, rows: float, grams: float, holding: list[float]) -> Column:
     """Score of a row that holds every query gram; lower is better."""
-    average = grams / rows if rows else 1.0
     idf = [math.log((rows - n + 0.5) / (n + 0.5)) for n in holding]
-    total = sum(i if i > 0 else IDF_FLOOR for i in idf)
+    return weighted_score(F.lit(sum(i if i > 0 else IDF_FLOOR for i in idf)), gram_count, F.lit(weight), rows, grams)
+
+
+def weighted_score(idf: Column, gram_count, weight: Column, rows: float, grams: float) -> Column:
+    """The score from the sum of a query's inverse document frequencies, which may differ from row to row."""
+    average = grams / rows if rows else 1.0
     length = F.col(gram_count) if isinstance(gram_count, str) else gram_count
-    return -F.lit(total) * F.lit(weight * (K1 + 1)) / (F.lit(weight) + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(average)))
+    return -idf * (weight * F.lit(K1 + 1)) / (weight + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(average)))
+
+
+def rarity(held, rows: float) -> Column:
+    """Inverse document frequency of a gram that ``held`` rows of ``rows`` hold."""
+    found = F.log((F.lit(rows) - held + F.lit(0.5)) / (held + F.lit(0.5)))
+    return F.when(found > 0, found).otherwise(F.lit(IDF_FLOOR))
 
 
 def relevance(docs: DataFrame, terms: list[str], column: str = "all_norm") -> DataFrame:
@@ -59,3 +73,149 @@ def relevance(docs: DataFrame, terms: list[str], column: str = "all_norm") -> Da
     # A gram that occurs in two terms of the query counts twice.
     score = bm25("gram_count", WEIGHT[column], stats["rows"], stats["grams"] or 0.0, [holding[g] for g in occurrences])
     return docs.filter(all_terms(column, terms)).withColumn("score", score)
+
+
+# ---- the stored index -----------------------------------------------------------------------------------------------
+
+COLUMNS = ("name_norm", "all_norm")
+SCAN_SHARE = 0.1  # a rarest gram that more of the rows hold doesn't narrow the search: then the rows are scanned
+
+
+@dataclass
+class StoredIndex:
+    """A text index as tables below one folder, written in segments and merged when read.
+
+    rows        one per text: key, carried columns, both normalized texts, gram_count
+    postings    (column, gram, key), each once, range-sorted so that a gram is read from few row groups
+    frequencies (column, gram, n): rows that hold it, per segment; less what the segment made invalid
+    gone        (key, before): rows of that key in segments below ``before`` are no longer valid
+    segments    one row per segment with its totals, written last: without it a segment isn't there
+
+    Texts are normalized and cut into grams once, when they come in. A segment appended under known keys replaces their rows.
+    """
+
+    spark: SparkSession
+    path: str
+    key: str
+    totals: dict[int, tuple[int, int, int]]  # segment -> rows, grams, keys gone
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "StoredIndex":
+        found = spark.read.parquet(f"{path}/segments").collect()  # one row per segment
+        return cls(spark, path, found[0]["key"], {r["segment"]: (r["rows"], r["grams"], r["gone"]) for r in found})
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, key="id", name="name", text="text") -> "StoredIndex":
+        """docs(key, name, text, ...): all other columns are carried. Keys are unique and not null."""
+        return cls(docs.sparkSession, path, key, {}).append(docs, name, text)
+
+    # -- writing --------------------------------------------------------------------------------------------------------
+
+    def append(self, docs: DataFrame, name="name", text="text") -> "StoredIndex":
+        """A new segment; rows whose key is known already are replaced."""
+        fresh = settle(_prepared(docs, self.key, name, text), "segment")
+        rows, grams = fresh.agg(F.count("*"), F.coalesce(F.sum("gram_count"), F.lit(0))).first()
+        old = self.rows().select(self.key, "gram_count").join(fresh.select(self.key), self.key, "left_semi") if self.totals else None
+        return self._commit(fresh, rows, grams, old)
+
+    def remove(self, keys: DataFrame) -> "StoredIndex":
+        """A segment without rows that makes the rows of ``keys`` invalid."""
+        old = self.rows().select(self.key, "gram_count").join(keys.select(self.key), self.key, "left_semi")
+        return self._commit(None, 0, 0, old)
+
+    def _commit(self, fresh: DataFrame | None, rows: int, grams: int, old: DataFrame | None) -> "StoredIndex":
+        number = max(self.totals, default=-1) + 1
+        write = lambda frame, part: frame.write.mode("overwrite").parquet(f"{self.path}/{part}/segment={number}")
+        gone, gone_grams, counts = 0, 0, None
+        if old is not None:
+            old = settle(old, "gone")
+            gone, gone_grams = old.agg(F.count("*"), F.coalesce(F.sum("gram_count"), F.lit(0))).first()
+            if gone:
+                counts = self.postings().join(old.select(self.key), self.key, "left_semi").groupBy("column", "gram").agg((-F.count("*")).alias("n"))
+                counts = settle(counts, "counts")
+        if fresh is not None:
+            write(fresh.drop("name_grams", "all_grams"), "rows")
+            both = fresh.select(self.key, F.lit(COLUMNS[0]).alias("column"), F.explode("name_grams").alias("gram")).unionByName(
+                fresh.select(self.key, F.lit(COLUMNS[1]).alias("column"), F.explode("all_grams").alias("gram")))
+            write(both.repartitionByRange("column", "gram", self.key).sortWithinPartitions("column", "gram", self.key), "postings")
+            made = both.groupBy("column", "gram").agg(F.count("*").alias("n"))
+            counts = made if counts is None else made.unionByName(counts)
+        if counts is not None:
+            write(counts.groupBy("column", "gram").agg(F.sum("n").alias("n")), "frequencies")
+        if gone:
+            write(old.select(self.key, F.lit(number).alias("before")), "gone")
+        totals = self.spark.createDataFrame([(self.key, rows - gone, grams - gone_grams, gone)], "key string, rows long, grams long, gone long")
+        write(totals.coalesce(1), "segments")
+        return StoredIndex(self.spark, self.path, self.key, {**self.totals, number: (rows - gone, grams - gone_grams, gone)})
+
+    # -- reading --------------------------------------------------------------------------------------------------------
+
+    def _part(self, part: str, segments: list[int]) -> DataFrame:
+        paths = [f"{self.path}/{part}/segment={n}" for n in segments]
+        return self.spark.read.option("basePath", f"{self.path}/{part}").parquet(*paths)
+
+    def _valid(self, part: str) -> DataFrame:
+        """Rows or postings of all segments without those that a later segment replaced or removed."""
+        filled = [n for n, (rows, _, gone) in sorted(self.totals.items()) if rows + gone or n == 0]
+        found = self._part(part, filled)
+        later = [n for n, (_, _, gone) in self.totals.items() if gone]
+        if later:
+            gone = self._part("gone", later).groupBy(F.col(self.key).alias("_gone")).agg(F.max("before").alias("_before"))
+            found = found.join(gone, (F.col(self.key) == F.col("_gone")) & (F.col("segment") < F.col("_before")), "left_anti")
+        return found.drop("segment")
+
+    def rows(self) -> DataFrame:
+        return self._valid("rows")
+
+    def postings(self) -> DataFrame:
+        return self._valid("postings")
+
+    def frequencies(self) -> DataFrame:
+        """(column, gram, n) over all segments."""
+        written = [n for n, (rows, _, gone) in self.totals.items() if rows or gone or n == 0]
+        found = self._part("frequencies", written).groupBy("column", "gram").agg(F.sum("n").alias("n"))
+        return found.filter("n > 0")
+
+    def size(self) -> tuple[float, float]:
+        """(rows, all grams)."""
+        return float(sum(t[0] for t in self.totals.values())), float(sum(t[1] for t in self.totals.values()))
+
+    def find(self, terms: list[str], column: str = "all_norm", scan_share: float = SCAN_SHARE) -> DataFrame:
+        """Rows that hold every term, with ``score``. The rarest gram's postings say which rows are looked at."""
+        occurrences = [g for t in terms for g in query_grams(t)]
+        if not occurrences:
+            return self.rows().withColumn("score", F.lit(None).cast("double"))
+        asked = self.frequencies().filter((F.col("column") == column) & F.col("gram").isin(*set(occurrences)))
+        held = {r["gram"]: float(r["n"]) for r in asked.collect()}  # the query's own grams
+        rows, grams = self.size()
+        found = self.rows()
+        if any(g not in held for g in occurrences):
+            return found.filter(F.lit(False)).withColumn("score", F.lit(0.0))
+        rarest = min(held, key=lambda g: (held[g], g))
+        if held[rarest] <= scan_share * rows:
+            holding = self.postings().filter((F.col("column") == column) & (F.col("gram") == rarest)).select(self.key)
+            found = found.join(holding, self.key, "left_semi")
+        score = bm25("gram_count", WEIGHT[column], rows, grams, [held[g] for g in occurrences])
+        return found.filter(all_terms(column, terms)).withColumn("score", score)
+
+
+def _prepared(docs: DataFrame, key: str, name: str, text: str) -> DataFrame:
+    """key, carried columns, normalized texts, gram_count and the grams of both, in one pass over the texts."""
+    carried = [c for c in docs.columns if c not in (name, text)]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", name_norm string, all_norm string, gram_count long, name_grams array<string>, all_grams array<string>"
+    names = carried + [*COLUMNS, "gram_count", "name_grams", "all_grams"]
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                both = [[normalize_literal(v) for v in batch.column(k).to_pylist()] for k in (0, 1)]
+                grams = [[sorted(gram_set(v)) for v in side] for side in both]
+                counts = [len(a) + len(b) for a, b in zip(*grams)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2 + i) for i in range(len(carried))] + [pa.array(side, pa.string()) for side in both] + [pa.array(counts, pa.int64())]
+                    + [pa.array(side, pa.list_(pa.string())) for side in grams], names=names)
+
+    # Rows are dealt out by key first: texts come in few large row groups, and rows of one key meet later segments by it.
+    return docs.select(F.col(name).alias("_name"), F.col(text).alias("_text"), *carried).repartition(key).mapInArrow(prepare, schema)

@@ -187,9 +187,9 @@ def retrieve(pool: Pool, plan: dict, link: str | None = None) -> Retrieval:
     plan = check_plan(plan)
     lanes, clipped = expand_lanes(plan["lanes"], pool.words, plan["variants"])
     sort = plan["hard"].get("sort", "relevance")
-    matches = lane_hits(pool, plan, lanes, link)
-    # At most lanes x per_lane rows from here on: written once, so that the steps below do not run the lanes again.
-    ranked = settle(rank_lanes(matches, plan["per_lane"], sort), "ranked")
+    # The lanes run once: ranks and totals read what they matched.
+    matches = settle(lane_hits(pool, plan, lanes, link), "matches")
+    ranked = settle(rank_lanes(matches, plan["per_lane"], sort), "ranked")  # at most lanes x per_lane rows from here on
     fused = fuse(ranked)
     order = [F.col("fused").desc(), "id"]
     if sort != "relevance":
