@@ -137,6 +137,49 @@ def _(t):
     return retrieval.truncated(run(t))
 
 
+def offer_terms(t):
+    """Known terms of the retail price: the error events of an item give them, one key per value."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    names = F.array(*map(F.lit, retrieval.QUOTE_TERMS))
+    one = t.events.filter("event_type = 'error'").select(F.col("user_id").alias("id"), names[k % 4].alias("term")).distinct()
+    entry = F.struct("term", F.struct(F.lit("yes").alias("value"), F.lit("").alias("quote")))
+    return one.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("terms")).select("id", F.lit("retail_price").alias("field"), "terms")
+
+
+def whole_answer(t):
+    asked = pool(t, tags=t.tags(), terms=offer_terms(t))
+    found = retrieval.retrieve(asked, PLAN, link="group_id")
+    return found, retrieval.evidence(found, asked, "retail_price")
+
+
+TERMS = "terms AS (SELECT user_id AS id, list_sort(list(DISTINCT ['currency', 'unit', 'tax', 'shipping'][cast(json_extract_string(props, '$.k') AS INT) % 4 + 1])) AS terms FROM events WHERE event_type = 'error' GROUP BY 1)"
+
+
+@check("retrieve_answer", lanes_sql(f"""SELECT shown, s.id, excerpt[1:240] AS excerpt, length(excerpt) AS facts_length, array_to_string(coalesce(terms, []), ',') AS terms,
+    coalesce((SELECT string_agg(m.id || '@' || o.doc_id || '=' || coalesce(cast(cast(o.amount AS DECIMAL(18,2)) AS VARCHAR), '?'), ',' ORDER BY m.m) FROM members m JOIN obs o ON o.id = m.id WHERE m.group_id = s.group_id AND m.m BETWEEN 2 AND 4), '') AS offers
+    FROM (SELECT shown.shown, shown.id, shown.group_id, array_to_string(list_filter([o.name, o.model, split_part(o.features, chr(10), 1), split_part(o.features, chr(10), 2), o.brand, cast(o.supplier AS VARCHAR), o.category],
+      lambda x: x <> ''), chr(10)) AS excerpt FROM shown JOIN obs o ON o.id = shown.id WHERE shown.shown <= 20) s LEFT JOIN (WITH {TERMS} SELECT * FROM terms) t ON t.id = s.group_id"""))
+def _(t):
+    _, shown = whole_answer(t)
+    offers = F.transform("alternative_offers", lambda o: F.concat(o["id"], F.lit("@"), o["doc_id"].cast("string"), F.lit("="), F.coalesce(o["amount"].cast("decimal(18,2)").cast("string"), F.lit("?"))))
+    return shown.select("shown", "id", F.col("facts_excerpt").alias("excerpt"), "facts_length", F.array_join(F.sort_array(F.map_keys("offer_terms")), ",").alias("terms"), F.array_join(offers, ",").alias("offers"))
+
+
+@check("retrieve_warnings", lanes_sql(f"""SELECT concat_ws(',', 'incomplete_metadata', CASE WHEN (SELECT count(*) FROM sources WHERE import_status <> 'ready') > 0 THEN 'partial_source_imports' END,
+    CASE WHEN (SELECT count(*) FROM obs) > (SELECT count(amount) FROM obs WHERE field = 'retail_price') THEN 'unknown_or_complex_prices_excluded_from_budget' END, 'unknown_categories_excluded_from_negative_filter',
+    CASE WHEN (SELECT bool_or(len(coalesce(terms, [])) < 4) FROM shown s LEFT JOIN (WITH {TERMS} SELECT * FROM terms) t ON t.id = s.group_id WHERE shown <= 20) THEN 'some_quote_terms_unknown' END,
+    CASE WHEN cut THEN 'bounded_candidates_not_exhaustive' END, CASE WHEN (SELECT bool_or(offers > 4) FROM shown WHERE shown <= 20) THEN 'group_offers_clipped_use_paginated_search' END) AS warnings,
+    cut AS truncated, (SELECT count(*) FROM fused) AS candidates, (SELECT count(*) FROM heads) AS groups
+    FROM (SELECT (SELECT max(c) FROM (SELECT count(*) AS c FROM hit GROUP BY lane)) > 30 OR (SELECT count(*) FROM heads) > 20 AS cut)"""))
+def _(t):
+    found, shown = whole_answer(t)
+    items = t.items().withColumn("supplier", F.lit("")).withColumn("category_origin", F.lit("source"))
+    coverage = facets.quality(items, t.facts(), t.tags(), t.sources(), t.items().filter("size < 10").select("id"))
+    price = facets.price_coverage(t.prices(), t.prices(), "retail_price").unpivot([], ["numeric", "unusable", "basis_conflicts"], "metric", "n")
+    told = retrieval.answer_warnings(found, shown, PLAN, coverage.unionByName(price))
+    return told.select(F.array_join("warnings", ",").alias("warnings"), "truncated", "candidates", "groups")
+
+
 # A query log: every benchmark item asks for its longest word, for its first two words, and for its last word in the name.
 LOG = f"""WITH {LIBRARY}, words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
     asked AS (SELECT item_id, [list_sort(list_transform(w, lambda x: {{'n': -length(x), 'w': x}}))[1].w] AS terms, 'all' AS scope, 0 AS place FROM words

@@ -1,6 +1,6 @@
 """Counts for orientation: facets, statistics, coverage. All are reductions with partial results before the shuffle."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcemart.functions.prices import basis_conflict
 from sourcemart.operators import lineage
@@ -87,7 +87,7 @@ def quality(obs: DataFrame, facts: DataFrame, tags: DataFrame, sources: DataFram
 
 # Warnings of a retrieval, in order, each with the condition it reports.
 def coverage_warnings(coverage, hard: dict, price: dict | None = None, unknown_terms=False, clipped=False, group_clipped=False):
-    """Warnings as an array column over a one-row coverage frame with the metrics as columns."""
+    """Warnings as an array column over a one-row coverage frame with the metrics as columns. Flags are values or columns."""
     bounded = "minimum" in hard or "maximum" in hard
     price = price or {}
     latest = F.lit(bool(hard.get("latest")))
@@ -95,6 +95,9 @@ def coverage_warnings(coverage, hard: dict, price: dict | None = None, unknown_t
     def some(name):
         return F.col(name) > 0
 
+    def flag(value):
+        return value if isinstance(value, Column) else F.lit(bool(value))
+
     rules = [
         (some("missing_brand") | some("missing_supplier") | some("missing_category"), "incomplete_metadata"),
         (some("incomplete_files"), "partial_source_imports"),
@@ -106,8 +109,8 @@ def coverage_warnings(coverage, hard: dict, price: dict | None = None, unknown_t
         (latest & some("partial_newest_quotes"), "newest_source_incomplete"),
         (F.lit(bool(hard.get("exclude_categories"))), "unknown_categories_excluded_from_negative_filter"),
         (F.lit(bool(hard.get("attributes"))), "unknown_attributes_do_not_satisfy_hard_conditions"),
-        (F.lit(bool(unknown_terms)), "some_quote_terms_unknown"),
-        (F.lit(bool(clipped)), "bounded_candidates_not_exhaustive"),
-        (F.lit(bool(group_clipped)), "group_offers_clipped_use_paginated_search"),
+        (flag(unknown_terms), "some_quote_terms_unknown"),
+        (flag(clipped), "bounded_candidates_not_exhaustive"),
+        (flag(group_clipped), "group_offers_clipped_use_paginated_search"),
     ]
     return coverage.select("*", F.array_compact(F.array(*[F.when(c, F.lit(word)) for c, word in rules])).alias("warnings"))

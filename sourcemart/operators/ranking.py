@@ -83,8 +83,9 @@ def diversify_all(df: DataFrame, bucket: str, rank: str, name="shown") -> DataFr
     return numbered(turns.drop("_bucket"), [], ["_turn", "_first"], name).drop("_turn", "_first")
 
 
-def group_representatives(df: DataFrame, plan: list[str], group: str, rank: str, row_id: str, sample: int = 3) -> DataFrame:
-    """First hit of each product group with the number of members, the first others and whether more exist.
+def group_representatives(df: DataFrame, plan: list[str], group: str, rank: str, row_id: str, sample: int = 3, offer=()) -> DataFrame:
+    """First hit of each product group with the number of members, the first others and whether more exist. ``offer`` names
+    columns of the others that ``alternative_offers`` gives beside their ids.
 
     A row without group stands for itself. Groups may be hot: the first ``sample``+1 members come from a limited
     window, the count from a reduction.
@@ -93,11 +94,15 @@ def group_representatives(df: DataFrame, plan: list[str], group: str, rank: str,
     keyed = df.withColumn("_key", key)
     counts = keyed.groupBy(*plan, "_key").agg(F.count("*").alias("matching_offers"))
     first = top_per_group(keyed, plan + ["_key"], [rank], sample + 1, "_member")
-    others = (first.filter("_member > 1").groupBy(*plan, "_key")
-              .agg(F.transform(F.sort_array(F.collect_list(F.struct("_member", row_id))),
-                               lambda s: s[row_id]).alias("alternative_ids")))
+    sorted_others = F.sort_array(F.collect_list(F.struct("_member", row_id, *offer)))  # at most ``sample`` of a group
+    others = first.filter("_member > 1").groupBy(*plan, "_key").agg(sorted_others.alias("_others"))
     heads = first.filter("_member = 1").drop("_member")
-    kind = dict(df.dtypes)[row_id]
-    return (heads.join(counts, plan + ["_key"]).join(others, plan + ["_key"], "left").drop("_key")
-            .withColumn("alternative_ids", F.coalesce("alternative_ids", F.array().cast(f"array<{kind}>")))
-            .withColumn("alternatives_more", F.col("matching_offers") > sample + 1))
+    kinds = dict(df.dtypes)
+    found = (heads.join(counts, plan + ["_key"]).join(others, plan + ["_key"], "left").drop("_key")
+             .withColumn("alternative_ids", F.coalesce(F.transform("_others", lambda s: s[row_id]), F.array().cast(f"array<{kinds[row_id]}>")))
+             .withColumn("alternatives_more", F.col("matching_offers") > sample + 1))
+    if offer:
+        fields = ",".join(f"{c}:{kinds[c]}" for c in (row_id, *offer))
+        offers = F.transform("_others", lambda s: F.struct(*[s[c].alias(c) for c in (row_id, *offer)]))
+        found = found.withColumn("alternative_offers", F.coalesce(offers, F.array().cast(f"array<struct<{fields}>>")))
+    return found.drop("_others")

@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from sourcemart.functions.grams import query_grams
+from sourcemart.functions.text import facts_excerpt, own_text
 from sourcemart.operators import filters
+from sourcemart.operators.facets import coverage_warnings
 from sourcemart.operators.ranking import diversify, group_representatives, page, price_order, top_per_group
 from sourcemart.operators.textindex import WEIGHT, bm25, corpus_statistics
 from sourcemart.plans.search import Pool, hard_filter
@@ -21,6 +23,8 @@ from sourcemart.session import settle
 VARIANTS = 4  # default of a plan's ``variants``: forms of a lane's query that its synonyms may give; null for all
 # Fixed value: the constant of the rank fusion.
 FUSION = 60
+# The terms without which a quote is not fully known.
+QUOTE_TERMS = ("currency", "unit", "tax", "shipping")
 CARRIED = ["name", "category", "brand", "doc_id", "record_key", "amount", "product_group"]
 STABLE = ["doc_id", "record_key", "id"]
 
@@ -196,7 +200,7 @@ def retrieve(pool: Pool, plan: dict, link: str | None = None) -> Retrieval:
         order = [price_order("amount", sort == "price-desc"), *order]
     ordered = top_per_group(fused.withColumn("_all", F.lit(1)), ["_all"], order, len(lanes) * plan["per_lane"], "place").drop("_all")
     group = "product_group" if plan["group_products"] else "_none"
-    heads = group_representatives(ordered.withColumn("_none", F.lit(None).cast("string")), [], group, "place", "id").drop("_none")
+    heads = group_representatives(ordered.withColumn("_none", F.lit(None).cast("string")), [], group, "place", "id", offer=["amount", "doc_id"]).drop("_none")
     if plan["diversity"] and sort == "relevance":
         heads = diversify(heads.withColumn("_top", F.element_at(F.split("category", "/"), 1)), [], "_top", "place").drop("_top")
     else:
@@ -222,6 +226,41 @@ def truncated(found: Retrieval) -> DataFrame:
     return lanes.unionByName(shown).agg(F.coalesce(F.bool_or("cut"), F.lit(False)).alias("truncated"))
 
 
+def evidence(found: Retrieval, pool: Pool, price_field: str | None = None) -> DataFrame:
+    """The shown items with ``facts_excerpt`` and ``facts_length`` of their own text and the known ``offer_terms`` of the
+    asked price (a map, empty where nothing is known)."""
+    ids = F.broadcast(found.items.select("id"))  # a page: at most the plan's limit
+    own = pool.observations.join(ids, "id", "left_semi").select("id", F.col(pool.item_key).alias("_item"), facts_excerpt(own_text(set(pool.observations.columns))).alias("_facts"))
+    items = found.items.join(own, "id").withColumns({"facts_excerpt": F.col("_facts.excerpt"), "facts_length": F.col("_facts.facts_length")}).drop("_facts")
+    empty = F.create_map().cast("map<string,struct<value:string,quote:string>>")
+    if pool.terms is None or not price_field:
+        return items.drop("_item").withColumn("offer_terms", empty)
+    known = pool.terms.filter(F.col("field") == price_field).select(F.col("id").alias("_item"), F.col("terms").alias("offer_terms"))
+    return items.join(known, "_item", "left").drop("_item").withColumn("offer_terms", F.coalesce("offer_terms", empty))
+
+
+def answer_warnings(found: Retrieval, shown: DataFrame, plan: dict, coverage: DataFrame) -> DataFrame:
+    """One row: ``warnings``, ``truncated``, ``candidates`` and ``groups`` of a retrieval.
+
+    ``shown`` is from ``evidence``, ``coverage`` holds (metric, n) rows as from ``quality`` and ``price_coverage``. What the
+    warnings say about this answer (lanes or pages cut, terms unknown, offers left out of a group) is read off it.
+    """
+    hard = plan.get("hard", {})
+    lacking = ~F.forall(F.array(*map(F.lit, QUOTE_TERMS)), lambda t: F.map_contains_key("offer_terms", t))
+    own = [truncated(found).select(F.lit("clipped").alias("metric"), F.col("truncated").cast("long").alias("n")),
+           shown.agg(F.coalesce(F.max(lacking.cast("long")), F.lit(0)).alias("n")).select(F.lit("unknown_terms").alias("metric"), "n"),
+           shown.agg(F.coalesce(F.max(F.col("alternatives_more").cast("long")), F.lit(0)).alias("n")).select(F.lit("group_clipped").alias("metric"), "n"),
+           found.groups.agg(F.coalesce(F.sum("matching_offers"), F.lit(0)).alias("candidates"), F.count("*").alias("groups")).unpivot([], ["candidates", "groups"], "metric", "n")]
+    rows = reduce(DataFrame.unionByName, own, coverage)
+    names = ["missing_brand", "missing_supplier", "missing_category", "incomplete_files", "sources_without_version", "ambiguous_quote_series",
+             "partial_newest_quotes", "unusable", "basis_conflicts", "clipped", "unknown_terms", "group_clipped", "candidates", "groups"]
+    wide = rows.agg(*[F.coalesce(F.max(F.when(F.col("metric") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
+    priced = bool(hard.get("price_field"))
+    said = coverage_warnings(wide, hard, price=priced or None, unknown_terms=(F.col("unknown_terms") > 0) & F.lit(priced),
+                             clipped=F.col("clipped") > 0, group_clipped=F.col("group_clipped") > 0)
+    return said.select("warnings", (F.col("clipped") > 0).alias("truncated"), "candidates", "groups")
+
+
 def retrieve_all(pool: Pool, plans: dict[str, dict], link: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Several plans by name: (items, lane reports), each row with its plan's name."""
     found = {name: retrieve(pool, plan, link) for name, plan in plans.items()}
