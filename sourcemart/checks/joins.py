@@ -76,10 +76,10 @@ def _(t):
 
 @check("j_interval_overlap", f"""WITH {GRID}, r AS (SELECT doc, sheet, p_partkey AS region, "row" AS top, "row" + p_size % 3 AS bottom,
       p_size % 7 * 4 AS lft, p_size % 7 * 4 + 5 AS rgt FROM grid)
-    SELECT DISTINCT a.doc, a.sheet FROM r a JOIN r b ON a.doc = b.doc AND a.sheet = b.sheet AND a.region <> b.region
+    SELECT a.doc, a.sheet, a.region, b.region AS other FROM r a JOIN r b ON a.doc = b.doc AND a.sheet = b.sheet AND a.region < b.region
     AND a.top <= b.bottom AND a.bottom >= b.top AND a.lft <= b.rgt AND a.rgt >= b.lft""")
 def _(t):
-    return cells.check_overlaps(regions(t)).select("doc", "sheet").distinct()
+    return cells.check_overlaps(regions(t))
 
 
 def regions(t):

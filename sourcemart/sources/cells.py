@@ -5,7 +5,7 @@ marks an error cell, ``f`` a formula without a cached value. Work is keyed by (d
 long sheet spreads over all tasks; whole sheets meet only in reductions.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sourcemart.functions.prices import HEADER_ALIASES, PRICE_ROLES
 from sourcemart.functions.text import as_column, blank, glob_match, norm_header, normalize_literal
@@ -158,19 +158,52 @@ def check_extent(cells: DataFrame, plans: DataFrame) -> DataFrame:
             .filter(~F.coalesce("last_row", F.lit(0)).eqNullSafe(F.col("expected_last_row"))))
 
 
+def _cover(low: str, high: str, levels: str) -> str:
+    """SQL for the nodes (k, i), each the numbers from i * 2^k on below (i + 1) * 2^k, that make up ``low`` to ``high``
+    exactly, without overlap: at most two of a size, so their number grows with the logarithm of the length alone."""
+    first = lambda k: f"(({low}) + shiftleft(1L, {k}) - 1) div shiftleft(1L, {k})"
+    end = lambda k: f"(({high}) + 1) div shiftleft(1L, {k})"
+    inside = lambda k, i: f"({i} >= {first(k)} AND {i} < {end(k)})"
+    nodes = f"filter(array_distinct(array({first('k')}, {end('k')} - 1)), i -> {inside('k', 'i')} AND NOT {inside('(k + 1)', '(i div 2)')})"
+    return f"flatten(transform(sequence(0, {levels}), k -> transform({nodes}, i -> struct(k, i))))"
+
+
+def _path(point: str, levels: str) -> str:
+    """SQL for all nodes that hold a number, one of each size."""
+    return f"transform(sequence(0, {levels}), k -> struct(k, ({point}) div shiftleft(1L, k) AS i))"
+
+
 def check_overlaps(regions: DataFrame) -> DataFrame:
-    """regions(doc, sheet, region, top, left, bottom, right): regions that share a cell with another one.
+    """regions(doc, sheet, region, top, left, bottom, right): every pair of regions that share a cell, once: (region, other).
 
-    No pairs are formed. Row edges cut each sheet into strips; a region covers consecutive strips. Within a strip
-    the regions are sorted by left edge, and one that starts at or before the largest right edge so far clashes with
-    the region of that edge. So every region that clashes is named, though not every pair.
+    Two regions meet where the later one begins: its first row lies in the other's rows, and the first column of either in
+    the columns of the other. Row and column ranges are split into nodes of doubling size, and a number lies in exactly one
+    node of each size, so a pair meets at one common node of rows and columns and nowhere else. What is made beside the pairs
+    themselves grows with the logarithm of the regions' height and width, not with these.
     """
-    bands = _bands(regions).withColumn("strip", F.explode(F.sequence(
-        F.greatest(F.col("top"), F.col("band") * BAND), F.least(F.col("bottom"), F.col("band") * BAND + BAND - 1))))
-    before = Window.partitionBy(*SHEET, "strip").orderBy("left", "right", "region").rowsBetween(Window.unboundedPreceding, -1)
-    reach = bands.withColumn("_reach", F.max(F.struct("right", "region")).over(before))
-    clash = reach.filter(F.col("left") <= F.col("_reach.right"))
-    return clash.select(*SHEET, F.col("_reach.region").alias("region"), F.col("region").alias("other")).distinct()
+    spread = regions.groupBy(*SHEET).agg(
+        F.floor(F.log2(F.max(F.col("bottom") - F.col("top") + 1))).cast("int").alias("_rows"),
+        F.floor(F.log2(F.max(F.col("right") - F.col("left") + 1))).cast("int").alias("_cols"))
+    own = regions.select(*SHEET, "region", *[F.col(c).cast("long").alias(c) for c in ("top", "left", "bottom", "right")]).join(spread, SHEET)
+
+    def at(rows: str, cols: str) -> DataFrame:
+        places = own.withColumn("_r", F.explode(F.expr(rows))).withColumn("_c", F.explode(F.expr(cols)))
+        return places.select(*SHEET, "_r", "_c", "region", "top", "left")
+
+    covered, begun = _cover("top", "bottom", "_rows"), _path("top", "_rows")
+    # The later region (by top, then name) begins within the columns of the earlier one, or that one within its own.
+    earlier_first = F.struct("x.top", "x.region") < F.struct("y.top", "y.region")
+    node = [*SHEET, "_r", "_c"]
+    pairs = []
+    for x, y, order in ((at(covered, _cover("left", "right", "_cols")), at(begun, _path("left", "_cols")), F.col("x.left") <= F.col("y.left")),
+                        (at(covered, _path("left", "_cols")), at(begun, _cover("left", "right", "_cols")), F.col("x.left") > F.col("y.left"))):
+        x, y = x.alias("x"), y.alias("y")
+        same = F.lit(True)
+        for c in node:
+            same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+        pairs.append(x.join(y, same & earlier_first & order).select(
+            *[F.col(f"x.{c}").alias(c) for c in SHEET], F.least("x.region", "y.region").alias("region"), F.greatest("x.region", "y.region").alias("other")))
+    return pairs[0].unionByName(pairs[1])
 
 
 def unpivot_prices(records: DataFrame, columns: DataFrame) -> DataFrame:

@@ -231,3 +231,25 @@ def test_staging_rejects_ambiguous_and_error_prices(spark, rows):
     assert dict(rows(intake.stage(items, chosen, ["价格"]), "position", "problem"))[3] == "price_absent_or_ambiguous"
     with pytest.raises(ValueError):
         intake.stage(items, chosen, ["a", "b", "c"])
+
+
+def test_every_overlapping_pair_once_whatever_the_height(spark, rows):
+    """Random, tall, nested and touching regions against all pairs; what is made before the join grows with the logarithm."""
+    import random
+    rng = random.Random(9)
+    schema = "doc string, sheet string, region int, top int, left int, bottom int, right int"
+    made = []
+    for n in range(120):
+        top, left = rng.choice([0, 1, rng.randint(0, 60), 999_990]), rng.choice([0, 1, rng.randint(0, 30)])
+        made.append((rng.choice("de"), "s", n, top, left, top + rng.choice([0, 0, 1, 5, 40, 1_000_000]), left + rng.choice([0, 0, 2, 9, 16_000])))
+    want = sorted((a[0], a[1], a[2], b[2]) for a in made for b in made if a[0] == b[0] and a[2] < b[2]
+                  and a[3] <= b[5] and b[3] <= a[5] and a[4] <= b[6] and b[4] <= a[6])
+    found = [tuple(r) for r in cells.check_overlaps(spark.createDataFrame(made, schema)).select("doc", "sheet", "region", "other").collect()]
+    assert sorted(found) == want
+    sizes = spark.createDataFrame([(3, 3 + n, 40) for n in (0, 6, 1_000_000)], "low long, high long, levels int")
+    nodes = [r[0] for r in sizes.selectExpr(cells._cover("low", "high", "levels")).collect()]
+    assert len(nodes[2]) <= 42
+    for held, n in zip(nodes, (0, 6, 1_000_000)):
+        spans = sorted((i << k, (i + 1) << k) for k, i in held)
+        assert spans[0][0] == 3 and spans[-1][1] == 4 + n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert cells.check_overlaps(spark.createDataFrame([], schema)).isEmpty()
