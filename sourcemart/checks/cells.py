@@ -222,3 +222,57 @@ def _(t):
     col = F.get(F.array(*[F.lit(c) for c in (2, 26, 27, 702, 703, 16384)]), (F.col("p_partkey") % 6).cast("int"))
     made = grid(t).select("doc", "sheet", F.when(F.col("sheet") == "s0", 1).otherwise(2).alias("sheet_no"), "row", col.alias("col"), F.col("p_name").alias("value"))
     return cell_evidence(made).select("doc", "ref", "locator", "text")
+
+
+# Long sheets: every order is a row of the sheet of its priority, at the row of its key. Some rows repeat the header, some
+# hold half of it; names span up to 30 rows.
+PLANNED = """WITH rows AS (SELECT o_orderstatus AS doc, o_orderpriority AS sheet, cast(o_orderkey AS BIGINT) AS "row", o_custkey % 97 = 0 AS header,
+      CASE WHEN o_custkey % 97 = 0 OR o_custkey % 89 = 0 THEN '名称' ELSE 'C' || o_custkey END AS name, CASE WHEN o_custkey % 97 = 0 THEN '价格' ELSE cast(o_custkey AS VARCHAR) END AS price FROM orders),
+    extent AS (SELECT doc, sheet, max("row") AS last FROM rows GROUP BY ALL),
+    plans AS (SELECT doc, sheet, last AS extent, CASE WHEN doc = 'P' THEN last WHEN sheet = '5-LOW' THEN last - 3 ELSE last END AS last_row, doc <> 'P' AND sheet <> '5-LOW' AS by_name, doc = 'F' AS skip FROM extent),
+    spans AS (SELECT doc, sheet, "row" AS top, "row" + try_cast(price AS BIGINT) % 30 AS bottom FROM rows WHERE "row" % 50 = 1 AND price <> '价格'),
+    cut AS (SELECT DISTINCT p.doc, p.sheet FROM plans p JOIN spans s ON s.doc = p.doc AND s.sheet = p.sheet WHERE by_name AND ((top BETWEEN 2 AND last_row AND bottom > last_row) OR (top < 2 AND bottom >= 2))),
+    owned AS (SELECT r.*, p.skip, coalesce(s.top, r."row") AS record FROM rows r JOIN plans p ON p.doc = r.doc AND p.sheet = r.sheet AND r."row" BETWEEN 2 AND last_row
+      LEFT JOIN spans s ON s.doc = r.doc AND s.sheet = r.sheet AND p.by_name AND r."row" BETWEEN s.top AND s.bottom ANTI JOIN cut c ON c.doc = r.doc AND c.sheet = r.sheet WHERE p.sheet <> '5-LOW'),
+    repeats AS (SELECT doc, sheet, "row" AS record FROM rows WHERE header AND doc = 'F')
+    SELECT doc, sheet, record, count(*) AS rows, max(CASE WHEN "row" = record THEN name END) AS name, NULL AS problem FROM owned o WHERE record NOT IN (33, 34, 97, 161)
+      AND (doc, sheet, record) NOT IN (SELECT (doc, sheet, record) FROM repeats) GROUP BY 1, 2, 3
+    UNION ALL SELECT doc, sheet, NULL, NULL, NULL, 'cut' FROM cut UNION ALL SELECT doc, sheet, NULL, NULL, NULL, 'extent' FROM plans WHERE sheet = '5-LOW'"""
+
+
+@check("table_plan", PLANNED)
+def _(t):
+    o = t.orders.select(F.col("o_orderstatus").alias("doc"), F.col("o_orderpriority").alias("sheet"), F.col("o_orderkey").alias("row"), "o_custkey")
+    header = F.col("o_custkey") % 97 == 0
+    name = F.when(header | (F.col("o_custkey") % 89 == 0), F.lit("名称")).otherwise(F.concat(F.lit("C"), "o_custkey"))
+    price = F.when(header, F.lit("价格")).otherwise(F.col("o_custkey").cast("string"))
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), v.alias("value"), F.lit("s").alias("dtype")) for c, v in ((1, name), (2, price))]))
+    made = o.select("doc", "sheet", "row", cell.alias("c")).select("doc", "sheet", "row", "c.*")
+    late = F.col("sheet") == "5-LOW"
+    plans = o.groupBy("doc", "sheet").agg(F.max("row").alias("last")).select(
+        "doc", "sheet", F.lit(2).cast("long").alias("first_row"), (F.col("last") - F.when(late, 3).when(F.col("doc") == "F", 40).otherwise(0)).alias("last_row"),
+        F.lit(1).alias("first_col"), F.lit(2).alias("last_col"), F.lit(1).alias("name_col"), ((F.col("doc") != "P") & ~late).alias("group_by_name"),
+        ((F.col("doc") == "F") & ~late).alias("extend_rows"), F.array(*map(F.lit, (33, 34, 97, 161))).alias("exclude_rows"),
+        (F.col("doc") == "F").alias("skip_repeated_headers"), (F.col("last") - F.when(late, 3).otherwise(0)).alias("expected_last_row"))
+    merges = o.filter("row % 50 = 1 AND o_custkey % 97 <> 0").select("doc", "sheet", F.col("row").alias("top"), F.lit(1).alias("left"), (F.col("row") + F.col("o_custkey") % 30).alias("bottom"), F.lit(1).alias("right"))
+    expected = o.select("doc", "sheet").distinct().select("doc", "sheet", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(v).alias("value")) for c, v in ((1, "名称"), (2, "价格"))])).alias("e")).select("doc", "sheet", "e.*")
+    found, problems = cells.planned_records(made, plans, merges, expected)
+    kept = found.filter("col = 1").groupBy("doc", "sheet", "record").agg(F.count("*").alias("rows"), F.max(F.when(F.col("row") == F.col("record"), F.col("value"))).alias("name"))
+    return kept.withColumn("problem", F.lit(None).cast("string")).unionByName(problems, allowMissingColumns=True)
+
+
+@check("block_checks", f"""WITH {GRID}, placed AS (SELECT doc, sheet, "row" - 2 AS down, p_partkey % 4 AS across, p_name, p_size, cast(split_part(doc, '-', 2) AS INT) % 4 = 3 AS uneven FROM grid),
+    blocks AS (SELECT DISTINCT doc, sheet, down // 5 AS down, across // 2 AS across FROM placed WHERE NOT uneven AND p_size > 10 AND down % 5 = 0 AND across % 2 = 0),
+    labels AS (SELECT doc, sheet, down // 5 AS down, across // 2 AS across, max(CASE WHEN p_size > 10 THEN p_name ELSE ' ' END) AS found FROM placed WHERE down % 5 = 1 AND across % 2 = 1 GROUP BY ALL)
+    SELECT doc, sheet, cast(down AS BIGINT) AS block_row, cast(across AS BIGINT) AS block_col, found FROM blocks LEFT JOIN labels USING (doc, sheet, down, across) WHERE found IS DISTINCT FROM ' '
+    UNION ALL SELECT DISTINCT doc, sheet, NULL, NULL, 'uneven' FROM placed WHERE uneven""")
+def _(t):
+    # A block counts by its first cell alone, and a label is expected in its second row and column; every fourth book's range is a row too long.
+    g = grid(t)
+    made = g.select("doc", "sheet", "row", (F.col("p_partkey") % 4 + 1).cast("int").alias("col"), F.when(F.col("p_size") > 10, F.col("p_name")).otherwise(" ").alias("value"), F.lit("s").alias("dtype"))
+    sheets = g.select("doc", "sheet").distinct()
+    plans = sheets.select("*", F.lit(2).alias("top"), F.lit(1).alias("left"), F.when(book_number() % 4 == 3, 27).otherwise(26).alias("bottom"), F.lit(4).alias("right"), F.lit(5).alias("height"), F.lit(2).alias("width"))
+    blocks = cells.block_records(made, plans, sheets.select("*", F.lit(1).alias("rel_row"), F.lit(1).alias("rel_col")))
+    wrong = cells.check_blocks(blocks, sheets.select("*", F.lit(2).alias("rel_row"), F.lit(2).alias("rel_col"), F.lit(" ").alias("value")))
+    uneven = cells.uneven_blocks(plans).select("doc", "sheet", F.lit("uneven").alias("found"))
+    return wrong.select("doc", "sheet", *[F.col(c).cast("long").alias(c) for c in ("block_row", "block_col")], "found").unionByName(uneven, allowMissingColumns=True)

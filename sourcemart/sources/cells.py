@@ -5,7 +5,7 @@ marks an error cell, ``f`` a formula without a cached value. Work is keyed by (d
 long sheet spreads over all tasks; whole sheets meet only in reductions.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sourcemart.functions.prices import HEADER_ALIASES, PRICE_ROLES
 from sourcemart.functions.text import as_column, blank, glob_match, norm_header, normalize_literal
@@ -14,6 +14,7 @@ from sourcemart.sources.evidence import cell_name
 
 SHEET = ["doc", "sheet"]
 HEADER_ROWS = 20
+SLICE = 4096  # rows of a sheet that are scanned together
 BAND = 64  # rows of a band in which a merged rectangle or a region is looked up
 SCALARS = ["name", "model", "serial", "category", "brand", "supplier"]
 
@@ -107,6 +108,55 @@ def table_records(cells: DataFrame, plans: DataFrame, name_spans: DataFrame | No
     return (rows.join(owner, [*SHEET, "row"], "left").withColumn("record", F.coalesce("_top", "row")).drop("_top"))
 
 
+def carried_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows(doc, sheet, row) with ``record``: the top of the span (doc, sheet, top, bottom) that holds the row, else the row.
+
+    Spans of a sheet don't overlap, so a row can only lie in the last one that begins at or before it. Sheets are read in
+    slices of SLICE rows: the last span of each slice is carried to the slices behind it through a table of slice ends, so
+    neither a tall span nor a long sheet makes more rows or one long group.
+    """
+    slot = lambda c: F.floor(F.col(c) / SLICE)
+    begin = spans.select(*SHEET, F.col("top").cast("long").alias("row"), F.struct(F.col("top").cast("long").alias("top"), F.col("bottom").cast("long").alias("bottom")).alias("_span"))
+    both = (rows.select(*SHEET, F.col("row").cast("long").alias("row")).distinct().withColumns({"_span": F.lit(None).cast("struct<top:bigint,bottom:bigint>"), "_asked": F.lit(True)})
+            .unionByName(begin.withColumn("_asked", F.lit(False))).withColumn("_slice", slot("row")))
+    upto = Window.partitionBy(*SHEET, "_slice").orderBy("row", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.withColumn("_near", F.last("_span", ignorenulls=True).over(upto)).filter("_asked")
+    ends = begin.groupBy(*SHEET, slot("row").alias("_slice")).agg(F.max("_span").alias("_end"))
+    slices = near.select(*SHEET, "_slice").distinct().join(ends, [*SHEET, "_slice"], "full")
+    before = Window.partitionBy(*SHEET).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    carried = slices.withColumn("_far", F.last("_end", ignorenulls=True).over(before)).select(*SHEET, "_slice", "_far")
+    found = near.join(carried, [*SHEET, "_slice"], "left").withColumn("_span", F.coalesce("_near", "_far"))
+    return found.select(*SHEET, "row", F.when(F.col("_span.bottom") >= F.col("row"), F.col("_span.top")).otherwise(F.col("row")).alias("record"))
+
+
+def planned_records(cells: DataFrame, plans: DataFrame, merges: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, problems) of tables with all their options.
+
+    plans(doc, sheet, first_row, last_row, first_col, last_col, name_col, group_by_name, extend_rows, exclude_rows array<int>,
+    skip_repeated_headers, expected_last_row); merges(doc, sheet, top, left, bottom, right); expected(doc, sheet, col, value)
+    are the header cells. A sheet is refused whole when its extent isn't the expected one (unless rows are extended) or when
+    its range cuts a merged name. A record whose first row is excluded, or repeats all expected header cells, is none.
+    """
+    known = extended(plans.filter("extend_rows"), cells).unionByName(plans.filter("NOT extend_rows"))
+    moved = check_extent(cells, plans.filter("NOT extend_rows").select(*SHEET, "expected_last_row")).select(*SHEET, F.lit("extent").alias("problem"))
+    names = merges.join(known.filter("group_by_name").select(*SHEET, "first_row", "last_row", "name_col"), SHEET).filter(
+        F.col("name_col").between(F.col("left"), F.col("right")))
+    cut = cut_spans(known, names.select(*SHEET, "top", "bottom")).select(*SHEET, F.lit("cut").alias("problem"))
+    problems = moved.unionByName(cut).distinct()
+    sound = known.join(problems.select(*SHEET).distinct(), SHEET, "left_anti")
+    ranges = sound.select(*SHEET, "first_row", "last_row", "first_col", "last_col")
+    body = cells.join(ranges, SHEET).filter(F.col("row").between(F.col("first_row"), F.col("last_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
+    body = body.drop("first_row", "last_row", "first_col", "last_col").withColumn("row", F.col("row").cast("long"))
+    spans = names.select(*SHEET, "top", "bottom").join(sound.select(*SHEET), SHEET, "left_semi")
+    owned = body.join(carried_spans(body, spans), [*SHEET, "row"])
+    wanted = expected.join(sound.filter("skip_repeated_headers").select(*SHEET), SHEET, "left_semi")
+    matched = (body.select(*SHEET, "row", "col", "value").join(wanted.select(*SHEET, "col", F.col("value").alias("_v")), [*SHEET, "col"])
+               .filter(F.col("value") == F.col("_v")).groupBy(*SHEET, "row").agg(F.count("*").alias("_same")))
+    repeated = matched.join(wanted.groupBy(*SHEET).agg(F.count("*").alias("_all")), SHEET).filter("_same = _all").select(*SHEET, F.col("row").alias("record"))
+    excluded = sound.select(*SHEET, F.explode("exclude_rows").alias("record"))
+    return owned.join(repeated.unionByName(excluded.withColumn("record", F.col("record").cast("long"))), [*SHEET, "record"], "left_anti"), problems
+
+
 def cut_spans(plans: DataFrame, spans: DataFrame) -> DataFrame:
     """Merged names that reach over the end of their declared range: the mapping is wrong there."""
     both = spans.join(plans, SHEET)
@@ -130,20 +180,38 @@ def drop_repeated_headers(records: DataFrame, expected: DataFrame) -> DataFrame:
     return records.join(repeated, [*SHEET, "row"], "left_anti")
 
 
-def block_records(cells: DataFrame, plans: DataFrame) -> DataFrame:
+def block_records(cells: DataFrame, plans: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
     """Cells of repeated cards: block place and place within the block; blocks without any value are dropped.
 
-    plans(doc, sheet, top, left, bottom, right, height, width).
+    plans(doc, sheet, top, left, bottom, right, height, width); ranges that their blocks don't divide give nothing, see
+    ``uneven_blocks``. With ``mapped(doc, sheet, rel_row, rel_col)`` only these cells of a block say whether it is blank.
     """
-    rows = cells.join(plans, SHEET).filter(F.col("row").between(F.col("top"), F.col("bottom"))
-                                           & F.col("col").between(F.col("left"), F.col("right")))
+    even = plans.join(uneven_blocks(plans).select(*SHEET), SHEET, "left_anti")
+    rows = cells.join(even, SHEET).filter(F.col("row").between(F.col("top"), F.col("bottom"))
+                                          & F.col("col").between(F.col("left"), F.col("right")))
     down, across = F.col("row") - F.col("top"), F.col("col") - F.col("left")
     placed = rows.select(*SHEET, (down / F.col("height")).cast("int").alias("block_row"), (across / F.col("width")).cast("int").alias("block_col"),
                          (down % F.col("height") + 1).alias("rel_row"), (across % F.col("width") + 1).alias("rel_col"),
                          "row", "col", "value", "dtype")
     block = [*SHEET, "block_row", "block_col"]
-    filled = placed.filter(~blank("value")).select(*block).distinct()
-    return placed.join(filled, block, "left_semi")
+    filled = placed.filter(~blank("value"))
+    if mapped is not None:
+        filled = filled.join(mapped.select(*SHEET, "rel_row", "rel_col"), [*SHEET, "rel_row", "rel_col"], "left_semi")
+    return placed.join(filled.select(*block).distinct(), block, "left_semi")
+
+
+def uneven_blocks(plans: DataFrame) -> DataFrame:
+    """Plans whose range is not a whole number of blocks."""
+    whole = (F.col("height") > 0) & (F.col("width") > 0)
+    even = ((F.col("bottom") - F.col("top") + 1) % F.when(whole, F.col("height")) == 0) & ((F.col("right") - F.col("left") + 1) % F.when(whole, F.col("width")) == 0)
+    return plans.filter(~F.coalesce(even, F.lit(False)))
+
+
+def check_blocks(blocks: DataFrame, expected: DataFrame) -> DataFrame:
+    """expected(doc, sheet, rel_row, rel_col, value): labels that a block with values doesn't have where they should be."""
+    places = blocks.select(*SHEET, "block_row", "block_col").distinct().join(expected, SHEET)
+    now = blocks.select(*SHEET, "block_row", "block_col", "rel_row", "rel_col", F.col("value").alias("found"))
+    return places.join(now, [*SHEET, "block_row", "block_col", "rel_row", "rel_col"], "left").filter(~F.col("found").eqNullSafe(F.col("value")))
 
 
 def check_expectations(cells: DataFrame, expected: DataFrame) -> DataFrame:
