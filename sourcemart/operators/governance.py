@@ -1,7 +1,8 @@
 """Checks before anything is published, and reconciliation of what was."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sourcemart.functions.rolling import shifted, summed, with_text_hash
 from sourcemart.functions.text import as_column, compact
 
 # Rule name and pattern (RE2 and Java read them alike), suffixes and names that are never published.
@@ -68,17 +69,20 @@ def audit_paths(files: DataFrame, path="path") -> DataFrame:
 def reconcile_parts(staged: DataFrame, published: DataFrame, key="id") -> DataFrame:
     """staged(key, title, text), published(key, part, title, text): products whose parts do not give back the text.
 
-    Parts are joined in order; white space is not compared. Every mismatch is reported, with its kind.
+    Parts count in their order; white space is not compared. Every mismatch is reported, with its kind. Texts stay where they
+    are read: what is compared are hashes that compose, so parts are summed instead of put together.
     """
-    parts = published.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("joined"),
-        F.min("title").alias("low"), F.max("title").alias("high"))
-    both = staged.withColumn("_staged", F.lit(True)).join(parts, key, "full")
+    parts = with_text_hash(published.select(key, "part", "title", compact("text").alias("_text")), "_text")
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # numbers only
+    placed = shifted(parts.withColumn("_place", F.coalesce(F.sum("_bytes").over(before), F.lit(0))), "_place")
+    whole = placed.groupBy(key).agg(summed("_h1").alias("_p1"), summed("_h2").alias("_p2"), F.sum("_bytes").alias("_all"),
+                                    F.min("title").alias("low"), F.max("title").alias("high"))
+    own = with_text_hash(staged.select(key, "title", compact("text").alias("_text")), "_text").withColumn("_staged", F.lit(True))
+    differs = (F.col("_p1") != F.col("_h1")) | (F.col("_p2") != F.col("_h2")) | (F.col("_all") != F.col("_bytes"))
     problem = F.coalesce(
-        F.when(F.col("_staged").isNull(), "not_staged"), F.when(F.col("low").isNull(), "not_published"),
-        F.when((F.col("low") != F.col("title")) | (F.col("high") != F.col("title")), "title"),
-        F.when(compact("joined") != compact("text"), "text"))
-    return both.withColumn("problem", problem).filter("problem IS NOT NULL").select(key, "problem")
+        F.when(F.col("_staged").isNull(), "not_staged"), F.when(F.col("_all").isNull(), "not_published"),
+        F.when((F.col("low") != F.col("title")) | (F.col("high") != F.col("title")), "title"), F.when(differs, "text"))
+    return own.join(whole, key, "full").withColumn("problem", problem).filter("problem IS NOT NULL").select(key, "problem")
 
 
 def artifact_id(content_hash, receipt, name) -> Column:

@@ -311,3 +311,23 @@ def test_facet_counts_a_product_once_per_category(spark, rows):
     obs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "")], "id int, category string")
     tags = spark.createDataFrame([(1, "category", "a"), (3, "category", "b"), (3, "x", "a")], "id int, kind string, value string")
     assert rows(facets.category_facet(obs, tags)) == [("a", 2), ("b", 1)]
+
+
+def test_text_hashes_compose_like_the_texts(spark):
+    from sourcemart.functions import rolling
+    import random
+    rng = random.Random(12)
+    texts = ["", "a", "é€😀" * 9_000, "x" * (rolling.BLOCK + 1)] + ["".join(rng.choice("ab é€") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    direct = [tuple(sum((b + 1) * pow(base, i, p) for i, b in enumerate(t.encode()[:50])) % p for base, p in zip(rolling.BASES, rolling.PRIMES)) for t in texts]
+    made = rolling.with_text_hash(spark.createDataFrame([(i, t[:0] + t.encode()[:50].decode(errors="ignore")) for i, t in enumerate(texts)], "id int, t string"), "t").collect()
+    short = {r["id"]: (r["_h1"], r["_h2"]) for r in made if len(texts[r["id"]].encode()) <= 50}
+    assert all(short[i] == direct[i] for i in short)
+    staged, parts = [], []
+    for i, t in enumerate(texts):
+        cuts = sorted(rng.randint(0, len(t)) for _ in range(rng.randint(0, 5)))
+        staged.append((i, "t", t))
+        parts += [(i, n, "t", t[a:b]) for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(t)]))]
+    swapped = [(100, "t", "ab cd"), (101, "t", "abab"), (102, "t", "ab"), (103, "t", "ab")]
+    parts += [(100, 0, "t", "cd"), (100, 1, "t", "ab"), (101, 0, "t", "ab"), (102, 0, "x", "a"), (102, 1, "t", "b"), (104, 0, "t", "z")]
+    found = governance.reconcile_parts(spark.createDataFrame(staged + swapped, "id int, title string, text string"), spark.createDataFrame(parts, "id int, part int, title string, text string"))
+    assert {r["id"]: r["problem"] for r in found.collect()} == {100: "text", 101: "text", 102: "title", 103: "not_published", 104: "not_staged"}
