@@ -3,8 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcemart.functions.prices import basis_conflict
-from sourcemart.operators import lineage
-from sourcemart.operators.overlay import effective, lacks, needs_category_review
+from sourcemart.operators.overlay import lacks
 
 
 def facet(obs: DataFrame, field: str, query: str = "") -> DataFrame:
@@ -61,28 +60,48 @@ def price_coverage(prices: DataFrame, products: DataFrame, field: str) -> DataFr
 
 
 def quality(obs: DataFrame, facts: DataFrame, tags: DataFrame, sources: DataFrame, links: DataFrame) -> DataFrame:
-    """Whole-pool coverage as (metric, n) rows: one small reduction per metric, no join between them."""
-    merged = effective(obs, facts)
-    own = merged.agg(F.count("*").alias("products"),
-                     *[F.count_if(lacks(f)).alias(f"missing_{f}") for f in ("brand", "supplier", "category")])
-    long = own.unpivot([], list(own.columns), "metric", "n")
-
-    def one(name, frame, count=None):
-        return frame.agg((count if count is not None else F.count("*")).alias("n")).select(F.lit(name).alias("metric"), "n")
-
-    parts = [
-        one("tagged_products", tags.select("id").distinct()),
-        one("incomplete_files", sources.filter("import_status <> 'ready'")),
-        one("enriched_products", facts.select("id").distinct()),
-        one("sources_without_version", lineage.without_version(sources)),
-        one("grouped_products", links),
-        one("categories_needing_review", needs_category_review(obs, facts)),
-        one("ambiguous_quote_series", lineage.ambiguous_series(sources)),
-        one("partial_newest_quotes", lineage.partial_newest(sources)),
-    ]
-    for part in parts:
-        long = long.unionByName(part)
-    return long
+    """Whole-pool coverage as (metric, n) rows, from one reduction per product and one per series.
+
+    What observations, facts, tags and links say about a product meets in one row of sums and flags; sources meet per
+    series and date. Every input is read once.
+    """
+    fields = ("brand", "supplier", "category")
+    by_rule = F.coalesce((F.col("category_origin") == "rule") & F.contains("category", F.lit("/")), F.lit(False)) if "category_origin" in obs.columns else F.lit(False)
+    source = lambda f: F.col(f).cast("string") if f in obs.columns else F.lit(None).cast("string")
+    one, no, unknown = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string")
+
+    def said(frame, **own):
+        blank_row = {"rows": no, "unruled": no, "tagged": no, "enriched": no, "linked": no, "reviewed": no, **{f"lacks_{f}": no for f in fields}, **{f"own_{f}": unknown for f in fields}}
+        return frame.select("id", *[c.alias(n) for n, c in {**blank_row, **own}.items()])
+
+    rows = said(obs, rows=one, unruled=(~by_rule).cast("long"), **{f"lacks_{f}": lacks(source(f)).cast("long") for f in fields})
+    rows = rows.unionByName(said(facts, enriched=one, reviewed=(F.col("field") == "category").cast("long"), **{f"own_{f}": F.when(F.col("field") == f, F.col("value")) for f in fields}))
+    rows = rows.unionByName(said(tags, tagged=one)).unionByName(said(links, linked=one))
+    sums = ["rows", "unruled", "linked", *[f"lacks_{f}" for f in fields]]
+    product = rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in ("tagged", "enriched", "reviewed")], *[F.max(f"own_{f}").alias(f"own_{f}") for f in fields])
+    missing = lambda f: F.when(F.col(f"own_{f}").isNull(), F.col(f"lacks_{f}")).when(lacks(f"own_{f}"), F.col("rows")).otherwise(0)
+    products = {"products": F.sum("rows"), **{f"missing_{f}": F.sum(missing(f)) for f in fields}, "tagged_products": F.sum("tagged"), "enriched_products": F.sum("enriched"),
+                "grouped_products": F.sum("linked"), "categories_needing_review": F.sum(F.when(F.col("reviewed") == 0, F.col("unruled")).otherwise(0))}
+    return _as_metrics(product, products).unionByName(_as_metrics(*_series_metrics(sources)))
+
+
+def _series_metrics(sources: DataFrame) -> tuple[DataFrame, dict]:
+    active, open_file = F.col("state") == "active", F.col("import_status") != "ready"
+    unversioned = (F.coalesce("state", F.lit("active")) == "active") & (F.col("series").isNull() | F.col("issued_on").isNull())
+    dated = sources.groupBy("series", "issued_on").agg(
+        F.count_if(active).alias("n"), F.count_if(active & open_file).alias("partial"), F.count_if(open_file).alias("incomplete"), F.count_if(unversioned).alias("unversioned"))
+    undated = F.when(F.col("issued_on").isNull(), F.col("n")).otherwise(0)
+    newest = F.max(F.when((F.col("n") > 0) & F.col("issued_on").isNotNull(), F.struct("issued_on", "n", "partial")))
+    series = dated.groupBy("series").agg(newest.alias("newest"), F.sum(undated).alias("undated"), F.sum("incomplete").alias("incomplete"), F.sum("unversioned").alias("unversioned"))
+    known = F.col("series").isNotNull()
+    ambiguous = known & ((F.col("undated") > 0) | F.coalesce(F.col("newest.n") > 1, F.lit(False)))
+    return series, {"incomplete_files": F.sum("incomplete"), "sources_without_version": F.sum("unversioned"), "ambiguous_quote_series": F.count_if(ambiguous),
+                    "partial_newest_quotes": F.sum(F.when(known, F.coalesce("newest.partial", F.lit(0))).otherwise(0))}
+
+
+def _as_metrics(frame: DataFrame, metrics: dict) -> DataFrame:
+    wide = frame.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in metrics.items()])
+    return wide.unpivot([], list(metrics), "metric", "n")
 
 
 # Warnings of a retrieval, in order, each with the condition it reports.
