@@ -82,8 +82,8 @@ def _(t):
 @check("st_dedup", sql("SELECT DISTINCT task, kind, request FROM tasks", "tasks"))
 def _(t):
     events = task_events(event_stream(t)).select("ts", "task", "kind", "request")
-    once = tasks.dedup_stream(events, ["task", "kind", "request"], "ts", "3650 days")
-    return tasks.run_available(once, scratch_path(t.spark, "dedup")).select("task", "kind", "request")
+    once, _ = tasks.dedup_available(events, ["task", "kind", "request"], scratch_path(t.spark, "dedup"))
+    return once.select("task", "kind", "request")
 
 
 @check("st_dedup_first", sql("SELECT task, kind, request, min(seq) AS seq FROM tasks GROUP BY 1, 2, 3", "tasks"))
