@@ -189,7 +189,15 @@ def _(t):
         term_established(F.lit("currency"), F.lit("USD"), money, F.lower(money)).alias("usd_ok"))
 
 
-@check("paginate_text")
+# Characters of a line are added one by one; a break is a character that no text holds.
+@check("paginate_text", r"""WITH tidy AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')
+      THEN regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '^[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') ELSE '表格未提供功能特点' END AS t FROM documents),
+    lines AS (SELECT doc_id, generate_subscripts(l, 1) AS ln, unnest(l) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM tidy)),
+    wrapped AS (SELECT doc_id, ln, CASE WHEN line = '' THEN [''] ELSE string_split(list_reduce(list_transform(string_split(line, ''), lambda c: {'w': CASE WHEN regexp_matches(c, '[\p{Han}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]') THEN cast(1 AS DOUBLE)
+        WHEN regexp_matches(c, '[A-Z0-9]') THEN cast(0.67 AS DOUBLE) ELSE cast(0.55 AS DOUBLE) END, 's': c}),
+      lambda a, x: {'w': CASE WHEN a.w + x.w > cast(31.5 AS DOUBLE) THEN x.w ELSE a.w + x.w END, 's': a.s || CASE WHEN a.w + x.w > cast(31.5 AS DOUBLE) THEN chr(1) ELSE '' END || x.s}).s, chr(1)) END AS pieces FROM lines),
+    rows AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) - 1 AS n FROM (SELECT doc_id, ln, generate_subscripts(pieces, 1) AS k, unnest(pieces) AS piece FROM wrapped))
+    SELECT doc_id, cast(n // 15 + 1 AS BIGINT) AS page, string_agg(piece, chr(10) ORDER BY n) AS text FROM rows GROUP BY doc_id, n // 15""")
 def _(t):
     pages = t.documents.select("doc_id", F.posexplode(paginate("text")).alias("page", "text"))
     return pages.select("doc_id", (F.col("page") + 1).cast("long").alias("page"), "text")
