@@ -2,9 +2,10 @@
 
 A word's id is a 64-bit hash of language and word; the table of words, which is counted first, proves that no two words
 share one. Phrases grow by a word a pass: only where both of its shorter phrases are frequent can a longer one be, and a
-bounded bitmap tells tasks which may be. A task counts in a trie over word ids: below each first word lies one hash
-container, which bursts into containers per second word when it grows. When the trie holds too much, its largest subtrees
-leave whole, each as a run sorted by path. Runs of all tasks meet in partitions by path, are sorted and merged there.
+bounded bitmap tells tasks which may be. A task counts in hash containers under a shallow trie over word ids: a path of ids
+is put in order by the upper bits of its first word's id and then by its hash, and a container of such a range bursts into
+sixteen when it grows, so a hot first word ends up in many. When the trie holds too much, its largest subtrees leave whole, as
+sorted runs. Runs of all tasks meet in partitions by path, are sorted and merged there.
 """
 
 from collections.abc import Iterator
@@ -19,8 +20,10 @@ LEAST = 10            # occurrences of a candidate
 WIDEST = 3            # words of a candidate, at most
 TOP = 2000            # phrases reported per language
 SHADOW = 50           # percent of a phrase's occurrences inside one longer candidate that drop it
-BURST = 2048          # entries of a container that becomes containers per next word
-MOST_ENTRIES = 300_000  # of a task's trie; spilled down to half
+PREFIX = 16           # bits of the first word's id by which paths are put in order
+BURST = 1 << 15       # paths of a container that becomes sixteen
+MOST_ENTRIES = 1 << 20  # paths of a task's trie; spilled down to half
+MOST_WORDS = 200_000  # of a task's table of words
 MAP_BITS = 1 << 27    # of a bitmap, at most: 16 MB
 UNKNOWN = "und"
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -86,100 +89,112 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], li
 
 # ---- the trie -------------------------------------------------------------------------------------------------------
 
+def path_hash(paths: list[np.ndarray]) -> np.ndarray:
+    out = paths[0]
+    for p in paths[1:]:
+        out = mix(out * np.uint64(BASE) + p)
+    return out
+
+
+def path_keys(paths: list[np.ndarray]) -> np.ndarray:
+    """Where paths stand in the trie: the upper PREFIX bits of the first word's id, then a hash of the whole path."""
+    return (paths[0] >> np.uint64(64 - PREFIX) << np.uint64(64 - PREFIX)) | (path_hash(paths) >> np.uint64(PREFIX))
+
+
+def merged(keys: np.ndarray, paths: list[np.ndarray], counts: np.ndarray | None = None):
+    """(keys, distinct paths, their counts) in the order of the keys. Different paths of one key stay apart."""
+    order = np.argsort(keys, kind="stable")
+    keys, paths = keys[order], [p[order] for p in paths]
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for p in paths:
+        new[1:] |= p[1:] != p[:-1]
+    first = np.flatnonzero(new)
+    sums = np.diff(np.append(first, len(order))) if counts is None else np.add.reduceat(counts[order], first) if len(first) else counts
+    return keys[first], [p[first] for p in paths], sums
+
+
+class Container:
+    """Paths of one key range with their counts, in the order of their hashes; what was added since lies beside them."""
+
+    def __init__(self, parts=()):
+        self.parts = list(parts)
+        self.settled = self.held = sum(len(p[0]) for p in self.parts)
+
+    def add(self, part) -> None:
+        self.parts.append(part)
+        self.held += len(part[0])
+
+    def settle(self):
+        if len(self.parts) > 1:
+            keys, counts = (np.concatenate([p[k] for p in self.parts]) for k in (0, 2))
+            paths = [np.concatenate(side) for side in zip(*[p[1] for p in self.parts])]
+            self.parts = [merged(keys, paths, counts)]
+        self.settled = self.held = sum(len(p[0]) for p in self.parts)
+        return self.parts[0] if self.parts else None
+
+
 class BurstTrie:
-    """Counts of id sequences of one length (two or three): first id -> container of the rest, or, once that holds more
-    than ``burst`` entries, -> second id -> container."""
+    """Counts of id sequences in containers under a trie over the digits (of four bits) of their keys.
+
+    A container that grows beyond ``burst`` paths is replaced by one per next digit. Leaves are kept by their lower bounds;
+    a path belongs to the last one whose bound is not above its key. When more than ``most`` paths are held, the largest of
+    the sixteen subtrees leave whole.
+    """
 
     def __init__(self, words: int, burst: int = BURST, most: int = MOST_ENTRIES):
         self.words, self.burst, self.most = words, burst, most
-        self.root: dict[int, dict] = {}
-        self.deep: set[int] = set()   # first ids whose container has burst
-        self.sizes: dict[int, int] = {}
-        self.held = 0
-
-    def add(self, paths: list[np.ndarray], counts: np.ndarray) -> None:
-        """Adds distinct paths, sorted by their first id."""
-        firsts = paths[0]
-        edges = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1], [True]])).tolist()
-        rest = [p.tolist() for p in paths[1:]]
-        counts, firsts = counts.tolist(), firsts.tolist()
-        for start, end in zip(edges[:-1], edges[1:]):
-            first = firsts[start]
-            top = self.root.get(first)
-            if top is None:
-                top = self.root[first] = {}
-            if first in self.deep:
-                for second, third, n in zip(rest[0][start:end], rest[1][start:end], counts[start:end]):
-                    below = top.get(second)
-                    if below is None:
-                        below = top[second] = {}
-                    before = len(below)
-                    below[third] = below.get(third, 0) + n
-                    self._grown(first, len(below) - before)
-                continue
-            before = len(top)
-            keys = rest[0][start:end] if self.words == 2 else zip(rest[0][start:end], rest[1][start:end])
-            for key, n in zip(keys, counts[start:end]):
-                top[key] = top.get(key, 0) + n
-            self._grown(first, len(top) - before)
-            if self.words > 2 and len(top) > self.burst:
-                self._split(first, top)
-
-    def _grown(self, first: int, by: int) -> None:
-        if by:
-            self.sizes[first] = self.sizes.get(first, 0) + by
-            self.held += by
-
-    def _split(self, first: int, top: dict) -> None:
-        below: dict[int, dict] = {}
-        for (second, third), n in top.items():
-            below.setdefault(second, {})[third] = n
-        self.root[first] = below
-        self.deep.add(first)
-
-    def _run(self, first: int) -> list[tuple]:
-        """A subtree's entries, sorted by path; the subtree leaves the trie."""
-        top = self.root.pop(first)
-        self.held -= self.sizes.pop(first)
-        if first in self.deep:
-            self.deep.discard(first)
-            return [(first, second, third, n) for second in sorted(top) for third, n in sorted(top[second].items())]
-        if self.words == 2:
-            return [(first, second, n) for second, n in sorted(top.items())]
-        return [(first, *key, n) for key, n in sorted(top.items())]
+        self.bounds, self.depths, self.leaves = [0], [0], [Container()]
+
+    @property
+    def held(self) -> int:
+        return sum(leaf.held for leaf in self.leaves)
+
+    def add(self, keys: np.ndarray, paths: list[np.ndarray], counts: np.ndarray) -> None:
+        """Adds paths in the order of their keys."""
+        cuts = [0, *np.searchsorted(keys, np.array(self.bounds[1:], dtype=np.uint64)).tolist(), len(keys)]
+        for i in range(len(self.leaves) - 1, -1, -1):  # from the last, as a burst moves those behind it
+            start, end = cuts[i], cuts[i + 1]
+            if start < end:
+                leaf = self.leaves[i]
+                leaf.add((keys[start:end], [p[start:end] for p in paths], counts[start:end]))
+                if leaf.held > 2 * leaf.settled + self.burst // 2:
+                    leaf.settle()
+                    if leaf.settled > self.burst and self.depths[i] < 16:
+                        self._split(i)
+
+    def _split(self, i: int) -> None:
+        keys, paths, counts = self.leaves[i].settle()
+        shift = 60 - 4 * self.depths[i]
+        bounds = [self.bounds[i] + (digit << shift) for digit in range(16)]
+        cuts = [0, *np.searchsorted(keys, np.array(bounds[1:], dtype=np.uint64)).tolist(), len(keys)]
+        parts = [Container([(keys[a:b].copy(), [p[a:b].copy() for p in paths], counts[a:b].copy())]) for a, b in zip(cuts, cuts[1:])]
+        self.bounds[i:i + 1], self.depths[i:i + 1], self.leaves[i:i + 1] = bounds, [self.depths[i] + 1] * 16, parts
 
     def spill(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         """Sorted runs of whole subtrees, the largest first, until half is left; all of them, in order, at the end."""
-        if self.held <= self.most and not last:
+        if not last and self.held <= self.most:
             return
-        order = sorted(self.root) if last else sorted(self.sizes, key=self.sizes.get, reverse=True)
-        names, rows = [f"w{k + 1}" for k in range(self.words)] + ["n"], []
-        for first in order:
+        for leaf in self.leaves:
+            leaf.settle()
+        subtrees: dict[int, list[int]] = {}
+        for i, bound in enumerate(self.bounds):
+            subtrees.setdefault(bound >> 60 if self.depths[i] else 0, []).append(i)
+        size = lambda root: sum(self.leaves[i].held for i in subtrees[root])
+        names = [f"w{k + 1}" for k in range(self.words)] + ["n"]
+        gone: set[int] = set()
+        for root in sorted(subtrees) if last else sorted(subtrees, key=size, reverse=True):
             if not last and 2 * self.held <= self.most:
                 break
-            rows += self._run(first)
-            if len(rows) >= 1 << 16:
-                yield self._batch(rows, names)
-                rows = []
-        if rows:
-            yield self._batch(rows, names)
-
-    @staticmethod
-    def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-        columns = [np.array(c, dtype=np.uint64).view(np.int64) for c in zip(*rows)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-
-def distinct_paths(paths: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct paths in order, with their counts."""
-    order = np.lexsort(paths[::-1])
-    paths = [p[order] for p in paths]
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for p in paths:
-        new[1:] |= p[1:] != p[:-1]
-    first = np.flatnonzero(new)
-    return [p[first] for p in paths], np.diff(np.append(first, len(order)))
+            for i in subtrees[root]:
+                for _, paths, counts in self.leaves[i].parts:
+                    for a in range(0, len(counts), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[a:a + (1 << 16)].view(np.int64)) for c in (*paths, counts)], names=names)
+                self.leaves[i] = Container()
+            gone.add(root)
+        kept = [i for i in range(len(self.leaves)) if not (self.depths[i] > 1 and self.bounds[i] >> 60 in gone and self.bounds[i] & ((1 << 60) - 1))]
+        self.depths = [min(self.depths[i], 1) if self.bounds[i] >> 60 in gone else self.depths[i] for i in kept]
+        self.bounds, self.leaves = [self.bounds[i] for i in kept], [self.leaves[i] for i in kept]
 
 
 # ---- counts ---------------------------------------------------------------------------------------------------------
@@ -209,7 +224,7 @@ def count_words(docs: DataFrame, text_col: str, lang_col: str, seed: int) -> Dat
                     held[i] += n
                 else:
                     held[i], named[i] = n, (langs[o], raw[s:e])
-            if len(held) > MOST_ENTRIES:
+            if len(held) > MOST_WORDS:
                 yield give()
         if held:
             yield give()
@@ -227,13 +242,6 @@ def checked_words(docs: DataFrame, text_col: str, lang_col: str) -> tuple[DataFr
     raise RuntimeError("Word ids collide under every seed")
 
 
-def path_hash(paths: list[np.ndarray]) -> np.ndarray:
-    out = paths[0]
-    for p in paths[1:]:
-        out = mix(out * np.uint64(BASE) + p)
-    return out
-
-
 def bitmap(frequent: DataFrame, columns: list[str]) -> np.ndarray:
     """Bits at the hashes of the paths; at most MAP_BITS, so large inputs only see more chance hits, which cost time."""
     bits = 1 << 16
@@ -279,13 +287,14 @@ def count_phrases(docs: DataFrame, text_col: str, lang_col: str, seed: int, word
                 whole &= joined[k:k + n]
             at = np.flatnonzero(whole)
             if len(at):
-                trie.add(*distinct_paths([ids[at + k] for k in range(words)]))
+                paths = [ids[at + k] for k in range(words)]
+                trie.add(*merged(path_keys(paths), paths))
                 yield from trie.spill()
         yield from trie.spill(last=True)
 
     found = docs.select(text_col, F.col(lang_col).cast("string")).mapInArrow(count, ", ".join(f"{w} long" for w in path) + ", n long")
-    merged = found.repartition(*path).sortWithinPartitions(*path).groupBy(*path).agg(F.sum("n").alias("n"))
-    return merged.filter(F.col("n") >= least)
+    counted = found.repartition(*path).sortWithinPartitions(*path).groupBy(*path).agg(F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= least)
 
 
 # ---- scores ---------------------------------------------------------------------------------------------------------

@@ -277,26 +277,32 @@ def test_collocations_small(spark, monkeypatch, least, top, shadow):
 
 def test_trie_bursts_and_spills_whole_subtrees():
     rng = random.Random(11)
-    for words, burst, most in ((2, 3, 20), (3, 3, 20), (3, 2, 10_000)):
+    for words, burst, most in ((2, 8, 60), (3, 8, 60), (3, 2, 10_000), (2, 10_000, 40)):
         trie, want, got = phrases.BurstTrie(words, burst, most), collections.Counter(), collections.Counter()
-        runs = []
+        ids = [2**64 - 1, 0, 1, 2] + [rng.getrandbits(64) for _ in range(40)]
+        runs, leaves = [], 1
         for _ in range(60):
-            some = np.array([[rng.choice([1, 1, 1, 2, 3, 2**64 - 1, rng.randint(0, 40)]) for _ in range(words)] for _ in range(30)], dtype=np.uint64)
-            paths, counts = phrases.distinct_paths([some[:, k] for k in range(words)])
+            some = np.array([[rng.choice(ids[:3] + ids) for _ in range(words)] for _ in range(30)], dtype=np.uint64)
+            paths = [np.ascontiguousarray(some[:, k]) for k in range(words)]
             for row in some.tolist():
                 want[tuple(row)] += 1
-            trie.add(paths, counts)
-            runs += list(trie.spill())
+            trie.add(*phrases.merged(phrases.path_keys(paths), paths))
+            assert trie.bounds == sorted(set(trie.bounds)) and trie.bounds[0] == 0
+            leaves = max(leaves, len(trie.leaves))
+            runs.append(list(trie.spill()))
             assert trie.held <= most
-        runs += list(trie.spill(last=True))
-        assert trie.held == 0 and not trie.root
-        for batch in runs:
-            rows = list(zip(*[c.to_numpy().view(np.uint64).tolist() for c in batch.columns]))
-            firsts = [r[0] for r in rows]
-            assert all(a < b for a, b in zip(rows, rows[1:]) if a[0] == b[0])               # sorted within a subtree
-            assert len(set(firsts)) == 1 + sum(a != b for a, b in zip(firsts, firsts[1:]))  # which is in one run
-            for *path, n in rows:
-                got[tuple(path)] += n
+        runs.append(list(trie.spill(last=True)))
+        assert trie.held == 0 and (leaves > 1) == (burst < 100)
+        for run in runs:
+            keys, roots = [], []
+            for batch in run:
+                columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
+                keys += phrases.path_keys(columns[:-1]).tolist()
+                for *path, n in zip(*[c.tolist() for c in columns]):
+                    got[tuple(path)] += n
+            roots = [k >> 60 for k in keys]
+            assert all(a <= b for a, b, x, y in zip(keys, keys[1:], roots, roots[1:]) if x == y)      # sorted within a subtree
+            assert len(set(roots)) == sum(a != b for a, b in zip(roots, roots[1:])) + bool(roots)     # which leaves in one run
         assert got == want
 
 
