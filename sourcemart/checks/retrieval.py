@@ -17,7 +17,7 @@ PLAN = {"version": 1, "hard": {"price_field": "retail_price", "minimum": 500, "m
 
 def pool(t, **frames):
     """Observations with prices, their sources, and the item tags and facts, which refer to the observation's part."""
-    return Pool(t.priced(), sources=t.sources(), item_key="group_id", synonyms=SYNONYMS, **frames)
+    return Pool(t.priced(), sources=t.sources(), item_key="group_id", synonyms=SYNONYMS, offers=t.offers, **frames)
 
 
 def run(t, **changes):

@@ -66,12 +66,12 @@ class Tables:
             normalize(joined_text("name", "model")).alias("name_norm"),
             normalize(joined_text("name", "model", "features", "category", "brand")).alias("all_norm")))
 
-    def observations(self) -> DataFrame:
-        """One row per line item and part: what one source says about one product.
+    def observations(self, lines: DataFrame | None = None) -> DataFrame:
+        """One row per line item (of ``lines``, all by default) and part: what one source says about one product.
 
         Part columns stay below the join as plain columns, so filters on them reach the part scan.
         """
-        li = self.lineitem
+        li = self.lineitem if lines is None else lines
         items = self.items().withColumnRenamed("id", "group_id")
         amount = F.when(F.col("l_discount") != 0.10, cents(F.col("l_extendedprice") / F.col("l_quantity")))
         keyed = li.select(
@@ -87,14 +87,28 @@ class Tables:
 
     def priced(self) -> DataFrame:
         """Observations with the price map: the offered price and the list price of the part."""
-        def price(label, amount):
-            return F.struct(label.alias("label"),
-                            F.coalesce(two_decimals(amount), F.lit("更新中")).alias("value"),
-                            amount.alias("amount"), F.lit(None).cast("string").alias("error"))
-
-        return self.observations().withColumn("prices", F.create_map(
-            F.col("field"), price(F.col("label"), F.col("amount")),
-            F.lit(LIST_FIELD), price(F.lit(LIST_LABEL), F.col("list_price"))))
+        return self._with_prices(self.observations())
+
+    def offers(self, field: str) -> DataFrame | None:
+        """The observations that offer a price of that role, with it as ``price`` and ``amount``; None for other roles.
+
+        The role is a flag of the line, so other lines are left out where they are read, and bounds on the amount are, too.
+        """
+        flag = {role: flag for flag, role in PRICE_FIELD.items()}.get(field)
+        if flag is None:
+            return None
+        found = self.observations(self.lineitem.filter(F.col("l_returnflag") == flag))
+        return self._with_prices(found).withColumn("price", self._price(F.col("label"), F.col("amount")))
+
+    @staticmethod
+    def _price(label, amount):
+        return F.struct(label.alias("label"), F.coalesce(two_decimals(amount), F.lit("更新中")).alias("value"),
+                        amount.alias("amount"), F.lit(None).cast("string").alias("error"))
+
+    def _with_prices(self, obs: DataFrame) -> DataFrame:
+        return obs.withColumn("prices", F.create_map(
+            F.col("field"), self._price(F.col("label"), F.col("amount")),
+            F.lit(LIST_FIELD), self._price(F.lit(LIST_LABEL), F.col("list_price"))))
 
     def prices(self) -> DataFrame:
         """Long price table of the observations' own offers."""

@@ -4,12 +4,13 @@ The function only composes a plan. Column predicates of the parts reach the part
 scan; other tables are met on reduced keys; wide columns are kept out of sorts by the top-k step.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from sourcemart.functions.grams import query_grams
-from sourcemart.functions.prices import resolve_price
+from sourcemart.functions.prices import PRICE_ROLES, resolve_price
 from sourcemart.functions.text import normalize, normalize_literal, snippet
 from sourcemart.operators import filters, lineage
 from sourcemart.operators.ranking import numbered, page, price_order, top_per_group
@@ -24,6 +25,8 @@ class Pool:
 
     observations: id, doc_id, record_key, name, brand, category, *_norm columns, prices map.
     synonyms: (kind, term) -> list of displays, a small driver-side dictionary looked up for the query's own words.
+    offers: price role -> the observations with a price of that role as ``price`` and ``amount``, or None where the source of
+    the observations can't tell them apart before it reads them.
     """
     observations: DataFrame
     sources: DataFrame | None = None
@@ -34,6 +37,7 @@ class Pool:
     stale: DataFrame | None = None
     synonyms: dict | None = None
     item_key: str = "id"
+    offers: Callable[[str], DataFrame | None] | None = None
 
     def words(self, kind: str, term: str) -> list[str]:
         return (self.synonyms or {}).get((kind, normalize_literal(term)), [term])
@@ -52,12 +56,12 @@ def lookup_synonyms(table: DataFrame, wanted: list[tuple[str, str]]) -> dict:
     return found
 
 
-def with_overlay(pool: Pool) -> DataFrame:
+def with_overlay(pool: Pool, obs: DataFrame | None = None) -> DataFrame:
     """Overlay values win over the source's for category, brand and supplier, also in the normalized columns.
 
     The overlay is normalized on its own few rows, not on every observation.
     """
-    obs = pool.observations
+    obs = pool.observations if obs is None else obs
     if pool.facts is None:
         return obs
     fields = [f for f in ("category", "brand", "supplier") if f in obs.columns]
@@ -84,11 +88,14 @@ def hard_filter(pool: Pool, *, exclude=(), scope="name", price_field=None, minim
     if (minimum is not None or maximum is not None or sort != "relevance" or price_labels or price_terms) and not price_field:
         raise ValueError("Prices need an explicit price field")
     key = pool.item_key
-    obs = with_overlay(pool)
+    # A canonical role keeps only rows that have its price, so they may be chosen where they are read.
+    offered = pool.offers(price_field) if pool.offers and price_field in PRICE_ROLES else None
+    obs = with_overlay(pool, offered)
     if price_field:
         # explode of a one-element array keeps every row and makes the price a column of its own; as a plain
         # expression it would be worked out again in every condition that reads it.
-        obs = obs.withColumn("price", F.explode(F.array(resolve_price("prices", price_field)))).withColumn("amount", F.col("price")["amount"])
+        if offered is None:
+            obs = obs.withColumn("price", F.explode(F.array(resolve_price("prices", price_field)))).withColumn("amount", F.col("price")["amount"])
         obs = filters.by_price(obs, "amount", minimum, maximum)
         if price_labels:
             obs = filters.by_price_label(obs, list(price_labels), F.col("price")["label"])

@@ -331,3 +331,17 @@ def test_text_hashes_compose_like_the_texts(spark):
     parts += [(100, 0, "t", "cd"), (100, 1, "t", "ab"), (101, 0, "t", "ab"), (102, 0, "x", "a"), (102, 1, "t", "b"), (104, 0, "t", "z")]
     found = governance.reconcile_parts(spark.createDataFrame(staged + swapped, "id int, title string, text string"), spark.createDataFrame(parts, "id int, part int, title string, text string"))
     assert {r["id"]: r["problem"] for r in found.collect()} == {100: "text", 101: "text", 102: "title", 103: "not_published", 104: "not_staged"}
+
+
+def test_offers_are_chosen_where_they_are_read(spark):
+    """A canonical price role narrows the line scan itself, before the join; answers are those of the price map."""
+    from sourcemart.model import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    whole, narrowed = Pool(t.priced(), item_key="group_id"), Pool(t.priced(), item_key="group_id", offers=t.offers)
+    for hard in ({"price_field": "retail_price"}, {"price_field": "agent_price", "minimum": 500, "maximum": 3000}, {"price_field": "agent_price", "price_labels": ["F"]},
+                 {"price_field": "supply_price", "maximum": 1500}, {"price_field": "reference_price_b"}):
+        a, b = (search.hard_filter(pool, **hard).select("id", "amount", "price.label", "price.value") for pool in (whole, narrowed))
+        assert a.count() == b.count() and a.exceptAll(b).isEmpty(), hard
+    plan = search.hard_filter(narrowed, price_field="retail_price", minimum=500)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "l_returnflag" in line]
+    assert len(scans) == 1 and "EqualTo(l_returnflag,N)" in scans[0]
