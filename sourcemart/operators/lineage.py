@@ -1,9 +1,9 @@
 """Quote series: which source is current, which is latest, what replaces what."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sourcemart.functions.text import date_in_quote, normalize
-from sourcemart.operators.ranking import latest, numbered
+from sourcemart.operators.ranking import latest
 
 
 def series_heads(sources: DataFrame) -> DataFrame:
@@ -48,14 +48,12 @@ def without_version(sources: DataFrame) -> DataFrame:
 def nearest_earlier(sources: DataFrame) -> DataFrame:
     """Each dated source with the newest strictly earlier date of its series and the lowest source id on that date.
 
-    Dates are made distinct and numbered without a per-series task; predecessor is the date numbered one less.
+    Dates are made distinct first, so what a series brings to one task is bounded by the calendar: a row a day.
     """
     dates = (sources.filter("series IS NOT NULL AND issued_on IS NOT NULL")
              .groupBy("series", "issued_on").agg(F.min("doc_id").alias("first_doc")))
-    ranked = numbered(dates, ["series"], ["issued_on"], "n")
-    earlier = ranked.select("series", (F.col("n") + 1).alias("n"), F.col("issued_on").alias("earlier_on"),
-                            F.col("first_doc").alias("earlier_doc"))
-    chain = ranked.join(earlier, ["series", "n"], "left").select("series", "issued_on", "earlier_on", "earlier_doc")
+    before = Window.partitionBy("series").orderBy("issued_on")
+    chain = dates.select("series", "issued_on", F.lag("issued_on").over(before).alias("earlier_on"), F.lag("first_doc").over(before).alias("earlier_doc"))
     return sources.join(chain, ["series", "issued_on"], "left")
 
 
