@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sourcemart.checks.base import check, sql
+from sourcemart.functions.text import all_terms
 from sourcemart.operators import filters, lineage, sessions
 from sourcemart.operators.overlay import effective
 
@@ -16,9 +17,8 @@ def _(t):
 @check("f_scope", sql("""SELECT id, strpos(name_norm, 'm-1') > 0 AND strpos(name_norm, 'red') > 0 AS in_name FROM obs
     WHERE strpos(all_norm, 'red') > 0 AND strpos(all_norm, 'm-1') > 0""", "obs"))
 def _(t):
-    obs = t.observations()
-    name = filters.by_terms(obs, "red m-1", "name").select("id", F.lit(True).alias("in_name"))
-    return filters.by_terms(obs, "red M-1", "all").select("id").join(name, "id", "left").select("id", F.coalesce("in_name", F.lit(False)).alias("in_name"))
+    found = filters.by_terms(t.observations(), "red M-1", "all")
+    return found.select("id", all_terms(filters.SCOPE_COLUMN["name"], filters.search_terms("red m-1")).alias("in_name"))
 
 
 @check("f_exclude", sql("SELECT id, name FROM obs WHERE strpos(all_norm, 'bolt') > 0 AND strpos(all_norm, 'promo') = 0 AND strpos(all_norm, 'blue') = 0", "obs"))

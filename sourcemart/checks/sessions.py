@@ -44,6 +44,25 @@ def _(t):
     return rows.select("session_id", "id", F.get("snapshot.prices", F.lit(0))["value"].alias("price"), "problem")
 
 
+@check("freeze_snapshot", session_sql("""SELECT c.session_id, c.id, 'V' || o.record_key AS variant, 'o-' || o.doc_id || '.xlsx' AS source_file, 'quotes / ' || o.record_key AS locator, CASE WHEN o.has_image THEN 'img/' || o.group_id || '.png' END AS image,
+      (SELECT coalesce(string_agg(kind || ':' || value, ',' ORDER BY kind, value), '') FROM (SELECT id, kind, value, row_number() OVER (PARTITION BY id ORDER BY kind, value) AS r FROM tags) g WHERE g.id = o.group_id AND r <= 5) AS tags,
+      CASE WHEN o.field <> 'retail_price' THEN 'price_absent_or_ambiguous' WHEN o.record_key = 3 THEN 'price_error' WHEN x.state <> 'active' THEN 'source_not_active' END AS problem
+    FROM c JOIN obs o USING (id) JOIN sources x USING (doc_id)
+    UNION ALL SELECT DISTINCT session_id, 'p_' || session_id, NULL, NULL, NULL, NULL, NULL, 'unknown_id' FROM c""").replace("WITH ", "WITH tags AS (SELECT user_id AS id, event_type AS kind, json_extract_string(props, '$.k') AS value FROM events GROUP BY ALL),\n", 1))
+def _(t):
+    # Every session asks for an id that nobody has; third lines carry a price error; other prices than the retail price are absent.
+    real = choices(t).select("session_id", "id", F.col("record_key").alias("position"))
+    chosen = real.unionByName(real.select("session_id").distinct().select("session_id", F.concat(F.lit("p_"), "session_id").alias("id"), F.lit(0).cast("long").alias("position")))
+    error = F.when(F.col("record_key") == 3, F.lit("#REF!"))
+    prices = F.transform_values("prices", lambda _, p: F.struct(p["label"].alias("label"), p["value"].alias("value"), p["amount"].alias("amount"), error.alias("error")))
+    obs = t.priced().withColumns({"prices": prices, "variant": F.concat(F.lit("V"), "record_key"), "source_file": F.concat(F.lit("o-"), "doc_id", F.lit(".xlsx")),
+                                  "locator": F.concat(F.lit("quotes / "), "record_key"), "image": F.when(F.col("has_image"), F.concat(F.lit("img/"), "group_id", F.lit(".png")))})
+    rows = sessions.freeze(obs.withColumn("payload_hash", sessions.payload_hash("id", "name")), chosen, ["retail_price"], sessions.context_hash(t.observations(), t.sources()), t.tags(), "group_id")
+    known = F.col("problem").isNull() | (F.col("problem") != "unknown_id")
+    tags = F.when(known, F.array_join(F.transform("snapshot.tags", lambda g: F.concat(g["kind"], F.lit(":"), g["value"])), ","))
+    return rows.select("session_id", "id", *[F.col(f"snapshot.{c}").alias(c) for c in ("variant", "source_file", "locator", "image")], tags.alias("tags"), "problem")
+
+
 @check("select_revision", session_sql("""SELECT s.session_id, CASE WHEN s.session_id % 11 = 0 THEN 'outside' WHEN s.state <> 'open' OR s.session_id % 7 = 0 THEN 'conflict' ELSE 'applied' END AS outcome,
     s.revision + CASE WHEN s.session_id % 11 <> 0 AND s.state = 'open' AND s.session_id % 7 <> 0 THEN 1 ELSE 0 END AS next_revision
     FROM s WHERE session_id IN (SELECT session_id FROM c)"""))

@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sourcemart.functions.prices import resolve_price
 from sourcemart.functions.text import canonical_hash, literal_in
-from sourcemart.operators.ranking import latest
+from sourcemart.operators.ranking import latest, top_per_group
 
-SNAPSHOT = ["id", "name", "model", "features", "category"]
+SNAPSHOT = ["id", "name", "model", "variant", "features", "category", "source_file", "locator", "image"]
+SHOWN_TAGS = 5
 
 
 def payload_hash(*columns: str) -> Column:
@@ -42,17 +43,26 @@ def _json_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts: DataFrame) -> DataFrame:
-    """obs(id, ..., prices, payload_hash), chosen(session_id, id, position), contexts(id, context_hash), one row per id.
+def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts: DataFrame, tags: DataFrame | None = None, key="id") -> DataFrame:
+    """obs(id, ..., prices, payload_hash), chosen(session_id, id, position), contexts(id, context_hash), one row per id;
+    tags(id, kind, value, origin), whose id is the ``key`` of obs.
 
     One row per candidate with its snapshot, hashes and ``problem``. A session is written only if none of its rows
-    has a problem; both come from one pass.
+    has a problem; both come from one pass. A snapshot holds those of the SNAPSHOT columns that ``obs`` has, the shown prices
+    and the first SHOWN_TAGS tags.
     """
     if not 1 <= len(price_fields) <= 2 or len(set(price_fields)) != len(price_fields):
         raise ValueError("Choose one or two price fields")
     # Prices are resolved before the join: what travels is the shown prices, not the whole map.
     kept = [c for c in SNAPSHOT if c in obs.columns]
-    priced = obs.select(*kept, "payload_hash", F.array(*[resolve_price(F.col("prices"), f) for f in price_fields]).alias("shown"))
+    priced = obs.select(*kept, F.col(key).alias("_key"), "payload_hash", F.array(*[resolve_price(F.col("prices"), f) for f in price_fields]).alias("shown"))
+    kind = "array<struct<kind:string,value:string,origin:string>>"
+    if tags is None:
+        priced = priced.withColumn("_tags", F.array().cast(kind))
+    else:
+        first = top_per_group(tags.select("id", "kind", "value", "origin"), ["id"], ["kind", "value", "origin"], SHOWN_TAGS, "_n")
+        shown_tags = first.groupBy(F.col("id").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("kind", "value", "origin"))).alias("_tags"))
+        priced = priced.join(shown_tags, "_key", "left").withColumn("_tags", F.coalesce("_tags", F.array().cast(kind)))
     rows = chosen.join(priced, "id", "left").join(contexts.select("id", "context_hash"), "id", "left")
     problem = F.coalesce(
         F.when(F.col("payload_hash").isNull(), "unknown_id"),
@@ -60,7 +70,7 @@ def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts:
         F.when(F.exists("shown", lambda p: p["error"].isNotNull()), "price_error"),
         F.when(F.col("context_hash").isNull(), "source_not_active"))
     return rows.select("session_id", "id", "position", "payload_hash", "context_hash",
-                       F.struct(*kept, F.col("shown").alias("prices")).alias("snapshot"),
+                       F.struct(*kept, F.col("shown").alias("prices"), F.col("_tags").alias("tags")).alias("snapshot"),
                        F.lit(False).alias("selected"), problem.alias("problem"))
 
 
