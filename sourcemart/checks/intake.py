@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sourcemart.checks.base import check, sql
 from sourcemart.operators.ranking import numbered
 from sourcemart.session import scratch_path
-from sourcemart.sources import evidence, intake
+from sourcemart.sources import cells, evidence, intake
 from sourcemart.streaming.tasks import run_available
 
 
@@ -204,6 +204,33 @@ def _(t):
     return moves.withColumn("problem", F.lit(None).cast("string")).unionByName(rejects).select("path", "target", "problem")
 
 
+MOVED = """WITH d AS (SELECT d.*, CASE WHEN source = 'src0' THEN '/elsewhere/' ELSE '/old/' END || source || '/' || d.doc_id AS path, lang <> 'de' AND lang <> 'es' AND coalesce(toxic, 0) <> 1 AND source <> 'src0' AS moves
+      FROM documents d LEFT JOIN labels USING (doc_id)),
+    p AS (SELECT *, CASE WHEN moves THEN replace(path, '/old/', '/new/') ELSE path END AS now FROM d),
+    ids AS (SELECT doc_id, now, 'p_' || substr(sha256('["' || lower(path) || '","' || lang || '","doc","0"]'), 1, 16) AS old_id, 'p_' || substr(sha256('["' || lower(now) || '","' || lang || '","doc","0"]'), 1, 16) AS new_id FROM p)
+    """
+
+
+@check("relocate_ids", MOVED + """SELECT 'product' AS kind, new_id AS id, now AS detail FROM ids UNION ALL SELECT 'label', coalesce(new_id, 'p_gone' || l.doc_id), cast(quality AS VARCHAR) FROM labels l LEFT JOIN ids USING (doc_id)
+    UNION ALL SELECT 'vector', new_id, cast(e.vec_id AS VARCHAR) FROM embeddings e JOIN ids ON ids.doc_id = e.vec_id""")
+def _(t):
+    # As in relocate; each document is a product, on which labels and vectors depend by its id.
+    d = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left")
+    path = F.concat(F.when(F.col("source") == "src0", "/elsewhere/").otherwise("/old/"), F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    products = d.select("doc_id", path.alias("path"), F.col("lang").alias("sheet"), F.lit("doc").alias("identity"), F.lit(0).cast("long").alias("occurrence"))
+    products = products.withColumn("id", cells.product_id(F.col("path"), F.col("sheet"), F.col("identity"), F.col("occurrence")))
+    still = (F.col("source") != "src0") & ~F.col("lang").isin("de", "es") & (F.coalesce("toxic", F.lit(0)) != 1)
+    moves = d.filter(still).select(path.alias("path")).withColumn("target", F.replace("path", F.lit("/old/"), F.lit("/new/")))
+    ids = products.select("doc_id", "id")
+    tables = {"label": t.labels.join(ids, "doc_id", "left").select(F.coalesce("id", F.concat(F.lit("p_gone"), "doc_id")).alias("id"), F.col("quality").cast("string").alias("detail")),
+              "vector": t.embeddings.join(ids, F.col("vec_id") == F.col("doc_id")).select("id", F.col("vec_id").cast("string").alias("detail"))}
+    now, translation = intake.relocated(products, moves)
+    out = now.select(F.lit("product").alias("kind"), "id", F.col("path").alias("detail"))
+    for name, frame in intake.translate_ids(tables, translation).items():
+        out = out.unionByName(frame.select(F.lit(name).alias("kind"), "id", "detail"))
+    return out
+
+
 @check("stage_export", sql("""SELECT position, o.id, CASE WHEN o.field = 'retail_price' THEN printf('%.2f', list_price) END AS first_price,
     CASE WHEN o.field = 'retail_price' THEN CASE WHEN amount IS NULL THEN '更新中' ELSE printf('%.2f', amount) END END AS second_price,
     CASE WHEN o.field <> 'retail_price' THEN 'price_absent_or_ambiguous' END AS problem

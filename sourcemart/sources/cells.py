@@ -5,7 +5,7 @@ marks an error cell, ``f`` a formula without a cached value. Work is keyed by (d
 long sheet spreads over all tasks; whole sheets meet only in reductions.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sourcemart.functions.prices import HEADER_ALIASES, PRICE_ROLES
 from sourcemart.functions.text import as_column, blank, glob_match, norm_header, normalize_literal
@@ -347,10 +347,15 @@ def assign_ids(records: DataFrame, source: str, order: list[str]) -> DataFrame:
     base = F.when(~blank("model"), F.col("model")).otherwise(F.col("name"))
     identity = F.when(~blank("variant"), F.to_json(F.array(base, F.col("variant")))).otherwise(base)
     counted = numbered(records.withColumn("identity", identity), [source, "sheet", "identity"], order, "_n")
-    occurrence = F.col("_n") - 1
-    # As a JSON array: joined by a plain sign, the parts of different products could spell the same key.
-    key = F.to_json(F.array(F.lower(F.col(source).cast("string")), F.col("sheet").cast("string"), F.col("identity"), occurrence.cast("string")))
-    return counted.withColumn("occurrence", occurrence).withColumn("id", F.concat(F.lit("p_"), F.substring(F.sha2(key, 256), 1, 16))).drop("_n")
+    counted = counted.withColumn("occurrence", F.col("_n") - 1).drop("_n")
+    return counted.withColumn("id", product_id(F.col(source), F.col("sheet"), F.col("identity"), F.col("occurrence")))
+
+
+def product_id(source: Column, sheet: Column, identity: Column, occurrence: Column) -> Column:
+    """The id of a product, from where it stands. As a JSON array: joined by a plain sign, the parts of different products
+    could spell the same key."""
+    key = F.to_json(F.array(F.lower(source.cast("string")), sheet.cast("string"), identity, occurrence.cast("string")))
+    return F.concat(F.lit("p_"), F.substring(F.sha2(key, 256), 1, 16))
 
 
 def assets(refs: DataFrame) -> DataFrame:

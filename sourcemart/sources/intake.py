@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sourcemart.functions.prices import resolve_price
 from sourcemart.functions.text import blank
 from sourcemart.operators.ranking import numbered
+from sourcemart.sources.cells import product_id
 
 # Fixed values of the intake rules.
 IGNORED_FOLDERS = [".git", "node_modules", "outputs"]
@@ -155,6 +156,30 @@ def relocate(registry: DataFrame, files: DataFrame, old_root: str, new_root: str
     return checked.filter("problem IS NULL").select(*kept), checked.filter("problem IS NOT NULL").select(*kept, "problem")
 
 
+def relocated(products: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """products(path, sheet, identity, occurrence, id, ...), moves(path, target) -> (products, translation(id, new_id)).
+
+    A product's id holds its source's path, so products of moved sources get the id that reading the source at its new place
+    would give. Nothing else of a product changes, and no source is read again.
+    """
+    target = moves.select("path", F.col("target").alias("_target"))
+    moved = products.join(target, "path", "left")
+    new_id = product_id(F.col("_target"), F.col("sheet"), F.col("identity"), F.col("occurrence"))
+    changed = moved.withColumns({"_new": F.when(F.col("_target").isNotNull(), new_id), "path": F.coalesce("_target", "path")})
+    translation = changed.filter("_new IS NOT NULL").select("id", F.col("_new").alias("new_id"))
+    return changed.withColumn("id", F.coalesce("_new", "id")).select(*products.columns), translation
+
+
+def translate_ids(tables: dict[str, DataFrame], translation: DataFrame, key="id") -> dict[str, DataFrame]:
+    """Every dependent table with the new ids of moved products, for one version in which all of them change together."""
+    new = translation.select(F.col("id").alias("_old"), "new_id")
+    found = {}
+    for name, frame in tables.items():
+        joined = frame.join(new, F.col(key) == F.col("_old"), "left").withColumn(key, F.coalesce("new_id", key))
+        found[name] = joined.select(*frame.columns)
+    return found
+
+
 def remove_source(tables: dict[str, DataFrame], gone: DataFrame, key="doc_id") -> dict[str, DataFrame]:
     """Every dependent table without the rows of the removed sources."""
     ids = gone.select(key).distinct()
