@@ -6,6 +6,7 @@ from sourcemart.checks.base import check, sql
 from sourcemart.functions.text import all_terms
 from sourcemart.operators import filters, lineage, sessions
 from sourcemart.operators.overlay import effective
+from sourcemart.plans.search import Pool, hard_filter
 
 
 @check("f_terms_and", r"""SELECT doc_id FROM documents
@@ -55,9 +56,8 @@ def _(t):
 @check("f_brand_supplier", sql("SELECT id, brand, supplier FROM obs WHERE brand IN ('Brand#3', 'Brand#7') AND supplier = 5", "obs"))
 def _(t):
     obs = t.observations().withColumn("supplier_norm", F.col("supplier").cast("string"))
-    words = {("brand", "brand#3"): ["Brand#3", "BRAND#7"]}
-    kept = obs.filter(F.col("brand_norm").isin(*[filters.normalize_literal(w) for w in words[("brand", "brand#3")]]))
-    return kept.filter("supplier_norm = '5'").select("id", "brand", "supplier")
+    pool = Pool(obs, synonyms={("brand", "brand#3"): ["Brand#3", "BRAND#7"]})
+    return hard_filter(pool, brand="Brand#3", supplier="5").select("id", "brand", "supplier")
 
 
 @check("f_has_image", sql("SELECT id FROM obs WHERE has_image", "obs"))

@@ -67,17 +67,28 @@ def _(t):
 
 
 # No lookahead in the SQL engine: the mention is taken together with the next character, which must not be a letter.
-@check("extract_quantities", r"""SELECT doc_id, count(*) AS mentions, cast(sum(cast(nullif(regexp_extract(m, '^(\d+)', 1), '') AS HUGEINT) % 1000003) AS BIGINT) AS checksum
-    FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss') || ' ',
-      '\d+(?:\.\d+)?\s*(?:毫安时|min|mah|千克|千瓦|厘米|安时|小时|分贝|分钟|毫升|毫米|ah|cm|db|kg|kw|mm|ml|克|升|瓦|米|g|h|l|m|w)(?:[^a-z]|$)')) AS m FROM documents)
-    GROUP BY doc_id""")
-def _(t):
-    norm = t.documents.select("doc_id", text.normalize("text").alias("norm"))
+# Texts are the documents and, as these hold few measures, a line made of each part's size.
+@check("extract_quantities", r"""WITH texts AS (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS text FROM documents UNION ALL SELECT 1000000000 + p_partkey, p_size || 'ml, ' || p_size || '.5 kg; ' || p_size || ' minutes ' ||
+      p_size || ' min/' || p_size * 3 || 'mah ' || p_size || '.25l ' || p_size || 'cmx' || p_size || '毫米' FROM part),
+    found AS (SELECT doc_id, generate_subscripts(ms, 1) AS n, unnest(ms) AS m FROM (SELECT doc_id, regexp_extract_all(text || ' ',
+      '\d+(?:\.\d+)?\s*(?:毫安时|min|mah|千克|千瓦|厘米|安时|小时|分贝|分钟|毫升|毫米|ah|cm|db|kg|kw|mm|ml|克|升|瓦|米|g|h|l|m|w)(?:[^a-z]|$)') AS ms FROM texts)),
+    split AS (SELECT doc_id, n, m, cast(regexp_extract(m, '^(\d+(?:\.\d+)?)', 1) AS DOUBLE) AS number, regexp_extract(m, '^[\d.]+\s*(毫安时|min|mah|千克|千瓦|厘米|安时|小时|分贝|分钟|毫升|毫米|ah|cm|db|kg|kw|mm|ml|克|升|瓦|米|g|h|l|m|w)', 1) AS u FROM found),
+    canon AS (SELECT doc_id, n, m, number * CASE WHEN u IN ('l', '升', 'kg', '千克', 'm', '米', 'kw', '千瓦', 'ah', '安时') THEN cast(1000 AS DOUBLE) WHEN u IN ('cm', '厘米') THEN 10 WHEN u IN ('min', '分钟') THEN cast(1 AS DOUBLE) / 60 ELSE 1 END AS number,
+      CASE WHEN u IN ('ml', '毫升', 'l', '升') THEN 'ml' WHEN u IN ('g', '克', 'kg', '千克') THEN 'g' WHEN u IN ('mm', '毫米', 'cm', '厘米', 'm', '米') THEN 'mm' WHEN u IN ('w', '瓦', 'kw', '千瓦') THEN 'W'
+        WHEN u IN ('mah', '毫安时', 'ah', '安时') THEN 'mAh' WHEN u IN ('db', '分贝') THEN 'dB' ELSE 'h' END AS unit FROM split)
+    SELECT doc_id, count(*) AS mentions, cast(sum(cast(nullif(regexp_extract(m, '^(\d+)', 1), '') AS HUGEINT) % 1000003) AS BIGINT) AS checksum,
+      string_agg(unit, ',' ORDER BY n) AS units, min(number) AS lowest, max(number) AS highest FROM canon GROUP BY doc_id""")
+def _(t):
+    size = F.col("p_size").cast("string")
+    line = F.concat(size, F.lit("ml, "), size, F.lit(".5 kg; "), size, F.lit(" minutes "), size, F.lit(" min/"), (F.col("p_size") * 3).cast("string"), F.lit("mah "), size, F.lit(".25l "),
+                    size, F.lit("cmx"), size, F.lit("毫米"))
+    norm = t.documents.select("doc_id", text.normalize("text").alias("norm")).unionByName(t.part.select((F.lit(1000000000) + F.col("p_partkey")).cast("long").alias("doc_id"), line.alias("norm")))
     raw = F.regexp_extract_all("norm", F.lit(units.MENTION), F.lit(1))
     found = norm.select("doc_id", raw.alias("raw"), units.quantities("norm").alias("q")).filter(F.size("q") > 0)
     whole = F.transform("raw", lambda m: (F.regexp_extract(m, "^(\\d+)", 1).cast("decimal(38,0)") % 1000003).cast("long"))
     return found.select("doc_id", F.size("q").cast("long").alias("mentions"),
-                        F.aggregate(whole, F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"))
+                        F.aggregate(whole, F.lit(0).cast("long"), lambda a, b: a + b).alias("checksum"), F.array_join("q.unit", ",").alias("units"),
+                        F.array_min("q.number").alias("lowest"), F.array_max("q.number").alias("highest"))
 
 
 @check("own_text", sql("""SELECT id, concat_ws(chr(10), name, model, '', features, brand, supplier_text, category, 'size=' || size) AS own_text
