@@ -5,35 +5,34 @@ from array import array
 
 import numpy as np
 
-MOST_BYTES = 32 << 20   # kept entries of a worker and dictionary, estimated
-LONG_UNIT = 64          # characters; longer keys are not kept
+MOST_BYTES = 16 << 20   # kept entries of a worker, estimated
+LONG_KEY = 64           # characters; longer keys are not kept
 
 
 class Kept(dict):
-    """A dictionary of bounded size: entries not asked for since it was last half full are the ones that go."""
+    """What ``make`` gives for keys, made once while it is kept. Of bounded size: entries not asked for since it was last
+    half full are the ones that go."""
 
-    def __init__(self, most: int = MOST_BYTES):
+    def __init__(self, make, most: int = MOST_BYTES):
         super().__init__()
-        self.most, self.held, self.old = most, 0, {}
+        self.make, self.most, self.held, self.old = make, most, 0, {}
 
     def __missing__(self, key: str):
-        value = self[key] = self.old[key]
-        self.held += 220 + 2 * len(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG_KEY:
+            self[key] = value
+            self.held += 220 + 2 * len(key)
+            if 2 * self.held > self.most:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
         return value
 
-    def new(self, keys) -> list[str]:
-        return [k for k in keys if k not in self and k not in self.old]
-
-    def keep(self, found: dict) -> None:
-        """Adds short entries; when half full, what was asked for since the last time becomes the old half."""
-        if 2 * self.held > self.most:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
-        for key, value in found.items():
-            if len(key) <= LONG_UNIT:
-                self[key] = value
-                self.held += 220 + 2 * len(key)
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.old = 0, {}
 
 
 # ---- byte-level BPE and sentence pieces side by side ----------------------------------------------------------------
@@ -84,13 +83,13 @@ class WordCodec:
     reach its merges; others, and those that hold special tokens, go through the tokenizer as they are.
     """
 
-    # Letters here have no other composed form and become one letter each in lower case, as in the tokenizer.
-    PLAIN = r"[ \n\x21-\x7E¡-¬®-įı-ɏ]*"
+    # Letters here have no other composed form and become one letter each in lower case, as in the tokenizer; all of them
+    # from ß on are letters but ÷.
+    PLAIN, LETTERS, NUMBERS = r"[ \n\x21-\x7E¡-¬®-įı-ɏ]*", "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 
     def __init__(self, name="word_bpe_49k.json"):
         import json
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
         path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
@@ -98,12 +97,11 @@ class WordCodec:
             made = json.load(file)
         splitter = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.special = [t["content"] for t in made["added_tokens"]]
-        self.split = regex.compile(splitter).findall
-        self.split_ascii = re.compile(splitter.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        self.split = re.compile(splitter.replace(r"\p{L}", self.LETTERS).replace(r"\p{N}", self.NUMBERS)).findall
         self.plain = re.compile(self.PLAIN).fullmatch
         self.merge = self.tokenizer.model.tokenize
         self.letters = self._byte_letters()
-        self.known = Kept()
+        self.known = Kept(self._word, 2 * MOST_BYTES)
 
     @staticmethod
     def _byte_letters() -> list[str]:
@@ -120,10 +118,4 @@ class WordCodec:
         """Little-endian unsigned 32-bit ids of the whole text."""
         if not self.plain(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, known = (self.split_ascii if text.isascii() else self.split)(text.lower()), self.known
-        found = {w: self._word(w) for w in known.new(set(words))}
-        if not found:
-            return b"".join([known[w] for w in words])
-        out = b"".join([found[w] if w in found else known[w] for w in words])
-        known.keep(found)
-        return out
+        return b"".join(map(self.known.__getitem__, self.split(text.lower())))

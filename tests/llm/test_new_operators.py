@@ -51,11 +51,14 @@ def test_word_ids(docs):
 
 
 def test_kept_keeps_what_is_asked_for():
-    kept = Kept(10 * 222)
+    made = []
+    kept = Kept(lambda key: made.append(key) or key.upper(), 10 * 222)
     for i in range(100):
-        kept.keep({str(i): i, "hot": -1} if not i else {str(i): i})
-        assert kept["hot"] == -1 and not kept.new(["hot"])
-        assert len(kept) + len(kept.old) < 20
+        assert kept["hot"] == "HOT" and kept[f"k{i}"] == f"K{i}" and kept["x" * 99] == "X" * 99
+        assert len(kept) + len(kept.old) < 20 and "x" * 99 not in kept
+    assert made.count("hot") == 1 and made.count("x" * 99) == 100
+    kept.forget()
+    assert not kept and kept["hot"] == "HOT" and made.count("hot") == 2
 
 
 def placed(plan, window):
