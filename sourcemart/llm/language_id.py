@@ -4,18 +4,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sourcemart.llm.common import LOWER, bytes_of, fold, hash_share, runs, smaller
+from sourcemart.llm.common import LOWER, bytes_of, runs, settle, smaller
 from sourcemart.llm.svm import OneVersusOne
 
 BUCKETS_LOG2 = 11
 PER_LANGUAGE = 500   # labelled texts the machines are fitted on, per language
 MOST_LABELLED = 6000  # and in all
+MOST_LANGUAGES = 512  # the most frequent ones are learned
+FAMILY_SIZE = 24      # languages without a family form families of this size, by their codes
 STEEPNESS = 2.0
 UNKNOWN = "und"
 
-# ISO 639-1 codes by language family; a code not listed is a family of its own.
+# ISO 639-1 codes by language family.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nl no nb nn sv yi",
     "romance": "ca es fr gl it la oc pt ro",
@@ -50,12 +52,22 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def families_of(languages: list[str]) -> dict[str, str]:
+    """The family of each language. Unlisted ones are a family each while they are few; more are put together in the order
+    of their codes, so that duels stay at most about (languages / FAMILY_SIZE)^2 / 2 + languages * FAMILY_SIZE / 2."""
+    rest = sorted({code for code in languages if code.lower() not in FAMILY_OF})
+    size = 1 if len(rest) <= FAMILY_SIZE else FAMILY_SIZE
+    found = {code: f"rest {i // size}" for i, code in enumerate(rest)}
+    return {code: FAMILY_OF.get(code.lower()) or found[code] for code in languages}
+
+
 class Hierarchy:
     """A machine between families and one within each family of two or more languages."""
 
     def __init__(self, x: np.ndarray, languages: list[str]):
         x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-        families = [FAMILY_OF.get(code.lower(), code) for code in languages]
+        family_of = families_of(languages)
+        families = [family_of[code] for code in languages]
         self.family = OneVersusOne.fit(x, families)
         self.within = {}
         for name in self.family.names:
@@ -93,15 +105,19 @@ def _vectors(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def labelled_vectors(docs: DataFrame, text_col: str, lang_col: str, per_language: int, most: int) -> list[tuple[str, bytes]]:
-    """(language, vector) of a bounded sample: per language rows below a share of hash values, the same in every run."""
-    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(most // 2).collect()}
+    """(language, vector) of at most ``most`` distinct labelled texts: per language those of the smallest hashes, the same in
+    every run."""
+    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(17), F.col(text_col)).alias("key"))
+    known = known.filter("lang is not null and text is not null")
+    kinds = settle(known.select("lang", "key").distinct(), "labelled")
+    counts = {r["lang"]: r["n"] for r in kinds.groupBy("lang").agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "lang").limit(min(most, MOST_LANGUAGES)).collect()}
     if not counts:
         return []
-    each = max(2, min(per_language, most // len(counts)))
-    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
-    sample = known.withColumn("_share", hash_share("text")).filter(F.col("_share") < rate[F.col("lang")])
+    each = max(1, min(per_language, most // len(counts)))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # cut per task before the shuffle too
+    drawn = kinds.filter(F.col("lang").isin(list(counts))).withColumn("place", first).filter(F.col("place") <= each).select("lang", "key")
+    sample = known.join(F.broadcast(drawn), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))  # at most ``most`` rows
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in smaller(batches):
@@ -119,7 +135,8 @@ def identify(docs: DataFrame, learn: Column | None = None, id_col="doc_id", text
              carry: dict[str, Column] | None = None, per_language=PER_LANGUAGE, most=MOST_LABELLED) -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (and the columns of ``carry``).
 
-    Machines are fitted on a bounded sample of the rows where ``learn`` holds (all by default) and the language is known.
+    Machines are fitted on a bounded sample of the distinct texts of rows where ``learn`` holds (all by default) and the
+    language is known, of at most MOST_LANGUAGES languages, the most frequent ones.
     A text that is null or has no letter is ``und`` with score 0; without any labelled row all are. With one known language
     every other text is that one, with score 1. Texts that are equal get equal results; other columns are not read.
     """
@@ -157,6 +174,3 @@ def identify(docs: DataFrame, learn: Column | None = None, id_col="doc_id", text
 
     return columns.mapInArrow(predict, schema)
 
-
-def held_out(id_col="doc_id", folds=4, fold_no=2) -> Column:
-    return fold(id_col, folds) == fold_no
