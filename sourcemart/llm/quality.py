@@ -44,8 +44,12 @@ def terms(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     kinds = _KIND[np.frombuffer(b"  ".join(texts) + b"  ", dtype=np.uint8)]
     code = kinds[:-2] * (CLASSES * CLASSES) + kinds[1:-1] * CLASSES + kinds[2:]
-    owner = np.repeat(np.arange(n), [len(t) + 2 for t in texts])[: len(code)]
-    cubes = np.bincount(owner * CLASSES ** 3 + code, minlength=n * CLASSES ** 3).reshape(n, CLASSES ** 3)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    inside = np.ones(int(sizes.sum()) + 2 * n, dtype=bool)  # not the trigrams that begin between two texts
+    ends = np.cumsum(sizes + 2)
+    inside[ends - 1] = inside[ends - 2] = False
+    code = code[inside[:len(code)]]
+    cubes = np.bincount(np.repeat(np.arange(n), sizes) * CLASSES ** 3 + code, minlength=n * CLASSES ** 3).reshape(n, CLASSES ** 3)
     cubes[:, 0] = 0
     hashes, first, _ = word_hashes(texts, lower=False)
     owner = np.repeat(np.arange(n), np.diff(first))
@@ -58,7 +62,9 @@ def terms(texts: list[bytes]) -> np.ndarray:
             if len(series) > gap:
                 same = (series[gap:] == series[:-gap]) & (owner[gap:len(series)] == owner[:len(series) - gap])
                 place[gap:][same] = d
-        near[:, k * wide:(k + 1) * wide] = np.bincount(owner[:len(series)] * wide + place, minlength=n * wide).reshape(n, wide)
+        whole = owner[:len(series)] == owner[len(owner) - len(series):]  # not a pair of two texts' words
+        at = (owner[:len(series)] * wide + place)[whole]
+        near[:, k * wide:(k + 1) * wide] = np.bincount(at, minlength=n * wide).reshape(n, wide)
     return np.hstack([cubes, near]).astype(np.float32)
 
 
@@ -110,7 +116,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, learn: Column | None, id_col: str, text_col: str, label_col: str, most: int):
-    """Term counts and mean labels of at most ``most`` labelled rows, drawn by the hash of their id."""
+    """Term counts and mean labels of at most ``most`` labelled ids, drawn by the hash of the id; of an id with several texts
+    the first in order counts."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = (known.filter(learn) if learn is not None else known).groupBy(F.col(id_col).alias("_id")).agg(F.avg(F.col(label_col)).alias("_label"))
     known = known.withColumn("_share", hash_share(F.lit(11), "_id"))
@@ -127,8 +134,9 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, learn: Column | None, id
                 out += [row.tobytes() for row in terms(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["label", "terms"])
 
-    rows = found.select("_label", "_text").mapInArrow(count, "label double, terms binary").collect()
-    rows = sorted((r["label"], bytes(r["terms"])) for r in rows)[:2 * most]  # ids may be repeated in docs
+    once = found.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))  # ids may be repeated in docs
+    rows = once.select("_label", "_text").mapInArrow(count, "label double, terms binary").collect()
+    rows = sorted((r["label"], bytes(r["terms"])) for r in rows)
     if not rows:
         return None
     return np.array([np.frombuffer(t, dtype=np.float32) for _, t in rows]), np.array([v for v, _ in rows])
