@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sourcemart.llm.common import shared_folder
 from sourcemart.llm.exact_dedup import drop_exact_duplicates
 from sourcemart.llm.jaccard_join import drop_near_duplicates
-from sourcemart.llm.mixing import mixed
-from sourcemart.llm.packing import pack
+from sourcemart.llm.mixing import mix_positions, mixed
+from sourcemart.llm.packing import pack_in_order
 from sourcemart.llm.quality import keep_good
 
 
@@ -36,8 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 ids."""
-    return pack(docs)
+    """Pieces of the documents in windows of 1024 ids, filled from stretches of the mixed order, which the rows give again."""
+    return pack_in_order(docs, mix_positions(docs))
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 """Helpers the operators of this folder share: scratch tables, folds, Arrow batches, word and shingle hashes."""
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -77,10 +78,23 @@ def hash_share(*columns) -> Column:
 # ---- Arrow batches --------------------------------------------------------------------------------------------------
 
 def smaller(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that a worker holds the objects of few rows at a time."""
+    """The batches in slices, so that a worker holds the objects of few rows at a time; memory is given back at the end."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Empties what a worker keeps by key and returns free memory to the system: workers outlive their tasks."""
+    for kept in process_cache().values():
+        if hasattr(kept, "forget"):
+            kept.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:
@@ -119,16 +133,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least ``n`` of each."""
+    """Powers of BASE and of its inverse modulo 2**64, at least ``n`` of each. Those for a usual run of texts are kept."""
     kept = process_cache()
-    if "up" not in kept or len(kept["up"]) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            np.multiply.accumulate(table, out=table)
-            kept[name] = table
-    return kept["up"], kept["down"]
+    if "powers" in kept and len(kept["powers"][0]) >= n:
+        return kept["powers"]
+    usual = CHUNK_BYTES * 3 // 2
+    made = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        table = np.full(max(n, usual), base, dtype=np.uint64)
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+        made.append(table)
+    if n <= usual:
+        kept["powers"] = tuple(made)
+    return tuple(made)
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,20 +15,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sourcemart.llm.common import process_cache, settle
+from sourcemart.llm.common import process_cache, settle, smaller
 
 WINDOW = 1024
 END_ID = 0
-CACHE_UNITS = 400_000  # encoded words a worker keeps; dropped together when full
-PLAIN = b" \n"         # white space the fast path understands, each alone between other characters
+STRETCH_ROWS = 16_384  # rows whose pieces are packed together where the order counts
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    Byte-level BPE never joins across a space that stands between two other characters, so a text splits there and each
-    unit is encoded once per worker. Other texts (double spaces, tabs, unusual white space) are encoded whole.
-    """
+    """Ids of whole texts as little-endian unsigned 32-bit bytes. Nothing is kept between texts: looking words up in a table
+    of bounded size took longer than encoding them again."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import base64
@@ -36,29 +32,9 @@ class Encoder:
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encode = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self.units: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        units = text.split(" ")
-        first, rest = units[0], units[1:]
-        if rest and (not all(units) or " \n" in text or "\n " in text or not text.isprintable() and
-                     not text.replace("\n", "").isprintable()):
-            return self.whole(text)
-        known, encode = self.units, self.encode
-        out = [self.whole(first)]
-        add = out.append
-        for unit in rest:
-            try:
-                add(known[unit])
-            except KeyError:
-                if len(known) >= CACHE_UNITS:
-                    known.clear()
-                found = known[unit] = np.array(encode(" " + unit), dtype="<u4").tobytes()
-                add(found)
-        return b"".join(out)
+        return np.array(self.encode(text), dtype="<u4").tobytes()
 
 
 def public_encoder(ranks_name: str) -> Encoder:
@@ -82,7 +58,7 @@ def pieces(docs: DataFrame, id_col="doc_id", text_col="text", window=WINDOW, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, seen = public_encoder(ranks_name), TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in smaller(batches, 256):
             index, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.ids(text or "") + end
@@ -177,5 +153,45 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", window=WINDOW, end_i
         (F.col("at") + step % F.col("per") * F.col("length")).cast("long").alias("offset"), *["ids"] * with_ids)
 
 
+def pack_in_order(docs: DataFrame, positions: DataFrame, id_col="doc_id", text_col="text", window=WINDOW, end_id=END_ID,
+                  ranks_name="byte_bpe_50k.tiktoken", stretch_rows=STRETCH_ROWS) -> DataFrame:
+    """As ``pack``, but windows are filled from ``stretch_rows`` consecutive positions each, so that their order is that of
+    ``positions`` (id, position). ``sequence_id`` rises with the stretch: its upper bits are the stretch.
+
+    Only pieces, without their ids, meet the positions. A stretch is one group; its size is bounded by its rows. A row
+    whose id has no position belongs to a last stretch of its id's hash; an id that occurs more than once takes its first.
+    """
+    cut = pieces(docs, id_col, text_col, window, end_id, ranks_name).drop("task", "place")
+    place = positions.groupBy(F.col(id_col).alias("_id")).agg(F.min("position").alias("position"))
+    placed = cut.join(place, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    last = (1 << 30) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    placed = placed.withColumn("stretch", F.coalesce(F.floor(F.col("position") / stretch_rows), last).cast("long"))
+    kinds = dict(cut.dtypes)
+    own = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+    schema = ", ".join(f"{n} {kinds[n]}" for n in own) + ", sequence_id long, offset long"
+
+    def fill(key, rows):
+        order = np.lexsort((rows["start"].to_numpy(), rows["position"].fill_null(0).to_numpy()))
+        rows = rows.take(pa.array(order))
+        length = rows["length"].to_numpy()
+        by_length = np.argsort(length, kind="stable")
+        lengths, first, n = np.unique(length[by_length], return_index=True, return_counts=True)
+        plan = np.array(sorted(slack_plan(dict(zip(lengths.tolist(), n.tolist())), window)), dtype=np.int64)
+        ordinal = np.empty(len(length), dtype=np.int64)
+        ordinal[by_length] = np.arange(len(length)) - np.repeat(first, n)
+        use = plan[np.searchsorted((plan[:, 0] << 40) + plan[:, 1], (length << 40) + ordinal, side="right") - 1]
+        step = ordinal - use[:, 1]
+        local = use[:, 4] + step // use[:, 3]
+        # Windows in the order of the earliest piece each holds.
+        earliest = np.full(int(local.max()) + 1, len(local))
+        np.minimum.at(earliest, local, np.arange(len(local)))
+        number = np.empty(len(earliest), dtype=np.int64)
+        number[np.argsort(earliest)] = np.arange(len(earliest))
+        columns = [rows[c] for c in own] + [pa.array((key[0].as_py() << 32) + number[local]), pa.array(use[:, 5] + step % use[:, 3] * length)]
+        return pa.Table.from_arrays(columns, names=own + ["sequence_id", "offset"])
+
+    return placed.groupBy("stretch").applyInArrow(fill, schema).withColumnRenamed("id", id_col)
+
+
 def plan_frame(spark: SparkSession, counts: dict[int, int], window: int = WINDOW) -> DataFrame:
     return spark.createDataFrame(slack_plan(counts, window), "length long, first long, last long, per long, window long, at long")

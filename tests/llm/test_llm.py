@@ -352,6 +352,155 @@ def test_pages_by_ratio():
     assert html_text.main_text(two).split("\n\n") == [text[4], text[5]]
 
 
+LONG_LINE = "A long paragraph that goes on with many words about the matter at hand, as articles do. " * 6
+INSIDE = {
+    "title in a header": ("<header><h1>The title</h1></header>", "", ["The title"], []),
+    "title in a div": ("<div><h1>The title</h1></div>", "", ["The title"], []),
+    "last section": ("", "<section><h2>End</h2><p>Thanks.</p></section>", [], ["End", "Thanks."]),
+    "last list": ("", "<ul><li>One</li><li>Two</li></ul>", [], ["One", "Two"]),
+    "last table": ("", "<table><tr><td>A</td><td>1</td></tr></table>", [], ["A", "1"]),
+    "caption": ("", "<figure><img src=x><figcaption>A view</figcaption></figure>", [], ["A view"]),
+    "last div": ("", "<div><p>So it goes.</p></div>", [], ["So it goes."]),
+    "short divs": ("<div><p>First it was.</p></div><div><p>Then it came.</p></div>", "<div><p>At last it went.</p></div>", ["First it was.", "Then it came."], ["At last it went."]),
+    "one link": ("", "<p><a href=/a>See the whole report</a></p><p>Bye.</p>", [], ["See the whole report", "Bye."]),
+}
+
+
+@pytest.mark.parametrize("case", INSIDE)
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_page_keeps_the_article(case, tag):
+    if case == "title in a header" and tag == "div":
+        pytest.skip("the header of a page that marks no article is the site's")
+    before, after, first, last = INSIDE[case]
+    menu = "<div><ul>" + "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in range(9)) + "</ul></div>"
+    page = f"<html><body>{menu}<{tag}>{before}<p>{LONG_LINE}</p><p>{LONG_LINE}</p>{after}</{tag}>{menu}<footer>About us</footer></body></html>"
+    assert html_text.main_text(page).split("\n\n") == [*first, LONG_LINE.strip(), LONG_LINE.strip(), *last]
+
+
+def test_page_time_is_linear_in_nesting():
+    import time
+    took = []
+    for n in (4_000, 32_000):
+        start = time.process_time()
+        assert html_text.main_text("<div>" * n + "<p>Some words</p></span></b>" * 50 + "</section></i>" * n).startswith("Some words")
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_quality_of_repeated_labelled_rows(spark):
+    """One labelled document of label 0 repeated very often is one labelled document."""
+    import numpy
+    texts = [(i, f"Text {i} " + "good words here. " * (3 + i % 7), 1) for i in range(60)] + [(100 + i, f"#{i} $$ || ## " * (3 + i % 5), 0) for i in range(20)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    from sourcemart.llm.quality import labelled_counts
+    many = frame.union(frame.filter("doc_id = 100").crossJoin(spark.range(3_000)).select("doc_id", "text", "quality"))
+    for docs in (frame, many):
+        terms, labels = labelled_counts(docs, frame, None, "doc_id", "text", "quality", 64)
+        assert len(labels) == 64
+        mean = numpy.mean(labels)
+        whole = labelled_counts(docs, frame, None, "doc_id", "text", "quality", 1_000)[1]
+        assert len(whole) == 80 and whole.mean() == 0.75 and 0.6 < mean < 0.9
+
+
+def test_votes_against_brute_force():
+    """Weighted votes of the nearest, one document and one neighbour at a time."""
+    from sourcemart.llm.quality import NEIGHBOURS, SHARPNESS, Voters, terms, weighted
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("abcDE1.|"), rng.integers(1, 7))) for _ in range(rng.integers(1, 60))).encode() for _ in range(90)]
+    labels = rng.integers(0, 2, 90).astype(float)
+    voters = Voters.fit(terms(texts[:70]), labels[:70], directions=10)
+    got = voters.score(terms(texts[60:]))
+    for k, text in enumerate(texts[60:]):
+        mine = weighted(terms([text]))[0] @ voters.project
+        cosines = [float(mine @ v) / max(float(np.linalg.norm(mine)), 1e-12) for v in voters.vectors]
+        last = sorted(cosines)[-NEIGHBOURS]
+        votes = [(max(c, 0) ** SHARPNESS, label) for c, label in zip(cosines, labels) if c >= last - 1e-6]
+        total = sum(v for v, _ in votes)
+        assert abs(got[k] - sum(v * label for v, label in votes) / total) < 1e-3
+
+
+def test_terms_of_a_text_are_its_own():
+    """A text has the same terms alone and beside any others."""
+    from sourcemart.llm.quality import terms
+    texts = [b"", b"a", b"ab cd ab cd", b" ", "é b é b".encode(), b"", b"one two, one two. ONE two", b"x\n\ny"]
+    together = terms(texts)
+    for text, row in zip(texts, together):
+        assert (terms([text])[0] == row).all() and (terms([b"zz top", text, b"Q q"])[1] == row).all()
+    assert together[2, -7:].sum() == 3 and together[0].sum() == 0
+
+
+def test_language_sample_is_distinct_and_bounded(spark):
+    from sourcemart.llm.language_id import Hierarchy, families_of, labelled_vectors
+    rows = [("the same words over and over", "en")] * 30_000 + [(f"text number {i} goes on", "en") for i in range(900)] + [(f"texte numéro {i} va", "fr") for i in range(40)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    found = labelled_vectors(frame, "text", "lang", 500, 6000)
+    counts = collections.Counter(lang for lang, _ in found)
+    assert counts == {"en": 500, "fr": 40}
+    assert labelled_vectors(frame.repartition(5), "text", "lang", 500, 6000) == found
+    assert sum(collections.Counter(lang for lang, _ in labelled_vectors(frame, "text", "lang", 500, 50)).values()) <= 50
+    codes = [f"q{i:03d}" for i in range(500)] + ["en", "de"]
+    family = families_of(codes)
+    sizes = collections.Counter(family.values())
+    assert max(sizes.values()) <= 24 and family["en"] == family["de"] and len(sizes) <= 23
+    assert len(set(families_of(["xa", "xb", "xc"]).values())) == 3
+    rng = np.random.default_rng(4)
+    x, names = rng.random((60, 8), dtype=np.float32), [f"q{i:03d}" for i in range(30)] * 2
+    x += np.array([[i % 30 == k for k in range(8)] for i in range(60)], dtype=np.float32) * 5
+    machine = Hierarchy(x, names)
+    duels = len(machine.family.pairs) + sum(len(m.pairs) for m in machine.within.values())
+    assert duels < 30 * 29 / 2 and set(machine.predict(x)[0]) <= set(names)
+
+
+def test_packing_in_the_mixed_order(spark, odd, none):
+    """Every prefix of the windows keeps the sources' shares, and every id is in one piece."""
+    rng = np.random.default_rng(8)
+    sources = rng.choice(["a", "b", "c"], 3_000, p=[0.6, 0.3, 0.1])
+    rows = [(i, " ".join(["word"] * int(rng.integers(1, 60))), str(s)) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    positions = mixing.mix_positions(docs)
+    place = {r.doc_id: (r.position, r.source, r.weight) for r in positions.collect()}
+    packed = packing.pack_in_order(docs, positions, stretch_rows=256).collect()
+    assert sorted(r.doc_id for r in packed) == list(range(3_000))
+    stretch = {r.doc_id: r.sequence_id >> 32 for r in packed}
+    assert all(s == place[i][0] // 256 for i, s in stretch.items())
+    weights = {source: weight for _, source, weight in place.values()}
+    for end in range(1, 1 + sum(1 for p, _, _ in place.values() if p < 1_024) // 256):  # while no source has run out
+        seen = collections.Counter(place[i][1] for i, s in stretch.items() if s < end)
+        for source, weight in weights.items():
+            assert abs(seen[source] - weight * sum(seen.values())) < 2 * mixing.BLOCK_ROWS
+    windows = collections.defaultdict(list)
+    for r in packed:
+        windows[r.sequence_id].append((r.offset, r.length))
+    full = sum(r.length for r in packed) / packing.WINDOW
+    assert len(windows) <= 1.1 * full + 12
+    for held in windows.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
+    plain = sorted((r.doc_id or 0, r.start, r.length, r.ids_crc32) for r in packing.pack(odd).collect())
+    assert sorted((r.doc_id or 0, r.start, r.length, r.ids_crc32) for r in packing.pack_in_order(odd, mixing.mix_positions(odd)).collect()) == plain
+    assert packing.pack_in_order(none, mixing.mix_positions(none)).collect() == []
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing names, stage by stage; all but the last keep the columns."""
+    import corpus_pipeline
+    labels = odd.filter("doc_id is not null").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).distinct()
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, docs, str(tmp_path))
+            path = f"{tmp_path}/{name}-{docs is none}-{len(docs.columns)}"
+            found.write.mode("overwrite").parquet(path)
+            found = spark.read.parquet(path)
+            if name != "packing":
+                assert found.columns == docs.columns, name
+                docs = found
+    assert found.count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
