@@ -253,3 +253,12 @@ def test_every_overlapping_pair_once_whatever_the_height(spark, rows):
         spans = sorted((i << k, (i + 1) << k) for k, i in held)
         assert spans[0][0] == 3 and spans[-1][1] == 4 + n and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert cells.check_overlaps(spark.createDataFrame([], schema)).isEmpty()
+
+
+def test_overlap_nodes_are_joined_by_shuffle(spark):
+    """However small the regions look, their nodes are not sent through the driver."""
+    made = spark.sql("SELECT * FROM VALUES ('d', 's', 1, 1, 1, 5, 3), ('d', 's', 2, 2, 2, 5, 6) AS r(doc, sheet, region, top, left, bottom, right)")
+    found = cells.check_overlaps(made)
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert any("SortMergeJoin" in line and "_r#" in line for line in plan)
+    assert not any("Broadcast" in line and "_r#" in line for line in plan)
