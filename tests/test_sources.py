@@ -79,6 +79,15 @@ def test_discover_skips_tool_folders_and_locks(spark, tmp_path):
     assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == ["a.txt", "b.txt"]
 
 
+def test_a_folder_of_part_files_is_one_source(spark, rows, tmp_path):
+    root = tmp_path / "in.txt"  # named like a source itself, but the place that is searched
+    for place in ("a.txt", "b.txt/part-0.txt", "b.txt/part-1.txt", "b.txt/_SUCCESS", "deep/c.txt/day=1/part-0.txt", "deep/d.txt", ".git/e.txt/part-0.txt", "h.md/part-0.md"):
+        (root / place).parent.mkdir(parents=True, exist_ok=True)
+        (root / place).write_text("x")
+    found = intake.discover_sources(spark, str(root), ".txt")
+    assert rows(found, "name", "files", "length") == [("a.txt", 1, 1), ("b.txt", 2, 2), ("c.txt", 1, 1), ("d.txt", 1, 1)]
+
+
 def test_text_and_csv_evidence(spark, rows):
     docs = spark.createDataFrame([("d", "﻿便携水杯\r\n\n　\n零售价 120元 重量轻")], "doc string, text string")
     assert rows(evidence.text_evidence(docs), "ref", "text") == [("line:1", "便携水杯"), ("line:4", "零售价 120元"), ("line:5", "重量轻")]
