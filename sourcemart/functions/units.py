@@ -18,6 +18,8 @@ UNITS = {
 # Longest spelling first, so that "mah" is not read as "m".
 SPELLINGS = "|".join(sorted(UNITS, key=len, reverse=True))
 MENTION = f"(?i)(\\d+(?:\\.\\d+)?)\\s*({SPELLINGS})(?![a-z])"
+# The character that ends a mention belongs to it: of "5m2m" only "5m2" is one.
+MENTION_APART = MENTION.replace("(?![a-z])", "(?:[^a-z]|$)")
 
 
 def _units() -> Column:
@@ -42,11 +44,11 @@ def canonical_literal(value: float, unit: str) -> tuple[float, str]:
     return value * factor, canonical
 
 
-def quantities(text_norm) -> Column:
+def quantities(text_norm, mention: str = MENTION) -> Column:
     """All mentions of a number with a unit, in order, as array<struct<number,unit>>."""
     text = as_column(text_norm)
-    numbers = F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))
-    units = F.regexp_extract_all(text, F.lit(MENTION), F.lit(2))
+    numbers = F.regexp_extract_all(text, F.lit(mention), F.lit(1))
+    units = F.regexp_extract_all(text, F.lit(mention), F.lit(2))
     return F.transform(F.arrays_zip(numbers.alias("n"), units.alias("u")),
                        lambda m: to_canonical(m["n"].cast("double"), F.lower(m["u"])))
 

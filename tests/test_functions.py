@@ -46,6 +46,13 @@ def test_quantities(spark, given, expected):
     assert [tuple(q) for q in one(spark, given, units.quantities("v"))] == expected
 
 
+def test_quantities_apart(spark):
+    """The end of a mention is no start of the next, as in the SQL twin of extract_quantities."""
+    found = lambda given: [tuple(q) for q in one(spark, given, units.quantities("v", units.MENTION_APART))]
+    assert found("wfuq5m2m6p") == [(5000.0, "mm")]
+    assert found("5m 2m,5mx 6w") == [(5000.0, "mm"), (2000.0, "mm"), (6.0, "W")]
+
+
 def test_unknown_or_negative_quantity_is_null(spark):
     assert one(spark, -1.0, units.to_canonical("v", F.lit("ml")), "double") is None
     assert one(spark, 1.0, units.to_canonical("v", F.lit("斗")), "double") is None
