@@ -271,3 +271,12 @@ def test_overlap_nodes_are_joined_by_shuffle(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
     assert any("SortMergeJoin" in line and "_r#" in line for line in plan)
     assert not any("Broadcast" in line and "_r#" in line for line in plan)
+
+
+def test_parts_are_dealt_out_before_they_become_cells(spark, monkeypatch):
+    """The number of tasks follows the number of parts, not the few bytes they take in a file."""
+    from sourcemart.checks import joins
+    from sourcemart.model import Tables
+    monkeypatch.setattr(joins, "PARTS_PER_TASK", 10)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert joins.grid(t).rdd.getNumPartitions() == -(-t.part.count() // 10)
