@@ -280,3 +280,13 @@ def test_parts_are_dealt_out_before_they_become_cells(spark, monkeypatch):
     monkeypatch.setattr(joins, "PARTS_PER_TASK", 10)
     t = Tables(spark, "/root/testdata/sf0.001")
     assert joins.grid(t).rdd.getNumPartitions() == -(-t.part.count() // 10)
+
+
+def test_cells_are_not_broadcast_however_small_they_look(spark):
+    made = spark.sql("SELECT * FROM VALUES ('d', 's', 2, 1, 'a', 's', 2) AS c(doc, sheet, row, col, value, dtype, record)")
+    columns = spark.sql("SELECT * FROM VALUES ('d', 's', 1, 'x', 'retail_price', true), ('d', 's', 1, 'y', 'features', false), ('d', 's', 1, 'z', NULL, false) AS c(doc, sheet, col, label, role, is_price)")
+    headers = spark.sql("SELECT * FROM VALUES ('d', 's', 2, 'ok') AS h(doc, sheet, header_row, verdict)")
+    plans = spark.sql("SELECT * FROM VALUES ('d', 's', 1, 2, 9, 1, 2) AS p(doc, sheet, header_row, first_row, last_row, first_col, last_col)")
+    for found in (cells.unpivot_prices(made, columns), cells.map_columns(made, headers, cells.alias_table(spark)), cells.table_records(made.drop("record"), plans),
+                  cells.features(made, columns), cells.raw_fields(made, columns), cells.unmapped_columns(made, columns)):
+        assert "SortMergeJoin [doc" in found._jdf.queryExecution().sparkPlan().toString()
