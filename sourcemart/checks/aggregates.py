@@ -90,11 +90,11 @@ def _(t):
     return intake.issue_counts(t.lineitem.select(issues.alias("issues")))
 
 
-def choices(t):
+def choices(t, *of_source):
     """Selections: one session per customer, the offers of its orders as candidates, offers in stock F selected."""
-    return (t.observations().join(t.sources().select("doc_id", "series"), "doc_id")
+    return (t.identified(t.unnamed().join(t.sources().select("doc_id", "series", *of_source), "doc_id"))
             .select(F.col("series").alias("session_id"), "id", "doc_id", "record_key", "name", "model", "features", "category",
-                    "amount", F.col("has_image").alias("selected")))
+                    "amount", F.col("has_image").alias("selected"), *of_source))
 
 
 @check("a_session_counts", sql("SELECT series AS session_id, count(*) AS candidates, count(*) FILTER (WHERE has_image) AS selected FROM obs JOIN sources USING (doc_id) GROUP BY 1", "obs", "sources"))

@@ -200,4 +200,5 @@ def _(t):
       SELECT id, sum(cast('0x' || substr(h, 1, 15) AS HUGEINT)) || '-' || sum(cast('0x' || substr(h, 16, 15) AS HUGEINT)) AS folded FROM (
         SELECT id, sha256('{"kind":"' || kind || '","value":"' || value || '","origin":"' || origin || '"}') AS h FROM tags) GROUP BY 1) f ON f.id = o.group_id""", "obs", "sources", "tags"))
 def _(t):
-    return sessions.context_hash(t.observations(), t.sources(), tags=t.tags(), key="group_id").select("id", "context_hash")
+    rows = t.unnamed().select("doc_id", "record_key", "group_id", "supplier", "shipped")
+    return t.identified(sessions.with_context(rows, t.sources(), tags=t.tags(), key="group_id")).select("id", "context_hash")

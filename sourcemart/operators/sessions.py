@@ -8,6 +8,7 @@ from sourcemart.operators.ranking import latest, top_per_group
 
 SNAPSHOT = ["id", "name", "model", "variant", "features", "category", "source_file", "locator", "image"]
 SHOWN_TAGS = 5
+TAGS = "array<struct<kind:string,value:string,origin:string>>"
 
 
 def payload_hash(*columns: str) -> Column:
@@ -21,8 +22,17 @@ def context_hash(obs: DataFrame, sources: DataFrame, profiles: DataFrame | None
     Tags and facts of a product are folded into sums of row hashes (120 bits), so a product with any number of tags
     is reduced map-side, in any order, and never collected.
     """
-    state = sources.filter("state = 'active'").select("doc_id", _json_hash("series", "issued_on", "state").alias("source"))
-    rows = obs.select(*dict.fromkeys(["id", "doc_id", key])).join(state, "doc_id")
+    rows = obs.select(*dict.fromkeys(["id", "doc_id", key]))
+    return with_context(rows, sources, profiles, tags, links, terms, key).select("id", "doc_id", "context_hash")
+
+
+def with_context(rows: DataFrame, sources: DataFrame, profiles: DataFrame | None = None, tags: DataFrame | None = None,
+                 links: DataFrame | None = None, terms: DataFrame | None = None, key="id", how="inner") -> DataFrame:
+    """rows(doc_id, key, ...) with their ``context_hash``; with ``how="left"`` rows of other sources stay, with null.
+
+    What belongs to products is joined first and sources last, so the rows then lie by source.
+    """
+    state = sources.filter("state = 'active'").select("doc_id", _json_hash("series", "issued_on", "state").alias("_source"))
 
     def fold(frame, name):
         row = frame.select(F.col("id").alias(key), _json_hash(*[c for c in frame.columns if c != "id"]).alias("h"))
@@ -34,18 +44,30 @@ def context_hash(obs: DataFrame, sources: DataFrame, profiles: DataFrame | None
     parts = ["source"]
     for name, frame in (("facts", profiles), ("tags", tags), ("links", links), ("terms", terms)):
         if frame is not None:
-            rows = rows.join(fold(frame, name), key, "left")
+            rows = rows.join(fold(frame, f"_{name}"), key, "left")
             parts.append(name)
-    return rows.select("id", "doc_id", _json_hash(*parts).alias("context_hash"))
+    digest = _json_hash(*[F.col(f"_{p}").alias(p) for p in parts])
+    return (rows.join(state, "doc_id", how).withColumn("context_hash", F.when(F.col("_source").isNotNull(), digest))
+            .drop(*[f"_{p}" for p in parts]))
 
 
-def _json_hash(*columns: str) -> Column:
+def _json_hash(*columns) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts: DataFrame, tags: DataFrame | None = None, key="id") -> DataFrame:
+def with_tags(rows: DataFrame, tags: DataFrame, key="id") -> DataFrame:
+    """rows(key, ...) with ``shown_tags``: the first SHOWN_TAGS of tags(id, kind, value, origin), whose id is the ``key``."""
+    first = top_per_group(tags.select("id", "kind", "value", "origin"), ["id"], ["kind", "value", "origin"], SHOWN_TAGS, "_n")
+    shown = first.groupBy(F.col("id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("kind", "value", "origin"))).alias("shown_tags"))
+    return rows.join(shown, key, "left").withColumn("shown_tags", F.coalesce("shown_tags", F.array().cast(TAGS)))
+
+
+def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts: DataFrame | None = None, tags: DataFrame | None = None, key="id",
+           by=("id",)) -> DataFrame:
     """obs(id, ..., prices, payload_hash), chosen(session_id, id, position), contexts(id, context_hash), one row per id;
-    tags(id, kind, value, origin), whose id is the ``key`` of obs.
+    tags(id, kind, value, origin), whose id is the ``key`` of obs. Without contexts or tags, obs may hold ``context_hash``
+    (``with_context``) and ``shown_tags`` (``with_tags``) itself. ``by`` names the columns that obs and chosen are met on: the id,
+    and before it what rows lie by already, such as the source.
 
     One row per candidate with its snapshot, hashes and ``problem``. A session is written only if none of its rows
     has a problem; both come from one pass. A snapshot holds those of the SNAPSHOT columns that ``obs`` has, the shown prices
@@ -55,15 +77,15 @@ def freeze(obs: DataFrame, chosen: DataFrame, price_fields: list[str], contexts:
         raise ValueError("Choose one or two price fields")
     # Prices are resolved before the join: what travels is the shown prices, not the whole map.
     kept = [c for c in SNAPSHOT if c in obs.columns]
-    priced = obs.select(*kept, F.col(key).alias("_key"), "payload_hash", F.array(*[resolve_price(F.col("prices"), f) for f in price_fields]).alias("shown"))
-    kind = "array<struct<kind:string,value:string,origin:string>>"
-    if tags is None:
-        priced = priced.withColumn("_tags", F.array().cast(kind))
-    else:
-        first = top_per_group(tags.select("id", "kind", "value", "origin"), ["id"], ["kind", "value", "origin"], SHOWN_TAGS, "_n")
-        shown_tags = first.groupBy(F.col("id").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("kind", "value", "origin"))).alias("_tags"))
-        priced = priced.join(shown_tags, "_key", "left").withColumn("_tags", F.coalesce("_tags", F.array().cast(kind)))
-    rows = chosen.join(priced, "id", "left").join(contexts.select("id", "context_hash"), "id", "left")
+    if tags is not None:
+        obs = with_tags(obs, tags, key)
+    held = F.col("shown_tags") if "shown_tags" in obs.columns else F.array().cast(TAGS)
+    context = [] if contexts is not None else ["context_hash"]
+    priced = obs.select(*dict.fromkeys([*kept, *by, "payload_hash", *context]), held.alias("_tags"),
+                        F.array(*[resolve_price(F.col("prices"), f) for f in price_fields]).alias("shown"))
+    rows = chosen.join(priced, list(by), "left")
+    if contexts is not None:
+        rows = rows.join(contexts.select("id", "context_hash"), "id", "left")
     problem = F.coalesce(
         F.when(F.col("payload_hash").isNull(), "unknown_id"),
         F.when(F.exists("shown", lambda p: p.isNull()), "price_absent_or_ambiguous"),
@@ -99,12 +121,12 @@ def selected_after(choices: DataFrame, verdicts: DataFrame) -> DataFrame:
             .drop("_touched", "_in"))
 
 
-def drift(choices: DataFrame, current: DataFrame) -> DataFrame:
-    """Choices whose payload or context is no longer as frozen. A null frozen context (older sessions) passes."""
-    now = current.select("id", F.col("payload_hash").alias("now_payload"), F.col("context_hash").alias("now_context"))
+def drift(choices: DataFrame, current: DataFrame, by=("id",)) -> DataFrame:
+    """Choices whose payload or context is no longer as frozen. A null frozen context (older sessions) passes. ``by``: as in ``freeze``."""
+    now = current.select(*by, F.col("payload_hash").alias("now_payload"), F.col("context_hash").alias("now_context"))
     reason = (F.when(~F.col("payload_hash").eqNullSafe(F.col("now_payload")), "payload")
               .when(F.col("context_hash").isNotNull() & ~F.col("context_hash").eqNullSafe(F.col("now_context")), "context"))
-    return (choices.join(now, "id", "left").withColumn("drift", reason).filter("drift IS NOT NULL")
+    return (choices.join(now, list(by), "left").withColumn("drift", reason).filter("drift IS NOT NULL")
             .drop("now_payload", "now_context"))
 
 

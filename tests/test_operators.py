@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
+from sourcemart.checks import REGISTRY
 from sourcemart.operators import facets, filters, governance, lineage, overlay, ranking, sessions, textindex
 from sourcemart.functions.text import normalize
 from sourcemart.plans import retrieval, search
@@ -176,6 +177,47 @@ def test_synonym_groups_are_extended_whole(spark, rows):
 
 # -- sessions --------------------------------------------------------------------------------------------------------
 
+def moved_columns(frame):
+    """Columns that each exchange of the plan for large tables moves."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    while plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.initialPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.fixture
+def large(spark):
+    """Joins as for tables that are too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("key", ["freeze", "freeze_snapshot", "verify_drift", "seal", "context_hash"])
+def test_ids_are_made_after_the_shuffles(large, key):
+    moved = moved_columns(REGISTRY[key].run(large, "/root/testdata/sf0.001"))
+    assert moved and not [m for m in moved if "id" in m and "doc_id" in m]
+
+
+def test_freezing_by_source_equals_freezing_by_id(spark, rows):
+    price = "prices map<string,struct<label:string,value:string,amount:double,error:string>>"
+    obs = spark.createDataFrame([(k, d, "g" + k, {"p": ("l", "1", 1.0, None)}, "h") for k, d in (("a", 1), ("b", 1), ("c", 2))], f"id string, doc_id int, item string, {price}, payload_hash string")
+    sources = spark.createDataFrame([(1, 7, None, "active"), (2, 7, None, "withdrawn")], "doc_id int, series int, issued_on date, state string")
+    chosen = spark.createDataFrame([("s", 1, "a", 0), ("s", 2, "c", 1), ("s", 1, "none", 2)], "session_id string, doc_id int, id string, position int")
+    tags = spark.createDataFrame([("ga", "k", str(i), "source") for i in range(7)], "id string, kind string, value string, origin string")
+    apart = sessions.freeze(obs, chosen, ["p"], sessions.context_hash(obs, sources), tags, "item")
+    held = sessions.with_context(sessions.with_tags(obs, tags, "item"), sources, how="left")
+    together = sessions.freeze(held, chosen, ["p"], by=("doc_id", "id"))
+    assert rows(together) == rows(apart)
+    assert rows(apart, "id", "problem") == [("a", None), ("c", "source_not_active"), ("none", "unknown_id")]
+
+
 def test_selection_revision_membership_and_seal(spark, rows):
     table = spark.createDataFrame([("s", "春节 100%_", "open", 0, 1), ("t", "x", "sealed", 0, 1)], "session_id string, title string, state string, revision long, version long")
     choices = spark.createDataFrame([("s", "a", False, "h", "c"), ("s", "b", False, "h", None)], "session_id string, id string, selected boolean, payload_hash string, context_hash string")
