@@ -37,9 +37,11 @@ def _(t):
     SELECT id, row_number() OVER (PARTITION BY top ORDER BY place) AS turn, min(place) OVER (PARTITION BY top) AS first_place
     FROM (SELECT id, split_part(category, '/', 1) AS top, row_number() OVER (ORDER BY amount DESC NULLS LAST, id) AS place FROM obs))""", "obs"))
 def _(t):
-    rows = t.observations().select("id", F.element_at(F.split("category", "/"), 1).alias("top"), "amount")
-    ranked = ranking.numbered(rows, [], [price_order("amount", True), "id"], "place")
-    return ranking.diversify_all(ranked.select("id", "top", "place"), "top", "place").select("id", "shown")
+    # Ids travel as their 32 bytes, which sort as the text does; the dearest come first and unknown prices last.
+    rows = t.observations().select(F.unhex("id").alias("id"), F.element_at(F.split("category", "/"), 1).alias("top"),
+                                   F.col("amount").isNull().alias("unknown"), (-F.col("amount")).alias("down"))
+    shown = ranking.diversify_all(rows, "top", ["unknown", "down", "id"])
+    return shown.select(F.lower(F.hex("id")).alias("id"), "shown")
 
 
 @check("w_occurrence", sql("SELECT id, row_number() OVER (PARTITION BY doc_id, name ORDER BY record_key, id) - 1 AS occurrence FROM obs", "obs"))
@@ -51,8 +53,9 @@ def _(t):
 @check("occurrence_id", sql("""SELECT obs_id, 'p_' || substr(sha256('["' || concat_ws('","', doc_id, field, identity, n) || '"]'), 1, 16) AS id FROM (
     SELECT id AS obs_id, doc_id, field, model AS identity, row_number() OVER (PARTITION BY doc_id, field, model ORDER BY record_key, id) - 1 AS n FROM obs)""", "obs"))
 def _(t):
-    rows = t.observations().select(F.col("id").alias("obs_id"), "doc_id", F.col("field").alias("sheet"), "name", "model",
-                                   F.lit(None).cast("string").alias("variant"), "record_key")
+    # Rows are dealt out by source before ids are made.
+    rows = t.identified(t.unnamed().repartition("doc_id")).select(
+        F.col("id").alias("obs_id"), "doc_id", F.col("field").alias("sheet"), "name", "model", F.lit(None).cast("string").alias("variant"), "record_key")
     return assign_ids(rows, "doc_id", ["record_key", "obs_id"]).select("obs_id", "id")
 
 

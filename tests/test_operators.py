@@ -18,10 +18,28 @@ def test_numbering_equals_a_window_with_a_hot_group(spark, rows):
     frame = spark.createDataFrame(data, "g string, k int, id int").repartition(7)
     window = frame.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")).cast("long"))
     assert rows(ranking.numbered(frame, ["g"], ["k", "id"])) == rows(window)
+    assert rows(ranking.numbered(frame, ["g"], ["k", "id"], hot_rows=1000)) == rows(window)  # one hot group of four
+    assert rows(ranking.numbered(frame, ["g"], ["k", "id"], hot_rows=100)) == rows(window)  # all are hot
     whole = frame.withColumn("rank", F.row_number().over(Window.orderBy(F.col("k").desc(), "id")).cast("long"))
     assert rows(ranking.numbered(frame, [], [F.col("k").desc(), "id"])) == rows(whole)
 
 
+def test_turns_of_buckets_follow_from_their_sizes(spark, rows):
+    rng = random.Random(5)
+    data = [(rng.choice(["x"] * 5 + ["y", "y", "z", None]), rng.randint(0, 9), i) for i in range(400)]
+    frame = spark.createDataFrame(data, "b string, k int, id int")
+    placed = frame.withColumn("place", F.row_number().over(Window.orderBy("k", "id")))
+    want = rows(ranking.diversify(placed, [], "b", "place").drop("place"))
+    assert rows(ranking.diversify_all(frame, "b", ["k", "id"])) == want
+    assert rows(ranking.diversify_all(frame, "b", ["k", "id"], few=2)) == want
+    assert ranking.diversify_all(frame.limit(0), "b", ["k", "id"]).isEmpty()
+
+
+def test_small_groups_are_numbered_in_one_shuffle(large):
+    numbers = ranking.numbered(large.range(2000).select((F.col("id") % 900).alias("g"), "id"), ["g"], ["id"])
+    assert len(moved_columns(numbers)) == 1
+
+
 def test_top_per_group_limits_before_the_shuffle(spark):
     frame = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
     top = ranking.top_per_group(frame, ["g"], [F.col("id").desc()], 2)
@@ -199,7 +217,7 @@ def large(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("key", ["freeze", "freeze_snapshot", "verify_drift", "seal", "context_hash"])
+@pytest.mark.parametrize("key", ["freeze", "freeze_snapshot", "verify_drift", "seal", "context_hash", "occurrence_id", "public_view"])
 def test_ids_are_made_after_the_shuffles(large, key):
     moved = moved_columns(REGISTRY[key].run(large, "/root/testdata/sf0.001"))
     assert moved and not [m for m in moved if "id" in m and "doc_id" in m]
