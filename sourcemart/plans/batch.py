@@ -66,7 +66,7 @@ def matches(index: StoredIndex, plans: DataFrame, lanes: DataFrame, amount: str,
         F.sum(rarity(F.coalesce("n", F.lit(0)), rows)).alias("idf"), F.min(F.coalesce("n", F.lit(0))).alias("least"),
         F.slice(F.array_sort(F.collect_set(F.struct("n", "gram"))), 1, LOOKED_UP).alias("rarest")).filter("least > 0")
     asked = weights.select("plan_id", "lane", "column", F.size("rarest").alias("needed"), F.explode("rarest.gram").alias("gram"))
-    candidates = (asked.join(index.postings(), ["column", "gram"]).groupBy("plan_id", "lane", key)
+    candidates = (index.postings(asked).groupBy("plan_id", "lane", key)
                   .agg(F.count("*").alias("held"), F.max("needed").alias("needed")).filter("held = needed").select("plan_id", "lane", key))
     hard = plans.select("plan_id", "minimum", "maximum", "categories", "exclude_categories")
     checks = lanes.join(weights.select("plan_id", "lane", "idf"), ["plan_id", "lane"]).join(hard, "plan_id")

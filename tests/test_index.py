@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sourcemart.functions.grams import gram_set, query_grams, term_grams
 from sourcemart.functions.text import normalize_literal
+from sourcemart.operators import textindex
 from sourcemart.operators.textindex import B, IDF_FLOOR, K1, WEIGHT, StoredIndex
 from sourcemart.plans import batch
 from sourcemart.session import scratch_path
@@ -189,3 +190,22 @@ def test_an_id_names_one_plan(spark):
     with pytest.raises(ValueError):
         batch.checked_plans(spark.createDataFrame([plan, plan], batch.PLANS))
     assert batch.checked_plans(spark.createDataFrame([], batch.PLANS)).count() == 0
+
+
+@pytest.mark.parametrize("table", [0, 1 << 26])
+def test_grams_of_a_block(monkeypatch, table):
+    monkeypatch.setattr(textindex, "TABLE", table)
+    texts = ["abab b", None, "", "ä充电宝\U0001f600a", "b", "\x00\U0010ffff"]
+    grams, first, owners = textindex.gram_owners(texts)
+    held = {(g, int(o)) for i, g in enumerate(grams) for o in owners[first[i]:first[i + 1]]}
+    assert held == {(g, i) for i, t in enumerate(texts) for g in gram_set(t)} and len(owners) == len(held) and len(grams) == len(set(grams))
+    assert [len(x) for x in textindex.gram_owners([None])] == [0, 1, 0]
+
+
+def test_postings_are_kept_in_blocks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "name", f"the same words {i % 3}") for i in range(50)], "id long, name string, text string").coalesce(1)
+    index = textindex.StoredIndex.build(docs, str(tmp_path / "index"))
+    blocks = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert blocks.filter("gram = 'sa'").count() < 50
+    assert index.postings().filter("gram = 'sa'").count() == 50
+    assert index.frequencies().filter("gram = 'sa' AND column = 'all_norm'").first()["n"] == 50
