@@ -5,9 +5,10 @@ decision a Krichevsky-Trofimov estimate counts the two outcomes; the weighted pr
 estimate and half the product over its longer contexts, so all depths are mixed by how well they code the training texts.
 Estimates depend on counts alone, in any order, so Spark counts all byte grams of the corpus and the tree is weighted once.
 
-Tree nodes are the contexts that hold at least a share NODE_SHARE of the training bytes (hence at most 1/NODE_SHARE per
-depth, at any input size); occurrences in longer contexts that are rarer form one further leaf of their node. The tree,
-worked out to a table of log10 probabilities per context and byte, is broadcast, and texts are scored where they are read.
+Every context of the training texts is a node, however rare. Grams are dealt out by the bytes nearest to the coded one, so a
+task holds whole subtrees and weighs them block by block; only contexts of up to SPLIT bytes, whose number is bounded by
+their length, are weighted on the driver. What comes of it is the log10 probability of every gram that any text holds. Texts
+are scored where they are read: the most frequent grams are looked up in a broadcast table, all others by a join.
 """
 
 from collections.abc import Iterator
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sourcemart.llm.common import Tally, bytes_of, runs, settle, smaller, word_hashes
 
 DEPTH = 5
-NODE_SHARE = 2.0 ** -17
+SPLIT = 2                # contexts of up to this many bytes are weighted on the driver (at most 256 ** SPLIT), longer ones in tasks
+BLOCK = 1 << 16          # grams that a task weighs together; the subtree of one context of SPLIT + 1 bytes stays whole
+COMMON_GRAMS = 1 << 20   # grams looked up in a broadcast table, others by a join
 WORD_SHARE = 2.0 ** -21  # words at least this frequent are looked up in a broadcast table (at most 1/WORD_SHARE), others by a join
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text holds: before and after every text
 END_WORD = -1            # key of the end token among the words' hashes
@@ -36,23 +39,39 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return data, np.flatnonzero(data != START)
 
 
-def gram_counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
-    """(code, n): how often each byte follows each ``depth`` bytes; the code's low byte is the one that follows."""
+def gram_codes(texts: list[bytes], depth: int) -> np.ndarray:
+    """Each coded byte below the ``depth`` bytes before it, the nearest one lowest."""
+    data, at = grams(texts, depth)
+    code = np.zeros(len(at), dtype=np.uint64)
+    for k in range(depth, -1, -1):
+        code = (code << np.uint64(8)) | data[at - k]
+    return code
+
+
+def gram_counts(docs: DataFrame, text_col: str, depth: int, learn: Column | None = None) -> DataFrame:
+    """(code, n, seen): how often each byte follows each ``depth`` bytes in the texts that are learned from, and in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tallies = Tally(), Tally()  # of texts that are scored only, and learned from
+
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            for learned, tally in enumerate(tallies):
+                for batch in tally.batches(last, ["code", "seen"]):
+                    n = batch.column(1) if learned else pa.array(np.zeros(batch.num_rows, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), n, batch.column(1)], names=["code", "n", "seen"])
+
         for batch in smaller(batches):
-            texts = bytes_of(batch.column(0))
-            for a, b in runs(texts):
-                data, at = grams(texts[a:b], depth)
-                code = np.zeros(len(at), dtype=np.uint64)
-                for k in range(depth, -1, -1):
-                    code = (code << np.uint64(8)) | data[at - k]
-                tally.add(*np.unique(code, return_counts=True))
-            yield from tally.batches(False, ["code", "n"])
-        yield from tally.batches(True, ["code", "n"])
+            texts, learned = bytes_of(batch.column(0)), batch.column(1).to_pylist()
+            for of in (False, True):
+                mine = [t for t, l in zip(texts, learned) if l == of]
+                for a, b in runs(mine):
+                    tallies[of].add(*np.unique(gram_codes(mine[a:b], depth), return_counts=True))
+            yield from out(False)
+        yield from out(True)
 
-    return docs.select(text_col).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    learned = F.lit(True) if learn is None else F.coalesce(learn.cast("boolean"), F.lit(False))
+    counted = docs.select(F.col(text_col), learned.alias("_learned")).mapInArrow(count, "code long, n long, seen long")
+    return counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -73,7 +92,8 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-# ---- the tree -------------------------------------------------------------------------------------------------------
+# ---- the tree, whole -----------------------------------------------------------------------------------------------
+# For few contexts: all decisions of all contexts side by side.
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series at x + 8."""
@@ -178,38 +198,6 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     return Tree(np.concatenate(tables), links.astype(np.int64), depth)
 
 
-def fit(docs: DataFrame, text_col="text", depth=DEPTH, node_share=NODE_SHARE) -> Tree:
-    """The weighted tree of all texts; without any, every byte is equally likely."""
-    leaves = settle(gram_counts(docs, text_col, depth), "grams")
-    total = leaves.agg(F.sum("n")).first()[0] or 0
-    by_depth = leaves.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "code", "n")
-    mask = F.expr("shiftleft(1L, 8 * (d + 1)) - 1")
-    counts = by_depth.groupBy("d", F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
-    nodes = (counts.groupBy("d", F.shiftright("code", 8).alias("context"))
-             .agg(F.sum("n").alias("held"), F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("b"), "n")).alias("bytes"))
-             .filter(F.col("held") >= max(1.0, total * node_share)))
-    table = nodes.select("d", "context", "bytes.b", "bytes.n").toArrow()  # at most 1/node_share nodes per depth
-    d, context = table["d"].to_numpy(), table["context"].to_numpy().astype(np.uint64)
-    lists = table["b"].combine_chunks(), table["n"].combine_chunks()
-    sizes = np.diff(lists[0].offsets.to_numpy()) if len(d) else np.empty(0, dtype=np.int64)
-    levels = []
-    row = np.repeat(np.arange(len(d)), sizes)
-    b = lists[0].flatten().to_numpy() if len(d) else np.empty(0, dtype=np.int64)
-    n = lists[1].flatten().to_numpy() if len(d) else np.empty(0, dtype=np.int64)
-    for k in range(depth + 1):
-        rows = np.flatnonzero(d == k)
-        rows = rows[np.argsort(context[rows])]
-        place = np.full(len(d), -1)
-        place[rows] = np.arange(len(rows))
-        dense = np.zeros((len(rows), 256), dtype=np.int64)
-        mine = place[row] >= 0
-        dense[place[row[mine]], b[mine]] = n[mine]
-        levels.append((context[rows], dense))
-    if not len(levels[0][0]):
-        levels[0] = (np.zeros(1, dtype=np.uint64), np.zeros((1, 256), dtype=np.int64))
-    return weigh(levels)
-
-
 def text_scores(tree: Tree, children: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """log10 probability of each text, its end included."""
     data, at = grams(texts, tree.depth)
@@ -223,35 +211,154 @@ def text_scores(tree: Tree, children: np.ndarray, texts: list[bytes]) -> np.ndar
     return np.add.reduceat(values, np.concatenate([[0], ends[:-1]]))
 
 
+# ---- the tree, in parts ---------------------------------------------------------------------------------------------
+# Decisions that occur, by sorted keys: context << 8 | decision. Those without counts in training give even odds.
+
+def shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The decisions in contexts one byte shorter than ``depth``."""
+    return ((keys >> 8) & ((1 << 8 * (depth - 1)) - 1)) << 8 | keys & 255
+
+
+def code_decisions(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the decisions of all codes, the place of each code's eight among them, and their outcomes."""
+    bit = np.arange(8)
+    byte = (code & 255)[:, None]
+    keys, at = np.unique((code >> 8)[:, None] << 8 | ((1 << bit) - 1 + (byte >> (8 - bit))), return_inverse=True)
+    return keys, at.reshape(-1, 8), (byte >> (7 - bit)) & 1
+
+
+def climb(keys, zeros, ones, longer, depth: int, to: int):
+    """Weighs the contexts of ``depth`` bytes, then shorter ones up to ``to`` bytes. ``longer``: log probability by contexts
+    longer than ``depth``; none if there are none. Returns per length (place in the next shorter, weight of the own estimate,
+    own estimate), and of the shortest keys, zeros, ones and weighted log probability."""
+    steps = []
+    while True:
+        n = zeros + ones
+        block = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(n + 1.0)
+        own, leaf, weighted = (ones + 0.5) / (n + 1), np.ones(len(keys)), block
+        if longer is not None:
+            both = np.logaddexp(block, longer)
+            leaf, weighted = np.exp(np.clip(block - both, -700, 0)), both - np.log(2)
+        if depth == to:
+            return steps + [(None, leaf, own)], keys, zeros, ones, weighted
+        keys, up = np.unique(shorter(keys, depth), return_inverse=True)
+        steps.append((up, leaf, own))
+        zeros, ones, longer = (np.bincount(up, x, len(keys)) for x in (zeros, ones, weighted))
+        depth -= 1
+
+
+def descend(steps, said: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From what contexts shorter than the shortest have said, and the weight they left, to the same after the longest."""
+    for up, leaf, own in reversed(steps):
+        if up is not None:
+            said, left = said[up], left[up]
+        said, left = said + left * leaf * own, left * (1 - leaf)
+    return said, left
+
+
+def blocks(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows (code, ...), sorted by the context's last ``group`` bytes, in blocks that part none of these."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= BLOCK:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            suffix = (columns[0] >> 8) & ((1 << 8 * group) - 1)
+            cut = int(np.flatnonzero(suffix != suffix[-1])[-1]) + 1 if suffix[0] != suffix[-1] else 0
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, size = [[c[cut:] for c in columns]], size - cut
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def gram_scores(docs: DataFrame, text_col="text", learn: Column | None = None, depth=DEPTH, split=SPLIT) -> DataFrame:
+    """(code, seen, value): how often a gram stands in ``docs``, and the log10 probability of its last byte by the tree of all
+    texts for which ``learn`` holds; without any, every byte is equally likely. ``depth``: up to 6."""
+    split = min(split, depth - 1)
+    group = split + 1
+    counts = settle(gram_counts(docs, text_col, depth, learn), "grams")
+    dealt = (counts.withColumn("suffix", F.expr(f"shiftright(code, 8) & {(1 << 8 * group) - 1}L"))
+             .repartition("suffix").sortWithinPartitions("suffix").drop("suffix"))
+
+    def subtrees(code: np.ndarray, n: np.ndarray):
+        keys, at, bit = code_decisions(code)
+        zeros, ones = (np.bincount(at.ravel(), (n[:, None] * (bit == x)).ravel(), len(keys)) for x in (0, 1))
+        return at, bit, climb(keys, zeros, ones, None, depth, group)
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n, _ in blocks(batches, group):
+            _, _, (_, keys, zeros, ones, weighted) = subtrees(code, n)
+            keys, up = np.unique(shorter(keys, group), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys)] + [pa.array(np.bincount(up, x, len(keys))) for x in (zeros, ones, weighted)],
+                                             names=["key", "zeros", "ones", "longer"])
+
+    sums = dealt.mapInArrow(upper, "key long, zeros double, ones double, longer double").groupBy("key").agg(
+        *[F.sum(c).alias(c) for c in ("zeros", "ones", "longer")])
+    top = sums.toArrow()  # at most 255 decisions of 256 ** split contexts
+    order = np.argsort(top["key"].to_numpy())
+    keys, zeros, ones, longer = (top[c].to_numpy()[order] for c in ("key", "zeros", "ones", "longer"))
+    steps, first = climb(keys, zeros, ones, longer, split, 0)[:2]
+    shared = docs.sparkSession.sparkContext.broadcast((keys, *descend(steps, np.zeros(len(first)), np.ones(len(first)))))
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, said, left = shared.value
+        for code, n, seen in blocks(batches, group):
+            at, bit, (steps, keys, *_) = subtrees(code, n)
+            place = np.searchsorted(known, shorter(keys, group))
+            one = np.clip(descend(steps, said[place], left[place])[0], 1e-7, 1 - 1e-7)[at]
+            value = np.log10(np.where(bit == 1, one, 1 - one)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(seen), pa.array(value)], names=["code", "seen", "value"])
+
+    return settle(dealt.mapInArrow(values, "code long, seen long, value double"), "values")
+
+
+def common_grams(scored: DataFrame, most: int) -> Column:
+    """Which rows of ``gram_scores`` are the most frequent ones: as many steps of their counts as hold at most ``most``."""
+    step = F.floor(F.log2("seen") * 16)
+    least = 1 << 20
+    for row in scored.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 16 steps for each doubling of a count
+        most -= row["count"]
+        if most < 0:
+            break
+        least = row.step
+    return step >= least
+
+
 # ---- scores ---------------------------------------------------------------------------------------------------------
 
 def score_texts(docs: DataFrame, learn: Column | None = None, id_col="doc_id", text_col="text", carry: dict[str, Column] | None = None,
-                depth=DEPTH, node_share=NODE_SHARE, word_share=WORD_SHARE) -> DataFrame:
+                depth=DEPTH, word_share=WORD_SHARE, common_most=COMMON_GRAMS) -> DataFrame:
     """One row per row of ``docs``: id, (carry), n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    The tree and the word counts are learned from the rows for which ``learn`` holds (all by default). A null text is empty:
+    The tree (of every context) and the word counts are learned from the rows for which ``learn`` holds (all by default). A null text is empty:
     its end alone is scored. Repeated rows are scored, and learned from, as often as they occur. Without training texts
     every byte has the same probability and the base counts one more than no tokens. Other columns are not read.
     """
     spark = docs.sparkSession
     training = docs.filter(learn) if learn is not None else docs
-    tree = fit(training, text_col, depth, node_share)
+    values = gram_scores(docs, text_col, learn, depth)
+    is_common = common_grams(values, common_most)
+    table = values.filter(is_common).select("code", "value").toArrow()  # at most `common_most` rows
+    by_code = np.argsort(table["code"].to_numpy())
     words = settle(word_counts(training, text_col), "words")
     total, kinds_of_word = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = words.filter(F.col("n") >= max(1.0, total * word_share)).toArrow()  # at most 1/word_share rows
     order = np.argsort(common["word"].to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast(((tree.table, tree.links, tree.depth), common["word"].to_numpy().view(np.uint64)[order], common["n"].to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((table["code"].to_numpy().view(np.uint64)[by_code], table["value"].to_numpy()[by_code],
+                                            common["word"].to_numpy().view(np.uint64)[order], common["n"].to_numpy()[order]))
     carry = carry or {}
     extra = len(carry)
     columns = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *[c.alias(n) for n, c in carry.items()])
     kinds, names = dict(columns.dtypes), [id_col, *carry]
-    own = ["row", "word", "n_tokens", "n_known", "gained", "score", "n_bytes"]
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", row long, word long, n_tokens long, n_known long, gained double, score double, n_bytes long"
+    own = ["row", "gram", "word", "n_tokens", "n_known", "gained", "score", "n_bytes"]
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", row long, gram boolean, word long, n_tokens long, n_known long, gained double, score double, n_bytes long"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, known, counts = shared.value
-        tree = Tree(*parts)
-        children = tree.children()
+        codes, chances, known, counts = shared.value
         gain = np.log10(counts + 1.0)
         end = np.searchsorted(known, np.uint64(END_WORD & (2 ** 64 - 1)))
         end_known = end < len(known) and known[end] == np.uint64(END_WORD & (2 ** 64 - 1))
@@ -259,7 +366,7 @@ def score_texts(docs: DataFrame, learn: Column | None = None, id_col="doc_id", t
         for batch in smaller(batches):
             texts = bytes_of(batch.column(1))
             n_tokens, n_known, gained, scores = [], [], [], []
-            rare_word, rare_row = [], []
+            rare = {False: ([], []), True: ([], [])}  # keys and rows of words, of grams
             for a, b in runs(texts):
                 hashes, first, _ = word_hashes(texts[a:b])
                 owner = np.repeat(np.arange(b - a), np.diff(first))
@@ -269,9 +376,19 @@ def score_texts(docs: DataFrame, learn: Column | None = None, id_col="doc_id", t
                 n_tokens.append(np.diff(first) + 1)
                 n_known.append(np.bincount(owner[hit], minlength=b - a) + int(end_known))
                 gained.append(np.bincount(owner[hit], weights=gain[at[hit]], minlength=b - a) + (gain[end] if end_known else 0.0))
-                rare_word.append(hashes[~hit].view(np.int64))
-                rare_row.append(owner[~hit] + (row + a))
-                scores.append(text_scores(tree, children, texts[a:b]))
+                rare[False][0].append(hashes[~hit].view(np.int64))
+                rare[False][1].append(owner[~hit] + (row + a))
+                held, again = np.unique(gram_codes(texts[a:b], depth), return_inverse=True)
+                at = np.searchsorted(codes, held)
+                at[at == len(codes)] = 0
+                hit = codes[at] == held if len(codes) else np.zeros(len(held), dtype=bool)
+                chance = np.where(hit, chances[at], 0.0) if len(codes) else np.zeros(len(held))
+                ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
+                scores.append(np.add.reduceat(chance[again], np.concatenate([[0], ends[:-1]])))
+                if not hit.all():
+                    missed = np.flatnonzero(~hit[again])
+                    rare[True][0].append(held[again[missed]].view(np.int64))
+                    rare[True][1].append(np.searchsorted(ends, missed, side="right") + (row + a))
             rows = np.arange(row, row + len(texts), dtype=np.int64)
             row += len(texts)
             if not texts:
@@ -281,25 +398,31 @@ def score_texts(docs: DataFrame, learn: Column | None = None, id_col="doc_id", t
             # A row's own key matches no word, so that it isn't dealt out with others like it.
             own_key = (rows * 2862933555777941757 + 3037000493).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                kept + [pa.array(rows), pa.array(own_key), joined(n_tokens).cast(pa.int64()), joined(n_known).cast(pa.int64()), joined(gained),
+                kept + [pa.array(rows), pa.array(np.zeros(len(rows), dtype=bool)), pa.array(own_key), joined(n_tokens).cast(pa.int64()), joined(n_known).cast(pa.int64()), joined(gained),
                         joined(scores), pa.array([len(t) + 1 for t in texts], pa.int64())], names=names + own)
-            word, owners = np.concatenate(rare_word), np.concatenate(rare_row)
-            for a in range(0, len(word), 1 << 18):
-                part = word[a:a + (1 << 18)]
-                empty = [pa.nulls(len(part), c.type) for c in kept]
-                yield pa.RecordBatch.from_arrays(
-                    empty + [pa.array(owners[a:a + (1 << 18)]), pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()),
-                             pa.nulls(len(part), pa.float64()), pa.nulls(len(part), pa.float64()), pa.nulls(len(part), pa.int64())], names=names + own)
-
-    rare = words.filter(F.col("n") < max(1.0, total * word_share)).withColumnRenamed("n", "_n")
-    scored = columns.mapInArrow(score, schema).join(rare, "word", "left").filter(F.col("n_tokens").isNotNull() | F.col("_n").isNotNull())
-    of_word = F.col("n_tokens").isNull()
+            for gram, (keys, owners) in rare.items():
+                if not keys:
+                    continue
+                keys, owners = np.concatenate(keys), np.concatenate(owners)
+                for a in range(0, len(keys), 1 << 18):
+                    part = keys[a:a + (1 << 18)]
+                    empty = [pa.nulls(len(part), c.type) for c in kept]
+                    yield pa.RecordBatch.from_arrays(
+                        empty + [pa.array(owners[a:a + (1 << 18)]), pa.array(np.full(len(part), gram)), pa.array(part),
+                                 pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.float64()),
+                                 pa.nulls(len(part), pa.float64()), pa.nulls(len(part), pa.int64())], names=names + own)
+
+    rare_words = words.filter(F.col("n") < max(1.0, total * word_share)).select(F.lit(False).alias("gram"), "word", F.log10(F.col("n") + 1).alias("_gain"))
+    rare_grams = values.filter(~is_common).select(F.lit(True).alias("gram"), F.col("code").alias("word"), F.col("value").alias("_gain"))
+    scored = columns.mapInArrow(score, schema).join(rare_words.union(rare_grams), ["gram", "word"], "left").filter(
+        F.col("n_tokens").isNotNull() | F.col("_gain").isNotNull())
+    of_text, of_gram = F.col("n_tokens").isNotNull(), F.col("gram")
     scale = float(np.log10(float(total + kinds_of_word + 1)))
     sums = scored.groupBy("row").agg(
         *[F.max(n).alias(n) for n in names], F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(of_word, F.lit(1)).otherwise(F.col("n_known"))).cast("long").alias("n_known"),
-        F.sum(F.when(of_word, F.log10(F.col("_n") + 1)).otherwise(F.col("gained"))).alias("gained"),
-        F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"))
+        F.sum(F.when(of_text, F.col("n_known")).otherwise(F.when(of_gram, 0).otherwise(1))).cast("long").alias("n_known"),
+        F.sum(F.when(of_text, F.col("gained")).when(~of_gram, F.col("_gain"))).alias("gained"),
+        F.sum(F.when(of_text, F.col("score")).when(of_gram, F.col("_gain"))).alias("score"), F.max("n_bytes").alias("n_bytes"))
     return sums.select(*names, "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
                        (F.col("gained") - F.col("n_tokens") * scale).alias("base_score"), "score",
                        (-F.col("score") / F.col("n_bytes") * float(np.log2(10))).alias("bits_per_byte"))

@@ -2,16 +2,19 @@
 empty tables, clashing column names."""
 
 import collections
+import functools
 import hashlib
+import math
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sourcemart.llm import exact_dedup, html_text, jaccard_join, line_frequency, mixing, packing, personal_data
+from sourcemart.llm import context_tree, exact_dedup, html_text, jaccard_join, line_frequency, mixing, packing, personal_data
 from sourcemart.llm.context_tree import score_texts, text_scores, weigh
 from sourcemart.llm.language_id import identify
 from sourcemart.llm.quality import keep_good, score_quality
@@ -512,3 +515,64 @@ def test_pipeline(spark):
     assert len({re.sub("[\x20\x09-\x0d]", "", t) for t in texts.values()}) == len(texts)
     _, label = components(sorted(texts.items()), 5, 80)
     assert all(k == v for k, v in label.items())
+
+
+def brute_score(text, learned, depth):
+    """log10 probability of a text and its end by the recursion of context-tree weighting over all contexts of (text, times)."""
+    def coded(text):
+        data = bytes([0xFE]) * depth + text.encode() + bytes([0xFF])
+        for i in range(depth, len(data)):
+            for bit in range(8):
+                yield data[i - depth:i], (bit, data[i] >> (8 - bit)), data[i] >> (7 - bit) & 1
+
+    counts, longer = collections.Counter(), collections.defaultdict(set)
+    for known, times in learned:
+        for context, decision, outcome in coded(known):
+            for d in range(depth + 1):
+                counts[context[depth - d:], decision, outcome] += times
+                if d < depth:
+                    longer[context[depth - d:], decision].add(context[depth - d - 1:])
+
+    def own(context, decision):
+        zeros, ones = counts[context, decision, 0], counts[context, decision, 1]
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.log(math.pi) - math.lgamma(zeros + ones + 1), (ones + 0.5) / (zeros + ones + 1)
+
+    @functools.cache
+    def weighted(context, decision):
+        block = own(context, decision)[0]
+        if len(context) == depth:
+            return block, 1.0
+        rest = sum(weighted(c, decision)[0] for c in longer[context, decision])
+        both = np.logaddexp(block, rest)
+        return both - math.log(2), math.exp(block - both)
+
+    def one(context, decision, d=0):
+        share, mine = weighted(context[depth - d:], decision)[1], own(context[depth - d:], decision)[1]
+        return mine if d == depth else share * mine + (1 - share) * one(context, decision, d + 1)
+
+    return sum(math.log10(one(c, x) if outcome else 1 - one(c, x)) for c, x, outcome in coded(text))
+
+
+def test_scores_use_every_context(spark):
+    """Contexts below 2^-17 of the training bytes count too, met in the broadcast table or by a join."""
+    texts = ["the same long line of a common page, over and over again and over, until rare ones are rare " * 2] * 3000
+    texts += ["zyx wvu zyx wvu zyx wvu", "Ω zyx, größer wvu", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9001, "zyx wvu über zyx wvu"), (9003, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = [(t or "", n) for t, n in collections.Counter(t or "" for _, t in rows[:3004]).items()]
+    for depth, most in ((5, 1 << 20), (5, 10), (2, 0), (1, 10)):
+        found = {r.doc_id: r for r in score_texts(frame, learn=F.col("doc_id") < 9000, depth=depth, common_most=most).collect()}
+        assert len(found) == len(rows)
+        for i in (0, 3000, 3001, 3002, 3003, 9001, 9003):
+            expected = brute_score(dict(rows)[i] or "", learned, depth)
+            assert found[i].score == pytest.approx(expected, rel=1e-6, abs=1e-6), (depth, most, i)
+
+
+def test_blocks_part_no_subtree(monkeypatch):
+    monkeypatch.setattr(context_tree, "BLOCK", 40)
+    code = np.sort(np.random.default_rng(3).integers(0, 30, 500)) << 8
+    given = pa.Table.from_arrays([pa.array(code), pa.array(np.arange(500))], names=["code", "n"])
+    parts = [b for b in context_tree.blocks(iter(given.to_batches(max_chunksize=7)), 1)]
+    assert len(parts) > 5 and np.array_equal(np.concatenate([n for _, n in parts]), np.arange(500))
+    suffixes = [set((c >> 8).tolist()) for c, _ in parts]
+    assert sum(map(len, suffixes)) == len(set().union(*suffixes))
