@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, id_col="doc_id", text_col="text", window=WINDOW, end
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in smaller(batches, 256):
             index, out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = codec.ids(text or "") + end
+            for i, ids in enumerate(codec.ids_of([text or "" for text in batch.column(1).to_pylist()])):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * window)):
                     part = ids[at:at + 4 * window]
                     length = len(part) // 4

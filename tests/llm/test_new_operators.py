@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from sourcemart.llm import alignment, complement_packing, phrases
 from sourcemart.llm.queries import QUERIES
-from sourcemart.llm.tokens import Kept, TwoCodecs, WordCodec
+from sourcemart.llm.tokens import Kept, ShortWords, TwoCodecs, WordCodec
 
 FOLDER = "/root/testdata/sf0.001"
 SIGNS = ["", " ", "a  b\tc", "x<|endoftext|>y <s> </s> <|startoftext|>", "Ünïcode ▁x Σας İstanbul ǅ «q» ¿qué? Don't we'll IT'S", "日本語 テスト 12345",
@@ -50,6 +50,36 @@ def test_word_ids(docs):
         assert np.frombuffer(codec.ids(text), dtype="<u4").tolist() == word_ids(text)[:-1], text[:80]
 
 
+def test_word_ids_of_many_texts(docs):
+    """Texts side by side, words found in arrays: the tokenizer's ids, also where letters' lower case lies beyond Latin Extended-B."""
+    random = np.random.default_rng(5)
+    signs = list("abst'rvelmd'' 1²½é߯Ɓ÷×!.,-\nªAŒȺɄ中")
+    texts = ["Ɓa Ʉx Ǝb", "don't 's's '' ''s we'll'lx 'rex", "", "12 3²½a", "nine letters and more than eight"]
+    texts += ["".join(random.choice(signs, random.integers(0, 40))) for _ in range(1500)] + [t or "" for _, t, _ in docs[:40]]
+    made = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = [made.encode(text, add_special_tokens=False).ids for text in texts]
+    codec = WordCodec()
+    codec.short = ShortWords(codec._word, 40)
+    for size in (1, 7, len(texts)):
+        found = [np.frombuffer(x, dtype="<u4").tolist() for a in range(0, len(texts), size) for x in codec.ids_of(texts[a:a + size])]
+        for text, ids, wanted in zip(texts, found, expected, strict=True):
+            assert ids == wanted, text[:80]
+    assert len(codec.short.keys) > 0 and list(codec.ids_of([])) == []
+
+
+def test_short_words_that_are_asked_for_stay():
+    made = []
+    short = ShortWords(lambda word: made.append(word) or np.frombuffer(word.encode(), dtype="u1").astype("<u4").tobytes(), 6)
+    key = lambda words: np.array(sorted(int.from_bytes(w.encode(), "little") for w in words), dtype=np.uint64)
+    for i in range(30):
+        keys = key(["hot", f"k{i}", "gone"])
+        wanted = keys != key(["gone"])[0]
+        (first, size), ids = short.find(keys, wanted)
+        text = {bytes(ids[a:a + n].astype("u1")).decode() for a, n in zip(first[wanted], size[wanted])}
+        assert text == {"hot", f"k{i}"} and len(short.keys) <= 8 and size[~wanted].sum() == 0
+    assert made.count("hot") == 1 and "gone" not in made
+
+
 def test_kept_keeps_what_is_asked_for():
     made = []
     kept = Kept(lambda key: made.append(key) or key.upper(), 10 * 222)
