@@ -177,8 +177,9 @@ class Tally:
         self.most, self.parts, self.held = most, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.held += len(keys)
+        if len(keys):
+            self.parts.append((keys, counts))
+            self.held += len(keys)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:

@@ -576,3 +576,12 @@ def test_blocks_part_no_subtree(monkeypatch):
     assert len(parts) > 5 and np.array_equal(np.concatenate([n for _, n in parts]), np.arange(500))
     suffixes = [set((c >> 8).tolist()) for c, _ in parts]
     assert sum(map(len, suffixes)) == len(set().union(*suffixes))
+
+
+def test_scores_of_texts_without_words(spark):
+    """A task may hold no word at all, and there may be nothing to learn from."""
+    frame = spark.createDataFrame([(1, None), (2, ""), (3, " \n ")], "doc_id long, text string").coalesce(1)
+    for learn, expected in ((None, (1, 1, 3)), (F.lit(False), (1, 0, 0))):
+        rows = score_texts(frame, learn=learn).collect()
+        assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [expected] * 3
+    assert all(r.bits_per_byte == pytest.approx(8) for r in rows)
